@@ -1,13 +1,15 @@
 """Quality by weak supervision.
 
 Rules read a text's figures and vote for good, against it, or abstain. Expectation-maximisation over the counts of vote
-patterns estimates how often each rule is right when it votes, and gives every pattern a posterior probability of good.
-Only patterns (at most three to the number of rules) ever reach the driver.
+patterns estimates how each rule votes on good and on bad texts, and gives every pattern a posterior probability of good.
+Only patterns (at most three to the number of rules; a few hundred in practice) ever reach the driver.
 """
 
 from __future__ import annotations
 
+import operator
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +22,13 @@ from .common import written
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\r\x0b\x0c"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_distinct_words")
+MEASURES = (
+    *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_distinct_words"),
+    *("n_symbol_words", "n_emphatic_words", "n_adjacent_words", "n_capitals", "n_letters"),
+)
 LETTER = re.compile(r"[^\W\d_]")
+SYMBOL = re.compile(rf"[{re.escape(SYMBOLS)}]".encode())
+CAPITALS, LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
 REPEAT_WINDOW = 8
 
 
@@ -34,7 +41,7 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     ids = np.array([known.setdefault(w, len(known)) for w in words], np.uint64)
     sums = np.zeros(n, np.uint64)
     for k in range(window):
-        sums = (sums * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[k : k + n] + np.uint64(0x632BE59BD9B4E019) * np.uint64(k + 1))
+        sums = (sums * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[k : k + n] + np.uint64(0x632BE59BD9B4E019 * (k + 1) % 2**64))
         sums ^= sums >> np.uint64(29)
     order = np.argsort(sums, kind="stable")
     same = sums[order[1:]] == sums[order[:-1]]
@@ -58,7 +65,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     """``MEASURES`` of a whole text; all are 0 for a null."""
     if not text:
         return (0,) * len(MEASURES)
-    words = text.encode("utf-8", "surrogatepass").split()
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
     lines, seen = 0, set()
     dup = 0
     for line in text.split("\n"):
@@ -66,17 +74,22 @@ def measure(text: str | None) -> tuple[int, ...]:
             lines += 1
             dup += line in seen
             seen.add(line)
-    distinct = set(words)
+    distinct, symbols = set(words), sum(map(text.count, SYMBOLS))
     wordy = {w for w in distinct if LETTER.search(w.decode("utf-8", "replace"))}
     return (
         len(words),
         len(text) - sum(map(text.count, WHITE)),
-        sum(map(text.count, SYMBOLS)),
+        symbols,
         dup,
         repeated_words(words),
         lines,
         len(words) if len(wordy) == len(distinct) else sum(w in wordy for w in words),
         len(distinct),
+        sum(SYMBOL.search(w) is not None for w in words) if symbols else 0,
+        sum(w.endswith((b"!!", b"??")) for w in words) if b"!!" in raw or b"??" in raw else 0,
+        sum(map(operator.eq, words, words[1:])),
+        len(raw) - len(raw.translate(None, CAPITALS)),
+        len(raw) - len(raw.translate(None, LETTERS)),
     )
 
 
@@ -102,41 +115,60 @@ def votes() -> list[Column]:
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    c, words, lines = F.col, F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    def share(part: str, whole: Column, good: float, bad: float) -> Column:
+        return vote(F.col(part) <= good * whole, F.col(part) > bad * whole)
+
+    n, chars, lines, letters = (F.greatest(F.col(k), F.lit(1)) for k in ("n_words", "word_chars", "n_lines", "n_letters"))
     return [
-        vote(c("n_words") >= 50, c("n_words") < 10),
-        vote((c("word_chars") >= 3 * words) & (c("word_chars") <= 10 * words), (c("word_chars") < 2 * words) | (c("word_chars") > 16 * words)),
-        vote(100 * c("n_symbols") <= 2 * words, 10 * c("n_symbols") > words),
-        vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), 10 * c("n_dup_lines") > 3 * lines),
-        vote((c("n_repeat_words") == 0) & (c("n_words") >= 20), 100 * c("n_repeat_words") > 20 * words),
-        vote(100 * c("n_letter_words") >= 95 * words, 100 * c("n_letter_words") < 80 * words),
-        vote(100 * c("n_distinct_words") >= 30 * words, (100 * c("n_distinct_words") < 10 * words) & (c("n_words") < 2000)),
+        vote(n >= 50, n < 10),
+        vote((chars >= 3 * n) & (chars <= 10 * n), (chars < 2 * n) | (chars > 20 * n)),
+        share("n_symbols", chars, 0.005, 0.05),
+        share("n_symbol_words", n, 0.02, 0.2),
+        vote(F.col("n_letter_words") >= 0.97 * n, F.col("n_letter_words") < 0.8 * n),
+        share("n_dup_lines", lines, 0.02, 0.5),
+        share("n_repeat_words", n, 0.01, 0.3),
+        share("n_adjacent_words", n, 0.03, 0.2),
+        share("n_emphatic_words", n, 0.01, 0.1),
+        share("n_capitals", letters, 0.15, 0.4),
+        vote(F.col("n_distinct_words") >= 0.3 * n, (F.col("n_distinct_words") < 0.1 * n) & (n < 2000)),
     ]
 
 
 @dataclass
 class LabelModel:
-    """Votes as noisy views of one hidden label, independent given it."""
+    """Votes as noisy views of one hidden label, independent given it.
+
+    ``rates[y, rule, vote + 1]`` is how often a rule votes so on a text of label ``y`` (0 bad, 1 good).
+    """
 
     prior: float
-    right: np.ndarray  # how often each rule is right when it votes
+    rates: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
-        """Expectation-maximisation from a majority's view; a rule stays better than a guess, so labels can't swap."""
-        model = cls(0.7, np.full(patterns.shape[1], 0.8))
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, belief: float = 0.02) -> LabelModel:
+        """Expectation-maximisation, begun from "good unless a rule objects".
+
+        Beforehand a rule is taken to object to one good text in a hundred and to a third of the bad ones; that weighs
+        as much as ``belief`` of all texts, and keeps the two labels from changing places.
+        """
+        before = np.empty((2, patterns.shape[1], 3))
+        before[0], before[1] = (0.33, 0.34, 0.33), (0.01, 0.29, 0.70)
+        weight = max(10.0, belief * counts.sum())
+        good = np.where((patterns < 0).any(1), 0.1, 0.95)
+        model = cls(0.9, before)
+        seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)  # pattern, rule, vote
         for _ in range(rounds if len(counts) else 0):
+            mass = np.stack([(1 - good) * counts, good * counts])
+            sums = np.einsum("yp,prv->yrv", mass, seen) + weight * before
+            model = cls(float((mass[1].sum() + 0.9 * weight) / (counts.sum() + weight)), sums / sums.sum(-1, keepdims=True))
             good = model.posterior(patterns)
-            right = np.where(patterns > 0, good[:, None], 1 - good[:, None]) * (patterns != 0) * counts[:, None]
-            cast = ((patterns != 0) * counts[:, None]).sum(0)
-            # Two right votes of two and a half beforehand, for rules that hardly ever vote.
-            model = cls(float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.05, 0.95)), np.clip((right.sum(0) + 2) / (cast + 2.5), 0.55, 0.99))
         return model
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The probability of good for each pattern."""
-        weight = np.log(self.right / (1 - self.right))
-        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + patterns @ weight)))
+        seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
+        bad, good = np.einsum("prv,yrv->yp", seen, np.log(self.rates)) + np.log([[1 - self.prior], [self.prior]])
+        return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -148,7 +180,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rules = votes()
     pattern = F.concat(*(F.substring(F.lit("-0+"), v + 2, F.lit(1)) for v in rules))
     rows = written(measured(docs).withColumn("pattern", pattern))
-    tally = rows.groupBy("pattern").count().collect()  # at most 3 ** 7 rows
+    tally = rows.groupBy("pattern").count().collect()  # at most 3 ** 11 rows
     patterns = np.array([["-0+".index(x) - 1 for x in r["pattern"]] for r in tally], float).reshape(-1, len(rules))
     model = LabelModel.fit(patterns, np.array([r["count"] for r in tally], float))
     posterior = rows.sparkSession.createDataFrame(

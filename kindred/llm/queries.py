@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, warc
+from . import chat, decontam, html, langid, warc
 from .common import table
 from .packing import pack
 from .quality import quality
@@ -19,6 +19,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality, op4_langid, op5_packing, op6_html, op7_substring, op8_warc, op9_chat, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality, op4_langid, op5_packing, op6_html, op7_substring, op8_warc, op9_chat, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,3 +135,108 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_in_shingle: int = 3)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     component = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- Groups of similar documents, for the corpus pipeline: wider fingerprints, compared by the same tiles.
+
+WIDE_BITS = 256
+#: Bits that differ between two texts of similarity 0.8: the angle's share is acos(2 * 0.8 / 1.8) / pi = 0.15, so 39 of
+#: 256 are expected, give or take 6; texts that have nothing in common differ in 128, give or take 8.
+WIDE_RADIUS = 48
+#: Texts of similarity 0.8 have shingle counts within this ratio.
+LENGTH_RATIO = 1.25
+
+
+def wide_fingerprint(text: bytes | None, words_in_shingle: int = 5) -> tuple[bytes, int]:
+    """A SimHash of ``WIDE_BITS`` bits, and how many shingles it is made of; zeros and 0 if the text has no word."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8), 0
+    n = max(1, len(words) - words_in_shingle + 1)
+    shingles = iter([words]) if n == 1 else zip(*(words[k:] for k in range(words_in_shingle)), strict=False)
+    bits, digest = np.zeros(WIDE_BITS, np.int64), xxhash.xxh3_128_digest
+    while part := [b" ".join(s) for s in itertools.islice(shingles, 16384)]:
+        both = b"".join([digest(s, 1) + digest(s, 2) for s in part])
+        bits += np.unpackbits(np.frombuffer(both, np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * bits > n).tobytes(), n
+
+
+def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 16384) -> DataFrame:
+    """``(src, dst)`` over distinct fingerprints ``wide (node, fp, size)``: forests that join what is within ``radius``
+    bits and of like length.
+
+    Lengths are cut into bands of ``LENGTH_RATIO``; a band is compared with itself and with the next, block by block, and
+    a pair of blocks is a task. In a task rows are in order of population count, and tiles whose counts differ by more
+    than ``radius`` are skipped.
+    """
+    wide = wide.select("node", "fp", F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(LENGTH_RATIO))).cast("int").alias("band"))
+    # A band a length: under a hundred for any text that fits in memory.
+    counts = wide.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    after = counts.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("next_blocks"))
+    counts = F.broadcast(written(counts.join(after, "band", "left").select("band", "blocks", F.coalesce("next_blocks", F.lit(0)).alias("next_blocks"))))
+    rows = wide.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    across = counts.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("before_blocks"))
+    cell = F.struct("band", F.lit(0).alias("step"), "low", "high")
+    own = rows.select("node", "fp", "band", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    own = own.select("node", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", (F.col("block") == F.least("block", "other")).alias("home"))
+    own = own.select(cell.alias("cell"), "node", "fp", "home")
+    low = rows.where("next_blocks > 0").select("node", "fp", "band", F.col("block").alias("low"), F.explode(F.expr("sequence(0, next_blocks - 1)")).alias("high"))
+    low = low.select(F.struct("band", F.lit(1).alias("step"), "low", "high").alias("cell"), "node", "fp", F.lit(True).alias("home"))
+    high = rows.join(across, "band").select("node", "fp", (F.col("band") - 1).alias("band"), F.col("block").alias("high"), F.explode(F.expr("sequence(0, before_blocks - 1)")).alias("low"))
+    high = high.select(F.struct("band", F.lit(1).alias("step"), "low", "high").alias("cell"), "node", "fp", F.lit(False).alias("home"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        at_home = pdf["home"].to_numpy(bool)
+        same = pdf["cell"].iloc[0]["step"] == 0 and at_home.all()  # a block with itself
+        fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+        a, b = np.flatnonzero(at_home), np.flatnonzero(at_home if same else ~at_home)
+        nodes = pdf["node"].to_numpy(np.int64)
+        return pd.DataFrame(tile_links(fps, a, b, nodes, radius), columns=["src", "dst"], dtype="int64")
+
+    return own.unionByName(low).unionByName(high).groupBy("cell").applyInPandas(compare, "src long, dst long")
+
+
+def tile_links(fps: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radius: int, tile: int = 256) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between rows ``a`` and rows ``b`` of ``fps``."""
+    ones = np.bitwise_count(fps).sum(1, dtype=np.int64)
+    a, b = a[np.argsort(ones[a], kind="stable")], b[np.argsort(ones[b], kind="stable")]
+    label, counts = np.arange(len(fps)), ones[b]
+    for at in range(0, len(a), tile):
+        rows = a[at : at + tile]
+        lo, hi = np.searchsorted(counts, ones[rows[0]] - radius), np.searchsorted(counts, ones[rows[-1]] + radius, "right")
+        others = b[lo:hi]
+        for start in range(0, len(others), 8192):
+            part = others[start : start + 8192]
+            apart = np.zeros((len(rows), len(part)), np.uint16)
+            for k in range(fps.shape[1]):
+                apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[part, k][None, :])
+            near = apart <= radius
+            for i in np.flatnonzero(near.any(1)):
+                found = np.unique(label[np.append(part[near[i]], rows[i])])
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return list(zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True))
+
+
+def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of similar texts does: that of the smallest doc_id.
+
+    Groups are what links of ``radius`` or fewer differing bits join, between texts of like length. Of rows equal in
+    doc_id too, one stays. Null and blank texts are a group; a null doc_id gives way to any other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], ["row", "fp", "size"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    rows = written(rows.mapInArrow(run, f"row {kind}, fp binary, size long").withColumn("at", F.monotonically_increasing_id()))
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("at"))
+    wide = written(rows.groupBy("fp").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected_components(similar_links(wide, radius))
+    stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first")[wide.schema["first"].dataType[2].name].alias("stays"))
+    stay = written(stay)
+    return rows.join(stay, rows["at"] == stay["stays"], "left_semi").select("row.*")
