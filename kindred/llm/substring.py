@@ -236,7 +236,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row", "kept_text", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed.drop("text").join(ranges, ["id", "mark"], "left").select("row", F.col("row.text").cast("binary"), "ranges")
+    joined = keyed.drop("text").join(ranges, ["id", "mark"], "left").select("row", F.col("row.text").cast("binary").alias("raw"), "ranges")
     out = joined.mapInArrow(run, f"row {row}, kept_text binary, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
