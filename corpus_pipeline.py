@@ -15,7 +15,7 @@ from kindred.llm.packing import pack
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model keeps."""
-    return quality.judged(docs).where("kept").select("row.*")
+    return quality.keep(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

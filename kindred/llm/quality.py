@@ -171,26 +171,40 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` as a column ``row`` with ``MEASURES``, ``base_failed``, ``quality`` (the posterior) and ``kept``.
-
-    The measured rows are written once; votes are counted over all of them. Null and blank texts fail the base check.
-    Repeated rows are judged alike, each counted. An empty table gives no rows.
-    """
+def posteriors(rows: DataFrame) -> DataFrame:
+    """``(pattern, quality)`` fitted on measured ``rows``; only the counts of patterns reach the driver."""
     rules = votes()
-    pattern = F.concat(*(F.substring(F.lit("-0+"), v + 2, F.lit(1)) for v in rules))
-    rows = written(measured(docs).withColumn("pattern", pattern))
-    tally = rows.groupBy("pattern").count().collect()  # at most 3 ** 11 rows
+    tally = rows.groupBy(pattern().alias("pattern")).count().collect()  # at most 3 ** 11 rows
     patterns = np.array([["-0+".index(x) - 1 for x in r["pattern"]] for r in tally], float).reshape(-1, len(rules))
     model = LabelModel.fit(patterns, np.array([r["count"] for r in tally], float))
-    posterior = rows.sparkSession.createDataFrame(
-        [(r["pattern"], float(p)) for r, p in zip(tally, model.posterior(patterns), strict=True)], "pattern string, quality double"
-    )
-    scored = rows.join(F.broadcast(posterior), "pattern").withColumn("base_failed", base_failed())
+    fitted = [(r["pattern"], float(p)) for r, p in zip(tally, model.posterior(patterns), strict=True)]
+    return rows.sparkSession.createDataFrame(fitted, "pattern string, quality double")
+
+
+def pattern() -> Column:
+    return F.concat(*(F.substring(F.lit("-0+"), v + 2, F.lit(1)) for v in votes()))
+
+
+def judged(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Measured ``rows`` with ``base_failed``, ``quality`` (the posterior of good) and ``kept``."""
+    scored = rows.withColumn("pattern", pattern()).join(F.broadcast(known), "pattern").withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)`` by row."""
-    scored = judged(docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", "text"))
-    return scored.select("row.doc_id", *MEASURES[:5], "base_failed", "kept", "quality")
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)`` by row.
+
+    Null and blank texts fail the base check. Repeated rows are judged alike, each counted. An empty table gives no rows.
+    """
+    rows = measured(docs.select(F.col("doc_id").cast("long"), "text")).select("row.doc_id", *MEASURES)
+    rows = written(rows)
+    return judged(rows, posteriors(rows)).select("doc_id", *MEASURES[:5], "base_failed", "kept", "quality")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps.
+
+    Texts are measured once for the votes and once more for the verdict: that writes and shuffles no text at all.
+    """
+    known = posteriors(measured(docs.select("text")))
+    return judged(measured(docs), known).where("kept").select("row.*")

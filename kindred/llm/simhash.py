@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
@@ -223,20 +223,23 @@ def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle
     """The rows of ``docs`` that stay when one of each group of similar texts does: that of the smallest doc_id.
 
     Groups are what links of ``radius`` or fewer differing bits join, between texts of like length. Of rows equal in
-    doc_id too, one stays. Null and blank texts are a group; a null doc_id gives way to any other.
+    doc_id and text one stays. Null and blank texts are a group; a null doc_id gives way to any other.
     """
+    none = -(1 << 63)  # stands for a null id
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.xxhash64("text").alias("mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], ["row", "fp", "size"])
-
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    rows = written(rows.mapInArrow(run, f"row {kind}, fp binary, size long").withColumn("at", F.monotonically_increasing_id()))
-    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("at"))
-    wide = written(rows.groupBy("fp").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+            made = [wide_fingerprint(t, words_in_shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], ["id", "mark", "fp", "size"])
+
+    marked = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, mark long, fp binary, size long")
+    order = F.struct((F.col("id") == none).alias("no_id"), "id", "mark")
+    wide = written(marked.groupBy("fp").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
     roots = connected_components(similar_links(wide, radius))
-    stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first")[wide.schema["first"].dataType[2].name].alias("stays"))
-    stay = written(stay)
-    return rows.join(stay, rows["at"] == stay["stays"], "left_semi").select("row.*")
+    stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    stay = written(stay.select("first.id", "first.mark"))
+    rows = docs.select(F.struct("*").alias("row"), *key)
+    # The join and the window share one partitioning by key, so a text is shuffled once.
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy("id"))
+    return rows.join(stay, ["id", "mark"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
