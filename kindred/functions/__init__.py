@@ -1 +1 @@
-
+"""Column functions: expressions that stay in the JVM."""

@@ -1 +1 @@
-
+"""Readers and writers of genotype, frequency and report files."""
