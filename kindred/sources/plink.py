@@ -68,14 +68,14 @@ def subset(variants: DataFrame, kept: DataFrame) -> DataFrame:
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, chrom, rsid, pos, a1, a2)`` in file order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("ord", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
     p = F.split(F.trim("line"), r"\s+")
     return rows.select("ord", p[0].alias("chrom"), p[1].alias("rsid"), p[3].cast("long").alias("pos"), p[4].alias("a1"), p[5].alias("a2"))
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, family_id, sample_id, father_id, mother_id, sex)`` in file order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("ord", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
     p = F.split(F.trim("line"), r"\s+")
     return rows.select("ord", p[0].alias("family_id"), p[1].alias("sample_id"), p[2].alias("father_id"), p[3].alias("mother_id"), p[4].alias("sex"))
 

@@ -19,16 +19,18 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.txt*") -> DataFram
     A genotype file is tens of megabytes, so each is one value that is cut into numbered lines; files are spread over
     tasks. Gzip files are read by their suffix.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("k", "line"))
     return rows.select(F.regexp_extract("file", PARTICIPANT, 1).alias("participant_id"), "file", (F.col("k") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.txt*") -> DataFrame:
-    """``(participant_id, file, bytes)`` without reading the contents."""
+    """``(participant_id, file, bytes)`` without reading the contents; files of no bytes, which scans skip, are listed too."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return rows.select(F.regexp_extract("path", PARTICIPANT, 1).alias("participant_id"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+    names = spark.createDataFrame([(f,) for f in rows.inputFiles()], "file string")
+    sizes = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return names.join(sizes, "file", "left").select(F.regexp_extract("file", PARTICIPANT, 1).alias("participant_id"), "file", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def first_file(files: DataFrame) -> DataFrame:
