@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(column: pa.Array, step: int = 1000) -> Iterator:
+    """The values of an Arrow column as Python objects, so many at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def release() -> None:
+    """Gives back to the system what a finished task no longer needs: Spark keeps its Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the undirected ``edges (src, dst)``; root is the component's smallest node.
 

@@ -121,17 +121,19 @@ def predict(docs: DataFrame, model: KernelRidge, batch: int = 64) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
-            for at in range(0, len(some), batch):
-                part = some[at : at + batch]
-                found = m.decide([texts[i].encode("utf-8", "surrogatepass") for i in part])
-                for i, row in zip(part, found, strict=True):
-                    names[i] = m.languages[int(row.argmax())]
-                    scores[i] = float(np.clip((row.max() + 1) / 2, 0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                texts = b.column(2).to_pylist()
+                names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+                some = [i for i, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
+                for at in range(0, len(some), batch):
+                    part = some[at : at + batch]
+                    found = m.decide([texts[i].encode("utf-8", "surrogatepass") for i in part])
+                    for i, row in zip(part, found, strict=True):
+                        names[i] = m.languages[int(row.argmax())]
+                        scores[i] = float(np.clip((row.max() + 1) / 2, 0, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Partitions (then groups of them) whose leftovers meet in a merging task.
 FAN_IN = 32
 
@@ -123,6 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, o
                     out.append(r)
             if out:
                 yield flush()
+        ids_of = None
+        release()
         out.extend((*r[:-1], True) for rs in waiting.values() for r in rs)
         if out:
             yield flush()

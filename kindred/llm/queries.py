@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,5 +66,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality, op4_langid, op5_packing, op6_html, op7_substring, op8_warc, op9_chat, op10_simhash)}
 
 
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Windows by their words; a word goes if a window over it starts earlier elsewhere.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 18))) AS i FROM d)),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(20) t(j) WHERE nth > 1),
+x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT x.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+#: Base32 takes a SHA-1's hexadecimal digits by fives: twenty bits are four letters.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS least, sha1(html) AS h FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST(concat('0x', substr(h, 5 * i + 1, 5)) AS BIGINT)) AS fives FROM f)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM b"""
+
+CONTROL_SQL = "|".join(re.escape(c) for c in (chat.TURN, chat.BODY, chat.END, *chat.PLACEHOLDERS.values(), *chat.FOREIGN))
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, length(role) + length(regexp_replace(text, '({CONTROL_SQL})', '.\\1', 'g')) + {len(chat.TURN + chat.BODY + chat.END) + 1} AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn) AS every, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss, sum(chars) AS chars FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express: no model, tokenizer, checksum or SimHash."""
+    return {"op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_chat": OP9_SQL}

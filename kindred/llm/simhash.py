@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, values, written
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: One digit of a packed tile: counts from 0 to 16, with room for a difference below or above.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(t, words_in_shingle) for t in values(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
@@ -230,7 +230,7 @@ def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t, words_in_shingle) for t in b.column(2).to_pylist()]
+            made = [wide_fingerprint(t, words_in_shingle) for t in values(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], ["id", "mark", "fp", "size"])
 
     marked = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, mark long, fp binary, size long")

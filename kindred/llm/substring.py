@@ -23,13 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, values, written
 
 WINDOW, MER = 20, 3
 #: Windows in a packed string at most, so that a text of one word does not make one huge string.
 RUN = 128
 #: Bytes of text whose packed strings are sought and compared in a bucket, and that a task packs at once.
-BUCKET_BYTES, BATCH_BYTES = 4 << 20, 12 << 20
+BUCKET_BYTES, BATCH_BYTES = 4 << 20, 6 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAST = -(1 << 63)
 
@@ -38,7 +38,7 @@ class WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -93,6 +93,8 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
                 yield pack_batch(b.slice(at, end - at), known, squeeze, buckets)
                 at = end
+        known.clear()
+        release()
 
     return docs.select("id", "mark", F.col("text").cast("binary")).mapInArrow(run, PACKED)
 
@@ -101,7 +103,7 @@ def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.Zstd
     first: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest place of a string: id, start, mark, minimiser
     alike: list[tuple[bytes, tuple[int, int, int, int]]] = []  # further rows at that very place
     repeats: list[tuple[int, int, int, int]] = []
-    for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for doc, mark, text in zip(*map(values, batch.columns), strict=True):
         for m, start, string in super_kmers((text or b"").split(), known):
             place = (doc, start, mark, m)
             if (was := first.setdefault(string, place)) is not place:
@@ -197,7 +199,7 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, marks: np.ndarray, s
 def keep_words(text: bytes | None, ranges: list | None) -> tuple[bytes | None, int, int, str]:
     """What is left of a text without the words in ``ranges``, its words before, those removed, and the digest."""
     words = (text or b"").split()
-    if not ranges:
+    if ranges is None or not len(ranges):
         return text, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
     gone = np.zeros(len(words) + 1, np.int64)
     for r in ranges:
@@ -227,17 +229,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // BUCKET_BYTES))
     found = packed(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), RANGES)
     ranges = written(found).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    row = keyed.schema["row"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [keep_words(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = zip(*done, strict=True) if done else ((), (), (), ())
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row", "kept_text", "n_words", "n_removed", "kept_sha256"])
+    @F.pandas_udf("kept_text binary, n_words long, n_removed long, kept_sha256 string")
+    def cut(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        done = [keep_words(t, r) for t, r in zip(text, ranges, strict=True)]
+        return pd.DataFrame(done, columns=["kept_text", "n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
 
-    joined = keyed.drop("text").join(ranges, ["id", "mark"], "left").select("row", F.col("row.text").cast("binary").alias("raw"), "ranges")
-    out = joined.mapInArrow(run, f"row {row}, kept_text binary, n_words long, n_removed long, kept_sha256 string")
+    joined = keyed.drop("text").join(ranges, ["id", "mark"], "left")
+    out = joined.select("row", cut(F.col("row.text").cast("binary"), F.col("ranges")).alias("x")).select("row", "x.*")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import values, written
 
 #: The skippable frame that holds a dictionary, by the WARC-Zstandard convention.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -173,7 +173,7 @@ def write(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}.warc.zst"]), pa.array([b"".join(parts)], pa.binary())], ["archive", "content"])
 
         for b in batches:
-            for page_id, url, body, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, body, refers_to in zip(*(values(c, 200) for c in b.columns), strict=True):
                 parts.append(squeeze.compress(record(page_id, url, body, refers_to)))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
