@@ -7,7 +7,9 @@ emitted. Windows still open at a partition's end are then merged over ever wider
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -18,39 +20,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, values, written
 
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 100_000
+#: Words in each of the two generations that a task remembers.
+REMEMBERED = 150_000
 #: Partitions (then groups of them) whose leftovers meet in a merging task.
 FAN_IN = 32
 
 
-class WordIds:
-    """Token ids of texts, by way of their words.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids one after another.
+
+class WordIds(dict):
+    """Token ids of lower-case words as little-endian 32-bit numbers.
+
+    The tokenizer lowers case, drops white space, and joins neither words nor a word with the comma or full stop after
+    it, so a text's ids are those of such pieces one after another. Pieces of Latin letters go straight to its BPE
+    model, all others through the whole tokenizer. A third of a corpus's distinct words occur once, so words are
+    remembered in two generations: those met again stay, the others go when the younger one is full.
     """
 
+    LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    LETTERS = byte_letters()
+    PROBE = "stra\u00dfe, \u00e9t\u00e9. thereinafter"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, texts: list[bytes | None], end_id: int) -> list[np.ndarray]:
-        """Ids of each text, with ``end_id`` after them."""
-        known, words = self.known, [(t or b"").split() for t in texts]
-        if new := list({w for ws in words for w in ws if w not in known}):
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({w for ws in words for w in ws})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + end, "<u4") for ws in words]
+        self.old: dict[bytes, bytes] = {}
+        self.direct = True
+        whole = array("I", self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids).tobytes()
+        if b"".join(map(self.__getitem__, self.PROBE.encode().split())) != whole:  # a tokenizer of another make
+            self.direct = False
+            self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        self[word] = ids = self.made(word) if ids is None else ids
+        return ids
+
+    def made(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.direct and text[-1:] in (",", ".") and self.LATIN.fullmatch(text, 0, len(text) - 1):
+            return self[word[:-1]] + self[word[-1:]]
+        if self.direct and self.LATIN.fullmatch(text):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.LETTERS))]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of(self, text: bytes | None, end: bytes) -> np.ndarray:
+        """A text's ids, with ``end`` after them."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        # A special token's string has to keep its case to stay what it is.
+        words = (text if b"<|" in text else text.lower()).split() if text else []
+        return np.frombuffer(b"".join(map(self.__getitem__, words)) + end, "<u4")
 
 
 class Open:
@@ -90,7 +120,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, o
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, window long, offset long, open boolean"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, windows, part = WordIds(tokenizer), Open(length, open_windows), TaskContext.get().partitionId()
+        known, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        windows, part = Open(length, open_windows), TaskContext.get().partitionId()
         waiting: dict[int, list[tuple]] = {}
         out: list[tuple] = []
         full = -1  # whole windows count down
@@ -102,15 +133,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, o
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(ids), 500):
-                for doc_id, tokens in zip(ids[at : at + 500], ids_of(texts.slice(at, 500).to_pylist(), end_id), strict=True):
-                    for start in range(0, len(tokens), length):
-                        piece = tokens[start : start + length]
-                        if len(piece) == length:
-                            window, offset, full = full, 0, full - 1
-                        else:
-                            window, offset = windows.put(len(piece))
-                        out.append((doc_id, start, len(piece), zlib.crc32(piece), len(tokens), part, window, offset, False))
+            for doc_id, text in zip(ids, values(texts), strict=True):
+                tokens = known.of(text, end)
+                for start in range(0, len(tokens), length):
+                    piece = tokens[start : start + length]
+                    if len(piece) == length:
+                        window, offset, full = full, 0, full - 1
+                    else:
+                        window, offset = windows.put(len(piece))
+                    out.append((doc_id, start, len(piece), zlib.crc32(piece), len(tokens), part, window, offset, False))
             # A window that has gone holds its final pieces; those still open wait for the end.
             still = windows.left()
             rows = [*out, *(r for rs in waiting.values() for r in rs)]
@@ -123,7 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, o
                     out.append(r)
             if out:
                 yield flush()
-        ids_of = None
+        known.clear()
+        known.old = {}
         release()
         out.extend((*r[:-1], True) for rs in waiting.values() for r in rs)
         if out:

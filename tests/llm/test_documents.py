@@ -209,10 +209,12 @@ def test_packing(docs):
 def test_word_ids_are_the_texts_ids():
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rng = np.random.default_rng(5)
-    alphabet = list("abcdeXYZ'st 01.,!-#\t\n\x0b\x0c\r<|>éÜßñ漢字́ ") + ["<|endoftext|>", "  ", "'re"]
+    alphabet = list("abcdeXYZ'st 01.,!-#\t\n\x0b\x0c\r<|>éÜßñ漢字́ ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "  ", "'re", "ªµÉ", "İ", "Ꙗ", "１"]
     texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(400)]
     whole = Tokenizer.from_file(tokenizer)
-    got = packing.WordIds(tokenizer)([t.encode() for t in texts], 2)
+    known = packing.WordIds(tokenizer)
+    assert known.direct
+    got = [known.of(t.encode(), np.array([2], "<u4").tobytes()) for t in texts]
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
