@@ -45,6 +45,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(pages: DataFrame, n: int, each: int | None = None) -> list[str]:
+    """The html of ``n`` pages at most, first by a hash of id and URL, and of each the first ``each`` characters.
+
+    The pages are chosen by their hashes alone, so only the chosen ones' html leaves its partition.
+    """
+    rows = pages.select(F.xxhash64("page_id", "url").alias("h"), "page_id", "html")
+    chosen = F.broadcast(rows.select("h").orderBy("h").limit(n).distinct())
+    html = F.col("html") if each is None else F.substring("html", 1, each)
+    return [r["html"] for r in rows.join(chosen, "h", "left_semi").select("h", "page_id", html.alias("html")).orderBy("h", "page_id").limit(n).collect()]
+
+
 def values(column: pa.Array, step: int = 1000) -> Iterator:
     """The values of an Arrow column as Python objects, so many at a time."""
     for at in range(0, len(column), step):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import few, values
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]|=(?!\s*["']))*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -168,8 +168,7 @@ def main_text(html: str | None, weights: Weights) -> str:
 
 def fit(pages: DataFrame, sample: int = 300) -> Weights:
     """Weights from ``sample`` pages at most, the first by a hash of id and URL, of those with an article or main element."""
-    rows = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("page_id", "url").alias("h"), "page_id", "html")
-    return Weights.fit([r["html"] for r in rows.orderBy("h", "page_id").limit(sample).collect()])
+    return Weights.fit(few(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")), sample))
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

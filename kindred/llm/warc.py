@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values, written
+from .common import few, values, written
 
 #: The skippable frame that holds a dictionary, by the WARC-Zstandard convention.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -138,8 +138,7 @@ def frames(content: bytes) -> Iterator[bytes]:
 
 def train(pages: DataFrame, sample: int = 256, size: int = 64 << 10, each: int = 32 << 10) -> bytes:
     """A dictionary from the start of ``sample`` pages, first by hash; empty if there is too little to learn from."""
-    rows = pages.where("length(html) > 0").select(F.xxhash64("page_id", "url").alias("h"), "page_id", F.substring("html", 1, each).alias("html"))
-    texts = [r["html"].encode("utf-8", "replace") for r in rows.orderBy("h", "page_id").limit(sample).collect()]
+    texts = [t.encode("utf-8", "replace") for t in few(pages.where("length(html) > 0"), sample, each)]
     if len(texts) < 16 or sum(map(len, texts)) < 4 * size:
         return b""
     try:
