@@ -146,11 +146,11 @@ class LabelModel:
         """Expectation-maximisation, begun from "good unless a rule objects".
 
         Beforehand a rule is taken to object to one good text in a hundred and to a quarter of the bad ones; that
-        weighs as much as ``belief`` of all texts, and keeps the two labels from changing places.
+        weighs as much as ``belief`` of all texts (20 at least), and keeps the two labels from changing places.
         """
         before = np.empty((2, patterns.shape[1], 3))
-        before[0], before[1] = (0.25, 0.15, 0.60), (0.01, 0.19, 0.80)
-        weight = max(10.0, belief * counts.sum())
+        before[0], before[1] = (0.25, 0.10, 0.65), (0.01, 0.24, 0.75)
+        weight = max(20.0, belief * counts.sum())
         good = np.where((patterns < 0).any(1), 0.1, 0.95)
         model = cls(0.9, before)
         seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)  # pattern, rule, vote
