@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 9
+SHINGLE, SIMILARITY = 5, 0.8
+#: Of simulated windows of 15 to 60 words with a similarity of 0.8 or more, 99.6 % and more lie within this radius.
+RADIUS = 11
 #: Anchors are broadcast up to so many rows (about 40 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 
