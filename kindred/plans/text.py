@@ -167,3 +167,33 @@ def keyed_af(spark, sf_dir):
 def vcf_dosage(spark, sf_dir):
     rows = spark.createDataFrame([("0/0",), ("0|1",), ("1/1:9",), ("./.",), ("0/2",), ("1",), ("0/0/1",)], "gt string")
     return rows.select("gt", G.vcf_dosage(F.col("gt")).alias("dosage"))
+
+
+@query(
+    "g18_summary",
+    f"""WITH g AS ({genotypes_sql()}) SELECT COUNT(*) AS rows, COUNT(DISTINCT rsid) AS variants, COUNT(DISTINCT rsid) AS rsids, COUNT(*) FILTER (gt='--') AS no_calls, CAST(0 AS BIGINT) AS by_locus FROM g""",
+)
+def summary(spark, sf_dir):
+    return text.summary(genotypes(spark, sf_dir).withColumn("variant_id", F.col("rsid")))
+
+
+@query(
+    "g18_comparison",
+    f"""WITH g AS ({genotypes_sql()}), a AS (SELECT rsid FROM g WHERE sample_id=1), b AS (SELECT rsid FROM g WHERE sample_id=2 AND pos%2000=0)
+    SELECT (SELECT COUNT(*) FROM a) AS left_rows, (SELECT COUNT(*) FROM b) AS right_rows, (SELECT COUNT(*) FROM (SELECT rsid FROM a INTERSECT SELECT rsid FROM b)) AS shared,
+    (SELECT COUNT(*) FROM (SELECT rsid FROM a EXCEPT SELECT rsid FROM b)) AS left_only, (SELECT COUNT(*) FROM (SELECT rsid FROM b EXCEPT SELECT rsid FROM a)) AS right_only""",
+)
+def comparison(spark, sf_dir):
+    g = genotypes(spark, sf_dir).withColumn("variant_id", F.col("rsid"))
+    return text.comparison(g.where("sample_id = 1"), g.where("sample_id = 2 and pos % 2000 = 0"))
+
+
+@query(
+    "x33_probes",
+    """SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey%3<>0 AS has_rsid, p_partkey%3=1 AS plain_rsid, p_partkey%3=2 AS prefixed_or_suffixed, p_partkey%3=0 AS non_rsid, p_partkey%3=2 AND p_partkey%2=0 AS duplicate_probe, p_partkey%3=0 AS cnv_probe, p_partkey%5=0 AS unmapped FROM part""",
+)
+def probes(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.concat(F.lit("rs"), F.col("p_partkey").cast("string"))
+    probe = F.when(k % 3 == 1, name).when(k % 3 == 0, "CNV_x").otherwise(F.concat(F.lit("GSA-"), name, F.when(k % 2 == 0, "_ilmndup1").otherwise("_b")))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("long").alias("id"), probe.alias("probe_id"), F.when(k % 5 == 0, "0").otherwise("7").alias("chrom"), F.lit(4).alias("pos"))
+    return text.probes(p).drop("probe_id", "chrom", "pos", "rsid")

@@ -155,3 +155,62 @@ def locus_map(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
     rows = named(spark.read.csv(path, sep=sep, header=True, inferSchema=False), {k: ALIASES[k] for k in ("rsid", "chrom", "pos")}, ["rsid", "chrom", "pos"])
     return unambiguous_map(rows.withColumn("pos", F.when(F.trim("pos").rlike(INTEGER), F.trim("pos").try_cast("bigint"))))
+
+
+def probes(rows: DataFrame) -> DataFrame:
+    """Flags of array probes ``(probe_id, design, chrom, pos)``: what their names say, and whether they have a place."""
+    rsid = G.extract_rsid(F.col("probe_id"))
+    return rows.withColumn("rsid", rsid).withColumns({
+        "has_rsid": rsid != "",
+        "plain_rsid": F.col("probe_id") == rsid,
+        "prefixed_or_suffixed": (rsid != "") & (F.col("probe_id") != rsid),
+        "non_rsid": rsid == "",
+        "duplicate_probe": F.col("probe_id").contains("_ilmndup"),
+        "cnv_probe": F.col("probe_id").contains("CNV"),
+        "unmapped": F.col("chrom").isin("", "0") | (F.col("pos") == 0),
+    })
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row on canonical rows: how many, distinct variants and rsids, no-calls, and rows named by their locus."""
+    return rows.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("variant_id").alias("variants"),
+        F.count_distinct(F.nullif(F.col("rsid"), F.lit(""))).alias("rsids"),
+        F.count_if(F.col("gt") == G.NO_CALL).alias("no_calls"),
+        F.count_if(F.col("variant_id").contains(":")).alias("by_locus"),
+    )
+
+
+def comparison(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row on two files: variants shared, and in one only. Each side is grouped once, on one key."""
+    sides = a.select("variant_id", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("variant_id", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    each = sides.groupBy("variant_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return each.agg(total("x").alias("left_rows"), total("y").alias("right_rows"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("shared"), F.count_if(F.col("y") == 0).alias("left_only"), F.count_if(F.col("x") == 0).alias("right_only"))
+
+
+def snp_positions(lines: DataFrame) -> DataFrame:
+    """``(name, chrom, pos)`` of a final report's probes, the first row of each name."""
+    rows = illumina_fields(lines, {"name": ["Name", "SNP Name"], "chrom": ["Chr", "Chromosome"], "pos": ["Position", "MapInfo"]})
+    rows = rows.where("name <> ''")
+    best = rows.groupBy("name").agg(F.min_by(F.struct("chrom", "pos"), F.struct("file", "line_number")).alias("x"))
+    return best.select("name", "x.chrom", F.when(F.col("x.pos").rlike(INTEGER), F.col("x.pos").try_cast("bigint")).alias("pos"))
+
+
+def illumina_fields(lines: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """``(participant_id, file, line_number, ...)`` of a report's data lines: columns by the first header name that is there.
+
+    Data begin after a [Data] line, or with the first line of a file without one.
+    """
+    rows = lines.withColumn("text", F.trim(F.regexp_replace("line", r"[\r\n]+$", ""))).where("text <> ''")
+    start = rows.groupBy("file").agg(F.coalesce(F.min(F.when(F.col("text") == "[Data]", F.col("line_number"))), F.lit(0)).alias("start"))
+    body = rows.join(start, "file").where("line_number > start").withColumn("fields", fields_of())
+    head = body.groupBy("file").agg(F.min_by(F.struct("line_number", "fields"), "line_number").alias("head"))
+    body = body.join(head, "file").where(F.col("line_number") > F.col("head.line_number"))
+
+    def value(aliases: list[str]) -> Column:
+        at = F.coalesce(*(F.nullif(F.array_position("head.fields", a), F.lit(0)) for a in aliases)).cast("int")
+        return F.trim(F.coalesce(F.get("fields", at - 1), F.lit("")))
+
+    return body.select("participant_id", "file", "line_number", *(value(a).alias(k) for k, a in names.items()))

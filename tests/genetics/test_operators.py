@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import sqlite3
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from kindred.functions import genotype as G
 from kindred.functions import labels as L
 from kindred.operators import ancestry, counts, filters, ld, linalg, popgen, qc, sexbias, synth
-from kindred.sources import plink, sinks, tables, text, vcf
+from kindred.sources import binary, plink, sinks, tables, text, vcf
 
 
 def long_dosages(spark, matrix, chroms=None):
@@ -240,3 +242,28 @@ def test_gates_and_unions(spark):
     used, dropped = sinks.variant_audit(filters.joint_variants(spark.createDataFrame([(0.3, 0.0), (0.001, 0.5)], "allele_freq double, missing_rate double")))
     assert used.count() == 1 and dropped.first().reason == "allele_freq;missing_rate"
     assert counts.class_counts(spark.createDataFrame([(1, None)], "rsid long, dosage int"), "rsid").first()[1:] == (0, 0, 0, 1)
+
+
+def test_archives(spark, matrix, tmp_path):
+    d = long_dosages(spark, matrix).withColumn("sample_id", F.format_string("S%02d", "sample_id"))
+    binary.write_npz(d, str(tmp_path / "a.npz"))
+    want = {(r.sample_id, r.rsid, r.pos, r.dosage) for r in d.collect()}
+    assert {(r.sample_id, r.rsid, r.pos, r.dosage) for r in binary.read_npz(spark, str(tmp_path / "a.npz")).collect()} == want
+    np.save(tmp_path / "b.npy", np.array([[0, 255], [2, 1]], np.uint8))
+    got = {tuple(r) for r in binary.read_npy(spark, str(tmp_path / "b.npy"), ["x", "y"], ["rs1", "rs2"]).collect()}
+    assert got == {("x", "rs1", 0), ("x", "rs2", None), ("y", "rs1", 2), ("y", "rs2", 1)}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("deep/data.tsv", "a\tb\n1\t2\n")
+    assert [r.line for r in binary.zip_lines(spark, str(tmp_path / "z.zip"), "data.tsv").orderBy("line_number").collect()] == ["a\tb", "1\t2"]
+    assert binary.zip_lines(spark, str(tmp_path / "z.zip"), "other").count() == 0
+    con = sqlite3.connect(tmp_path / "m.sqlite")
+    con.execute("CREATE TABLE rsid_reference (chrom TEXT, pos INTEGER, rsid TEXT)")
+    con.executemany("INSERT INTO rsid_reference VALUES (?, ?, ?)", [("1", 5, "7"), ("1", 6, "rs1"), ("1", 6, "rs2")])
+    con.commit()
+    assert [tuple(r) for r in binary.sqlite_locus_map(spark, str(tmp_path / "m.sqlite")).collect()] == [("1", 5, "rs7")]
+
+
+def test_snp_positions(spark):
+    rows = [("p", "f", k, x) for k, x in enumerate(["Name\tChr\tPosition", "a\t1\t5", "a\t1\t6", "b\tX\tz"], 1)]
+    got = text.snp_positions(spark.createDataFrame(rows, "participant_id string, file string, line_number int, line string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "1", 5), ("b", "X", None)}
