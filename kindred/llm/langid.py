@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern also finds number signs such as a half, which are none."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 #: Bytes as classes: a-z and A-Z alike, bytes above 127 kept apart in 7 bits with the letters, all else one class.
 CLASSES = 128
 
@@ -41,7 +46,7 @@ def grams(text: bytes) -> np.ndarray:
     """Codes of the n-grams of 1 to 3 classes in a whole text, with repeats."""
     c = np.frombuffer(b"\0" + text.translate(TABLE) + b"\0", np.uint8).astype(np.int32)
     c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # a run of other characters is one
-    one, two = c + CLASSES**2 * 0, c[:-1] * CLASSES + c[1:]
+    one, two = c, c[:-1] * CLASSES + c[1:]
     three = two[:-1] * CLASSES + c[2:]
     return np.concatenate([one, two + CLASSES, three + CLASSES + CLASSES**2])
 
@@ -126,7 +131,7 @@ def predict(docs: DataFrame, model: KernelRidge, batch: int = 64) -> DataFrame:
                 b = whole.slice(start, 1000)
                 texts = b.column(2).to_pylist()
                 names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                some = [i for i, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
+                some = [i for i, t in enumerate(texts) if t and m.languages and has_letter(t)]
                 for at in range(0, len(some), batch):
                     part = some[at : at + batch]
                     found = m.decide([texts[i].encode("utf-8", "surrogatepass") for i in part])
