@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
@@ -32,12 +32,12 @@ def allele_counts(g: DataFrame, *by: str) -> DataFrame:
     return g.groupBy(*by).agg(*map(n, BASES))
 
 
-def biallelic(counts: DataFrame) -> DataFrame:
+def biallelic(counts: DataFrame, prefix: str = "n") -> DataFrame:
     """Variants with one or two alleles: ``major`` and ``minor`` by count, ties in the order A, C, G, T.
 
-    A variant of one allele has it as both.
+    A variant of one allele has it as both. Counts are in ``<prefix>_A`` and so on.
     """
-    ranked = F.array_sort(F.filter(F.array(*(F.struct((-F.col(f"n_{b}")).alias("less"), F.lit(b).alias("base")) for b in BASES)), lambda s: s["less"] < 0))
+    ranked = F.array_sort(F.filter(F.array(*(F.struct((-F.col(f"{prefix}_{b}")).alias("less"), F.lit(b).alias("base")) for b in BASES)), lambda s: s["less"] < 0))
     found = counts.withColumn("ranked", ranked).where(F.size("ranked").between(1, 2))
     return found.select("*", F.get("ranked", F.lit(0))["base"].alias("major"), F.element_at("ranked", -1)["base"].alias("minor")).drop("ranked")
 
@@ -79,14 +79,14 @@ def population_af(g: DataFrame, min_gs: float = DEFAULT.min_gs) -> DataFrame:
     """``(pop, locus_key, rsid, allele_freq, allele_number)`` on loci that are biallelic in the whole cohort.
 
     Reference and alternate are the two alleles in the order of the alphabet, so all populations agree; loci without a
-    call in a population have no row there. The universe of loci is every sample's. Two aggregations on one key and a
-    join of variants, whose side Spark broadcasts if it is small.
+    call in a population have no row there. The universe of loci is every sample's. Calls are scanned and aggregated
+    once; the cohort's totals are a window over the few rows of each variant.
     """
     calls = usable(g, min_gs)
     by = ["rsid", "chrom", "pos"]
-    cohort = biallelic(allele_counts(calls, *by)).where("major <> minor")
-    cohort = cohort.select(*by, F.least("major", "minor").alias("r"), F.greatest("major", "minor").alias("a"))
-    own = allele_counts(calls, "pop", *by).join(cohort, by)
+    totals = {f"all_{b}": F.sum(f"n_{b}").over(Window.partitionBy(*by)) for b in BASES}
+    own = biallelic(allele_counts(calls, "pop", *by).withColumns(totals), "all").where("major <> minor")
+    own = own.withColumns({"r": F.least("major", "minor"), "a": F.greatest("major", "minor")})
     ac = F.coalesce(*(F.when(F.col("a") == b, F.col(f"n_{b}")) for b in BASES))
     an = sum(F.col(f"n_{b}") for b in BASES)
     return own.where(an > 0).select("pop", G.locus_key(F.col("chrom"), F.col("pos"), F.col("r"), F.col("a")).alias("locus_key"), "rsid", (ac / an).alias("allele_freq"), an.alias("allele_number"))
