@@ -82,9 +82,10 @@ class KernelRidge:
         model = cls(names, index, np.zeros((len(codes), len(names)), np.float32))
         if not names:
             return model
-        rows = model.presence(texts).astype(np.float64)
-        marks = rows[chosen]
-        kernel, among = rows @ marks.T, marks @ marks.T
+        marks = model.presence([texts[i] for i in chosen]).astype(np.float64)
+        # Rows over all n-grams are wide, so only so many are made at a time.
+        kernel = np.concatenate([model.presence(texts[at : at + 128]) @ marks.T for at in range(0, len(texts), 128)])
+        among = marks @ marks.T
         values, vectors = np.linalg.eigh(among)  # the Nystroem map: kernel @ among ** -1/2
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
         mapped = kernel @ root
