@@ -140,30 +140,67 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_in_shingle: int = 3)
 # ---- Groups of similar documents, for the corpus pipeline: wider fingerprints, compared by the same tiles.
 
 WIDE_BITS = 256
-#: Bits that differ between two texts of similarity 0.8: the angle's share is acos(2 * 0.8 / 1.8) / pi = 0.15, so 39 of
-#: 256 are expected, give or take 6; texts that have nothing in common differ in 128, give or take 8.
+#: Bits for groups of fingerprints alone.
 WIDE_RADIUS = 48
+#: Texts of this similarity or more, by their five-word shingles with repeats, are near-duplicates.
+SIMILARITY = 0.8
+#: Bits within which fingerprints are candidates for it. At similarity 0.8 the angle's share is acos(2 * 0.8 / 1.8) / pi =
+#: 0.15, so 39 of 256 bits are expected to differ, give or take 6; of four shingles against five it is 48, give or take 6,
+#: hence more for texts of few. Texts that have nothing in common differ in 128, give or take 8.
+CANDIDATE_RADIUS, SHORT, SHORT_RADIUS = 64, 8, 84
 #: Texts of similarity 0.8 have shingle counts within this ratio.
 LENGTH_RATIO = 1.25
+#: What one task of the exact comparison holds of a side, in texts and in bytes of their shingles' hashes.
+TEXTS_A_BLOCK, BYTES_A_BLOCK = 4096, 16 << 20
+#: One seed for each 64 bits of a wide fingerprint, and what decides a bit that is set in half of the shingles.
+SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
+TIES = np.unpackbits(SEEDS.view(np.uint8)).astype(np.int64)
 
 
-def wide_fingerprint(text: bytes | None, words_in_shingle: int = 5) -> tuple[bytes, int]:
-    """A SimHash of ``WIDE_BITS`` bits, and how many shingles it is made of; zeros and 0 if the text has no word."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser of each value."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: bytes | None, words_in_shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order, the second occurrence of a shingle being another element than the first.
+
+    So the similarity of two such sets is that of the shingles with repeats.
+    """
     words = (text or b"").lower().split()
-    if not words:
-        return bytes(WIDE_BITS // 8), 0
-    n = max(1, len(words) - words_in_shingle + 1)
+    n = max(1, len(words) - words_in_shingle + 1) if words else 0
     shingles = iter([words]) if n == 1 else zip(*(words[k:] for k in range(words_in_shingle)), strict=False)
-    bits, digest = np.zeros(WIDE_BITS, np.int64), xxhash.xxh3_128_digest
-    while part := [b" ".join(s) for s in itertools.islice(shingles, 16384)]:
-        both = b"".join([digest(s, 1) + digest(s, 2) for s in part])
-        bits += np.unpackbits(np.frombuffer(both, np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * bits > n).tobytes(), n
+    digest = xxhash.xxh3_64_intdigest
+    out = np.sort(np.fromiter((digest(b" ".join(s)) for s in shingles), np.uint64, n)) if n else np.zeros(0, np.uint64)
+    again = np.append(False, out[1:] == out[:-1]) if n else np.zeros(0, bool)
+    if again.any():
+        places = np.arange(n)
+        nth = places - np.maximum.accumulate(np.where(again, 0, places))
+        out[again] ^= mixed(nth[again].astype(np.uint64))
+        out.sort()
+    return out
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """A SimHash of ``WIDE_BITS`` bits over hashes; zeros if there are none."""
+    bits = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 16384):
+        made = mixed(hashes[at : at + 16384, None] + SEEDS)
+        bits += np.unpackbits(made.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * bits + TIES > len(hashes)).tobytes() if len(hashes) else bytes(WIDE_BITS // 8)
+
+
+def wide_fingerprint(text: bytes | None, words_in_shingle: int = 5) -> tuple[bytes, int]:
+    """A SimHash of ``WIDE_BITS`` bits, and how many shingles it is made of; zeros and 0 if the text has no word."""
+    hashes = shingle_set(text, words_in_shingle)
+    return wide_bits(hashes), len(hashes)
 
 
-def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 16384) -> DataFrame:
-    """``(src, dst)`` over distinct fingerprints ``wide (node, fp, size)``: forests that join what is within ``radius``
-    bits and of like length.
+def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 16384, short_radius: int | None = None) -> DataFrame:
+    """``(src, dst)`` over fingerprints ``wide (node, fp, size)``: forests that join what is within ``radius`` bits, or
+    ``short_radius`` where one has ``SHORT`` shingles or fewer, and of like length.
 
     Lengths are cut into bands of ``LENGTH_RATIO``; a band is compared with itself and with the next, block by block, and
     a pair of blocks is a task. In a task rows are in order of population count, and tiles whose counts differ by more
@@ -185,13 +222,17 @@ def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 16384
     high = rows.join(across, "band").select("node", "fp", (F.col("band") - 1).alias("band"), F.col("block").alias("high"), F.explode(F.expr("sequence(0, before_blocks - 1)")).alias("low"))
     high = high.select(F.struct("band", F.lit(1).alias("step"), "low", "high").alias("cell"), "node", "fp", F.lit(False).alias("home"))
 
+    short_band = int(np.log(SHORT) / np.log(LENGTH_RATIO))
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         at_home = pdf["home"].to_numpy(bool)
-        same = pdf["cell"].iloc[0]["step"] == 0 and at_home.all()  # a block with itself
+        cell = pdf["cell"].iloc[0]
+        same = cell["step"] == 0 and at_home.all()  # a block with itself
+        near = short_radius if short_radius is not None and cell["band"] <= short_band else radius
         fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
         a, b = np.flatnonzero(at_home), np.flatnonzero(at_home if same else ~at_home)
         nodes = pdf["node"].to_numpy(np.int64)
-        return pd.DataFrame(tile_links(fps, a, b, nodes, radius), columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame(tile_links(fps, a, b, nodes, near), columns=["src", "dst"], dtype="int64")
 
     return own.unionByName(low).unionByName(high).groupBy("cell").applyInPandas(compare, "src long, dst long")
 
@@ -219,24 +260,104 @@ def tile_links(fps: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray,
     return list(zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True))
 
 
-def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle: int = 5) -> DataFrame:
+def exact_links(docs: DataFrame, wide: DataFrame, roots: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
+    """``(src, dst)``: forests of the links of similarity ``least`` or more within the groups ``roots (node, root)``.
+
+    ``docs (id, mark, text)`` holds the texts and ``wide (node, fp, size, first)`` says whose text a node stands for. Small
+    groups share tasks; a large one is cut into blocks, and a pair of blocks is a task. Each pair of texts that are
+    candidates is compared unless links found in the task join the two already, so a group of n copies costs about n.
+    """
+    members = written(wide.join(roots, "node").select("node", "root", "fp", "size", "first.id", "first.mark"))
+    sums = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXTS_A_BLOCK), F.ceil(F.sum(8 * F.col("size")) / BYTES_A_BLOCK)).cast("int").alias("blocks"))
+    bins = max(1, -(-(members.agg(F.sum(8 * F.col("size") + 64)).first()[0] or 0) // BYTES_A_BLOCK))
+    members = members.drop("size").join(sums, "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(t, words_in_shingle).tobytes() for t in values(b.column(4))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], ["node", "root", "blocks", "fp", "set"])
+
+    texts = docs.join(members, ["id", "mark"]).select("node", "root", "blocks", "fp", "text")
+    sets = texts.mapInArrow(run, "node long, root long, blocks int, fp binary, set binary").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    alone = F.col("blocks") == 1
+    cell = F.struct(
+        F.when(alone, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("of"),
+        F.when(alone, -1).otherwise(F.least("block", "other")).alias("low"),
+        F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("high"),
+    )
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        across = pdf["block"].nunique() > 1
+        out: list[tuple[int, int]] = []
+        for _, part in pdf.groupby("root", sort=False):
+            fps = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(len(part), -1)
+            found = [np.frombuffer(x, np.uint64) for x in part["set"]]
+            out += verified_links(fps, found, part["node"].to_numpy(np.int64), part["block"].to_numpy() if across else None, least)
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return rows.select(cell.alias("cell"), "node", "root", "fp", "set", "block").groupBy("cell").applyInPandas(compare, "src long, dst long")
+
+
+def verified_links(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, block: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links that join the texts as all pairs of similarity ``least`` or more do; between blocks only, where given."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    near = np.zeros((n, n), bool)
+    for at in range(0, n, 256):
+        rows = slice(at, at + 256)
+        apart = np.zeros((len(fps[rows]), n), np.uint16)
+        for k in range(fps.shape[1]):
+            apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[:, k][None, :])
+        low, high = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
+        near[rows] = (apart <= np.where(low <= SHORT, SHORT_RADIUS, CANDIDATE_RADIUS)) & (low >= least * high - 1e-9)
+        if block is not None:
+            near[rows] &= block[rows, None] != block[None, :]
+    np.fill_diagonal(near, False)
+    label, out = np.arange(n), []
+    done = np.zeros(n, bool)
+    # Those with the most candidates come first: once they join a group, its other pairs need no comparison.
+    for i in np.argsort(-near.sum(1), kind="stable"):
+        for j in np.flatnonzero(near[i] & ~done & (label != label[i])):
+            if label[i] != label[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= least * (size[i] + size[j] - shared) - 1e-9:
+                    label[label == label[j]] = label[i]
+                    out.append((int(nodes[i]), int(nodes[j])))
+        done[i] = True
+    return out
+
+
+def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle: int = 5, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of similar texts does: that of the smallest doc_id.
 
-    Groups are what links of ``radius`` or fewer differing bits join, between texts of like length. Of rows equal in
-    doc_id and text one stays. Null and blank texts are a group; a null doc_id gives way to any other.
+    Groups are what links join: with ``least``, those of two texts whose shingles, with repeats, are that similar, found
+    among candidates by fingerprint and compared exactly (by hashes of 64 bits); without, those of ``radius`` or fewer
+    differing bits between texts of like length. Of rows equal in doc_id and text one stays. Null and blank texts are a
+    group; a null doc_id gives way to any other.
     """
     none = -(1 << 63)  # stands for a null id
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.xxhash64("text").alias("mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t, words_in_shingle) for t in values(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], ["id", "mark", "fp", "size"])
-
-    marked = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, mark long, fp binary, size long")
+            made = []
+            for t in values(b.column(2)):
+                hashes = shingle_set(t, words_in_shingle)
+                made.append((wide_bits(hashes), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if least is not None else None))
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "fp", "size", "same"])
+
+    texts = docs.select(*key, F.col("text").cast("binary").alias("text"))
+    marked = texts.mapInArrow(run, "id long, mark long, fp binary, size long, same binary")
     order = F.struct((F.col("id") == none).alias("no_id"), "id", "mark")
-    wide = written(marked.groupBy("fp").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(similar_links(wide, radius))
+    # Texts with the same shingles are one node.
+    wide = written(marked.groupBy("fp", "same").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    if least is None:
+        roots = connected_components(similar_links(wide, radius))
+    else:
+        roots = connected_components(similar_links(wide, CANDIDATE_RADIUS, short_radius=SHORT_RADIUS))
+        roots = connected_components(exact_links(texts, wide, roots, words_in_shingle, least))
     stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = written(stay.select("first.id", "first.mark"))
     rows = docs.select(F.struct("*").alias("row"), *key)
