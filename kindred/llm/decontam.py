@@ -1,11 +1,9 @@
 """Passages of a benchmark in documents, in DataFrame functions alone.
 
-Windows of an item's size are fingerprinted by SimHash. Cutting a fingerprint into one block more than the radius
-guarantees that two within the radius agree in a block, so a join on blocks finds every pair of them; their exact
-weighted-shingle similarity then decides.
-
-Only windows that can reach the similarity are fingerprinted: one of similarity t shares at least t of an item's n
-shingles, so it holds one of any (1 - t) * n + 1 of them; each item's rarest serve as anchors.
+A window of an item's size and similarity t shares at least t of the item's n shingles, so its document holds one of any
+(1 - t) * n + 1 of them; each item's rarest serve as anchors, and a join on them finds every document that can match.
+In such a document the windows that hold enough places with one of the item's shingles, wherever in the item these
+stand, are compared with it by exact weighted-shingle similarity. SimHash gives the distance that is reported.
 """
 
 from __future__ import annotations
@@ -16,8 +14,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Of simulated windows of 15 to 60 words with a similarity of 0.8 or more, 99.6 % and more lie within this radius.
-RADIUS = 11
 #: Anchors are broadcast up to so many rows (about 40 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,12 +44,6 @@ def simhash(array: str) -> Column:
     )
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """``(block, bits)`` for each of ``radius + 1`` blocks of a fingerprint."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
-
-
 def similarity(a: str, b: str) -> Column:
     """Weighted Jaccard similarity of two arrays, an element's weight being how often it occurs."""
 
@@ -67,24 +57,38 @@ def similarity(a: str, b: str) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, item_words, item_fp)`` of the items with at least ``SHINGLE`` words; shorter ones are no evidence."""
+    """``(item_id, form, item_words, item_fp, ours)`` of the items with at least ``SHINGLE`` words; shorter ones are no evidence."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= SHINGLE).distinct()
-    return written(rows.withColumn("item_fp", simhash("item_words")))
+    # The shingles' hashes, like all that lambdas below look up, are a written column, lest they be made again for each element.
+    ours = F.slice(shingle_hashes("item_words"), F.lit(1), F.size("item_words") - (SHINGLE - 1))
+    return written(rows.select("item_id", F.xxhash64("item_words").alias("form"), "item_words", simhash("item_words").alias("item_fp"), ours.alias("ours")))
 
 
 def anchors(known: DataFrame, least: float) -> DataFrame:
-    """``(hash, offset, length)``: enough of each item's rarest shingles that a window of similarity ``least`` holds one."""
-    rows = known.select("item_id", F.size("item_words").alias("length"), F.hash("item_words").alias("form"), F.posexplode(shingle_hashes("item_words")).alias("offset", "hash"))
+    """``(hash, item_id, form)``: enough of each item's rarest shingles that a window of similarity ``least`` holds one."""
+    rows = known.select("item_id", F.size("item_words").alias("length"), "form", F.posexplode(shingle_hashes("item_words")).alias("offset", "hash"))
     rows = rows.where(F.col("offset") <= F.col("length") - SHINGLE)
-    common = rows.select("item_id", "hash").distinct().groupBy("hash").agg(F.count("*").alias("items"))
-    own = rows.groupBy("item_id", "form", "length", "hash").agg(F.collect_list("offset").alias("offsets")).join(common, "hash")
+    own = rows.select("item_id", "form", "length", "hash").distinct()
+    common = own.select("item_id", "hash").distinct().groupBy("hash").agg(F.count("*").alias("items"))
     rank = F.row_number().over(Window.partitionBy("item_id", "form").orderBy("items", "hash"))
     enough = F.floor((1 - least) * (F.col("length") - SHINGLE + 1) + 1e-9) + 1
-    kept = own.withColumn("rank", rank).where(F.col("rank") <= enough)
-    return written(kept.select("hash", "length", F.explode("offsets").alias("offset")).distinct())
+    kept = own.join(common, "hash").withColumn("rank", rank).where(F.col("rank") <= enough)
+    return written(kept.select("hash", "item_id", "form"))
+
+
+def starts(places: str, length: Column, least: float) -> Column:
+    """Where windows of ``length`` words start that hold enough of the sorted ``places`` for similarity ``least``.
+
+    A window that starts before the document has a negative start.
+    """
+    room = length - SHINGLE  # from a window's start to its last shingle
+    need = F.greatest(F.ceil(least * (room + 1) - 1e-9), F.lit(1)).cast("int")
+    runs = F.transform(F.slice(places, need, F.size(places)), lambda last, i: F.struct((last - room).alias("a"), F.get(F.col(places), i).alias("b")))
+    runs = F.filter(runs, lambda r: r["a"] <= r["b"])
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"]))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``(doc_id, mark, item_id, start, n_words, distance, similarity)``: the best window for each document and item.
 
     ``start`` and ``n_words`` place the window in the document's words (runs of letters and digits), ``distance`` is in
@@ -97,31 +101,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radi
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), words(F.col("text")).alias("words"))
-    hits = keyed.select("doc_id", "mark", F.posexplode(shingle_hashes("words")).alias("at", "hash")).join(marks, "hash")
-    # Windows at once distinct by place; then only documents with one are read again.
-    place = F.struct(F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), (F.col("length") + F.least(F.col("at") - F.col("offset"), F.lit(0))).alias("length"))
-    places = written(hits.groupBy("doc_id", "mark").agg(F.collect_set(place).alias("places")))
-    found = keyed.withColumnsRenamed({"doc_id": "id", "mark": "own"}).join(places, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
-    windows = found.select("doc_id", "mark", "words", F.explode("places").alias("place"))
-    windows = windows.select("doc_id", "mark", F.col("place.start").alias("start"), F.array_join(F.slice("words", F.col("place.start") + 1, F.col("place.length")), " ").alias("window")).distinct()
-    windows = written(windows)
-    # A passage that many documents hold is one window from here on.
-    different = windows.select("window").distinct().withColumn("window_words", F.split("window", " ")).where(F.size("window_words") >= SHINGLE)
-    different = written(different.withColumn("fp", simhash("window_words")))
-    left = different.select("window", "fp", F.explode(blocks("fp", radius)).alias("key"))
-    right = known.select("item_id", "item_fp", F.xxhash64("item_words").alias("form"), F.explode(blocks("item_fp", radius)).alias("key"))
-    pairs = left.join(right, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = pairs.select("window", "item_id", "form").distinct()
-    pairs = pairs.join(different, "window").join(known.withColumn("form", F.xxhash64("item_words")), ["item_id", "form"])
-    pairs = pairs.withColumn("a", shingles("window_words")).withColumn("b", shingles("item_words"))
-    scored = pairs.select("window", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int").alias("distance"), similarity("a", "b").alias("similarity"))
-    scored = written(scored.where(F.col("similarity") >= least - 1e-9))
-    best = F.max_by(F.struct("start", F.size(F.split("window", " ")).alias("n_words"), "distance", "similarity"), F.struct("similarity", -F.col("start"), -F.col("distance")))
-    return windows.join(scored, "window").groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    hits = keyed.select("doc_id", "mark", F.explode(shingle_hashes("words")).alias("hash")).join(marks, "hash")
+    # Only documents with an anchor are read again.
+    held = written(hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "form")).alias("held")))
+    found = keyed.withColumnsRenamed({"doc_id": "id", "mark": "own"}).join(held, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
+    pairs = found.select("doc_id", "mark", "words", shingle_hashes("words").alias("hashes"), F.explode("held").alias("item")).select("doc_id", "mark", "words", "hashes", "item.*")
+    pairs = pairs.withColumnRenamed("item_id", "item").join(known, F.col("item").eqNullSafe(known.item_id) & (pairs.form == known.form))
+    length = F.size("item_words")
+    places = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("ours", h), i)), lambda i: i.isNotNull())
+    pairs = pairs.select("doc_id", "mark", "words", "item_id", "item_words", "item_fp", places.alias("places"))
+    at = F.explode(starts("places", length, least)).alias("at")
+    windows = pairs.select("doc_id", "mark", "item_id", "item_words", "item_fp", "words", at)
+    start = F.greatest("at", F.lit(0))
+    windows = windows.select("doc_id", "mark", "item_id", "item_words", "item_fp", start.alias("start"), F.slice("words", start + 1, length + F.least("at", F.lit(0))).alias("window"))
+    windows = windows.where(F.size("window") >= SHINGLE).withColumn("a", shingles("window")).withColumn("b", shingles("item_words"))
+    scored = windows.select("doc_id", "mark", "item_id", "start", "window", "item_fp", similarity("a", "b").alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    best = F.max_by(F.struct("start", "window", "item_fp", "similarity"), F.struct("similarity", -F.col("start"), F.size("window")))
+    best = written(scored.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*"))
+    distance = F.bit_count(simhash("window").bitwiseXOR(F.col("item_fp"))).cast("int")
+    return best.select("doc_id", "mark", "item_id", "start", F.size("window").alias("n_words"), distance.alias("distance"), "similarity")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``."""
-    gone = leaks(docs, benchmark, least, radius).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    gone = leaks(docs, benchmark, least).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
     gone = written(gone)
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_mark")), "left_anti")
