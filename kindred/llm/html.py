@@ -2,8 +2,11 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learned from labelled pages:
 how much more often a word in such a container, or such a tag, stands inside the labelled content than outside. One
-linear scan finds the contiguous run of highest score; its blocks, less what its containers mark as no part of an
-article, are the text.
+linear scan finds the contiguous run of highest score, the region; its blocks are the text.
+
+A container inside the region (an advert between two paragraphs) is left out if what labelled pages taught about its
+element, classes, id and role adds up to less than nothing. Before anything is learned a few names have a score, which
+evidence outweighs. A container that encloses the region is never left out, whatever it is called.
 """
 
 from __future__ import annotations
@@ -29,17 +32,32 @@ SPACES = re.compile(r"\s+")
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose names tell where a word stands.
 CONTAINERS = set("html head body div section article main nav header footer aside form ul ol dl table td th figure details dialog menu fieldset address".split())
-#: Elements without readable text, skipped with all they hold.
-RAW = set("script style noscript template textarea title svg math iframe object select option button canvas audio video".split())
-#: Containers that are never part of an article, by element and by a word of their class, id or role.
-OUTSIDE_TAGS = set("nav footer aside form menu dialog head".split())
-OUTSIDE_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising promo promotion promoted sponsor sponsored banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead header footer foot copyright legal comment comments respond reply replies disqus discussion "
-    "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip".split()
-)
-#: Scores before anything is learned, and how many observations they count as.
+#: Elements without readable text, skipped with all they hold; the first lot runs to the page's end if it isn't closed.
+RAW_TO_END = set("script style noscript template textarea title iframe".split())
+RAW = RAW_TO_END | set("svg object select datalist button canvas audio video".split())
+#: Scores of words and tags before anything is learned, and how many observations they count as.
 WORD, TAG, BELIEF = 1.0, -3.0, 8.0
+#: The first score of a tag in an element that holds content by definition.
+TAG_INSIDE = -0.2
+#: Scores of containers before anything is learned: by element, and by a whole word of class, id or role. All others
+#: have none. What pages teach outweighs them after ``BELIEF`` containers.
+LABELS = dict.fromkeys("<nav> <footer> <aside> <form> <menu> <dialog> <head> <header>".split(), -2.0) | dict.fromkeys(
+    "ad ads advert advertisement sponsored promo banner cookie-notice sidebar nav navigation menu breadcrumb breadcrumbs footer comments respond share related newsletter".split(), -2.0
+)
+#: Containers that hold content by definition.
+CONTENT = ("article", "main")
+
+
+@dataclass
+class Container:
+    """An element that tells where words stand: from token ``first`` to before token ``end``."""
+
+    name: str
+    labels: tuple[str, ...]  # what its score goes by
+    parent: int
+    inside: bool  # in an element that labels content
+    first: int
+    end: int = 1 << 62
 
 
 @dataclass
@@ -49,22 +67,34 @@ class Token:
     kind: str  # what weights go by
     words: int = 0  # 0 for a tag
     text: str = ""
-    inside: bool = False  # in an element that labels content
-    outside: bool = False  # in a container that is never part of an article
+    home: int = -1  # the innermost container
     block: int = 0  # texts of one block share it
 
 
-def tokens(html: str) -> list[Token]:
-    """The tokens of a whole page; unclosed and stray tags do no harm."""
+def names(attributes: str) -> list[str]:
+    """The words of class, id and role in lower case, without digits, each once and in order."""
+    found = {re.sub(r"\d+", "", x) for n in NAMES.findall(attributes) for x in n.strip("\"'").lower().split()}
+    return sorted(found - {""})
+
+
+def tokens(html: str) -> tuple[list[Token], list[Container]]:
+    """The tokens and containers of a whole page; unclosed and stray tags do no harm."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, key, inside, outside
+    every: list[Container] = []
+    stack: list[int] = []  # containers that are open
     at, block, linked = 0, 0, False
 
     def words(text: str) -> None:
         text = SPACES.sub(" ", unescape(text))
         if text:
-            _, key, inside, outside = stack[-1] if stack else ("", "", False, False)
-            out.append(Token(f"word {key}{' a' * linked}", len(text.split()), text, inside, outside, block))
+            home = stack[-1] if stack else -1
+            key = f"{every[home].name}.{'.'.join(every[home].labels)}" if stack else ""
+            out.append(Token(f"word {key}{' a' * linked}", len(text.split()), text, home, block))
+
+    def close(depth: int) -> None:
+        for k in stack[depth:]:
+            every[k].end = len(out)
+        del stack[depth:]
 
     find = TOKEN.search
     while m := find(html, at):
@@ -76,7 +106,7 @@ def tokens(html: str) -> list[Token]:
         if name in RAW and not closes:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                at = end.end() if end else len(html) if name in RAW_TO_END else at
             block += name not in INLINE
             continue
         if name == "a":
@@ -84,58 +114,97 @@ def tokens(html: str) -> list[Token]:
         if name not in INLINE:
             block += 1
             linked = False
+            if stack and every[stack[-1]].name == "p":  # ends at any other block
+                close(len(stack) - 1)
         elif name == "br":
-            inside, outside = stack[-1][2:] if stack else (False, False)
-            out.append(Token("tag br", 0, " ", inside, outside, block))
+            out.append(Token("tag in br" if stack and every[stack[-1]].inside else "tag br", 0, " ", stack[-1] if stack else -1, block))
             continue
-        named = ""
-        if name in CONTAINERS:
+        labels: list[str] = []
+        if name in CONTAINERS or name == "p":
             if closes:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                depth = next((k for k in range(len(stack) - 1, -1, -1) if every[stack[k]].name == name), None)
                 if depth is not None:
-                    del stack[depth:]
+                    close(depth)
             elif not m[3].endswith("/"):
-                labels = sorted({x for n in NAMES.findall(m[3]) for x in re.findall(r"[a-z]+", n.strip("\"'").lower())})
-                named = ".".join(labels[:4])
-                _, _, inside, outside = stack[-1] if stack else ("", "", False, False)
-                away = name in OUTSIDE_TAGS or not OUTSIDE_NAMES.isdisjoint(labels) or (name == "header" and not inside)
-                stack.append((name, f"{name}.{named}", (inside or name in ("article", "main")) and not away, outside or away))
-        inside, outside = stack[-1][2:] if stack else (False, False)
-        out.append(Token(f"tag {'/' * closes}{name}{'.' * bool(named)}{named}", 0, "", inside, outside, block))
+                labels = names(m[3])
+                inside = bool(stack) and every[stack[-1]].inside
+                if f"<{name}>" in LABELS and not (name == "header" and inside):
+                    labels.insert(0, f"<{name}>")
+                if name != "p" or labels:
+                    every.append(Container(name, tuple(labels), stack[-1] if stack else -1, inside or name in CONTENT, len(out)))
+                    stack.append(len(every) - 1)
+        home = stack[-1] if stack else -1
+        place = "in " if stack and every[home].inside and name not in CONTENT else ""
+        out.append(Token(f"tag {place}{'/' * closes}{name}{'.' * bool(labels)}{'.'.join(labels)}", 0, "", home, block))
     words(html[at:])
-    return out
+    return out, every
+
+
+def first_score(kind: str) -> float:
+    """The score of a word or tag of which nothing is known."""
+    return WORD if kind.startswith("word") else TAG_INSIDE if kind.startswith("tag in ") else TAG
 
 
 @dataclass
 class Weights:
-    """Scores of words and tags by kind."""
+    """Scores of words and tags by kind, and of containers by label."""
 
     by_kind: dict[str, float] = field(default_factory=dict)
+    by_label: dict[str, float] = field(default_factory=lambda: dict(LABELS))
 
     def score(self, t: Token) -> float:
         if t.words:
             return t.words * self.by_kind.get(t.kind, WORD)
-        return self.by_kind.get(t.kind, TAG) if t.kind.startswith("tag") else 0.0
+        return self.by_kind.get(t.kind, first_score(t.kind)) if t.kind.startswith("tag") else 0.0
+
+    def outside(self, containers: list[Container], first: int, end: int) -> list[bool]:
+        """Of each container, whether it or one around it is no content; those that enclose the tokens from ``first`` to before ``end`` are."""
+        out: list[bool] = []
+        for c in containers:
+            away = c.name not in CONTENT and not (c.first <= first and end <= c.end) and sum(self.by_label.get(x, 0.0) for x in c.labels) < 0
+            out.append(away or (c.parent >= 0 and out[c.parent]))
+        return out
 
     @classmethod
     def fit(cls, pages: list[str]) -> Weights:
         """From pages that label their content by an article or main element; others teach nothing."""
         inside: Counter[str] = Counter()
         outside: Counter[str] = Counter()
+        held: Counter[str] = Counter()
+        apart: Counter[str] = Counter()
+        before = cls()
         for html in pages:
-            found = tokens(html)
-            if any(t.inside and t.words for t in found):
+            found, containers = tokens(html)
+            away = before.outside(containers, 0, 0)
+            content = [c.inside and not a for c, a in zip(containers, away, strict=True)] + [False]
+            if any(t.words and t.home >= 0 and containers[t.home].inside for t in found):
                 for t in found:
                     if t.kind != "word " or t.words:
-                        (inside if t.inside else outside)[t.kind] += max(1, t.words)
-        out = {}
+                        (inside if content[t.home] else outside)[t.kind] += max(1, t.words)
+                around = {k for c in containers if c.name in CONTENT for k in ancestors(containers, c.parent)}
+                for k, c in enumerate(containers):
+                    if k not in around and c.name not in CONTENT:
+                        (held if c.inside else apart).update(c.labels)
+        by_kind = {}
         for kind in inside.keys() | outside.keys():
-            base = WORD if kind.startswith("word") else TAG
+            base = first_score(kind)
             odds = math.log((inside[kind] + 1) / (outside[kind] + 1))
             n = inside[kind] + outside[kind]
             learned = min(odds, 2.0) if kind.startswith("word") else min(odds - 1.0, -0.1)  # a tag never counts for content
-            out[kind] = (BELIEF * base + n * max(learned, -6.0)) / (BELIEF + n)
-        return cls(out)
+            by_kind[kind] = (BELIEF * base + n * max(learned, -6.0)) / (BELIEF + n)
+        by_label = dict(LABELS)
+        for label in held.keys() | apart.keys():
+            n = held[label] + apart[label]
+            odds = math.log((held[label] + 1) / (apart[label] + 1))
+            by_label[label] = (BELIEF * LABELS.get(label, 0.0) + n * max(min(odds, 6.0), -6.0)) / (BELIEF + n)
+        return cls(by_kind, by_label)
+
+
+def ancestors(containers: list[Container], k: int) -> Iterator[int]:
+    """``k`` and the containers around it."""
+    while k >= 0:
+        yield k
+        k = containers[k].parent
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -152,15 +221,22 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: Weights) -> str:
     """The text of a page's best region: a line for each block, white space in it made one space."""
-    found = tokens(html or "")
-    start, end = best_run([weights.score(t) for t in found])
+    found, containers = tokens(html or "")
+    scores = [weights.score(t) for t in found]
+    start, end = best_run(scores)
     if start == end:
         return ""
+    # What encloses the best run is never left out. The run is sought again with the words of what is left out against it,
+    # but not its tags.
+    away = [*weights.outside(containers, start, end), False]
+    again = best_run([-t.words * WORD if away[t.home] else s for t, s in zip(found, scores, strict=True)])
+    if again[0] < again[1]:
+        start, end = again
     # A region that begins or ends inside a block takes the whole block.
     first, last = found[start].block, found[end - 1].block
     blocks: dict[int, list[str]] = {}
     for t in found:
-        if first <= t.block <= last and t.text and not t.outside:
+        if first <= t.block <= last and t.text and not away[t.home]:
             blocks.setdefault(t.block, []).append(t.text)
     lines = (SPACES.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
