@@ -168,23 +168,28 @@ class Weights:
     @classmethod
     def fit(cls, pages: list[str]) -> Weights:
         """From pages that label their content by an article or main element; others teach nothing."""
-        inside: Counter[str] = Counter()
-        outside: Counter[str] = Counter()
+        parsed = [tokens(h) for h in pages]
+        labelled = [(found, every) for found, every in parsed if any(t.words and t.home >= 0 and every[t.home].inside for t in found)]
         held: Counter[str] = Counter()
         apart: Counter[str] = Counter()
-        before = cls()
-        for html in pages:
-            found, containers = tokens(html)
-            away = before.outside(containers, 0, 0)
+        for _, containers in labelled:
+            around = {k for c in containers if c.name in CONTENT for k in ancestors(containers, c.parent)}
+            for k, c in enumerate(containers):
+                if k not in around and c.name not in CONTENT:
+                    (held if c.inside else apart).update(c.labels)
+        by_label = dict(LABELS)
+        for label in held.keys() | apart.keys():
+            n = held[label] + apart[label]
+            odds = math.log((held[label] + 1) / (apart[label] + 1))
+            by_label[label] = (BELIEF * LABELS.get(label, 0.0) + n * max(min(odds, 6.0), -6.0)) / (BELIEF + n)
+        inside: Counter[str] = Counter()
+        outside: Counter[str] = Counter()
+        for found, containers in labelled:
+            away = cls({}, by_label).outside(containers, 0, 0)
             content = [c.inside and not a for c, a in zip(containers, away, strict=True)] + [False]
-            if any(t.words and t.home >= 0 and containers[t.home].inside for t in found):
-                for t in found:
-                    if t.kind != "word " or t.words:
-                        (inside if content[t.home] else outside)[t.kind] += max(1, t.words)
-                around = {k for c in containers if c.name in CONTENT for k in ancestors(containers, c.parent)}
-                for k, c in enumerate(containers):
-                    if k not in around and c.name not in CONTENT:
-                        (held if c.inside else apart).update(c.labels)
+            for t in found:
+                if t.kind != "word " or t.words:
+                    (inside if content[t.home] else outside)[t.kind] += max(1, t.words)
         by_kind = {}
         for kind in inside.keys() | outside.keys():
             base = first_score(kind)
@@ -192,11 +197,6 @@ class Weights:
             n = inside[kind] + outside[kind]
             learned = min(odds, 2.0) if kind.startswith("word") else min(odds - 1.0, -0.1)  # a tag never counts for content
             by_kind[kind] = (BELIEF * base + n * max(learned, -6.0)) / (BELIEF + n)
-        by_label = dict(LABELS)
-        for label in held.keys() | apart.keys():
-            n = held[label] + apart[label]
-            odds = math.log((held[label] + 1) / (apart[label] + 1))
-            by_label[label] = (BELIEF * LABELS.get(label, 0.0) + n * max(min(odds, 6.0), -6.0)) / (BELIEF + n)
         return cls(by_kind, by_label)
 
 
