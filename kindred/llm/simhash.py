@@ -1,5 +1,8 @@
 """Near-duplicate documents: fingerprints compared exactly, tile against tile.
 
+For groups of texts by the similarity of whole shingles (``representatives``, the pipeline's stage) the tiles are those of
+texts that share a key made of least hashes, so the work grows with the groups and not with the square of the corpus.
+
 A fingerprint's tile is the vector of its segments' population counts. Two fingerprints within ``radius`` bits have
 tiles whose counts differ by no more than ``radius`` in sum, so all other pairs of tiles are skipped without loss.
 The tiles that remain are compared by numpy's exclusive-or and bit count. Equal fingerprints are one row before any
@@ -150,6 +153,9 @@ SIMILARITY = 0.8
 CANDIDATE_RADIUS, SHORT, SHORT_RADIUS = 64, 8, 84
 #: Texts of similarity 0.8 have shingle counts within this ratio.
 LENGTH_RATIO = 1.25
+#: Keys by which texts become candidates at all, and samples a key is made of: texts of similarity 0.8 share none of the
+#: keys with probability (1 - 0.8 ** 6) ** 32 = 0.00006, those of 0.2 share one with probability 0.002.
+BANDS, ROWS_A_BAND = 32, 6
 #: What one task of the exact comparison holds of a side, in texts and in bytes of their shingles' hashes.
 TEXTS_A_BLOCK, BYTES_A_BLOCK = 4096, 16 << 20
 #: One seed for each 64 bits of a wide fingerprint, and what decides a bit that is set in half of the shingles.
@@ -164,6 +170,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Where the bins of ``minima`` begin, and the order in which each looks for another that isn't empty.
+BINS = (np.arange(BANDS * ROWS_A_BAND, dtype=np.float64) / (BANDS * ROWS_A_BAND) * 2.0**64).astype(np.uint64)
+PROBES = (mixed(np.arange(1, len(BINS) * 64 + 1, dtype=np.uint64)) % np.uint64(len(BINS))).astype(np.int64).reshape(len(BINS), 64)
+
+
 def shingle_set(text: bytes | None, words_in_shingle: int = 5) -> np.ndarray:
     """64-bit hashes of a text's shingles in order, the second occurrence of a shingle being another element than the first.
 
@@ -198,66 +209,106 @@ def wide_fingerprint(text: bytes | None, words_in_shingle: int = 5) -> tuple[byt
     return wide_bits(hashes), len(hashes)
 
 
-def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 16384, short_radius: int | None = None) -> DataFrame:
-    """``(src, dst)`` over fingerprints ``wide (node, fp, size)``: forests that join what is within ``radius`` bits, or
-    ``short_radius`` where one has ``SHORT`` shingles or fewer, and of like length.
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a sorted set of hashes: sets of similarity s agree in each with probability ``s ** ROWS_A_BAND``.
 
-    Lengths are cut into bands of ``LENGTH_RATIO``; a band is compared with itself and with the next, block by block, and
-    a pair of blocks is a task. In a task rows are in order of population count, and tiles whose counts differ by more
-    than ``radius`` are skipped.
+    The range of hashes is cut into bins, and a bin's least hash is one sample of the set; an empty bin takes that of
+    another, sought in an order of its own, so that small sets are sampled as often as large ones.
     """
-    wide = wide.select("node", "fp", F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(LENGTH_RATIO))).cast("int").alias("band"))
-    # A band a length: under a hundred for any text that fits in memory.
-    counts = wide.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    after = counts.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("next_blocks"))
-    counts = F.broadcast(written(counts.join(after, "band", "left").select("band", "blocks", F.coalesce("next_blocks", F.lit(0)).alias("next_blocks"))))
-    rows = wide.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    across = counts.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("before_blocks"))
-    cell = F.struct("band", F.lit(0).alias("step"), "low", "high")
-    own = rows.select("node", "fp", "band", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    own = own.select("node", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", (F.col("block") == F.least("block", "other")).alias("home"))
-    own = own.select(cell.alias("cell"), "node", "fp", "home")
-    low = rows.where("next_blocks > 0").select("node", "fp", "band", F.col("block").alias("low"), F.explode(F.expr("sequence(0, next_blocks - 1)")).alias("high"))
-    low = low.select(F.struct("band", F.lit(1).alias("step"), "low", "high").alias("cell"), "node", "fp", F.lit(True).alias("home"))
-    high = rows.join(across, "band").select("node", "fp", (F.col("band") - 1).alias("band"), F.col("block").alias("high"), F.explode(F.expr("sequence(0, before_blocks - 1)")).alias("low"))
-    high = high.select(F.struct("band", F.lit(1).alias("step"), "low", "high").alias("cell"), "node", "fp", F.lit(False).alias("home"))
-
-    short_band = int(np.log(SHORT) / np.log(LENGTH_RATIO))
+    at = np.searchsorted(hashes, BINS)
+    full = np.append(at[1:], len(hashes)) > at
+    source = np.arange(len(BINS))
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        probes = PROBES[empty]
+        hit = full[probes]
+        source[empty] = probes[np.arange(len(empty)), hit.argmax(1)]
+        rest = empty[~hit.any(1)]
+        known = np.flatnonzero(full)
+        source[rest] = known[np.searchsorted(known, rest) % len(known)]
+    least = hashes[at[source]].reshape(BANDS, ROWS_A_BAND)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS_A_BAND):
+        keys = mixed(keys ^ least[:, k])
+    return keys
+
+
+def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 8192, short_radius: int | None = None) -> DataFrame:
+    """``(src, dst)`` over fingerprints ``wide (node, fp, size, keys)``: forests that join those that share a key and are
+    within ``radius`` bits, or ``short_radius`` where one has ``SHORT`` shingles or fewer, and of like length.
+
+    Only keys that two or more share go on, each set of them once. Small groups share tasks; a group above ``block`` is cut
+    into blocks, and a pair of blocks is a task. In a task rows are in order of population count, and tiles whose counts
+    differ by more than ``radius`` are skipped.
+    """
+    rows = wide.select("node", F.explode("keys").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    # Copies with small changes share many keys; a set of rows is compared once.
+    held = written(held.groupBy("n", "all").agg(F.min("key").alias("key")))
+    bins = max(1, -(-(held.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // (4 * block)))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.join(held.select("key", blocks.alias("blocks")), "key").join(wide.select("node", "fp", "size"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    alone = F.col("blocks") == 1
+    cell = F.struct(
+        F.when(alone, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("of"),
+        F.when(alone, -1).otherwise(F.least("block", "other")).alias("low"),
+        F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("high"),
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        at_home = pdf["home"].to_numpy(bool)
-        cell = pdf["cell"].iloc[0]
-        same = cell["step"] == 0 and at_home.all()  # a block with itself
-        near = short_radius if short_radius is not None and cell["band"] <= short_band else radius
+        pdf = pdf.sort_values("key", kind="stable")
         fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
-        a, b = np.flatnonzero(at_home), np.flatnonzero(at_home if same else ~at_home)
-        nodes = pdf["node"].to_numpy(np.int64)
-        return pd.DataFrame(tile_links(fps, a, b, nodes, near), columns=["src", "dst"], dtype="int64")
+        size, nodes, block = (pdf[c].to_numpy(np.int64) for c in ("size", "node", "block"))
+        cell = pdf["cell"].iloc[0]
+        whole = cell["low"] == cell["high"]  # groups or a block by themselves
+        key = pdf["key"].to_numpy()
+        out: list[tuple[int, int]] = []
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]):
+            rows = np.arange(a, b)
+            home, guests = (rows, rows) if whole else (rows[block[a:b] == cell["low"]], rows[block[a:b] == cell["high"]])
+            out += tile_links(fps, size, home, guests, nodes, radius, short_radius or radius)
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
-    return own.unionByName(low).unionByName(high).groupBy("cell").applyInPandas(compare, "src long, dst long")
+    return rows.select(cell.alias("cell"), "key", "node", "fp", "size", "block").groupBy("cell").applyInPandas(compare, "src long, dst long")
 
 
-def tile_links(fps: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radius: int, tile: int = 256) -> list[tuple[int, int]]:
+def tile_links(fps: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radius: int, short_radius: int, tile: int = 256) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between rows ``a`` and rows ``b`` of ``fps``."""
     ones = np.bitwise_count(fps).sum(1, dtype=np.int64)
+    band = np.floor(np.log(np.maximum(size, 1)) / np.log(LENGTH_RATIO)).astype(np.int64)
     a, b = a[np.argsort(ones[a], kind="stable")], b[np.argsort(ones[b], kind="stable")]
-    label, counts = np.arange(len(fps)), ones[b]
+    label, counts, widest = {}, ones[b], max(radius, short_radius)
     for at in range(0, len(a), tile):
         rows = a[at : at + tile]
-        lo, hi = np.searchsorted(counts, ones[rows[0]] - radius), np.searchsorted(counts, ones[rows[-1]] + radius, "right")
+        lo, hi = np.searchsorted(counts, ones[rows[0]] - widest), np.searchsorted(counts, ones[rows[-1]] + widest, "right")
         others = b[lo:hi]
         for start in range(0, len(others), 8192):
             part = others[start : start + 8192]
             apart = np.zeros((len(rows), len(part)), np.uint16)
             for k in range(fps.shape[1]):
                 apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[part, k][None, :])
-            near = apart <= radius
-            for i in np.flatnonzero(near.any(1)):
-                found = np.unique(label[np.append(part[near[i]], rows[i])])
-                if len(found) > 1:
-                    label[np.isin(label, found)] = found[0]
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return list(zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True))
+            most = np.where(np.minimum(size[rows, None], size[None, part]) <= SHORT, short_radius, radius)
+            near = (apart <= most) & (np.abs(band[rows, None] - band[None, part]) <= 1)
+            for i in np.flatnonzero(near.any(1)).tolist():
+                join(label, [int(rows[i]), *part[near[i]].tolist()])
+    found = ((x, root_of(label, x)) for x in list(label))
+    return [(int(nodes[x]), int(nodes[r])) for x, r in found if x != r]
+
+
+def root_of(label: dict[int, int], x: int) -> int:
+    while (up := label.setdefault(x, x)) != x:
+        label[x] = label.setdefault(up, up)
+        x = label[x]
+    return x
+
+
+def join(label: dict[int, int], rows: list[int]) -> None:
+    """Makes ``rows`` one group of the union-find forest ``label``."""
+    root = root_of(label, rows[0])
+    for x in rows[1:]:
+        label[root_of(label, x)] = root
 
 
 def exact_links(docs: DataFrame, wide: DataFrame, roots: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
@@ -344,15 +395,17 @@ def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle
             made = []
             for t in values(b.column(2)):
                 hashes = shingle_set(t, words_in_shingle)
-                made.append((wide_bits(hashes), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if least is not None else None))
+                made.append((wide_bits(hashes), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if least is not None else None, minima(hashes).tobytes() if len(hashes) else None))
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "fp", "size", "same"])
+            keys = pa.array([m[3] and np.frombuffer(m[3], np.int64) for m in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, keys], ["id", "mark", "fp", "size", "same", "keys"])
 
     texts = docs.select(*key, F.col("text").cast("binary").alias("text"))
-    marked = texts.mapInArrow(run, "id long, mark long, fp binary, size long, same binary")
+    marked = texts.mapInArrow(run, "id long, mark long, fp binary, size long, same binary, keys array<long>")
     order = F.struct((F.col("id") == none).alias("no_id"), "id", "mark")
     # Texts with the same shingles are one node.
-    wide = written(marked.groupBy("fp", "same").agg(F.max("size").alias("size"), F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    wide = marked.groupBy("fp", "same").agg(F.max("size").alias("size"), F.any_value("keys").alias("keys"), F.min(order).alias("first"))
+    wide = written(wide.withColumn("node", F.monotonically_increasing_id()))
     if least is None:
         roots = connected_components(similar_links(wide, radius))
     else:

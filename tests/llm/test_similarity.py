@@ -67,3 +67,22 @@ def test_repeats_are_elements_of_their_own():
     shared = len(np.intersect1d(a, b))
     assert (len(a), len(b), shared) == (27, 17, 17)
     assert len(simhash.shingle_set(b" ")) == len(simhash.shingle_set(None)) == 0
+
+
+@pytest.mark.parametrize("n", [9, 40, 400, 20_000])
+def test_similar_sets_share_a_key(n):
+    """At a similarity of just 0.8, whatever the size, all but one pair in ten thousand share a key; at 0.2 few do."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 2**64, 2 * n, np.uint64)) for _ in range(200)]
+    extra = n // 9
+
+    def share(part):
+        hits = 0
+        for x in sets:
+            x = rng.permutation(x)
+            common, a, b = x[: n - part], x[n - part : n], x[n : n + part]
+            hits += bool(np.any(simhash.minima(np.sort(np.append(common, a))) == simhash.minima(np.sort(np.append(common, b)))))
+        return hits
+
+    assert share(extra) >= 199
+    assert share(2 * n // 3) <= 8
