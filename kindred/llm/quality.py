@@ -1,8 +1,10 @@
 """Quality by weak supervision.
 
-Rules read a text's figures and vote for good, against it, or abstain. Expectation-maximisation over the counts of vote
-patterns estimates how each rule votes on good and on bad texts, and gives every pattern a posterior probability of good.
-Only patterns (at most three to the number of rules; a few hundred in practice) ever reach the driver.
+Rules read a text's figures and vote for good, against it, or abstain; each measure has a strict rule, which also objects
+to some good texts, and a lenient one that only objects to what is far off. Expectation-maximisation over the counts of
+vote patterns estimates how each rule votes on good and on bad texts. Votes then add up to a posterior probability of
+good, so a rule that is often wrong is overruled, and many weak signs count without any objection. Only counts of
+patterns ever reach the driver.
 """
 
 from __future__ import annotations
@@ -106,29 +108,62 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def votes() -> list[Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+#: Each measure's good, strict and lenient limits: better than the first is a vote for good, beyond the second an objection
+#: of the strict rule, beyond the third one of the lenient rule as well. Measures grow as texts get worse.
+LIMITS = (
+    ("words too few", -50, -40, -10),
+    ("words too long or too short", 1.0, 1.1, 2.0),
+    ("symbols a character", 0.002, 0.01, 0.1),
+    ("words with a symbol", 0.01, 0.05, 0.3),
+    ("words without a letter", 0.01, 0.03, 0.2),
+    ("lines that repeat", 0.0, 0.1, 0.5),
+    ("words in repeated windows", 0.01, 0.05, 0.3),
+    ("words equal to the one before", 0.01, 0.03, 0.2),
+    ("words with doubled marks", 0.005, 0.02, 0.2),
+    ("capitals a letter", 0.04, 0.1, 0.4),
+    ("distinct words too few", -0.6, -0.5, -0.2),
+)
+#: Mean lengths of a word that are no sign of anything.
+WORD_LENGTHS = 4.2, 6.5
+#: Votes of the strict and the lenient rule by level: good, in between, beyond the strict limit, beyond both.
+VOTES = np.array([(1, 0), (0, 0), (-1, 0), (-1, -1)])
 
-    def share(part: str, whole: Column, good: float, bad: float) -> Column:
-        return vote(F.col(part) <= good * whole, F.col(part) > bad * whole)
 
+def levels() -> list[Column]:
+    """Each measure's level from 0 to 3, an index of ``VOTES``."""
     n, chars, lines, letters = (F.greatest(F.col(k), F.lit(1)) for k in ("n_words", "word_chars", "n_lines", "n_letters"))
-    return [
-        vote(n >= 50, n < 10),
-        vote((chars >= 3 * n) & (chars <= 10 * n), (chars < 2 * n) | (chars > 20 * n)),
-        share("n_symbols", chars, 0.005, 0.05),
-        share("n_symbol_words", n, 0.02, 0.2),
-        vote(F.col("n_letter_words") >= 0.97 * n, F.col("n_letter_words") < 0.8 * n),
-        share("n_dup_lines", lines, 0.02, 0.5),
-        share("n_repeat_words", n, 0.01, 0.3),
-        share("n_adjacent_words", n, 0.03, 0.2),
-        share("n_emphatic_words", n, 0.01, 0.1),
-        share("n_capitals", letters, 0.15, 0.4),
-        vote(F.col("n_distinct_words") >= 0.3 * n, (F.col("n_distinct_words") < 0.1 * n) & (n < 2000)),
-    ]
+    length = chars / n
+    found = (
+        -n,
+        F.greatest(length / WORD_LENGTHS[1], WORD_LENGTHS[0] / length),
+        F.col("n_symbols") / chars,
+        F.col("n_symbol_words") / n,
+        1 - F.col("n_letter_words") / n,
+        F.col("n_dup_lines") / lines,
+        F.col("n_repeat_words") / n,
+        F.col("n_adjacent_words") / n,
+        F.col("n_emphatic_words") / n,
+        F.col("n_capitals") / letters,
+        -F.col("n_distinct_words") / n,
+    )
+    return [F.when(x > lenient, 3).when(x > strict, 2).when(x > good, 1).otherwise(0) for x, (_, good, strict, lenient) in zip(found, LIMITS, strict=True)]
+
+
+def pattern() -> Column:
+    """All levels as one number, two bits a measure."""
+    return sum((level * 4**k for k, level in enumerate(levels())), F.lit(0))
+
+
+def votes_of(codes: np.ndarray) -> np.ndarray:
+    """The rules' votes (patterns x rules) of numbers that ``pattern`` gives."""
+    every = (np.asarray(codes, np.int64)[:, None] >> (2 * np.arange(len(LIMITS)))) & 3
+    return VOTES[every].reshape(len(every), 2 * len(LIMITS))
+
+
+#: How often a rule is taken to object, abstain and agree before any vote is seen: on bad texts and on good ones, for rules
+#: that vote either way and for lenient ones.
+BELIEFS = np.array([[(0.35, 0.25, 0.40), (0.20, 0.75, 0.05)], [(0.05, 0.15, 0.80), (0.01, 0.94, 0.05)]])
+LENIENT = np.arange(2 * len(LIMITS)) % 2 == 1
 
 
 @dataclass
@@ -142,66 +177,80 @@ class LabelModel:
     rates: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, belief: float = 0.02) -> LabelModel:
-        """Expectation-maximisation, begun from "good unless a rule objects".
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, belief: float = 20.0, lenient: np.ndarray | None = None) -> LabelModel:
+        """Expectation-maximisation, begun from ``BELIEFS`` that weigh as much as ``belief`` texts.
 
-        Beforehand a rule is taken to object to one good text in a hundred and to a quarter of the bad ones; that
-        weighs as much as ``belief`` of all texts (20 at least), and keeps the two labels from changing places.
+        They tell the two labels apart, and keep rates off zero. ``lenient`` marks the rules that never vote for good.
         """
-        before = np.empty((2, patterns.shape[1], 3))
-        before[0], before[1] = (0.25, 0.10, 0.65), (0.01, 0.24, 0.75)
-        weight = max(20.0, belief * counts.sum())
-        good = np.where((patterns < 0).any(1), 0.1, 0.95)
-        model = cls(0.9, before)
-        seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)  # pattern, rule, vote
+        before = np.where((np.zeros(patterns.shape[1], bool) if lenient is None else lenient)[:, None], BELIEFS[:, 1:], BELIEFS[:, :1])
+        model = cls(0.8, before)
         for _ in range(rounds if len(counts) else 0):
-            mass = np.stack([(1 - good) * counts, good * counts])
-            sums = np.einsum("yp,prv->yrv", mass, seen) + weight * before
-            model = cls(float((mass[1].sum() + 0.9 * weight) / (counts.sum() + weight)), sums / sums.sum(-1, keepdims=True))
             good = model.posterior(patterns)
+            mass = np.stack([(1 - good) * counts, good * counts])
+            sums = np.zeros_like(before)
+            for at in range(0, len(counts), CHUNK):
+                for v in (-1, 0, 1):
+                    sums[:, :, v + 1] += mass[:, at : at + CHUNK] @ (patterns[at : at + CHUNK] == v)
+            sums += belief * before
+            model = cls(float((mass[1].sum() + 0.8 * belief) / (counts.sum() + belief)), sums / sums.sum(-1, keepdims=True))
         return model
 
+    def weights(self) -> np.ndarray:
+        """What each rule's votes -1, 0 and 1 add to the logarithm of the odds of good."""
+        return np.log(self.rates[1]) - np.log(self.rates[0])
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The probability of good for each pattern."""
-        seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
-        bad, good = np.einsum("prv,yrv->yp", seen, np.log(self.rates)) + np.log([[1 - self.prior], [self.prior]])
-        return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
+        odds, w = np.full(len(patterns), np.log(self.prior / (1 - self.prior))), self.weights()
+        for at in range(0, len(patterns), CHUNK):
+            for v in (-1, 0, 1):
+                odds[at : at + CHUNK] += (patterns[at : at + CHUNK] == v) @ w[:, v + 1]
+        return 1 / (1 + np.exp(np.clip(-odds, -700, 700)))
 
 
-def posteriors(rows: DataFrame) -> DataFrame:
-    """``(pattern, quality)`` fitted on measured ``rows``; only the counts of patterns reach the driver."""
-    rules = votes()
-    tally = rows.groupBy(pattern().alias("pattern")).count().collect()  # at most 3 ** 11 rows
-    patterns = np.array([["-0+".index(x) - 1 for x in r["pattern"]] for r in tally], float).reshape(-1, len(rules))
-    model = LabelModel.fit(patterns, np.array([r["count"] for r in tally], float))
-    fitted = [(r["pattern"], float(p)) for r, p in zip(tally, model.posterior(patterns), strict=True)]
-    return rows.sparkSession.createDataFrame(fitted, "pattern string, quality double")
+#: Patterns that are spread out at once in fitting.
+CHUNK = 100_000
 
 
-def pattern() -> Column:
-    return F.concat(*(F.substring(F.lit("-0+"), v + 2, F.lit(1)) for v in votes()))
+def fitted(rows: DataFrame) -> LabelModel:
+    """The model of measured ``rows`` with a ``pattern``.
+
+    Only counts of patterns reach the driver: at most 4 ** 11 rows of two numbers (50 MB), a few hundred in practice.
+    """
+    tally = rows.groupBy("pattern").count().toPandas()
+    return LabelModel.fit(votes_of(tally["pattern"].to_numpy()), tally["count"].to_numpy(float), lenient=LENIENT)
 
 
-def judged(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Measured ``rows`` with ``base_failed``, ``quality`` (the posterior of good) and ``kept``."""
-    scored = rows.withColumn("pattern", pattern()).join(F.broadcast(known), "pattern").withColumn("base_failed", base_failed())
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+def posterior(model: LabelModel) -> Column:
+    """The probability of good of a row with a ``pattern``, as an expression: levels add up, so nothing is joined."""
+    w = model.weights().reshape(len(LIMITS), 2, 3)
+    odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
+    for k, (strict, lenient) in enumerate(w):
+        level = F.shiftright("pattern", 2 * k).bitwiseAND(3)
+        by_level = [float(strict[a + 1] + lenient[b + 1]) for a, b in VOTES]
+        odds += F.when(level == 0, by_level[0]).when(level == 1, by_level[1]).when(level == 2, by_level[2]).otherwise(by_level[3])
+    return 1 / (1 + F.exp(-odds))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)`` by row.
 
-    Null and blank texts fail the base check. Repeated rows are judged alike, each counted. An empty table gives no rows.
+    ``quality`` is the posterior probability of good, and ``kept`` is 0.5 or more of it in a text that passes the base
+    check. Null and blank texts fail the base check. Very long texts are measured whole. Repeated rows are judged alike,
+    each counted; a pattern's probability depends on counts alone, so ties can't differ. An empty table gives no rows.
     """
     rows = measured(docs.select(F.col("doc_id").cast("long"), "text")).select("row.doc_id", *MEASURES)
-    rows = written(rows)
-    return judged(rows, posteriors(rows)).select("doc_id", *MEASURES[:5], "base_failed", "kept", "quality")
+    rows = written(rows.withColumn("pattern", pattern()).select("doc_id", *MEASURES[:5], "pattern", base_failed().alias("base_failed")))
+    scored = rows.withColumn("quality", posterior(fitted(rows)))
+    return scored.select("doc_id", *MEASURES[:5], "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"), "quality")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps.
+    """The rows of ``docs`` that ``quality`` keeps, with its columns and repeats.
 
-    Texts are measured once for the votes and once more for the verdict: that writes and shuffles no text at all.
+    Texts are measured once: rows that pass the base check are written beside their pattern, and then only filtered. All
+    rows count for the fit. Null and blank texts go. An empty table gives no rows.
     """
-    known = posteriors(measured(docs.select("text")))
-    return judged(measured(docs), known).where("kept").select("row.*")
+    rows = measured(docs).withColumn("pattern", pattern()).select(F.when(~base_failed(), F.col("row")).alias("row"), "pattern")
+    rows = written(rows)
+    return rows.where(F.col("row").isNotNull() & (posterior(fitted(rows)) >= 0.5)).select("row.*")
