@@ -1,19 +1,32 @@
 """Passages of a benchmark in documents, in DataFrame functions alone.
 
-A window of an item's size and similarity t shares at least t of the item's n shingles, so its document holds one of any
-(1 - t) * n + 1 of them; each item's rarest serve as anchors, and a join on them finds every document that can match.
-In such a document the windows that hold enough places with one of the item's shingles, wherever in the item these
-stand, are compared with it by exact weighted-shingle similarity. SimHash gives the distance that is reported.
+Item-sized windows of a document are fingerprinted by SimHash and joined to the items of that size on blocks of their
+bits: two fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks at least, so the join finds every such
+pair. Exact weighted-shingle similarity then verifies each.
+
+Not every window of a corpus can be fingerprinted for every size of item, so windows are first narrowed without loss: one
+of similarity t shares at least t of the item's n shingles, so its document holds one of any (1 - t) * n + 1 of them. Each
+item's rarest serve as anchors, and in documents that hold one, only windows with enough places of the item's shingles,
+wherever in the item these stand, can match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of 128 within which windows are candidates. At similarity 0.8 a ninth of the words may differ, so the angle's share
+#: is acos(8 / 9) / pi = 0.15 at most: 19 bits are expected to differ, give or take 4.
+RADIUS = 36
+#: Widths of the blocks of either half, one more in all than ``RADIUS``. Item size and block together are a key.
+BLOCKS = (4,) * 10 + (3,) * 8, (4,) * 7 + (3,) * 12
+#: Words that a window may have for 16 bits to count them.
+COUNTED = 60_000
 #: Anchors are broadcast up to so many rows (about 40 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,15 +46,49 @@ def shingles(array: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(array) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(F.col(array), i, SHINGLE), " "))
 
 
-def simhash(array: str) -> Column:
-    """The 64-bit SimHash of an array's words: a bit is 1 if it is set in more than half of their hashes."""
-    hashes = F.transform(array, lambda w: F.xxhash64(w))
-    ones = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(1) == 1)))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, b: acc.bitwiseOR(F.when(2 * F.get(ones, b) > F.size(array), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))),
-    )
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` made once however often it is looked at."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def simhash(array: str, seed: int) -> Column:
+    """The 64-bit SimHash of an array's words: a bit is 1 if it is set in more than half of their hashes.
+
+    Four counters of 16 bits share a number, so 16 sums count all bits; arrays too long for that are counted bit by bit.
+    """
+    size, zero, one = F.size(array), F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def lanes(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(hashes, zero, lambda acc, h: acc + F.call_function("shiftright", h, k).bitwiseAND(F.lit(0x0001000100010001))))
+
+    def count(sums: Column, b: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(sums, b % 16), 16 * F.floor(b / 16).cast("int")).bitwiseAND(0xFFFF)
+
+    def fingerprint(ones: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda acc, b: F.when(2 * ones(b) > size, acc.bitwiseOR(F.call_function("shiftleft", one, b))).otherwise(acc))
+
+    def made(hashes: Column) -> Column:
+        few = let(lanes(hashes), lambda sums: fingerprint(lambda b: count(sums, b)))
+        many = fingerprint(lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(1) == 1)))
+        return F.when(size <= COUNTED, few).otherwise(many)
+
+    return let(F.transform(array, lambda w: F.xxhash64(w, F.lit(seed))), made)
+
+
+def block_values(low: Column, high: Column) -> list[Column]:
+    """The blocks of a fingerprint in two halves."""
+    out = []
+    for half, widths in zip((low, high), BLOCKS, strict=True):
+        at = 0
+        for w in widths:
+            out.append(F.shiftrightunsigned(half, at).bitwiseAND((1 << w) - 1).cast("int"))
+            at += w
+    return out
+
+
+def block_keys(low: Column, high: Column) -> Column:
+    """``RADIUS + 1`` numbers, each a block's place and value."""
+    return F.array(*(16 * j + v for j, v in enumerate(block_values(low, high))))
 
 
 def similarity(a: str, b: str) -> Column:
@@ -57,11 +104,11 @@ def similarity(a: str, b: str) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, form, item_words, item_fp, ours)`` of the items with at least ``SHINGLE`` words; shorter ones are no evidence."""
+    """``(item_id, form, item_words, item_low, item_high, ours)`` of the items with at least ``SHINGLE`` words; shorter ones are no evidence."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= SHINGLE).distinct()
     # The shingles' hashes, like all that lambdas below look up, are a written column, lest they be made again for each element.
     ours = F.slice(shingle_hashes("item_words"), F.lit(1), F.size("item_words") - (SHINGLE - 1))
-    return written(rows.select("item_id", F.xxhash64("item_words").alias("form"), "item_words", simhash("item_words").alias("item_fp"), ours.alias("ours")))
+    return written(rows.select("item_id", F.xxhash64("item_words").alias("form"), "item_words", simhash("item_words", 1).alias("item_low"), simhash("item_words", 2).alias("item_high"), ours.alias("ours")))
 
 
 def anchors(known: DataFrame, least: float) -> DataFrame:
@@ -88,13 +135,30 @@ def starts(places: str, length: Column, least: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"]))))
 
 
+def candidates(windows: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Windows ``(doc_id, mark, at, length, low, high)`` with each item of that length within ``radius`` (at most ``RADIUS``) bits.
+
+    A pair is given once, at the first block in which it agrees, with its ``distance``.
+    """
+    blocks = known.select("item_id", "form", "item_low", "item_high", F.size("item_words").alias("length"), F.explode(block_keys(F.col("item_low"), F.col("item_high"))).alias("key"))
+    if known.count() * (RADIUS + 1) <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
+    keyed = windows.withColumn("key", F.explode(block_keys(F.col("low"), F.col("high"))))
+    low, high = F.col("low").bitwiseXOR(F.col("item_low")), F.col("high").bitwiseXOR(F.col("item_high"))
+    first = F.array_position(F.transform(F.array(*block_values(low, high)), lambda v: v == 0), True) - 1
+    distance = (F.bit_count(low) + F.bit_count(high)).cast("int")
+    pairs = keyed.join(blocks, ["length", "key"]).where((distance <= radius) & (first == F.floor(F.col("key") / 16)))
+    return pairs.select("doc_id", "mark", "at", "length", "item_id", "form", distance.alias("distance"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``(doc_id, mark, item_id, start, n_words, distance, similarity)``: the best window for each document and item.
 
     ``start`` and ``n_words`` place the window in the document's words (runs of letters and digits), ``distance`` is in
-    bits, ``mark`` is xxhash64 of the text and tells rows with one doc_id apart. A window reaches over the document's
-    ends no further than it has words. Null and empty texts, and items under five words, match nothing; repeated rows
-    are reported once.
+    bits of 128, ``mark`` is xxhash64 of the text and tells rows with one doc_id apart. A window reaches over the
+    document's ends no further than it has words. Of equally similar windows the earliest is given. Null and empty
+    texts, and items under five words, match nothing; repeated rows are reported once; an empty table on either side
+    gives no rows.
     """
     known = items(benchmark)
     marks = anchors(known, least)
@@ -105,25 +169,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     # Only documents with an anchor are read again.
     held = written(hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "form")).alias("held")))
     found = keyed.withColumnsRenamed({"doc_id": "id", "mark": "own"}).join(held, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
-    pairs = found.select("doc_id", "mark", "words", shingle_hashes("words").alias("hashes"), F.explode("held").alias("item")).select("doc_id", "mark", "words", "hashes", "item.*")
-    pairs = pairs.withColumnRenamed("item_id", "item").join(known, F.col("item").eqNullSafe(known.item_id) & (pairs.form == known.form))
+    texts = written(found.select("doc_id", "mark", "words", shingle_hashes("words").alias("hashes"), "held").dropDuplicates(["doc_id", "mark"]))
+
+    pairs = texts.select("doc_id", "mark", "hashes", F.explode("held").alias("item")).select("doc_id", "mark", "hashes", F.col("item.item_id").alias("item"), "item.form")
+    pairs = pairs.join(known.withColumnRenamed("form", "own"), F.col("item").eqNullSafe(F.col("item_id")) & (F.col("form") == F.col("own")))
     length = F.size("item_words")
     places = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("ours", h), i)), lambda i: i.isNotNull())
-    pairs = pairs.select("doc_id", "mark", "words", "item_id", "item_words", "item_fp", places.alias("places"))
-    at = F.explode(starts("places", length, least)).alias("at")
-    windows = pairs.select("doc_id", "mark", "item_id", "item_words", "item_fp", "words", at)
-    start = F.greatest("at", F.lit(0))
-    windows = windows.select("doc_id", "mark", "item_id", "item_words", "item_fp", start.alias("start"), F.slice("words", start + 1, length + F.least("at", F.lit(0))).alias("window"))
-    windows = windows.where(F.size("window") >= SHINGLE).withColumn("a", shingles("window")).withColumn("b", shingles("item_words"))
-    scored = windows.select("doc_id", "mark", "item_id", "start", "window", "item_fp", similarity("a", "b").alias("similarity")).where(F.col("similarity") >= least - 1e-9)
-    best = F.max_by(F.struct("start", "window", "item_fp", "similarity"), F.struct("similarity", -F.col("start"), F.size("window")))
-    best = written(scored.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*"))
-    distance = F.bit_count(simhash("window").bitwiseXOR(F.col("item_fp"))).cast("int")
-    return best.select("doc_id", "mark", "item_id", "start", F.size("window").alias("n_words"), distance.alias("distance"), "similarity")
+    places = pairs.select("doc_id", "mark", length.alias("length"), places.alias("places"))
+    windows = places.select("doc_id", "mark", "length", F.explode(starts("places", F.col("length"), least)).alias("at")).distinct()
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """``rows (doc_id, mark, at, length)`` with their words as ``window``."""
+        own = texts.select(F.col("doc_id").alias("id"), F.col("mark").alias("own"), "words")
+        rows = rows.join(own, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
+        window = F.slice("words", F.greatest("at", F.lit(0)) + 1, F.col("length") + F.least("at", F.lit(0)))
+        return rows.withColumn("window", window).drop("id", "own", "words").where(F.size("window") >= SHINGLE)
+
+    windows = written(cut(windows).select("doc_id", "mark", "at", "length", simhash("window", 1).alias("low"), simhash("window", 2).alias("high")))
+    near = cut(candidates(windows, known))
+    near = near.withColumnsRenamed({"item_id": "item", "form": "item_form"}).join(known, F.col("item").eqNullSafe(F.col("item_id")) & (F.col("item_form") == F.col("form")))
+    near = near.withColumn("a", shingles("window")).withColumn("b", shingles("item_words"))
+    start = F.greatest("at", F.lit(0)).alias("start")
+    scored = near.select("doc_id", "mark", "item_id", start, F.size("window").alias("n_words"), "distance", similarity("a", "b").alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start"), "n_words", -F.col("distance")))
+    return scored.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of ``benchmark``."""
-    gone = leaks(docs, benchmark, least).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
-    gone = written(gone)
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_mark")), "left_anti")
+    """The rows of ``docs`` that hold no passage of ``benchmark``, with their columns and repeats.
+
+    Null and empty texts hold none, and stay. An empty benchmark leaves every row, an empty table none.
+    """
+    gone = written(leaks(docs, benchmark, least).select("doc_id", "mark").distinct())
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text")) == F.col("mark")), "left_anti").select("row.*")
