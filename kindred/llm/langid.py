@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -106,22 +106,36 @@ def fit(docs: DataFrame, a_language: int = 400, most_languages: int = 256, **opt
     """A model from documents that aren't held out and have a language and a letter.
 
     The sample is bounded: at most ``a_language`` documents of each of the ``most_languages`` languages first in order,
-    by a hash of id and length. Their ids (not texts) are ranked, and at most that many texts reach the driver.
+    those of the least hashes of id and length (equal hashes by id). A language's documents never meet in one task: they
+    are counted, and the count says below which hash enough of them lie. Their ids reach the driver first (four times
+    the sample at most), then the texts of the sample. Of rows with one id that of the least text counts; an empty table gives a model without
+    languages.
     """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) / float(1 << 53)  # 0 to 1
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").alias("chars"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "chars"), "doc_id"))
-    ids = rows.withColumn("rank", rank).where(F.col("rank") <= a_language)
-    ids = ids.orderBy("rank", "lang", "doc_id").limit(a_language * most_languages).select("doc_id", "lang", "rank").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("binary").alias("text"))
-    sample = texts.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", "rank", "doc_id").limit(a_language * most_languages).collect()
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), place.alias("place"))
+    counts = rows.groupBy("lang").count().orderBy("lang").limit(most_languages).collect()
+    if not counts:
+        return KernelRidge.fit([], [], **options)
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 1.0 if r["count"] <= 4 * a_language else 2 * a_language / r["count"])))
+    near = rows.where(F.col("place") < F.try_element_at(below, F.col("lang"))).orderBy("place").limit(4 * a_language * len(counts)).collect()
+    ids: list[tuple] = []
+    for r in counts:
+        of = sorted({(x["place"], x["doc_id"]) for x in near if x["lang"] == r["lang"]})[:a_language]
+        ids += [(doc_id, r["lang"], rank) for rank, (_, doc_id) in enumerate(of)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, lang string, rank int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
+    sample = texts.join(chosen, ["doc_id", "lang"]).groupBy("lang", "rank", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect()  # a row an id
     return KernelRidge.fit([bytes(r["text"]) for r in sample if r["text"]], [r["lang"] for r in sample if r["text"]], **options)
 
 
 def predict(docs: DataFrame, model: KernelRidge, batch: int = 64) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs``; only its text is looked at.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned.
+    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned. Texts
+    are read whole, however long. Of languages with equal values the first by name is predicted. Repeated rows are
+    predicted alike, each counted; a null doc_id isn't held out; an empty table gives no rows. Other columns than
+    ``doc_id`` and ``text`` are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the code table and landmarks alone
 
@@ -146,5 +160,5 @@ def predict(docs: DataFrame, model: KernelRidge, batch: int = 64) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fits on the labelled documents of ``docs`` that aren't held out, and predicts all of ``docs``."""
+    """Fits on the labelled documents of ``docs`` that aren't held out (see ``fit``), and predicts all of ``docs`` (see ``predict``)."""
     return predict(docs, fit(docs))
