@@ -3,6 +3,10 @@
 Consecutive windows of ``WINDOW`` words that share a minimiser (their least hash of ``MER`` words) travel as one packed
 string to the minimiser's bucket; equal windows share a minimiser, so they meet there, are sorted and counted exactly.
 
+A minimiser that holds more than a bucket should (a frequent phrase in ever other contexts) is split: its windows go by a
+hash of all their words, which equal windows share as well. Which are heavy is judged on a sample, and bounded: one that
+isn't listed holds under a ``HEAVY``-th of all packed bytes. The list decides where windows meet, never whether they do.
+
 Of equal packed strings in one batch of documents only the earliest travels: every window of the others starts earlier
 in it, and their words are marked at once. So a passage in a third of all documents sends one string a batch.
 """
@@ -25,11 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import release, values, written
 
-WINDOW, MER = 20, 3
+WINDOW, MER = 20, 5
 #: Windows in a packed string at most, so that a text of one word does not make one huge string.
 RUN = 128
 #: Bytes of text whose packed strings are sought and compared in a bucket, and that a task packs at once.
 BUCKET_BYTES, BATCH_BYTES = 4 << 20, 6 << 20
+#: A minimiser is heavy above so many packed bytes, by a sample of one document in ``SAMPLE``; ``HEAVY`` are listed at most.
+HEAVY_BYTES, SAMPLE, HEAVY = 2 * BUCKET_BYTES, 64, 1_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAST = -(1 << 63)
 
@@ -59,11 +65,28 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def super_kmers(words: list[bytes], known: WordHashes) -> Iterator[tuple[int, int, bytes]]:
-    """``(minimiser, first window, packed words)`` that together hold each window of ``words`` once."""
+def window_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each window's words."""
+    sums = np.zeros(len(hashes) - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        sums = (sums ^ hashes[k : k + len(sums)]) * np.uint64(0x9E3779B97F4A7C15)
+        sums ^= sums >> np.uint64(29)
+    return sums
+
+
+def super_kmers(words: list[bytes], known: WordHashes, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """``(key, first window, packed words)`` that together hold each window of ``words`` once.
+
+    The key is the windows' minimiser or, for one of the sorted ``heavy``, their hash.
+    """
     if len(words) < WINDOW:
         return
-    least = minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    least = minimisers(hashes)
+    if len(heavy):
+        split = heavy[np.searchsorted(heavy[:-1], least)] == least
+        if split.any():
+            least = np.where(split, window_hashes(hashes), least)
     cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
     starts = np.concatenate([[0], cuts])
     ends = np.concatenate([cuts, [len(least)]])
@@ -77,21 +100,40 @@ def super_kmers(words: list[bytes], known: WordHashes) -> Iterator[tuple[int, in
         yield m, s, text[a:b]
 
 
+def heavy_minimisers(docs: DataFrame) -> np.ndarray:
+    """Sorted minimisers that hold more than ``HEAVY_BYTES`` of different packed strings, by a sample of ``docs (id, mark, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = WordHashes(), np.zeros(0, np.uint64)
+        for b in batches:
+            for text in values(b.column(0)):
+                found = [(m, xxhash.xxh64_intdigest(string), len(string)) for m, _, string in super_kmers((text or b"").split(), known, none)]
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns], ["minimiser", "string", "bytes"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id", "mark"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary"))
+    strings = sample.mapInArrow(run, "minimiser long, string long, bytes long").distinct()
+    held = strings.groupBy("minimiser").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") * SAMPLE > HEAVY_BYTES)
+    found = held.orderBy(F.col("bytes").desc(), "minimiser").limit(HEAVY).select("minimiser").toPandas()
+    return np.sort(found["minimiser"].to_numpy(np.int64).view(np.uint64))
+
+
 PACKED = "bucket int, ids array<long>, marks array<long>, starts array<int>, ends array<int>, strings binary"
 RANGES = "id long, mark long, start int, end int"
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows for buckets: packed strings with their places, or word ranges already known to be repeats (``ends``)."""
+    listed = docs.sparkSession.sparkContext.broadcast(heavy_minimisers(docs))  # 8 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+        known, squeeze, heavy = WordHashes(), zstandard.ZstdCompressor(level=1), listed.value
         for b in batches:
             at = 0
             sizes = np.cumsum(pc.binary_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             while at < b.num_rows:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
-                yield pack_batch(b.slice(at, end - at), known, squeeze, buckets)
+                yield pack_batch(b.slice(at, end - at), known, squeeze, buckets, heavy)
                 at = end
         known.clear()
         release()
@@ -99,12 +141,12 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("id", "mark", F.col("text").cast("binary")).mapInArrow(run, PACKED)
 
 
-def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.ZstdCompressor, buckets: int) -> pa.RecordBatch:
+def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.ZstdCompressor, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
     first: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest place of a string: id, start, mark, minimiser
     alike: list[tuple[bytes, tuple[int, int, int, int]]] = []  # further rows at that very place
     repeats: list[tuple[int, int, int, int]] = []
     for doc, mark, text in zip(*map(values, batch.columns), strict=True):
-        for m, start, string in super_kmers((text or b"").split(), known):
+        for m, start, string in super_kmers((text or b"").split(), known, heavy):
             place = (doc, start, mark, m)
             if (was := first.setdefault(string, place)) is not place:
                 if was[:2] == place[:2]:  # neither is earlier
@@ -241,5 +283,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs``."""
+    """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs``; see ``without_repeats`` for awkward ones."""
     return without_repeats(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
