@@ -14,29 +14,50 @@ from kindred.llm.packing import pack
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the label model keeps."""
+    """Documents that the label model keeps, with their columns.
+
+    Null and blank texts, and texts that fail the base check, go. Texts are read whole. Repeated rows are judged alike,
+    and all stay or go. An empty table gives no rows.
+    """
     return quality.keep(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: texts of a five-word similarity of 0.8."""
+    """One document, that of the smallest id, of each group of near-duplicates: texts of a five-word similarity of 0.8.
+
+    Null and blank texts are a group. A null id gives way to any other; of rows equal in id and text one stays, and of
+    rows with one id but other texts that of the least hash. Texts are compared whole. An empty table gives no rows.
+    """
     return simhash.representatives(docs, least=simhash.SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 20 words or more that start earlier in the corpus."""
+    """All documents, without the passages of 20 words or more that start earlier in the corpus.
+
+    ``n_chars``, where there is such a column, becomes the length of what is left. Null, empty and short texts stay as
+    they are; a text of which nothing is left is empty. Of rows with one id neither is earlier. An empty table gives no rows.
+    """
     done = substring.without_repeats(docs)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
-    return done.select("row.*", text.alias("kept_text")).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}).drop("kept_text")
+    cut = {"text": text, "n_chars": F.length(text)}
+    return done.select(*((cut[f.name].cast(f.dataType) if f.name in cut else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark, with their columns and repeats.
+
+    Null and empty texts hold none, and stay. Texts are searched whole. An empty benchmark leaves every row, an empty
+    table none.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens.
+
+    A null or empty text is the end id alone; a text longer than a sequence is cut. Rows with one id are documents of
+    their own. An empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
