@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def framed(q: DataFrame, labels: DataFrame, sexes: DataFrame) -> DataFrame:
     """``q`` with ``superpopulation``, ``sex`` and ``grp``: reference where the sample is labelled, else study."""
@@ -82,8 +84,6 @@ def admixture_em(d: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataF
     Each round is two joins and two aggregations on dosages by variant and sample; starts are hashes, so runs repeat.
     Meant for moderate K: a dosage makes K rows a round, before any shuffle. Rounds are written to the shared folder.
     """
-    from ..sources.sinks import written
-
     d = d.where("dosage is not null").select("sample_id", "rsid", "dosage")
     comps = F.array(*map(F.lit, range(k)))
     noise = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000)) / 1000.0

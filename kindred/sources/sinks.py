@@ -1,32 +1,13 @@
-"""Writers: reports as tables of text, audits with joined reasons, and tables for reuse in the shared folder."""
+"""Writers: reports as tables of text, frequencies by population, and audits with joined reasons."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import qc
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which ends its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def six(c: str) -> Column:
     """Six decimals, for text only."""
     return F.format_string("%.6f", F.col(c)).alias(c)
