@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written
+
+__all__ = ["connected_components", "few", "release", "shared_folder", "table", "values", "written"]
+
 #: A word is a longest run without ASCII white space; ``bytes.split()`` cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,28 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, so that a lost executor costs no recomputation of what led to it.
-
-    The files are deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def few(pages: DataFrame, n: int, each: int | None = None) -> list[str]:
     """The html of ``n`` pages at most, first by a hash of id and URL, and of each the first ``each`` characters.
 
