@@ -98,18 +98,18 @@ def cv_errors(spark, sf_dir):
     return ancestry.cv_errors(rows)
 
 
-POINTS = "SELECT sample_id, pop, CASE WHEN sample_id % 8 < 4 THEN 'A' ELSE 'B' END AS region, CAST(SUM(dosage) FILTER (pos % 2000 = 0) AS DOUBLE) / 8 AS x, CAST(SUM(dosage) FILTER (pos % 3000 = 0) AS DOUBLE) / 8 AS y FROM d GROUP BY sample_id, pop"
-CENTRES = f"{CTE}, t AS ({POINTS}), c AS (SELECT region, pop AS population, COUNT(*) AS n_ref, AVG(x) AS cx, AVG(y) AS cy FROM t WHERE sample_id % 5 <> 0 GROUP BY ALL)"
+POINTS = "SELECT sample_id, pop, CASE WHEN sample_id % 8 < 4 THEN 'A' ELSE 'B' END AS region, CAST(SUM(dosage) FILTER (ref = 'A') AS DOUBLE) / 8 AS x, CAST(SUM(dosage) FILTER (alt = 'T') AS DOUBLE) / 8 AS y FROM d GROUP BY sample_id, pop"
+CENTRES = f"{CTE}, t AS ({POINTS}), c AS (SELECT region, pop AS population, COUNT(*) AS n_ref, AVG(x) AS cx, AVG(y) AS cy FROM t WHERE pop <> 'west' GROUP BY ALL)"
 
 
 def points(spark, sf_dir):
     d = dosages(spark, sf_dir)
-    total = lambda m: F.sum(F.when(F.col("pos") % m == 0, F.col("dosage"))).cast("double") / 8
-    return d.groupBy("sample_id", "pop").agg(F.array(total(2000), total(3000)).alias("pcs")).withColumn("region", F.when(F.col("sample_id") % 8 < 4, "A").otherwise("B"))
+    total = lambda side: F.sum(F.when(side, F.col("dosage"))).cast("double") / 8
+    return d.groupBy("sample_id", "pop").agg(F.array(total(F.col("ref") == "A"), total(F.col("alt") == "T")).alias("pcs")).withColumn("region", F.when(F.col("sample_id") % 8 < 4, "A").otherwise("B"))
 
 
 def centres(spark, sf_dir):
-    t = points(spark, sf_dir).where("sample_id % 5 <> 0")
+    t = points(spark, sf_dir).where("pop <> 'west'")
     return linalg.centroids(t.select("sample_id", "pcs"), t.select("sample_id", "region", F.col("pop").alias("population")), 2)
 
 
@@ -121,12 +121,12 @@ def centroids(spark, sf_dir):
 
 @query(
     "j17_w03_closest",
-    f"""{CENTRES}, e AS (SELECT sample_id, region, population, n_ref, SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS dist FROM (SELECT sample_id, x, y FROM t WHERE sample_id % 5 = 0) CROSS JOIN c),
+    f"""{CENTRES}, e AS (SELECT sample_id, region, population, n_ref, SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS dist FROM (SELECT sample_id, x, y FROM t WHERE pop = 'west') CROSS JOIN c),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY dist, region, population) AS rank, MIN(dist) OVER (PARTITION BY sample_id) AS best FROM e)
     SELECT sample_id, CAST(rank AS INTEGER) AS rank, region, population, concat('[', region, '] ', population) AS label, n_ref, ROUND(dist,6) AS distance, dist<=best*1.15 AS close FROM r WHERE rank<=5""",
 )
 def closest(spark, sf_dir):
-    study = points(spark, sf_dir).where("sample_id % 5 = 0").select("sample_id", "pcs")
+    study = points(spark, sf_dir).where("pop = 'west'").select("sample_id", "pcs")
     return linalg.closest(study, centres(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 

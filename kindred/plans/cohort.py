@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..operators import counts, filters, ld, linalg, popgen, sexbias
 from ..params import DEFAULT
-from .fixture import genotypes, genotypes_sql
+from .fixture import GENOTYPES_SQL, genotypes
 from .registry import query
 
 #: The test tables have 16 % of calls missing, so thresholds are looser than the defaults.
 LOOSE = replace(DEFAULT, geno=0.30, mind=0.40, maf=0.05)
 
-CTE = f"""WITH g AS ({genotypes_sql()}),
+CTE = f"""WITH g AS ({GENOTYPES_SQL}),
 u AS (SELECT * FROM g WHERE gs >= 0.15 AND regexp_matches(gt, '^[ACGT][ACGT]$')),
 d AS (SELECT *, CASE WHEN gs >= 0.15 AND substr(gt,1,1) IN (ref,alt) AND substr(gt,2,1) IN (ref,alt)
   THEN (substr(gt,1,1)=alt)::INT + (substr(gt,2,1)=alt)::INT END AS dosage FROM g)"""
@@ -166,24 +166,28 @@ SIGNALS = f"""{CTE}, s AS (SELECT sample_id, CASE WHEN chrom='X' THEN 'x' ELSE '
 @query(
     "f16_nmf_variants",
     f"""{SIGNALS}, c AS (SELECT region, rsid, COUNT(*) AS called, CAST(SUM(signal) AS DOUBLE) AS t FROM s GROUP BY ALL),
-    v AS (SELECT *, LEAST(1.0, called/40.0) AS call_rate, t/called - (t/called)*(t/called) AS variance FROM c)
+    v AS (SELECT *, LEAST(1.0, called/(SELECT CAST(COUNT(DISTINCT sample_id) AS DOUBLE) FROM g)) AS call_rate, t/called - (t/called)*(t/called) AS variance FROM c)
     SELECT region, rsid, called, ROUND(call_rate,6) AS call_rate, ROUND(variance,6) AS variance, CASE WHEN call_rate<0.8 THEN 'low_call_rate' WHEN variance<=0 THEN 'zero_variance' ELSE 'pass' END AS filter FROM v""",
 )
 def nmf_variants(spark, sf_dir):
-    rows = sexbias.variant_filter(sexbias.signals(genotypes(spark, sf_dir)), 40)
+    g = genotypes(spark, sf_dir)
+    rows = sexbias.variant_filter(sexbias.signals(g), g.select("sample_id").distinct().count())
     return rows.select("region", "rsid", "called", F.round("call_rate", 6).alias("call_rate"), F.round("variance", 6).alias("variance"), "filter")
 
 
 @query(
     "f17_nmf_samples",
-    f"""{SIGNALS}, c AS (SELECT sample_id, COUNT(*) FILTER (region='auto') AS auto, COUNT(*) FILTER (region='x') AS x FROM s GROUP BY sample_id)
-    SELECT *, CASE WHEN auto<120 THEN 'low_autosome_signal' WHEN x<14 THEN 'low_x_signal' ELSE 'pass' END AS filter FROM c""",
+    f"""{SIGNALS}, c AS (SELECT sample_id, COUNT(*) FILTER (region='auto') AS auto, COUNT(*) FILTER (region='x') AS x FROM s GROUP BY sample_id),
+    v AS (SELECT COUNT(DISTINCT rsid) FILTER (chrom<>'X') AS va, COUNT(DISTINCT rsid) FILTER (chrom='X') AS vx FROM g)
+    SELECT c.*, CASE WHEN auto<va*75//100 THEN 'low_autosome_signal' WHEN x<vx*75//100 THEN 'low_x_signal' ELSE 'pass' END AS filter FROM c, v""",
 )
 def nmf_samples(spark, sf_dir):
-    return sexbias.sample_filter(sexbias.signals(genotypes(spark, sf_dir)), 120, 14)
+    g = genotypes(spark, sf_dir)
+    auto, x = g.agg(F.count_distinct(F.when(F.col("chrom") != "X", F.col("rsid"))), F.count_distinct(F.when(F.col("chrom") == "X", F.col("rsid")))).first()
+    return sexbias.sample_filter(sexbias.signals(g), auto * 75 // 100, x * 75 // 100)
 
 
-@query("f18_overlap", f"{CTE} SELECT sample_id, COUNT(dosage) AS observed, COUNT(dosage) >= 120 AS kept FROM d GROUP BY sample_id HAVING COUNT(dosage)>0")
+@query("f18_overlap", f"{CTE} SELECT sample_id, COUNT(dosage) AS observed, COUNT(dosage) >= (SELECT CEIL(0.8*COUNT(DISTINCT rsid)) FROM g) AS kept FROM d GROUP BY sample_id HAVING COUNT(dosage)>0")
 def overlap(spark, sf_dir):
     d = dosages(spark, sf_dir)
     return filters.enough_overlap(d, d.select("rsid").distinct(), 0.8)
@@ -196,13 +200,13 @@ def unambiguous(spark, sf_dir):
 
 @query(
     "f14_pca_prefilter",
-    f"""{CTE}, v AS (SELECT DISTINCT rsid, chrom, pos, CASE WHEN pos%7000=0 THEN 'N' ELSE ref END AS a1, CASE WHEN pos%11000=0 THEN ref ELSE alt END AS a2 FROM g),
-    m AS (SELECT * FROM v WHERE pos%13000<>0)
+    f"""{CTE}, v AS (SELECT DISTINCT rsid, chrom, pos, alt, CASE WHEN pos%7000=0 THEN 'N' ELSE ref END AS a1, CASE WHEN pos%11000=0 THEN ref ELSE alt END AS a2 FROM g),
+    m AS (SELECT * FROM v WHERE alt<>'C')
     SELECT rsid, chrom, pos, concat_ws(';', CASE WHEN a1='N' THEN 'bad_alleles' END, CASE WHEN a1<>'N' AND a1=a2 THEN 'monomorphic' END, CASE WHEN rsid NOT IN (SELECT rsid FROM m) THEN 'off_map' END) AS reasons FROM v""",
 )
 def pca_prefilter(spark, sf_dir):
-    v = genotypes(spark, sf_dir).select("rsid", "chrom", "pos", F.when(F.col("pos") % 7000 == 0, "N").otherwise(F.col("ref")).alias("a1"), F.when(F.col("pos") % 11000 == 0, F.col("ref")).otherwise(F.col("alt")).alias("a2")).distinct()
-    return filters.pca_prefilter(v, v.where("pos % 13000 <> 0")).select("rsid", "chrom", "pos", "reasons")
+    v = genotypes(spark, sf_dir).select("rsid", "chrom", "pos", "alt", F.when(F.col("pos") % 7000 == 0, "N").otherwise(F.col("ref")).alias("a1"), F.when(F.col("pos") % 11000 == 0, F.col("ref")).otherwise(F.col("alt")).alias("a2")).distinct()
+    return filters.pca_prefilter(v, v.where("alt <> 'C'")).select("rsid", "chrom", "pos", "reasons")
 
 
 @query("f23_range", f"{CTE} SELECT sample_id, rsid, gt FROM g WHERE chrom='6' AND pos BETWEEN 30000 AND 110000")

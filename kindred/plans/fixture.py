@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def genotypes_sql(samples: int = 40, variants: int = 150) -> str:
-    """Rows ``(sample_id, pop, sex, chrom, pos, rsid, ref, alt, gt, gs)``, one a sample and variant at most."""
-    return f"""
+#: Rows ``(sample_id, pop, sex, chrom, pos, rsid, ref, alt, gt, gs)``, one a sample and variant at most. Every order line is
+#: a call: suppliers are dealt to samples, of which there are five times the root of the suppliers, and a sample's lines
+#: are its variants in order. So samples and variants grow with the tables, and those with fewer lines lack the last ones.
+GENOTYPES_SQL = """
 SELECT sample_id, pop, sex, chrom, pos, rsid, ref, alt, CASE WHEN nocall THEN '--' ELSE concat(a1, a2) END AS gt, gs
 FROM (
   SELECT b.*,
@@ -25,20 +26,20 @@ FROM (
       (k * 31 + n * 17) % 100 AS u1, (k * 53 + n * 29 + 11) % 100 AS u2,
       (v * 37) % 90 + (s % 4) * 3 AS thr,
       (k * 13 + n * 7) % 50 = 0 AS nocall, (k * 19 + n * 3) % 211 = 0 AS rare,
-      CAST((k + n) % 100 AS DOUBLE) / 100.0 AS gs,
-      ROW_NUMBER() OVER (PARTITION BY s, v ORDER BY k, n, p, q, x) AS rn
-    FROM (SELECT l_suppkey % {samples} AS s, l_partkey % {variants} AS v, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS q, l_extendedprice AS x FROM lineitem) l0
-  ) b WHERE rn = 1
+      CAST((k + n) % 100 AS DOUBLE) / 100.0 AS gs
+    FROM (SELECT s, k, n, ROW_NUMBER() OVER (PARTITION BY s ORDER BY k, n, p, q, x) - 1 AS v
+      FROM (SELECT l_suppkey % (SELECT 5 * CAST(CEIL(SQRT(COUNT(*))) AS BIGINT) FROM supplier) AS s, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS q, l_extendedprice AS x FROM lineitem) l0) l1
+  ) b
 ) c"""
 
 
-def genotypes(spark: SparkSession, sf_dir: str, samples: int = 40, variants: int = 150) -> DataFrame:
-    return sql(spark, sf_dir, genotypes_sql(samples, variants))
+def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, GENOTYPES_SQL)
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     """A query over tables of ``sf_dir`` by name, without leaving views behind."""
-    names = tables or ("lineitem",)
+    names = tables or ("lineitem", "supplier")
     for t in names:
         text = text.replace(f" {t}", f" {{{t}}}")
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
@@ -60,7 +61,7 @@ FROM (SELECT r.*, CASE WHEN gs < 0.05 THEN '' ELSE '0.75' END AS gst, ROW_NUMBER
 
 
 def lines_sql() -> str:
-    return LINES_SQL.replace("genotypes r", f"({genotypes_sql()}) r")
+    return LINES_SQL.replace("genotypes r", f"({GENOTYPES_SQL}) r")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +90,7 @@ SELECT CAST(s.c_custkey AS BIGINT) AS sample_id, k.component, k.region,
   CAST(CASE WHEN s.c_custkey % 4 = k.component THEN 60 + (s.c_custkey + k.shift) % 20 ELSE 10 + (s.c_custkey * 3 + k.component + k.shift) % 9 END AS DOUBLE) / 100.0 AS q
 FROM customer s CROSS JOIN (
   SELECT 0 AS component, 'auto' AS region, 0 AS shift UNION ALL SELECT 1, 'auto', 0 UNION ALL SELECT 2, 'auto', 0
-  UNION ALL SELECT 0, 'x', 5 UNION ALL SELECT 1, 'x', 5 UNION ALL SELECT 2, 'x', 5) k
-WHERE s.c_custkey <= 400"""
+  UNION ALL SELECT 0, 'x', 5 UNION ALL SELECT 1, 'x', 5 UNION ALL SELECT 2, 'x', 5) k"""
 
 
 def proportions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ ms AS (SELECT * FROM w JOIN rf USING (locus_key) WHERE east IS NOT NULL AND nort
 MAF = "LEAST({0},1-{0})"
 
 
-def frequencies(spark: SparkSession, sf_dir: str, **size: int) -> DataFrame:
-    return counts.population_af(genotypes(spark, sf_dir, **size))
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.population_af(genotypes(spark, sf_dir))
 
 
 def reference(af: DataFrame) -> DataFrame:
@@ -136,16 +136,16 @@ def aims(spark, sf_dir):
 
 @query(
     "u02_combined_panels",
-    f"""{CTE}, v AS (SELECT DISTINCT rsid AS locus_key, pos FROM g), p AS (
-    SELECT 0 AS pr, 'a' AS panel, locus_key, ROW_NUMBER() OVER (ORDER BY pos) AS rank FROM v WHERE pos%3000=0 UNION ALL SELECT 1, 'b', locus_key, ROW_NUMBER() OVER (ORDER BY pos DESC) FROM v WHERE pos%2000=0),
+    f"""{CTE}, v AS (SELECT DISTINCT rsid AS locus_key, pos, ref, alt FROM g), p AS (
+    SELECT 0 AS pr, 'a' AS panel, locus_key, ROW_NUMBER() OVER (ORDER BY pos) AS rank FROM v WHERE ref='A' UNION ALL SELECT 1, 'b', locus_key, ROW_NUMBER() OVER (ORDER BY pos DESC) FROM v WHERE alt='T'),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY locus_key ORDER BY pr, rank) AS n FROM p) SELECT panel, locus_key, CAST(rank AS INTEGER) AS rank FROM r WHERE n=1""",
 )
 def combined_panels(spark, sf_dir):
     from pyspark.sql import Window
 
-    v = genotypes(spark, sf_dir).select(F.col("rsid").alias("locus_key"), "pos").distinct()
-    a = v.where("pos % 3000 = 0").select(F.lit("a").alias("panel"), "locus_key", F.row_number().over(Window.orderBy("pos")).alias("rank"))
-    b = v.where("pos % 2000 = 0").select(F.lit("b").alias("panel"), "locus_key", F.row_number().over(Window.orderBy(F.desc("pos"))).alias("rank"))
+    v = genotypes(spark, sf_dir).select(F.col("rsid").alias("locus_key"), "pos", "ref", "alt").distinct()
+    a = v.where("ref = 'A'").select(F.lit("a").alias("panel"), "locus_key", F.row_number().over(Window.orderBy("pos")).alias("rank"))
+    b = v.where("alt = 'T'").select(F.lit("b").alias("panel"), "locus_key", F.row_number().over(Window.orderBy(F.desc("pos"))).alias("rank"))
     return popgen.combined_aims([a, b]).select("panel", "locus_key", "rank")
 
 
@@ -157,12 +157,12 @@ def common_variants(spark, sf_dir):
 
 @query(
     "u04_j20_differences",
-    f"""{CTE}, a AS (SELECT DISTINCT rsid FROM g WHERE sample_id<6 AND pos%2000=0), b AS (SELECT DISTINCT rsid FROM g WHERE sample_id<6 AND pos%3000=0)
+    f"""{CTE}, a AS (SELECT DISTINCT rsid FROM g WHERE pop='north' AND gt='--'), b AS (SELECT DISTINCT rsid FROM g WHERE pop='south' AND gt='--')
     SELECT 'left' AS side, rsid FROM a WHERE rsid NOT IN (SELECT rsid FROM b) UNION ALL SELECT 'right', rsid FROM b WHERE rsid NOT IN (SELECT rsid FROM a)""",
 )
 def differences(spark, sf_dir):
-    g = genotypes(spark, sf_dir).where("sample_id < 6")
-    return popgen.set_differences(g.where("pos % 2000 = 0"), g.where("pos % 3000 = 0"), "rsid")
+    g = genotypes(spark, sf_dir).where("gt = '--'")
+    return popgen.set_differences(g.where("pop = 'north'"), g.where("pop = 'south'"), "rsid")
 
 
 @query(

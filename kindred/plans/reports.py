@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import popgen, reports, synth
-from .fixture import CALLS_SQL, calls, genotypes, genotypes_sql, sql
+from .fixture import CALLS_SQL, GENOTYPES_SQL, calls, genotypes, sql
 from .registry import query
 
 C = f"WITH c AS ({CALLS_SQL})"
@@ -124,7 +124,7 @@ def gene_calls(spark, sf_dir):
 
 @query(
     "j23_full_files",
-    f"WITH g AS ({genotypes_sql()}), t AS (SELECT DISTINCT chrom, pos, rsid FROM g), o AS (SELECT chrom, pos, gt FROM g WHERE sample_id=3) SELECT t.chrom, t.pos, t.rsid, COALESCE(o.gt,'--') AS gt FROM t LEFT JOIN o ON t.chrom=o.chrom AND t.pos=o.pos",
+    f"WITH g AS ({GENOTYPES_SQL}), t AS (SELECT DISTINCT chrom, pos, rsid FROM g), o AS (SELECT chrom, pos, gt FROM g WHERE sample_id=3) SELECT t.chrom, t.pos, t.rsid, COALESCE(o.gt,'--') AS gt FROM t LEFT JOIN o ON t.chrom=o.chrom AND t.pos=o.pos",
 )
 def full_files(spark, sf_dir):
     g = genotypes(spark, sf_dir)
@@ -155,7 +155,7 @@ def cohort_plan(spark, sf_dir):
 
 @query(
     "y02_overlay",
-    f"""WITH g AS ({genotypes_sql()}), b AS (SELECT DISTINCT rsid, chrom, pos, ref, alt FROM g WHERE pos<=20000), p AS (SELECT concat('P', lpad(CAST(i+1 AS VARCHAR),6,'0')) AS participant_id, ['a','b','c'][i%3+1] AS island FROM range(60) t(i))
+    f"""WITH g AS ({GENOTYPES_SQL}), b AS (SELECT DISTINCT rsid, chrom, pos, ref, alt FROM g WHERE pos<=20000), p AS (SELECT concat('P', lpad(CAST(i+1 AS VARCHAR),6,'0')) AS participant_id, ['a','b','c'][i%3+1] AS island FROM range(60) t(i))
     SELECT participant_id, rsid, chrom, pos, CASE WHEN island='b' THEN concat(alt,alt) ELSE concat(ref,ref) END AS gt FROM p CROSS JOIN b""",
 )
 def overlay(spark, sf_dir):

@@ -8,7 +8,7 @@ from ..functions import genotype as G
 from ..functions import labels as L
 from ..operators import qc
 from ..sources import tables, text
-from .fixture import genotypes, genotypes_sql, lines, lines_sql
+from .fixture import GENOTYPES_SQL, genotypes, lines, lines_sql
 from .registry import query
 
 TAB = "chr(9)"
@@ -33,7 +33,7 @@ def canonical_rows(spark, sf_dir):
 
 @query(
     "w05_g30_replicates",
-    f"""WITH g AS ({genotypes_sql()}), r AS (SELECT concat('p', CAST(sample_id AS VARCHAR)) AS participant_id, pos AS line_number, concat('v', CAST((pos//1000)%40 AS VARCHAR)) AS variant_id, gt FROM g),
+    f"""WITH g AS ({GENOTYPES_SQL}), r AS (SELECT concat('p', CAST(sample_id AS VARCHAR)) AS participant_id, pos AS line_number, concat('v', CAST((pos//1000)%40 AS VARCHAR)) AS variant_id, gt FROM g),
     c AS (SELECT *, COUNT(DISTINCT gt) FILTER (gt<>'--') OVER (PARTITION BY participant_id, variant_id) AS k, ROW_NUMBER() OVER (PARTITION BY participant_id, variant_id ORDER BY (gt='--')::INT DESC, line_number DESC) AS n FROM r)
     SELECT participant_id, variant_id, line_number, CASE WHEN k>1 THEN '--' ELSE gt END AS gt FROM c WHERE n=1""",
 )
@@ -125,7 +125,7 @@ TOKENS = "SELECT DISTINCT rsid, chrom, pos, ref, alt, gt, concat(CASE WHEN pos%3
 
 @query(
     "x01_x10_normalised_fields",
-    f"""WITH g AS ({genotypes_sql()}), t AS ({TOKENS}) SELECT rsid, gt, upper(regexp_replace(trim(raw_chrom),'^(chr|CHR)','')) AS chrom, CASE WHEN chrom='X' THEN 23 ELSE CAST(chrom AS INTEGER) END AS plink,
+    f"""WITH g AS ({GENOTYPES_SQL}), t AS ({TOKENS}) SELECT rsid, gt, upper(regexp_replace(trim(raw_chrom),'^(chr|CHR)','')) AS chrom, CASE WHEN chrom='X' THEN 23 ELSE CAST(chrom AS INTEGER) END AS plink,
     CASE WHEN raw_id IN ('','.') THEN '' WHEN lower(raw_id) LIKE 'rs%' THEN raw_id ELSE concat('rs',raw_id) END AS id, CASE WHEN raw_id IN ('','.') OR lower(raw_id) NOT LIKE 'rs%' THEN '' ELSE concat('rs',substr(raw_id,3)) END AS extracted,
     CASE WHEN gt IN ('--','NN') THEN '--' ELSE gt END AS genotype, CASE WHEN gt IN ('--','NN') THEN 'no_call' ELSE 'snp' END AS kind, CASE WHEN gt NOT IN ('--','NN') THEN (substr(gt,1,1)<>substr(gt,2,1))::INT END AS signal,
     concat(LEAST(ref,alt),GREATEST(ref,alt)) IN ('AT','CG') AS ambiguous, concat_ws('-',chrom,CAST(pos AS VARCHAR),ref,alt) AS locus_key FROM t""",
@@ -154,12 +154,12 @@ def label_fields(spark, sf_dir):
 
 @query(
     "s18_keyed_af",
-    f"WITH g AS ({genotypes_sql()}), v AS (SELECT DISTINCT chrom, pos, ref, alt FROM g) SELECT chrom, pos, ref, alt, CASE WHEN pos%3000<>0 THEN CAST((pos//1000)%10 AS DOUBLE)/16 END AS allele_freq FROM v",
+    f"WITH g AS ({GENOTYPES_SQL}), v AS (SELECT DISTINCT chrom, pos, ref, alt FROM g) SELECT chrom, pos, ref, alt, CASE WHEN ref<>'G' THEN CAST((pos//1000)%10 AS DOUBLE)/16 END AS allele_freq FROM v",
 )
 def keyed_af(spark, sf_dir):
     v = genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
     key = F.when(F.col("pos") % 2000 == 0, F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")).otherwise(G.locus_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
-    af = v.where("pos % 3000 <> 0").select(key.alias("locus_key"), ((F.floor(F.col("pos") / 1000) % 10) / 16).alias("allele_freq"), F.lit(10).alias("allele_number"))
+    af = v.where("ref <> 'G'").select(key.alias("locus_key"), ((F.floor(F.col("pos") / 1000) % 10) / 16).alias("allele_freq"), F.lit(10).alias("allele_number"))
     return tables.keyed_af(af, v)[0].select("chrom", "pos", "ref", "alt", "allele_freq")
 
 
@@ -171,7 +171,7 @@ def vcf_dosage(spark, sf_dir):
 
 @query(
     "g18_summary",
-    f"""WITH g AS ({genotypes_sql()}) SELECT COUNT(*) AS rows, COUNT(DISTINCT rsid) AS variants, COUNT(DISTINCT rsid) AS rsids, COUNT(*) FILTER (gt='--') AS no_calls, CAST(0 AS BIGINT) AS by_locus FROM g""",
+    f"""WITH g AS ({GENOTYPES_SQL}) SELECT COUNT(*) AS rows, COUNT(DISTINCT rsid) AS variants, COUNT(DISTINCT rsid) AS rsids, COUNT(*) FILTER (gt='--') AS no_calls, CAST(0 AS BIGINT) AS by_locus FROM g""",
 )
 def summary(spark, sf_dir):
     return text.summary(genotypes(spark, sf_dir).withColumn("variant_id", F.col("rsid")))
@@ -179,13 +179,13 @@ def summary(spark, sf_dir):
 
 @query(
     "g18_comparison",
-    f"""WITH g AS ({genotypes_sql()}), a AS (SELECT rsid FROM g WHERE sample_id=1), b AS (SELECT rsid FROM g WHERE sample_id=2 AND pos%2000=0)
+    f"""WITH g AS ({GENOTYPES_SQL}), a AS (SELECT rsid FROM g WHERE pop='north'), b AS (SELECT rsid FROM g WHERE pop='south' AND gt<>'--')
     SELECT (SELECT COUNT(*) FROM a) AS left_rows, (SELECT COUNT(*) FROM b) AS right_rows, (SELECT COUNT(*) FROM (SELECT rsid FROM a INTERSECT SELECT rsid FROM b)) AS shared,
     (SELECT COUNT(*) FROM (SELECT rsid FROM a EXCEPT SELECT rsid FROM b)) AS left_only, (SELECT COUNT(*) FROM (SELECT rsid FROM b EXCEPT SELECT rsid FROM a)) AS right_only""",
 )
 def comparison(spark, sf_dir):
     g = genotypes(spark, sf_dir).withColumn("variant_id", F.col("rsid"))
-    return text.comparison(g.where("sample_id = 1"), g.where("sample_id = 2 and pos % 2000 = 0"))
+    return text.comparison(g.where("pop = 'north'"), g.where("pop = 'south' and gt <> '--'"))
 
 
 @query(
