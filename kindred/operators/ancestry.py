@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -79,29 +81,88 @@ def cv_errors(lines: DataFrame) -> DataFrame:
 
 
 def admixture_em(d: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataFrame:
-    """``(sample_id, component, q)``: proportions by expectation-maximisation of the binomial admixture likelihood.
+    """``(sample_id, component, q)``: proportions by expectation-maximisation of the binomial admixture likelihood."""
+    q, _ = admixture(d, k, rounds, seed)
+    return q.select("sample_id", F.posexplode("q").alias("component", "q"))
+
+
+def total(c: str) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
 
-    Each round is two joins and two aggregations on dosages by variant and sample; starts are hashes, so runs repeat.
-    Meant for moderate K: a dosage makes K rows a round, before any shuffle. Rounds are written to the shared folder.
+
+def admixture(d: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Proportions ``(sample_id, q)`` and frequencies ``(rsid, p)``, as arrays of ``k``.
+
+    ``d`` has ``(sample_id, rsid, dosage)`` and may have ``ploidy``, the number of alleles that a dosage counts (1 on a
+    male's X, else 2; null is 2). A round sums each call's shares straight to samples and to variants, one aggregation
+    each with a partial sum before its shuffle; only the two margins are written. Starts are hashes, so runs repeat.
     """
-    d = d.where("dosage is not null").select("sample_id", "rsid", "dosage")
+    ploidy = F.coalesce(F.col("ploidy"), F.lit(2)) if "ploidy" in d.columns else F.lit(2)
+    d = d.where("dosage is not null").select("sample_id", "rsid", F.col("dosage").cast("double").alias("alt"), (ploidy - F.col("dosage")).cast("double").alias("ref"))
     comps = F.array(*map(F.lit, range(k)))
     noise = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000)) / 1000.0
     q = d.select("sample_id").distinct().withColumn("q", F.transform(comps, lambda c: 0.5 + noise(F.col("sample_id"), c)))
-    q = q.withColumn("q", F.transform("q", lambda v: v / F.aggregate("q", F.lit(0.0), lambda a, b: a + b)))
-    p = d.groupBy("rsid").agg(F.avg("dosage").alias("m")).select("rsid", F.transform(comps, lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("m") / 2 + 0.2 * (noise(F.col("rsid"), c) - 0.5)))).alias("p"))
+    q = written(q.withColumn("q", F.transform("q", lambda v: v / total("q"))))
+    p = d.groupBy("rsid").agg((F.sum("alt") / F.sum(F.col("alt") + F.col("ref"))).alias("m"))
+    p = written(p.select("rsid", F.transform(comps, lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("m") + 0.2 * (noise(F.col("rsid"), c) - 0.5)))).alias("p")))
     for _ in range(rounds):
         rows = d.join(q, "sample_id").join(p, "rsid")
-        up = F.zip_with("q", "p", lambda a, b: a * b)
-        down = F.zip_with("q", "p", lambda a, b: a * (1 - b))
-        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-        rows = rows.select("sample_id", "rsid", "dosage", up.alias("up"), down.alias("down"))
-        rows = rows.select("sample_id", "rsid", F.transform("up", lambda v: F.col("dosage") * v / total("up")).alias("alt"), F.transform("down", lambda v: (2 - F.col("dosage")) * v / total("down")).alias("ref"))
-        sums = [F.sum(F.get("alt", F.lit(c))).alias(f"a{c}") for c in range(k)] + [F.sum(F.get("ref", F.lit(c))).alias(f"r{c}") for c in range(k)]
+        up, down = (F.zip_with("q", "p", f) for f in (lambda a, b: a * b, lambda a, b: a * (1 - b)))
+        rows = rows.select("sample_id", "rsid", "alt", "ref", up.alias("up"), down.alias("down"))
+        rows = rows.select("sample_id", "rsid", "up", "down", (F.col("alt") / total("up")).alias("alt"), (F.col("ref") / total("down")).alias("ref"))
+        sums = [F.sum(F.col("alt") * F.get("up", F.lit(c))).alias(f"a{c}") for c in range(k)] + [F.sum(F.col("ref") * F.get("down", F.lit(c))).alias(f"r{c}") for c in range(k)]
         share = F.array(*(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"a{c}") / F.nullif(F.col(f"a{c}") + F.col(f"r{c}"), F.lit(0.0)))) for c in range(k)))
-        rows = written(rows)
-        p = written(rows.groupBy("rsid").agg(*sums).select("rsid", share.alias("p")))
         own = F.array(*(F.col(f"a{c}") + F.col(f"r{c}") for c in range(k)))
+        after = written(rows.groupBy("rsid").agg(*sums).select("rsid", share.alias("p")))
         q = rows.groupBy("sample_id").agg(*sums).select("sample_id", own.alias("w"))
-        q = written(q.select("sample_id", F.transform("w", lambda v: v / total("w")).alias("q")))
-    return q.select("sample_id", F.posexplode("q").alias("component", "q"))
+        q, p = written(q.select("sample_id", F.transform("w", lambda v: v / total("w")).alias("q"))), after
+    return q, p
+
+
+def haploid_males(d: DataFrame, sexes: DataFrame) -> DataFrame:
+    """``d`` with ``ploidy``, and the dosages of males on the X as counts of one allele; heterozygous ones there are missing.
+
+    ``sexes`` is ``(sample_id, sex)`` with 1 or M for males. A sample without a sex counts as diploid.
+    """
+    male = F.coalesce((F.col("chrom") == "X") & F.col("sex").isin("1", "M"), F.lit(False))
+    rows = d.join(sexes.select("sample_id", "sex").distinct(), "sample_id", "left")
+    dosage = F.when(~male, F.col("dosage")).when(F.col("dosage") != 1, (F.col("dosage") / 2).cast("int"))
+    return rows.withColumns({"dosage": dosage, "ploidy": F.when(male, 1).otherwise(2)}).drop("sex")
+
+
+def cross_validated(d: DataFrame, ks: list[int], folds: int = 5, rounds: int = 20, seed: int = 7) -> DataFrame:
+    """``(k, rep, cv, seconds)``, a row a number of components and fold, as ``cv_summary`` takes them.
+
+    A fold's calls are chosen by a hash of sample and variant and left out of the fit; ``cv`` is the mean deviance of
+    their dosages under the fitted frequencies. A call of a sample or variant that the fit didn't see is left out.
+    """
+    began = time.monotonic()
+    of = F.pmod(F.xxhash64("sample_id", "rsid", F.lit(seed)), F.lit(folds))
+    d = d.where("dosage is not null").withColumn("fold", of)
+    ploidy = F.coalesce(F.col("ploidy"), F.lit(2)) if "ploidy" in d.columns else F.lit(2)
+    log = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    out = []
+    for k in ks:
+        for fold in range(folds):
+            q, p = admixture(d.where(F.col("fold") != fold).drop("fold"), k, rounds, seed + k)
+            rows = d.where(F.col("fold") == fold).withColumn("n", ploidy.cast("double")).join(q, "sample_id").join(p, "rsid")
+            mean = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.aggregate(F.zip_with("q", "p", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+            x = F.col("dosage").cast("double")
+            rows = rows.withColumn("m", mean).select((2 * (log(x, F.col("n") * F.col("m")) + log(F.col("n") - x, F.col("n") * (1 - F.col("m"))))).alias("deviance"))
+            cv = rows.agg(F.avg("deviance")).first()[0]
+            out.append((k, fold, cv, int(time.monotonic() - began)))
+            began = time.monotonic()
+    return d.sparkSession.createDataFrame(out, "k int, rep long, cv double, seconds long")
+
+
+def headline_and_females(d: DataFrame, sexes: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataFrame:
+    """``(run, sample_id, component, q)``: all samples on autosomes, and females alone on autosomes and on the X.
+
+    For software without haploid calls: the X is only compared among those with two of them. ``sexes`` is ``(sample_id,
+    sex)`` with 2 or F for females.
+    """
+    females = d.join(sexes.where(F.col("sex").isin("2", "F")).select("sample_id").distinct(), "sample_id", "left_semi")
+    auto = lambda x: x.where(F.col("chrom") != "X")
+    runs = {"headline_auto": auto(d), "female_auto": auto(females), "female_x": females.where("chrom = 'X'")}
+    parts = [admixture_em(rows, k, rounds, seed + k).select(F.lit(name).alias("run"), "sample_id", "component", "q") for name, rows in runs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

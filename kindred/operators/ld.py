@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT
+from ..sources.shared import written
 
 
 def ordered(d: DataFrame) -> DataFrame:
@@ -36,33 +35,59 @@ def pairwise_r2(d: DataFrame, window: int = DEFAULT.ld_window) -> DataFrame:
     return s.select("chrom", "a", "b", "n", (cov * cov / F.nullif(var, F.lit(0))).alias("r2"))
 
 
-def prune(d: DataFrame, window: int = DEFAULT.ld_window, most: float = DEFAULT.ld_r2) -> DataFrame:
-    """``(chrom, pos, rsid)`` that stay: each is kept unless a kept one at most ``window`` places before has r2 above ``most``.
+def links(d: DataFrame, window: int = DEFAULT.ld_window, most: float = DEFAULT.ld_r2) -> DataFrame:
+    """``(chrom, a, b)``: places of variants at most ``window`` apart, a before b, whose r2 is above ``most``.
 
-    The pass is sequential along a chromosome, and chromosomes are independent. A variant travels as one array of
-    dosages, missing ones as its mean; only those in the window are held as numbers.
+    Missing dosages count as their variant's mean. A variant travels as one array of dosages to its stretch of places,
+    and those near a stretch's end to the next as well, so a task holds a few windows of variants, whatever the
+    chromosome's length, and gives only the links.
     """
+    stretch = 4 * window
     samples = d.select("sample_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("sample_id")) - 1)
     n = samples.count()
     called = d.where("dosage is not null").join(F.broadcast(samples) if n <= 1_000_000 else samples, "sample_id")
     rows = called.groupBy("chrom", "pos", "rsid").agg(F.collect_list("k").alias("k"), F.collect_list("dosage").alias("v"))
+    rows = rows.join(ordered(d), ["chrom", "pos", "rsid"]).withColumn("cell", F.floor(F.col("ord") / stretch))
+    late = F.col("ord") % stretch >= stretch - window
+    rows = rows.select("chrom", "ord", "k", "v", F.explode(F.when(late, F.array("cell", F.col("cell") + 1)).otherwise(F.array("cell"))).alias("cell"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        place, cell = pdf["ord"].to_numpy(np.int64), int(pdf["cell"].iloc[0])
+        x = np.empty((len(pdf), n), np.float32)
+        for row, k, v in zip(x, pdf["k"], pdf["v"], strict=True):
+            row[:] = np.mean(v)
+            row[np.asarray(k)] = v
+        x -= x.mean(1, keepdims=True)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        x /= np.where(norm > 0, norm, 1)
+        apart = place[None, :] - place[:, None]
+        own = place // stretch == cell  # each pair where its later variant is at home
+        a, b = np.nonzero(((x @ x.T) ** 2 > most) & (apart > 0) & (apart <= window) & own[None, :])
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "a": place[a], "b": place[b]})
+
+    return rows.groupBy("chrom", "cell").applyInPandas(compare, "chrom string, a long, b long")
+
+
+def prune(d: DataFrame, window: int = DEFAULT.ld_window, most: float = DEFAULT.ld_r2) -> DataFrame:
+    """``(chrom, pos, rsid)`` that stay: each is kept unless a kept one at most ``window`` places before has r2 above ``most``.
+
+    Links are found in parallel (see ``links``). The greedy pass walks over them alone, and places that no link spans
+    cut a chromosome into clusters that are walked each by itself.
+    """
+    found = written(links(d, window, most))
+    far = found.groupBy("chrom", F.col("a").alias("ord")).agg(F.max("b").alias("far")).unionByName(found.select("chrom", F.col("b").alias("ord"), F.col("b").alias("far")))
+    far = far.groupBy("chrom", "ord").agg(F.max("far").alias("far"))
+    before = F.max("far").over(Window.partitionBy("chrom").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    starts = far.withColumn("new", F.coalesce(before < F.col("ord"), F.lit(True)).cast("int"))
+    cluster = starts.select("chrom", F.col("ord").alias("b"), F.sum("new").over(Window.partitionBy("chrom").orderBy("ord")).alias("cluster"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "rsid"], kind="stable")
-        near: deque[tuple[int, np.ndarray]] = deque()
-        keep = []
-        for place, (k, v) in enumerate(zip(pdf["k"], pdf["v"], strict=True)):
-            x = np.full(n, np.mean(v), np.float32)
-            x[np.asarray(k)] = v
-            x -= x.mean()
-            norm = float(np.sqrt((x * x).sum()))
-            x = x / norm if norm else x
-            while near and near[0][0] < place - window:
-                near.popleft()
-            stays = not any(float(x @ y) ** 2 > most for _, y in near)
-            keep.append(stays)
-            if stays:
-                near.append((place, x))
-        return pdf.loc[keep, ["chrom", "pos", "rsid"]]
-
-    return rows.groupBy("chrom").applyInPandas(walk, "chrom string, pos long, rsid string")
+        gone: set[int] = set()
+        for a, b in sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True), key=lambda e: (e[1], e[0])):
+            if a not in gone:  # all links to a were seen before
+                gone.add(b)
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "ord": sorted(gone)}).astype({"ord": "int64"})
+
+    dropped = found.join(cluster, ["chrom", "b"]).groupBy("chrom", "cluster").applyInPandas(walk, "chrom string, ord long")
+    return ordered(d).join(dropped, ["chrom", "ord"], "left_anti").select("chrom", "pos", "rsid")

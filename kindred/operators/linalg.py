@@ -36,30 +36,57 @@ def unit_rows(d: DataFrame) -> DataFrame:
     return d.where("dosage is not null").join(stats, "rsid").select("sample_id", "rsid", ((F.col("dosage") - F.col("mean")) / F.col("sd")).alias("x"))
 
 
-def gram(x: DataFrame) -> DataFrame:
-    """``(i, j, g)`` for i <= j: sums over variants of x_i * x_j.
+#: Rows and columns of a tile in which matrices travel.
+TILE = 512
+
 
-    A variant's samples meet as arrays and each partition adds up its own matrix in numpy, so what is shuffled is a
-    matrix a partition, not a row a pair and variant.
+def tiles(x: DataFrame) -> tuple[list, DataFrame]:
+    """Names in order, and ``(ti, tj, cells)`` for ti <= tj: square tiles of the matrix of sums over variants of x_i * x_j.
+
+    A variant's samples meet as arrays of places and values, and each partition adds up its own matrix in numpy, so what
+    is shuffled is a matrix of numbers a partition, not a row a pair.
     """
     names = [r[0] for r in x.select("sample_id").distinct().orderBy("sample_id").limit(MOST_SAMPLES + 1).collect()]
     if len(names) > MOST_SAMPLES:
         raise ValueError(f"over {MOST_SAMPLES} samples; project on loadings instead")
-    place = {s: k for k, s in enumerate(names)}
     kind = x.schema["sample_id"].dataType.simpleString()
-    rows = x.groupBy("rsid").agg(F.collect_list("sample_id").alias("s"), F.collect_list("x").alias("x")).select("s", "x")
+    places = F.broadcast(x.sparkSession.createDataFrame([(s, k) for k, s in enumerate(names)], f"sample_id {kind}, k int"))
+    rows = x.join(places, "sample_id").groupBy("rsid").agg(F.collect_list("k").alias("k"), F.collect_list("x").alias("x")).select("k", "x")
+    cuts = range(0, len(names), TILE)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(names), len(names)))
         for b in batches:
-            dense = np.zeros((len(b), len(names)))
-            for k, (s, v) in enumerate(zip(b["s"], b["x"], strict=True)):
-                dense[k, [place[i] for i in s]] = v
-            total += dense.T @ dense
-        i, j = np.triu_indices(len(names))
-        yield pd.DataFrame({"i": [names[k] for k in i], "j": [names[k] for k in j], "g": total[i, j]})
+            for at in range(0, len(b), 1024):  # a dense block of at most 1024 variants
+                part = b.iloc[at : at + 1024]
+                dense = np.zeros((len(part), len(names)))
+                dense[np.repeat(np.arange(len(part)), part["k"].map(len)), np.concatenate(part["k"].to_list())] = np.concatenate(part["x"].to_list())
+                total += dense.T @ dense
+        made = [(i // TILE, j // TILE, total[i : i + TILE, j : j + TILE].tobytes()) for i in cuts for j in cuts if i <= j]
+        yield pd.DataFrame(made, columns=["ti", "tj", "cells"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = np.sum([np.frombuffer(c) for c in pdf["cells"]], axis=0)
+        return pd.DataFrame({"ti": pdf["ti"].iloc[:1], "tj": pdf["tj"].iloc[:1], "cells": [cells.tobytes()]})
 
-    return rows.mapInPandas(add, f"i {kind}, j {kind}, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    schema = "ti int, tj int, cells binary"
+    return names, rows.mapInPandas(add, schema).groupBy("ti", "tj").applyInPandas(total, schema)
+
+
+def gram(x: DataFrame) -> DataFrame:
+    """``(i, j, g)`` for i <= j: sums over variants of x_i * x_j."""
+    names, found = tiles(x)
+    kind = x.schema["sample_id"].dataType.simpleString()
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ti, tj, data in zip(b["ti"], b["tj"], b["cells"], strict=True):
+                left, right = names[ti * TILE : (ti + 1) * TILE], names[tj * TILE : (tj + 1) * TILE]
+                m = np.frombuffer(data).reshape(len(left), len(right))
+                i, j = np.triu_indices(len(left)) if ti == tj else np.indices(m.shape).reshape(2, -1)
+                yield pd.DataFrame({"i": [left[k] for k in i], "j": [right[k] for k in j], "g": m[i, j]})
+
+    return found.mapInPandas(cells, f"i {kind}, j {kind}, g double")
 
 
 def gram_sql(x: DataFrame) -> DataFrame:
@@ -68,28 +95,31 @@ def gram_sql(x: DataFrame) -> DataFrame:
     return x.join(other, "rsid").where("sample_id <= j").groupBy(F.col("sample_id").alias("i"), "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
 
 
-def eigen(g: DataFrame, k: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Names, the ``k`` greatest eigenvalues, and eigenvectors whose greatest entry is positive."""
-    rows = g.toPandas()  # at most MOST_SAMPLES squared cells
-    names = sorted(set(rows["i"]) | set(rows["j"]))
-    place = {s: n for n, s in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    i, j = rows["i"].map(place), rows["j"].map(place)
-    m[i, j] = m[j, i] = rows["g"]
+def eigen(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest eigenvalues of a symmetric matrix, and eigenvectors whose greatest entry is positive."""
     values, vectors = np.linalg.eigh(m)
     values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
     sign = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
-    return names, np.maximum(values, 0), vectors * np.where(sign == 0, 1, sign)
+    return np.maximum(values, 0), vectors * np.where(sign == 0, 1, sign)
 
 
 def pca(x: DataFrame, k: int = 5) -> DataFrame:
-    """``(sample_id, pc, score, variance, explained)`` from rows ``x (sample_id, rsid, x)``."""
-    g = gram(x)
-    names, values, vectors = eigen(g, k)
-    trace = float(g.where("i = j").agg(F.sum("g")).first()[0] or 0.0)
+    """``(sample_id, pc, score, variance, explained)`` from rows ``x (sample_id, rsid, x)``.
+
+    The matrix of samples by samples (at most ``MOST_SAMPLES`` squared) is made once, and its tiles reach the driver.
+    """
+    names, found = tiles(x)
+    m = np.zeros((len(names), len(names)))
+    for r in found.toLocalIterator():
+        i, j = r.ti * TILE, r.tj * TILE
+        part = np.frombuffer(r.cells).reshape(min(TILE, len(names) - i), -1)
+        m[i : i + part.shape[0], j : j + part.shape[1]] = part
+        m[j : j + part.shape[1], i : i + part.shape[0]] = part.T
+    values, vectors = eigen(m, k)
+    total = float(np.trace(m))
     scores = vectors * np.sqrt(values)
     rows = [
-        (s, c + 1, float(scores[n, c]), float(values[c]) / max(1, len(names) - 1), float(values[c]) / trace if trace else 0.0) for n, s in enumerate(names) for c in range(len(values))
+        (s, c + 1, float(scores[n, c]), float(values[c]) / max(1, len(names) - 1), float(values[c]) / total if total else 0.0) for n, s in enumerate(names) for c in range(len(values))
     ]
     kind = x.schema["sample_id"].dataType.simpleString()
     return x.sparkSession.createDataFrame(rows, f"sample_id {kind}, pc int, score double, variance double, explained double")

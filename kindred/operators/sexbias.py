@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..params import DEFAULT
+from ..sources.shared import written
+
+#: Samples whose weights (a few numbers each) are sent to every task of a factorisation.
+MOST_SAMPLES = 1_000_000
 
 
 def chromosome_stats(g: DataFrame) -> DataFrame:
@@ -55,22 +61,54 @@ def merged_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("region", "rsid").agg(F.sum("called").alias("called"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
 
 
-def nmf(s: DataFrame, k: int = 3, rounds: int = 200, seed: int = 42, most: int = 50_000_000) -> DataFrame:
+def nmf(s: DataFrame, k: int = 3, rounds: int = 30, inner: int = 40, seed: int = 42) -> DataFrame:
     """``(sample_id, component, q)``: a non-negative factorisation of samples by variants, rows scaled to 1.
 
-    Missing signals are 0.5. The dense matrix is factorised on the driver behind a check of its size (``most`` cells).
+    Missing signals are 0.5. In each round every variant fits its ``k`` loadings to the samples' weights and adds what the
+    weights need to sums over variants, in its own task; the sums (``k`` numbers a sample, and a matrix of ``k`` by ``k``)
+    then give the next weights. So calls stay where they are, and only weights travel. Both steps are multiplicative
+    updates, which never raise the error, from starts that repeat.
     """
-    n, m = s.agg(F.count_distinct("sample_id"), F.count_distinct("rsid")).first()
-    if n * m > most:
-        raise ValueError(f"{n} samples by {m} variants; at most {most} cells are factorised")
-    pdf = s.select("sample_id", "rsid", "signal").toPandas()
-    names = sorted(pdf["sample_id"].unique())
-    x = pdf.pivot_table(index="sample_id", columns="rsid", values="signal", aggfunc="first").reindex(names).fillna(0.5).to_numpy(float)
-    rng = np.random.default_rng(seed)
-    w, h = rng.random((len(names), k)) + 0.1, rng.random((k, x.shape[1])) + 0.1
-    for _ in range(rounds):  # multiplicative updates never raise the error
-        h *= (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
-        w *= (x @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
-    w /= np.maximum(w.sum(1, keepdims=True), 1e-12)
-    rows = pd.DataFrame([(s_, c, float(w[i, c])) for i, s_ in enumerate(names) for c in range(k)], columns=["sample_id", "component", "q"])
-    return s.sparkSession.createDataFrame(rows, f"sample_id {s.schema['sample_id'].dataType.simpleString()}, component int, q double")
+    names = [r[0] for r in s.select("sample_id").distinct().orderBy("sample_id").limit(MOST_SAMPLES + 1).collect()]
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"the weights of at most {MOST_SAMPLES} samples are sent to the tasks")
+    kind = s.schema["sample_id"].dataType.simpleString()
+    places = F.broadcast(s.sparkSession.createDataFrame([(x, n) for n, x in enumerate(names)], f"sample_id {kind}, k int"))
+    rows = s.join(places, "sample_id").groupBy("rsid").agg(F.collect_list("k").alias("k"), F.collect_list((F.col("signal") - 0.5).cast("float")).alias("v"))
+    rows = written(rows.select("k", "v"))
+    w = np.random.default_rng(seed).random((len(names), k)) + 0.1
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X times H transposed, and H times H transposed, for the loadings H that fit the weights."""
+        shared = s.sparkSession.sparkContext.broadcast(w)
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w = shared.value
+            xh, hh, ww, halves = np.zeros_like(w), np.zeros((k, k)), w.T @ w, 0.5 * w.sum(0)
+            for b in batches:
+                if not len(b):
+                    continue
+                lengths = b["k"].map(len).to_numpy()
+                at, v = np.concatenate(b["k"].to_list()), np.concatenate(b["v"].to_list()).astype(float)
+                variant = np.repeat(np.arange(len(b)), lengths)
+                wx = np.stack([np.bincount(variant, v * w[at, c], len(b)) for c in range(k)], 1) + halves
+                h = np.full((len(b), k), 0.5)
+                for _ in range(inner):
+                    h *= wx / np.maximum(h @ ww, 1e-12)
+                xh += np.stack([np.bincount(at, v * h[variant, c], len(w)) for c in range(k)], 1) + 0.5 * h.sum(0)
+                hh += h.T @ h
+            yield pd.DataFrame({"row": np.arange(len(w) + k), **{f"c{c}": np.concatenate([xh[:, c], hh[:, c]]) for c in range(k)}})
+
+        columns = [f"c{c}" for c in range(k)]
+        parts = rows.mapInPandas(fit, ", ".join(["row long", *(f"{c} double" for c in columns)]))
+        found = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("row")[columns].to_numpy()
+        shared.unpersist()
+        return (found[: len(w)], found[len(w) :]) if len(found) else (np.ones_like(w), np.eye(k))
+
+    for _ in range(rounds if names else 0):
+        xh, hh = sums(w)
+        for _ in range(inner):
+            w = w * xh / np.maximum(w @ hh, 1e-12)
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
+    found = [(x, c, float(w[i, c])) for i, x in enumerate(names) for c in range(k)]
+    return s.sparkSession.createDataFrame(found, f"sample_id {kind}, component int, q double")
