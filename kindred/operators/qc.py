@@ -56,6 +56,7 @@ def ddna_issues(lines: DataFrame) -> DataFrame:
     checks = [
         issue(F.col("line").contains("\u0000"), "ERROR", "NUL_BYTE"),
         issue(F.col("is_header") & F.get("fields", F.lit(0)).startswith("﻿"), "WARNING", "UTF8_BOM"),
+        issue(F.col("is_header") & few, "ERROR", "DDNA_HEADER_FIELD_COUNT"),
         issue(data & few & (F.size("fields") == 1) & F.get("fields", F.lit(0)).contains(","), "ERROR", "POSSIBLE_CSV"),
         issue(data & few, "ERROR", "DDNA_FIELD_COUNT"),
         issue(data & ~few & vendor, "QUALITY", "DDNA_VENDOR_NO_CALL_ROW"),

@@ -62,7 +62,15 @@ def merged_counts(parts: DataFrame) -> DataFrame:
 
 
 def nmf(s: DataFrame, k: int = 3, rounds: int = 30, inner: int = 40, seed: int = 42) -> DataFrame:
-    """``(sample_id, component, q)``: a non-negative factorisation of samples by variants, rows scaled to 1.
+    """``(sample_id, component, q)``: a non-negative factorisation of samples by variants, the samples' weights scaled to 1."""
+    names, w = weights(s, k, rounds, inner, seed)
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
+    found = [(x, c, float(w[i, c])) for i, x in enumerate(names) for c in range(k)]
+    return s.sparkSession.createDataFrame(found, f"sample_id {s.schema['sample_id'].dataType.simpleString()}, component int, q double")
+
+
+def weights(s: DataFrame, k: int = 3, rounds: int = 30, inner: int = 40, seed: int = 42) -> tuple[list, np.ndarray]:
+    """Samples in order, and their ``k`` weights each.
 
     Missing signals are 0.5. In each round every variant fits its ``k`` loadings to the samples' weights and adds what the
     weights need to sums over variants, in its own task; the sums (``k`` numbers a sample, and a matrix of ``k`` by ``k``)
@@ -109,6 +117,4 @@ def nmf(s: DataFrame, k: int = 3, rounds: int = 30, inner: int = 40, seed: int =
         xh, hh = sums(w)
         for _ in range(inner):
             w = w * xh / np.maximum(w @ hh, 1e-12)
-    w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
-    found = [(x, c, float(w[i, c])) for i, x in enumerate(names) for c in range(k)]
-    return s.sparkSession.createDataFrame(found, f"sample_id {kind}, component int, q double")
+    return names, w

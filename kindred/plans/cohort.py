@@ -137,7 +137,16 @@ def all_reasons(spark, sf_dir):
     return filters.all_reasons(filters.variant_qc(dosages(spark, sf_dir), LOOSE), LOOSE).select("rsid", "reasons")
 
 
-@query("f11_hwe_exact")
+#: The probability of a number of heterozygotes, given the alleles, by logarithms; the sum over those no likelier.
+HWE = f"""{CTE}, c AS (SELECT rsid, {CLASSES} FROM d GROUP BY rsid),
+n AS (SELECT *, n_homref+n_het+n_homalt AS n, 2*LEAST(n_homref,n_homalt)+n_het AS rare FROM c),
+h AS (SELECT *, unnest(range(rare%2, rare+1, 2)) AS h FROM n),
+l AS (SELECT *, h*LN(2) - LGAMMA((rare-h)/2+1) - LGAMMA(h+1) - LGAMMA(n-(rare+h)/2+1) AS lp FROM h),
+o AS (SELECT rsid, ANY_VALUE(lp) AS own FROM l WHERE h=n_het GROUP BY rsid)
+SELECT rsid, ROUND(LEAST(1.0, COALESCE(SUM(EXP(lp-own)) FILTER (lp<=own+1e-9)/SUM(EXP(lp-own)),1)),6) AS hwe_exact FROM l JOIN o USING (rsid) GROUP BY rsid"""
+
+
+@query("f11_hwe_exact", HWE)
 def hwe_exact(spark, sf_dir):
     return filters.hwe_exact(counts.class_counts(dosages(spark, sf_dir), "rsid")).select("rsid", F.round("hwe_exact", 6).alias("hwe_exact"))
 

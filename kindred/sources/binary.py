@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 
 MISSING = 255
+# Fixed names of the archives' arrays.
 NEEDED = ("dosage", "samples", "chrom", "pos", "rsid", "ref", "alt")
+LOADINGS = ("chrom", "pos", "ref", "alt", "loadings", "pca_af")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
@@ -69,23 +71,43 @@ def read_npy(spark: SparkSession, path: str, samples: list[str], variants: list[
     return contents(spark, path).mapInPandas(run, "sample_id string, rsid string, dosage int")
 
 
-def write_npz(d: DataFrame, path: str) -> None:
-    """A small cohort's dosages as an archive on the driver; the size is checked first."""
-    n, m = d.agg(F.count_distinct("sample_id"), F.count_distinct("chrom", "pos", "rsid")).first()
-    if n * m > 200_000_000:
-        raise ValueError(f"{n} samples by {m} variants; write Parquet instead")
-    pdf = d.toPandas()
-    samples = sorted(pdf["sample_id"].unique())
-    variants = pdf[["chrom", "pos", "rsid", "ref", "alt"]].drop_duplicates().sort_values(["chrom", "pos", "rsid"], ignore_index=True)
+def write_npz(d: DataFrame, path: str, most: int = 20_000_000) -> None:
+    """A small cohort's dosages as one archive, a file that the driver writes; over ``most`` cells is an error.
+
+    Calls are put together by variant on Spark, and the driver takes a variant's bytes at a time.
+    """
+    samples = [r[0] for r in d.select("sample_id").distinct().orderBy("sample_id").limit(most + 1).collect()]
+    m = d.select("chrom", "pos", "rsid").distinct().count()
+    if len(samples) * m > most:
+        raise ValueError(f"{len(samples)} samples by {m} variants; write Parquet instead")
     at = {s: k for k, s in enumerate(samples)}
-    column = {tuple(v): k for k, v in enumerate(variants[["chrom", "pos", "rsid"]].itertuples(index=False, name=None))}
-    out = np.full((len(samples), len(variants)), MISSING, np.uint8)
-    for s, c, p, r, v in pdf[["sample_id", "chrom", "pos", "rsid", "dosage"]].dropna().itertuples(index=False, name=None):
-        out[at[s], column[c, p, r]] = int(v)
+    rows = d.groupBy("chrom", "pos", "rsid").agg(F.min("ref").alias("ref"), F.min("alt").alias("alt"), F.collect_list(F.when(F.col("dosage").isNotNull(), F.struct("sample_id", "dosage"))).alias("calls"))
+    out, found = np.full((len(samples), m), MISSING, np.uint8), []
+    for k, r in enumerate(rows.orderBy("chrom", "pos", "rsid").toLocalIterator()):
+        found.append((r.chrom, r.pos, r.rsid, r.ref, r.alt))
+        for s, v in r.calls:
+            out[at[s], k] = int(v)
+    variants = pd.DataFrame(found, columns=["chrom", "pos", "rsid", "ref", "alt"])
     mask = out == MISSING
     np.savez(path, dosage=out, samples=np.array(samples, str), pos=variants["pos"].to_numpy(), missing_mask_packed=np.packbits(mask), missing_mask_shape=np.array(mask.shape), **{k: variants[k].to_numpy(str) for k in ("chrom", "rsid", "ref", "alt")})
 
 
+def loadings_npz(spark: SparkSession, path: str) -> DataFrame:
+    """``(chrom, pos, ref, alt, loadings, pca_af)`` of a loadings archive."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, data in zip(b["path"], b["content"], strict=True):
+                arc = np.load(io.BytesIO(data), allow_pickle=False)
+                if lacking := [k for k in LOADINGS if k not in arc.files]:
+                    raise ValueError(f"{name} lacks {lacking}")
+                text = {k: [text_of(v) for v in arc[k]] for k in ("chrom", "ref", "alt")}
+                yield pd.DataFrame(text | {"pos": arc["pos"].astype(np.int64), "loadings": list(arc["loadings"].astype(float)), "pca_af": arc["pca_af"].astype(float)})
+
+    rows = contents(spark, path).mapInPandas(run, "chrom string, ref string, alt string, pos long, loadings array<double>, pca_af double")
+    return rows.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), "pos", "ref", "alt", "loadings", "pca_af")
+
+
 def zip_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
     """``(file, line_number, line)`` of a text member, at any depth, of ZIP archives; those without it give nothing."""
 

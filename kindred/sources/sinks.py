@@ -40,9 +40,19 @@ def write_reports(files: DataFrame, issues: DataFrame, path: str) -> None:
     qc.run_report(files, issues).write.mode("overwrite").json(f"{path}/report")
 
 
-def write_populations(af: DataFrame, path: str) -> None:
-    """A folder of frequencies a population."""
-    af.write.mode("overwrite").partitionBy("pop").parquet(path)
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+    """Headed tab-separated text whose parts follow each other in ``order``, as reports by country, participant and gene do."""
+    write_tsv(df.orderBy(*order, *(c for c in df.columns if c not in order)), path)
+
+
+def write_populations(af: DataFrame, path: str) -> list[str]:
+    """``<path>/allele_freq_<pop>.tsv`` folders of headed text, one a population, as ``population_files`` reads them."""
+    made = []
+    for (pop,) in af.select("pop").distinct().orderBy("pop").collect():  # populations are few
+        made.append(f"{path}/allele_freq_{pop}.tsv")
+        rows = af.where(F.col("pop") == pop).select("locus_key", "rsid", "allele_freq", F.col("allele_number").cast("long"))
+        rows.write.mode("overwrite").csv(made[-1], sep="\t", header=True)
+    return made
 
 
 def variant_audit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

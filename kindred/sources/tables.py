@@ -10,10 +10,10 @@ from ..functions import labels as L
 
 
 def population_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(pop, locus_key, rsid, allele_freq, allele_number)`` of allele_freq_<pop>.tsv files; no calls are nulls."""
-    df = spark.read.csv(path, sep="\t", header=True, schema="locus_key string, rsid string, allele_freq double, allele_number long", pathGlobFilter="allele_freq_*.tsv", recursiveFileLookup=True)
+    """``(pop, locus_key, rsid, allele_freq, allele_number)`` of allele_freq_<pop>.tsv files or folders in ``path``; no calls are nulls."""
+    df = spark.read.csv(f"{path.rstrip('/')}/allele_freq_*.tsv", sep="\t", header=True, schema="locus_key string, rsid string, allele_freq double, allele_number long")
     called = F.col("allele_number") > 0
-    pop = L.population(F.regexp_extract(F.col("_metadata.file_name"), r"allele_freq_(.*)\.tsv$", 1))
+    pop = L.population(F.regexp_extract(F.col("_metadata.file_path"), r"/allele_freq_([^/]*)\.tsv(?:/[^/]*)?$", 1))
     return df.select(pop.alias("pop"), "locus_key", "rsid", F.when(called, F.col("allele_freq")).alias("allele_freq"), F.when(called, F.col("allele_number")).alias("allele_number"))
 
 
@@ -35,11 +35,17 @@ def require_columns(df: DataFrame, columns: list[str], where: str) -> DataFrame:
 
 
 def reference_slices(spark: SparkSession, path: str) -> DataFrame:
-    """``(locus_key, af, af_afr, af_nfe, af_sas)`` of headerless site tables; a dot is no value; the first row of a locus."""
+    """``(locus_key, af, af_afr, af_nfe, af_sas)`` of headerless site tables; a dot is no value.
+
+    Of rows with one locus the first stays, in order of file and place: a split's rows are numbered as they are read, and
+    splits of a file are in order of their start.
+    """
+    from ..operators.lookups import first_slices
+
     df = spark.read.csv(path, sep="\t", nullValue=".", schema="chrom string, pos long, ref string, alt string, af double, af_afr double, af_nfe double, af_sas double")
-    df = df.withColumn("locus_key", G.locus_key(G.clean_chrom(F.col("chrom")), F.col("pos"), F.col("ref"), F.col("alt")))
-    best = F.min(F.struct("af", "af_afr", "af_nfe", "af_sas"))
-    return df.groupBy("locus_key").agg(best.alias("x")).select("locus_key", "x.*")
+    key = G.locus_key(G.clean_chrom(F.col("chrom")), F.col("pos"), F.col("ref"), F.col("alt"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return first_slices(df.select(key.alias("locus_key"), "af", "af_afr", "af_nfe", "af_sas", *place))
 
 
 def panel(df: DataFrame) -> DataFrame:
@@ -57,6 +63,33 @@ def panel_json(df: DataFrame, column: str = "hgdp_tgp_meta") -> DataFrame:
     return rows.where("population is not null and region is not null")
 
 
+def panel_scores(df: DataFrame) -> DataFrame:
+    """``(sample_id, region, population, pcs)`` from a panel's JSON columns; rows that lack any of them, or aren't JSON, go."""
+    missing = lambda c: F.coalesce(F.col(c).isin("", "NA"), F.lit(True))
+    rows = df.where(~missing("gnomad_population_inference") & ~missing("hgdp_tgp_meta"))
+    pcs = F.from_json("gnomad_population_inference", "pca_scores array<double>")["pca_scores"]
+    value = lambda k: F.nullif(F.get_json_object("hgdp_tgp_meta", f"$.{k}"), F.lit(""))
+    rows = rows.select(F.col("s").alias("sample_id"), value("genetic_region").alias("region"), value("population").alias("population"), pcs.alias("pcs"))
+    return rows.where("region is not null and population is not null and size(pcs) > 0")
+
+
+def eigenval(spark: SparkSession, path: str) -> DataFrame:
+    """``(pc, value)`` of a file with an eigenvalue a line."""
+    lines = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("k", "v")).where("v <> ''")
+    return rows.select((F.col("k") + 1).alias("pc"), F.col("v").try_cast("double").alias("value"))
+
+
+def components(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """``(name, component, value)`` of a white-space matrix without names: proportions by sample, or frequencies by variant."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("n", "line"))
+    known = F.broadcast(spark.createDataFrame([(k, x) for k, x in enumerate(names)], "n int, name string"))
+    if lines.where(F.col("n") >= len(names)).where("line <> ''").head(1):
+        raise ValueError(f"{path} has more than {len(names)} rows")
+    rows = lines.join(known, "n").select("name", F.posexplode(F.split("line", r"\s+")).alias("component", "v"))
+    return rows.select("name", "component", F.col("v").cast("double").alias("value"))
+
+
 def score_arrays(df: DataFrame, column: str = "scores") -> DataFrame:
     """``(sample_id, pcs)`` from array literals or JSON arrays in text."""
     return df.select("sample_id", F.from_json(column, "array<double>").alias("pcs")).where("pcs is not null")

@@ -140,8 +140,10 @@ def samplesheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         raise ValueError(f"no column for the file among {df.columns}")
     rest = [c for c in df.columns if c not in (who, where)]
     facets = F.create_map(*(x for c in rest for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit(""))))) if rest else F.create_map().cast("map<string,string>")
-    # A samplesheet has a row a participant; the row's number needs file order, which one partition of it has.
-    df = df.withColumn("n", F.monotonically_increasing_id() + 1)
+    # The number of a row in its file: splits in order of their start, a split's rows as they are read. A samplesheet has a
+    # row a participant, so one window over it is small.
+    order = Window.orderBy("_metadata.file_path", "_metadata.file_block_start", "at")
+    df = df.withColumn("at", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(order))
     own = F.nullif(F.trim(F.col(f"`{who}`")), F.lit("")) if who else F.lit(None).cast("string")
     path_column = F.trim(F.col(f"`{where}`"))
     folder = path.rsplit("/", 1)[0]

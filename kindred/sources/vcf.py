@@ -11,18 +11,20 @@ from ..functions import genotype as G
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, chrom, pos, rsid, ref, alt, gt, dosage)`` of biallelic A/C/G/T sites.
 
-    All files must list the same samples in the same order. Sample names are one small row, broadcast to the sites.
+    All files must list the same samples in the same order. Sample names are one row, broadcast to the sites; a site's
+    names and calls are paired before they become rows.
     """
+    names = F.slice(F.split("value", "\t"), F.lit(10), F.greatest(F.size(F.split("value", "\t")) - 9, F.lit(0)))
     lines = spark.read.text(path).where(~F.col("value").startswith("##"))
-    heads = lines.where(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), 10, 1_000_000).alias("samples")).distinct().limit(2).collect()
+    heads = lines.where(F.col("value").startswith("#CHROM")).select(names.alias("samples")).distinct().limit(2).collect()
     if len(heads) != 1:
         raise ValueError("no header" if not heads else "files list different samples")
     samples = F.broadcast(spark.createDataFrame([(heads[0]["samples"],)], "samples array<string>"))
     sites = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("p"))
     at = lambda k: F.get("p", F.lit(k))
     sites = sites.where(at(3).rlike("^[ACGT]$") & at(4).rlike("^[ACGT]$")).join(samples)
-    rows = sites.select(G.panel_chrom(at(0)).alias("chrom"), at(1).try_cast("long").alias("pos"), at(2).alias("rsid"), at(3).alias("ref"), at(4).alias("alt"), F.posexplode(F.slice("p", 10, 1_000_000)).alias("k", "gt"), "samples")
-    return rows.select(F.get("samples", F.col("k")).alias("sample_id"), "chrom", "pos", "rsid", "ref", "alt", "gt", G.vcf_dosage(F.col("gt")).alias("dosage"))
+    rows = sites.select(G.panel_chrom(at(0)).alias("chrom"), at(1).try_cast("long").alias("pos"), at(2).alias("rsid"), at(3).alias("ref"), at(4).alias("alt"), F.explode(F.arrays_zip("samples", F.slice("p", F.lit(10), F.greatest(F.size("p") - 9, F.lit(0))).alias("gt"))).alias("x"))
+    return rows.select(F.col("x.samples").alias("sample_id"), "chrom", "pos", "rsid", "ref", "alt", F.col("x.gt").alias("gt"), G.vcf_dosage(F.col("x.gt")).alias("dosage"))
 
 
 def write_vcf(d: DataFrame, path: str) -> None:
