@@ -98,18 +98,24 @@ def _turn(string: Column) -> Column:
 
 
 def digest(formatted_rows: DataFrame) -> DataFrame:
-    """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``, read back from ``formatted``.
+    """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, attachment_tokens)``,
+    read back from ``formatted``; the last two are how many placeholders there are and how many tokens they expand to.
 
     The loss mask covers the text of assistant turns, once each and in order.
     """
-    rows = formatted_rows.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_back().alias("turns"))
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"])
+    rows = formatted_rows.select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), tokens.alias("attachment_tokens"), read_back().alias("turns")
+    )
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return rows.select("conv_id", "formatted_chars", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), loss.alias("loss")).select(
+    return rows.select("conv_id", "formatted_chars", "n_attachments", "attachment_tokens", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), loss.alias("loss")).select(
         "conv_id",
         "n_turns",
         F.sha2("every", 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "n_attachments",
+        "attachment_tokens",
     )

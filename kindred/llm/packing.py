@@ -42,11 +42,14 @@ class WordIds(dict):
     it, so a text's ids are those of such pieces one after another. Pieces of Latin letters go straight to its BPE
     model, all others through the whole tokenizer. A third of a corpus's distinct words occur once, so words are
     remembered in two generations: those met again stay, the others go when the younger one is full.
+
+    Whether a tokenizer is such is tried on ``PROBES``. Of one that isn't, whole texts are encoded as they are.
     """
 
     LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
     LETTERS = byte_letters()
-    PROBE = "stra\u00dfe, \u00e9t\u00e9. thereinafter"
+    #: Pieces and the model; then case, white space of all kinds, digits, signs and other scripts between words.
+    PROBES = ("stra\u00dfe, \u00e9t\u00e9. thereinafter", "Mixed CASE  and\n\ttabs ,x. Y\u00c9 don't 12 3.5 #a\r\n \u6f22\u5b57 \u0416x ")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,11 +57,14 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
-        self.direct = True
-        whole = array("I", self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids).tobytes()
-        if b"".join(map(self.__getitem__, self.PROBE.encode().split())) != whole:  # a tokenizer of another make
+        self.direct = self.by_word = True
+        whole = [array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in self.PROBES]
+        words = [p.lower().encode().split() for p in self.PROBES]
+        if [b"".join(map(self.__getitem__, w)) for w in words] != whole:  # no such pieces, or another model
             self.direct = False
             self.clear()
+            self.by_word = [b"".join(map(self.__getitem__, w)) for w in words] == whole
+            self.clear()
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -75,6 +81,9 @@ class WordIds(dict):
 
     def of(self, text: bytes | None, end: bytes) -> np.ndarray:
         """A text's ids, with ``end`` after them."""
+        if not self.by_word:
+            made = self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+            return np.frombuffer(array("I", made).tobytes() + end, "<u4")
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -112,10 +121,10 @@ class Open:
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, open_windows: int = 64) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` for every piece of every row of ``docs``.
 
-    ``tokenizer`` is the path of a file for the tokenizers library that drops white space; it has to exist on every
-    executor. A null or empty text is the end id alone. A document longer than a window fills whole windows first; only
-    such documents are cut. Sequence ids are unique, not dense. Rows with equal ids are packed as documents of their
-    own. An empty table gives no rows.
+    ``tokenizer`` is the path of a file for the tokenizers library; it has to exist on every executor. Texts are whole,
+    lower-cased by the tokenizer if it does that, by no one else (see ``WordIds``). A null or empty text is the end id
+    alone. A document longer than a window fills whole windows first; only such documents are cut. Sequence ids are
+    unique, not dense. Rows with equal ids are packed as documents of their own. An empty table gives no rows.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, window long, offset long, open boolean"
 

@@ -94,7 +94,7 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 s AS (SELECT *, length(role) + length(regexp_replace(text, '({CONTROL_SQL})', '.\\1', 'g')) + {len(chat.TURN + chat.BODY + chat.END) + 1} AS chars FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn) AS every, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss, sum(chars) AS chars FROM s GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens FROM g"""
 
 
 def oracle_sql() -> dict[str, str]:

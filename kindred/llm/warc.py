@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,7 +186,11 @@ def write(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, payload)`` for each record of ``archives``."""
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, payload)`` for each record of ``archives (content)``.
+
+    An archive is one value in memory, its records one after another. Repeated records give repeated rows, a record
+    without an id a null one, a revisit a null payload. A damaged archive is an error; an empty one, or none, no rows.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +211,38 @@ def read(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, schema)
 
 
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """``(path, bytes)`` of the files, one an archive, that tasks write to ``folder``, a URI that they all reach.
+
+    A file's name ends with its task's attempt, and it gets that name when it is whole; only those of finished tasks are
+    in the result, so what a lost executor leaves behind is never read (see ``read_files``). For other stores than those
+    that Arrow's file systems open, keep archives as rows of a table: ``read`` takes both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            paths, sizes = [], []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                path = f"{name.removesuffix('.warc.zst')}-{attempt}.warc.zst"
+                with store.open_output_stream(f"{root}/_{path}", compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(f"{root}/_{path}", f"{root}/{path}")
+                paths.append(path)
+                sizes.append(len(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
+    return written(archives.select("archive", "content").mapInArrow(run, "path string, bytes long"))
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """The records (as ``read`` gives them) of the files in ``folder`` that ``files (path)`` lists."""
+    found = files.sparkSession.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.warc.zst").withColumn("name", F.substring_index("path", "/", -1))
+    return read(found.join(files.select(F.col("path").alias("name")).distinct(), "name", "left_semi"))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back: every column of ``read`` but payload."""
     return read(written(write(pages))).drop("payload")
