@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, values, written
 
-SEGMENTS, SEGMENT_BITS = 4, 16
-#: One digit of a packed tile: counts from 0 to 16, with room for a difference below or above.
-DIGIT = 32
+#: Segments of a fingerprint, by how many fingerprints there are: more segments leave fewer pairs of tiles (1.4 % of random
+#: pairs with four, 0.025 % with eight) but send a row to more of them (20 and 64), which pays for large tables.
+SEGMENTS, MANY_SEGMENTS, MANY = 4, 8, 30_000_000
+#: Rows of the table of tiles that may be broadcast; there are at most 17**4 tiles of four segments, and 9**8 of eight.
+BROADCAST_TILES = 17**4
 
 
 def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
@@ -62,17 +64,20 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame, radius: int = 2, block: int = 4096, visitors: int = 16384) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, block: int = 4096, visitors: int = 16384, segments: int | None = None) -> DataFrame:
     """``(src, dst)``: edges that join the distinct fingerprints ``fps (fp)`` as all pairs within ``radius`` bits do.
 
     Each task gives a spanning forest of the links that it finds, so a dense group gives no more edges than rows.
     """
-    tile = sum(F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * s).bitwiseAND((1 << SEGMENT_BITS) - 1)).cast("int") * DIGIT**s for s in range(SEGMENTS))
+    segments = segments or (SEGMENTS if fps.count() <= MANY else MANY_SEGMENTS)
+    bits = 64 // segments
+    # One digit of a packed tile: a count, with room for a difference below or above.
+    digit = 2 * bits if radius < bits else 4 * radius
+    tile = sum(F.bit_count(F.shiftrightunsigned("fp", bits * s).bitwiseAND((1 << bits) - 1)).cast("long") * digit**s for s in range(segments))
     fps = fps.select("fp", tile.alias("tile"))
     # Steps to the tiles below in packed order; a step out of range meets no tile.
-    steps = sorted({sum(d * DIGIT**s for s, d in enumerate(v)) for v in itertools.product(range(-radius, radius + 1), repeat=SEGMENTS) if sum(map(abs, v)) <= radius})
-    below = F.explode(F.array(*(F.col("tile") + s for s in steps if s < 0)))
-    # At most 17**4 rows whatever the input, hence the broadcasts.
+    steps = sorted({sum(d * digit**s for s, d in enumerate(v)) for v in short_vectors(segments, radius)})
+    below = F.explode(F.array(*((F.col("tile") + F.lit(s).cast("long")) for s in steps if s < 0)))
     counts = written(fps.groupBy("tile").agg(F.count("*").alias("n")))
     guests = counts.select(below.alias("home"), F.col("n").alias("guests")).groupBy("home").agg(F.sum("guests").alias("guests"))
     homes = counts.join(guests, counts.tile == guests.home, "left").select(
@@ -80,7 +85,9 @@ def links(fps: DataFrame, radius: int = 2, block: int = 4096, visitors: int = 16
         F.ceil(F.col("n") / block).cast("int").alias("blocks"),
         F.ceil((F.col("n") * (F.col("n") > block).cast("int") + F.coalesce("guests", F.lit(0)) + 1) / visitors).cast("int").alias("groups"),
     )
-    homes = F.broadcast(written(homes))
+    homes = written(homes)
+    if segments == SEGMENTS or homes.count() <= BROADCAST_TILES:
+        homes = F.broadcast(homes)
     own_block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
     own_group = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("groups")).cast("int")
     own = fps.join(homes, fps.tile == homes.home)
@@ -108,6 +115,16 @@ def links(fps: DataFrame, radius: int = 2, block: int = 4096, visitors: int = 16
     return rows.withColumn("bin", bin_of).groupBy("bin").applyInPandas(compare, "src long, dst long")
 
 
+def short_vectors(n: int, radius: int) -> Iterator[tuple[int, ...]]:
+    """Vectors of ``n`` whole numbers whose absolute values sum to ``radius`` at most."""
+    if n == 0:
+        yield ()
+        return
+    for first in range(-radius, radius + 1):
+        for rest in short_vectors(n - 1, radius - abs(first)):
+            yield (first, *rest)
+
+
 def spanning_links(home: np.ndarray, guests: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among ``home`` and between ``home`` and ``guests``."""
     both = np.concatenate([home, guests]).view(np.uint64)

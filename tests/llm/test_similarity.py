@@ -86,3 +86,23 @@ def test_similar_sets_share_a_key(n):
 
     assert share(extra) >= 199
     assert share(2 * n // 3) <= 8
+
+
+@pytest.mark.parametrize("segments", [4, 8])
+def test_tiles_of_any_number_of_segments_join_the_same_fingerprints(spark, segments):
+    rng = np.random.default_rng(12)
+    fps = {int(x) for x in rng.integers(-(2**63), 2**63, 400)}
+    for x in sorted(fps)[:60]:
+        for _ in range(4):
+            x ^= (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63)))
+            fps.add(x)
+    fps = sorted(fps | {0, -1, 1, 3, 7})
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2, block=3, visitors=5, segments=segments).collect()
+    got = {r.node: r.root for r in simhash.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    label = {f: f for f in fps}
+    for _ in range(8):
+        for a in fps:
+            for b in fps:
+                if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                    label[a] = label[b] = min(label[a], label[b])
+    assert all(got.get(f, f) == label[f] for f in fps)
