@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, values, written
@@ -250,21 +250,28 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 8192, short_radius: int | None = None) -> DataFrame:
-    """``(src, dst)`` over fingerprints ``wide (node, fp, size, keys)``: forests that join those that share a key and are
-    within ``radius`` bits, or ``short_radius`` where one has ``SHORT`` shingles or fewer, and of like length.
+def buckets(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys that two or more of ``wide (node, keys)`` share, as ``(key, hub, n)``, and their members ``(key, hub, n, node)``.
 
-    Only keys that two or more share go on, each set of them once. Small groups share tasks; a group above ``block`` is cut
-    into blocks, and a pair of blocks is a task. In a task rows are in order of population count, and tiles whose counts
-    differ by more than ``radius`` are skipped.
+    The hub is a key's least node. Copies with small changes share many keys; of keys with the same members one stays.
     """
     rows = wide.select("node", F.explode("keys").alias("key"))
-    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
-    # Copies with small changes share many keys; a set of rows is compared once.
-    held = written(held.groupBy("n", "all").agg(F.min("key").alias("key")))
+    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("hub")).where("n > 1")
+    held = written(held.groupBy("n", "all").agg(F.min(F.struct("key", "hub")).alias("x")).select("x.key", "x.hub", "n"))
+    return held, rows.join(held, "key")
+
+
+def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 8192) -> DataFrame:
+    """``(src, dst)`` over fingerprints ``wide (node, fp, size, keys)``: forests that join those that share a key, are within
+    ``radius`` bits and of like length.
+
+    Small groups share tasks; a group above ``block`` is cut into blocks, and a pair of blocks is a task. In a task rows
+    are in order of population count, and tiles whose counts differ by more than ``radius`` are skipped.
+    """
+    held, members = buckets(wide)
     bins = max(1, -(-(held.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // (4 * block)))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.join(held.select("key", blocks.alias("blocks")), "key").join(wide.select("node", "fp", "size"), "node")
+    rows = members.select("key", "node", blocks.alias("blocks")).join(wide.select("node", "fp", "size"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     alone = F.col("blocks") == 1
@@ -285,29 +292,28 @@ def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 8192,
         for a, b in itertools.pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]):
             rows = np.arange(a, b)
             home, guests = (rows, rows) if whole else (rows[block[a:b] == cell["low"]], rows[block[a:b] == cell["high"]])
-            out += tile_links(fps, size, home, guests, nodes, radius, short_radius or radius)
+            out += tile_links(fps, size, home, guests, nodes, radius)
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     return rows.select(cell.alias("cell"), "key", "node", "fp", "size", "block").groupBy("cell").applyInPandas(compare, "src long, dst long")
 
 
-def tile_links(fps: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radius: int, short_radius: int, tile: int = 256) -> list[tuple[int, int]]:
+def tile_links(fps: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radius: int, tile: int = 256) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between rows ``a`` and rows ``b`` of ``fps``."""
     ones = np.bitwise_count(fps).sum(1, dtype=np.int64)
     band = np.floor(np.log(np.maximum(size, 1)) / np.log(LENGTH_RATIO)).astype(np.int64)
     a, b = a[np.argsort(ones[a], kind="stable")], b[np.argsort(ones[b], kind="stable")]
-    label, counts, widest = {}, ones[b], max(radius, short_radius)
+    label, counts = {}, ones[b]
     for at in range(0, len(a), tile):
         rows = a[at : at + tile]
-        lo, hi = np.searchsorted(counts, ones[rows[0]] - widest), np.searchsorted(counts, ones[rows[-1]] + widest, "right")
+        lo, hi = np.searchsorted(counts, ones[rows[0]] - radius), np.searchsorted(counts, ones[rows[-1]] + radius, "right")
         others = b[lo:hi]
         for start in range(0, len(others), 8192):
             part = others[start : start + 8192]
             apart = np.zeros((len(rows), len(part)), np.uint16)
             for k in range(fps.shape[1]):
                 apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[part, k][None, :])
-            most = np.where(np.minimum(size[rows, None], size[None, part]) <= SHORT, short_radius, radius)
-            near = (apart <= most) & (np.abs(band[rows, None] - band[None, part]) <= 1)
+            near = (apart <= radius) & (np.abs(band[rows, None] - band[None, part]) <= 1)
             for i in np.flatnonzero(near.any(1)).tolist():
                 join(label, [int(rows[i]), *part[near[i]].tolist()])
     found = ((x, root_of(label, x)) for x in list(label))
@@ -328,71 +334,141 @@ def join(label: dict[int, int], rows: list[int]) -> None:
         label[root_of(label, x)] = root
 
 
-def exact_links(docs: DataFrame, wide: DataFrame, roots: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
-    """``(src, dst)``: forests of the links of similarity ``least`` or more within the groups ``roots (node, root)``.
+def exact_links(docs: DataFrame, wide: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
+    """``(src, dst)``: links that join the nodes of ``wide`` as all links of similarity ``least`` or more among candidates do.
 
-    ``docs (id, mark, text)`` holds the texts and ``wide (node, fp, size, first)`` says whose text a node stands for. Small
-    groups share tasks; a large one is cut into blocks, and a pair of blocks is a task. Each pair of texts that are
-    candidates is compared unless links found in the task join the two already, so a group of n copies costs about n.
+    ``docs (id, mark, text)`` holds the texts. Candidates share a key and are near each other by fingerprint. First each
+    node is compared with one hub, that of the most keys they share, which joins most of a large group in linear work.
+    Then only keys with nodes of several groups go on, and there only pairs of different groups are compared.
     """
-    members = written(wide.join(roots, "node").select("node", "root", "fp", "size", "first.id", "first.mark"))
-    sums = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXTS_A_BLOCK), F.ceil(F.sum(8 * F.col("size")) / BYTES_A_BLOCK)).cast("int").alias("blocks"))
-    bins = max(1, -(-(members.agg(F.sum(8 * F.col("size") + 64)).first()[0] or 0) // BYTES_A_BLOCK))
-    members = members.drop("size").join(sums, "root")
+    _, members = buckets(wide)
+    members = written(members.select("key", "hub", "node"))
+    own = wide.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "size", "first.id", "first.mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(t, words_in_shingle).tobytes() for t in values(b.column(4))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], ["node", "root", "blocks", "fp", "set"])
+            sets = pa.array([shingle_set(t, words_in_shingle).tobytes() for t in values(b.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], ["node", "fp", "size", "set"])
 
-    texts = docs.join(members, ["id", "mark"]).select("node", "root", "blocks", "fp", "text")
-    sets = texts.mapInArrow(run, "node long, root long, blocks int, fp binary, set binary").dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    alone = F.col("blocks") == 1
-    cell = F.struct(
-        F.when(alone, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("of"),
-        F.when(alone, -1).otherwise(F.least("block", "other")).alias("low"),
-        F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("high"),
-    )
+    sets = docs.join(own, ["id", "mark"]).select("node", "fp", "size", "text").mapInArrow(run, "node long, fp binary, size long, set binary")
+    sets = written(sets.dropDuplicates(["node"]))
+    star = written(star_links(members, sets, least))
+    crossed = crossing_links(members, sets, connected_components(star), least)
+    return star.unionByName(crossed)
+
+
+def blocks_of(count: Column, size: Column) -> Column:
+    """How many blocks ``count`` texts of ``size`` bytes make."""
+    return F.greatest(F.ceil(count / TEXTS_A_BLOCK), F.ceil(size / BYTES_A_BLOCK), F.lit(1)).cast("int")
+
+
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def star_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links of each node with the hub that it shares most keys with; the hub's text goes to each block of its nodes."""
+    votes = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    pairs = written(votes.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
+    sizes = sets.select("node", (8 * F.col("size") + 64).alias("bytes"))
+    groups = pairs.join(sizes, "node").groupBy("hub").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("blocks"))
+    bins = max(1, -(-(pairs.join(sizes, "node").agg(F.sum("bytes")).first()[0] or 0) // BYTES_A_BLOCK))
+    nodes = pairs.join(groups, "hub").select("node", "hub", block_of(F.col("blocks")).alias("block"), "blocks")
+    hubs = groups.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    cell = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("hub"), F.lit(bins)).alias("of"), F.lit(-1).alias("block"))).otherwise(F.struct(F.col("hub").alias("of"), "block"))
+    rows = nodes.unionByName(hubs).join(sets.select("node", "set"), "node").select(cell.alias("cell"), "node", "hub", "set")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        across = pdf["block"].nunique() > 1
+        out = []
+        for hub, part in pdf.groupby("hub", sort=False):
+            found = [np.frombuffer(x, np.uint64) for x in part["set"]]
+            nodes = part["node"].tolist()
+            home = found[nodes.index(hub)]
+            out += [(hub, n) for n, x in zip(nodes, found, strict=True) if n != hub and alike(home, x, least)]
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return rows.groupBy("cell").applyInPandas(compare, "src long, dst long")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets have a similarity of ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+
+
+def crossing_links(members: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links between nodes that share a key but are of different groups ``roots (node, root)``.
+
+    Of a key's groups the largest is cut into blocks, and so are all others together (the rest); a block of the one meets a
+    block of the other, and the rest meets itself. Small keys share tasks.
+    """
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.join(sets.select("node", (8 * F.col("size") + 64).alias("bytes")), "node")
+    held = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max_by(F.struct("root", "n", "bytes"), F.struct("n", -F.col("root")))
+    keys = held.groupBy("key").agg(F.count("*").alias("groups"), main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("groups > 1")
+    keys = written(keys.select("key", F.col("main.root").alias("main"), "n", "bytes", blocks_of(F.col("main.n"), F.col("main.bytes")).alias("most"), blocks_of(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others")))
+    small = (F.col("most") == 1) & (F.col("others") == 1)
+    bins = max(1, -(-(keys.where(small).agg(F.sum("bytes")).first()[0] or 0) // BYTES_A_BLOCK))
+    rows = rooted.select("key", "node", "root").join(keys.select("key", "main", "most", "others"), "key").withColumn("rest", F.col("root") != F.col("main"))
+    rows = rows.withColumn("block", block_of(F.when(F.col("rest"), F.col("others")).otherwise(F.col("most"))))
+
+    def cell(of: Column, kind: str, low: Column, high: Column) -> Column:
+        return F.struct(of.alias("of"), F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    block, other, zero = F.col("block"), F.col("other"), F.lit(0)
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    alone = rows.where(small).select(cell(F.pmod(F.xxhash64("key"), F.lit(bins)), "small", zero, zero).alias("cell"), "key", "node", "root", "block", "rest")
+    large = rows.where(~small)
+    ours = large.where(~F.col("rest")).withColumn("other", each("others")).select(cell(F.col("key"), "cross", block, other).alias("cell"), "key", "node", "root", "block", "rest")
+    theirs = large.where("rest").withColumn("other", each("most")).select(cell(F.col("key"), "cross", other, block).alias("cell"), "key", "node", "root", "block", "rest")
+    among = large.where("rest").withColumn("other", each("others")).select(cell(F.col("key"), "rest", F.least(block, other), F.greatest(block, other)).alias("cell"), "key", "node", "root", "block", "rest")
+    every = alone.unionByName(ours).unionByName(theirs).unionByName(among).join(sets, "node").select("cell", "key", "node", "root", "block", "rest", "fp", "set")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, low, high = (pdf["cell"].iloc[0][k] for k in ("kind", "low", "high"))
         out: list[tuple[int, int]] = []
-        for _, part in pdf.groupby("root", sort=False):
+        for _, part in pdf.groupby("key", sort=False):
+            side = part["rest"].to_numpy(int) if kind == "cross" else part["block"].to_numpy() if kind == "rest" and low != high else None
             fps = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(len(part), -1)
             found = [np.frombuffer(x, np.uint64) for x in part["set"]]
-            out += verified_links(fps, found, part["node"].to_numpy(np.int64), part["block"].to_numpy() if across else None, least)
+            out += verified_links(fps, found, part["node"].to_numpy(np.int64), part["root"].to_numpy(np.int64), side, least)
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
-    return rows.select(cell.alias("cell"), "node", "root", "fp", "set", "block").groupBy("cell").applyInPandas(compare, "src long, dst long")
+    return every.groupBy("cell").applyInPandas(compare, "src long, dst long")
 
 
-def verified_links(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, block: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """Links that join the texts as all pairs of similarity ``least`` or more do; between blocks only, where given."""
+def verified_links(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, roots: np.ndarray, side: np.ndarray | None, least: float, tile: int = 256) -> list[tuple[int, int]]:
+    """Links that join the texts as all pairs of similarity ``least`` or more do, those with one root being joined already;
+    between sides only, where given.
+
+    Candidates are found by tiles of fingerprints in order of population count; tiles whose counts differ by more than
+    the radius are skipped.
+    """
     n, size = len(sets), np.array([len(x) for x in sets])
-    near = np.zeros((n, n), bool)
-    for at in range(0, n, 256):
-        rows = slice(at, at + 256)
-        apart = np.zeros((len(fps[rows]), n), np.uint16)
+    label = np.unique(roots, return_inverse=True)[1].ravel()
+    ones = np.bitwise_count(fps).sum(1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    widest = max(CANDIDATE_RADIUS, SHORT_RADIUS)
+    out = []
+    for at in range(0, n, tile):
+        rows = order[at : at + tile]
+        others = order[at : np.searchsorted(ones[order], ones[rows[-1]] + widest, "right")]  # earlier ones were compared
+        apart = np.zeros((len(rows), len(others)), np.uint16)
         for k in range(fps.shape[1]):
-            apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[:, k][None, :])
-        low, high = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
-        near[rows] = (apart <= np.where(low <= SHORT, SHORT_RADIUS, CANDIDATE_RADIUS)) & (low >= least * high - 1e-9)
-        if block is not None:
-            near[rows] &= block[rows, None] != block[None, :]
-    np.fill_diagonal(near, False)
-    label, out = np.arange(n), []
-    done = np.zeros(n, bool)
-    # Those with the most candidates come first: once they join a group, its other pairs need no comparison.
-    for i in np.argsort(-near.sum(1), kind="stable"):
-        for j in np.flatnonzero(near[i] & ~done & (label != label[i])):
-            if label[i] != label[j]:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= least * (size[i] + size[j] - shared) - 1e-9:
-                    label[label == label[j]] = label[i]
-                    out.append((int(nodes[i]), int(nodes[j])))
-        done[i] = True
+            apart += np.bitwise_count(fps[rows, k][:, None] ^ fps[others, k][None, :])
+        low, high = np.minimum(size[rows, None], size[None, others]), np.maximum(size[rows, None], size[None, others])
+        near = (apart <= np.where(low <= SHORT, SHORT_RADIUS, CANDIDATE_RADIUS)) & (low >= least * high - 1e-9) & (label[rows, None] != label[None, others])
+        if side is not None:
+            near &= side[rows, None] != side[None, others]
+        a, b = np.nonzero(near)
+        nearest = np.argsort(apart[a, b], kind="stable")  # joined groups need no further comparison
+        for i, j in zip(rows[a[nearest]].tolist(), others[b[nearest]].tolist(), strict=True):
+            if label[i] != label[j] and alike(sets[i], sets[j], least):
+                label[label == label[j]] = label[i]
+                out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
@@ -426,8 +502,7 @@ def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle
     if least is None:
         roots = connected_components(similar_links(wide, radius))
     else:
-        roots = connected_components(similar_links(wide, CANDIDATE_RADIUS, short_radius=SHORT_RADIUS))
-        roots = connected_components(exact_links(texts, wide, roots, words_in_shingle, least))
+        roots = connected_components(exact_links(texts, wide, words_in_shingle, least))
     stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = written(stay.select("first.id", "first.mark"))
     rows = docs.select(F.struct("*").alias("row"), *key)
