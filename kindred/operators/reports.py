@@ -79,6 +79,30 @@ def primary_values(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select("*", first.alias("x")).where("x is not null").select(*[c for c in rows.columns if c != "json"], "x.result_key", "x.result_value")
 
 
+# Fixed keys of analysis rows: those that never hold the result, and those that do if they are there.
+NOISY_KEYS = ("participant_id", "system", "confidence", "genotypes", "limitations", "interpretation", "notes")
+STATUS_KEYS = ("status", "result", "phenotype", "blood_type")
+
+
+def analysis_values(rows: DataFrame) -> DataFrame:
+    """``system``, ``result_key`` and ``result_value`` beside analysis rows ``(..., keys array, row map)``; rows without any go.
+
+    A row with a system gives its blood type or else its phenotype. Others give the first emitted key with a value, or
+    where none is emitted the first of the row's own: of those that are named or end like a status, if there are any.
+    """
+    value = lambda k: F.trim(F.coalesce(F.try_element_at("row", k if isinstance(k, Column) else F.lit(k)), F.lit("")))
+    found = lambda system, key, of: F.struct(system.alias("system"), key.alias("result_key"), of.alias("result_value"))
+    emitted = F.coalesce("keys", F.array().cast("array<string>"))
+    keys = F.filter(F.when(F.size(emitted) > 0, emitted).otherwise(F.map_keys("row")), lambda k: ~k.isin(*NOISY_KEYS))
+    status = F.filter(keys, lambda k: k.endswith("_status") | k.isin(*STATUS_KEYS))
+    candidates = F.when(F.size(status) > 0, status).otherwise(keys)
+    first = F.get(F.filter(F.transform(candidates, lambda k: found(F.lit(""), k, value(k))), lambda x: x["result_value"] != ""), F.lit(0))
+    system = value("system")
+    by_system = [F.when((system != "") & (value(k) != ""), found(system, F.lit(k), value(k))) for k in ("blood_type", "phenotype")]
+    others = [c for c in rows.columns if c not in ("keys", "row")]
+    return rows.withColumn("x", F.coalesce(*by_system, first)).where("x is not null").select(*others, "x.*")
+
+
 def gene_calls(reports: DataFrame) -> DataFrame:
     """``(participant_id, gene, label, phenotype, possible)`` from JSON reports with a ``genes`` map."""
     schema = "struct<genes:map<string,struct<sourceDiplotypes:array<struct<label:string,matchScore:double,phenotypes:array<string>>>>>>"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import popgen, reports, synth
+from ..sources import tables
+from ..sources.shared import shared_folder
 from .fixture import CALLS_SQL, GENOTYPES_SQL, calls, genotypes, sql
 from .registry import query
 
@@ -112,6 +116,34 @@ def primary_values(spark, sf_dir):
     return reports.primary_values(e, ["absent", "k"]).groupBy("event_type", "result_key", "result_value").agg(F.count("*").alias("rows"))
 
 
+ANALYSIS = """SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey % 6 AS m, concat('v', CAST(c_nationkey AS VARCHAR(4))) AS v FROM customer"""
+
+
+@query(
+    "s34_x27_analysis_values",
+    f"""WITH c AS ({ANALYSIS}) SELECT concat('a', CAST(m AS VARCHAR)) AS assay_id, CASE WHEN m IN (0,1) THEN 'ABO' ELSE '' END AS system, CASE m WHEN 0 THEN 'blood_type' WHEN 1 THEN 'phenotype' WHEN 2 THEN 'risk_status' WHEN 3 THEN 'dose' ELSE 'result' END AS result_key,
+    v AS result_value, COUNT(*) AS rows FROM c WHERE m<>5 GROUP BY ALL""",
+)
+def analysis_values(spark, sf_dir):
+    c = sql(spark, sf_dir, ANALYSIS, "customer")
+    row = lambda *pairs: F.concat(F.lit("{"), *[x for k, (key, of) in enumerate(pairs) for x in (F.lit(", " * bool(k) + f'"{key}": "'), of if not isinstance(of, str) else F.lit(of), F.lit('"'))], F.lit("}"))
+    v, m = F.col("v"), F.col("m")
+    rows = (
+        F.when(m == 0, row(("system", "ABO"), ("phenotype", "p"), ("blood_type", v)))
+        .when(m == 1, row(("system", " ABO "), ("phenotype", v), ("blood_type", " ")))
+        .when(m == 2, row(("notes", "n"), ("dose", "d"), ("risk_status", v)))
+        .when(m == 3, row(("confidence", "high"), ("dose", v), ("other", "o")))
+        .when(m == 4, row(("status", ""), ("result", v), ("dose", "d")))
+        .otherwise(row(("notes", "n"), ("confidence", "c")))
+    )
+    emits = F.when(m == 4, '[{"key": "status"}, {"key": "result"}]').otherwise("[]")
+    lines = c.select(F.concat(F.lit('{"assay_id": "a'), m.cast("string"), F.lit('", "analysis_id": "x", "emits": '), emits, F.lit(', "rows": ['), rows, F.lit("]}")).alias("value"))
+    path = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}"
+    lines.unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
+    found = reports.analysis_values(tables.analysis_jsonl(spark, path))
+    return found.groupBy("assay_id", "system", "result_key", "result_value").agg(F.count("*").alias("rows"))
+
+
 @query(
     "s31_x25_gene_calls",
     """SELECT concat('u', CAST(n_nationkey AS VARCHAR)) AS participant_id, 'G1' AS gene, '*1/*2' AS label, concat('p', CAST(n_nationkey % 3 AS VARCHAR)) AS phenotype, '*1/*2; *1/*3' AS possible FROM nation""",

@@ -83,16 +83,39 @@ BAD = f"""{ROWS}, s AS (SELECT * FROM k WHERE n>=7 AND gt0 NOT IN ('#N/A','#n/a'
 b AS (SELECT file, line_number FROM k WHERE n<7 UNION SELECT file, line_number FROM s WHERE (chrom<>'0' AND chrom NOT IN ({CHROMS})) OR pos IS NULL OR gt0='' OR kind='invalid' UNION SELECT file, line_number FROM w WHERE nth>1 AND NOT (chrom=c1 AND ps=p1 AND g=g1))"""
 
 
-@query("g14_run_report", f"{BAD} SELECT (SELECT COUNT(DISTINCT file) FROM l) AS files, CAST(0 AS BIGINT) AS files_with_file_errors, COUNT(DISTINCT file) AS files_with_row_errors, COUNT(*) AS bad_lines, 100.0::DOUBLE AS usable_percent FROM b")
+#: Files by their number: of three one is clean, one has lines that are warned of, one all kinds of lines.
+NUMBER = "CAST(substr(participant_id, 2) AS INT) % 3"
+CLEAN = "line_number % 29 <> 0 AND line_number % 37 <> 0 AND line_number % 43 <> 0 AND line_number % 59 <> 0"
+TIDY = f"{CLEAN} AND line_number % 31 <> 0 AND line_number % 41 <> 0 AND line NOT LIKE '%		%'"
+SORTED = f"({NUMBER} = 2 OR ({NUMBER} = 1 AND {CLEAN}) OR ({NUMBER} = 0 AND {TIDY}))"
+FEWER = BAD.replace("WHERE trim(line)<>''", f"WHERE {SORTED} AND trim(line)<>''", 1)
+
+
+def sorted_files(spark, sf_dir):
+    """Lines of files of three kinds, all issues in them, and the files, of which some have no line."""
+    rows = lines(spark, sf_dir).where(SORTED)
+    files = rows.select("participant_id", "file").distinct().withColumn("bytes", F.lit(9)).cache()
+    empty = files.where(f"{NUMBER} = 0").select("participant_id", F.concat("file", F.lit(".empty")).alias("file"), F.lit(0).alias("bytes"))
+    files = files.unionByName(empty)
+    return files, qc.ddna_issues(rows).unionByName(qc.file_issues(files, rows))
+
+
+@query(
+    "g14_run_report",
+    f"""{FEWER}, n AS (SELECT COUNT(DISTINCT file) AS n, COUNT(DISTINCT file) FILTER ({NUMBER} = 0) AS e FROM l)
+    SELECT (SELECT n+e FROM n) AS files, (SELECT e FROM n) AS files_with_file_errors, COUNT(DISTINCT file) AS files_with_row_errors, COUNT(*) AS bad_lines, (SELECT ROUND(100.0::DOUBLE*n/(n+e),2) FROM n) AS usable_percent FROM b""",
+)
 def run_report(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    return qc.run_report(rows.select("file").distinct(), qc.ddna_issues(rows))
+    return qc.run_report(*sorted_files(spark, sf_dir))
 
 
-@query("g16_file_status", f"{BAD} SELECT file, CASE WHEN file IN (SELECT file FROM b) THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT DISTINCT file FROM l)")
+@query(
+    "g16_file_status",
+    f"""{FEWER} SELECT file, CASE WHEN file IN (SELECT file FROM b) THEN 'FAIL' WHEN file IN (SELECT file FROM k WHERE n>=7 AND (line_number%31=0 OR gs0='' OR gt0 IN ('#N/A','#n/a'))) THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT DISTINCT file FROM p)
+    UNION ALL SELECT DISTINCT concat(file, '.empty'), 'FAIL' FROM l WHERE {NUMBER} = 0""",
+)
 def file_status(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    return qc.file_status(rows.select("file").distinct(), qc.ddna_issues(rows)).select("file", "status")
+    return qc.file_status(*sorted_files(spark, sf_dir)).select("file", "status")
 
 
 @query("g15_row_errors", f"{BAD} SELECT file, COUNT(*) AS lines FROM b GROUP BY file")
@@ -100,9 +123,14 @@ def row_errors(spark, sf_dir):
     return qc.split_errors(qc.ddna_issues(lines(spark, sf_dir)))[1].groupBy("file").agg(F.count_distinct("line_number").alias("lines"))
 
 
-@query("s01_s02_sniffed", f"WITH l AS ({lines_sql()}) SELECT DISTINCT file, 'ddna' AS format, chr(9) AS delimiter FROM l")
+@query(
+    "s01_s02_sniffed",
+    f"WITH l AS ({lines_sql()}) SELECT DISTINCT file, CASE WHEN {NUMBER}=0 THEN 'illumina' ELSE 'ddna' END AS format, CASE WHEN {NUMBER}=1 THEN ',' ELSE chr(9) END AS delimiter FROM l",
+)
 def sniffed(spark, sf_dir):
-    rows = lines(spark, sf_dir)
+    # Of three files one begins with a blank and the mark of a report, one has commas, one tabs.
+    line = F.when((F.expr(NUMBER) == 0) & (F.col("line_number") == 1), " ").when((F.expr(NUMBER) == 0) & (F.col("line_number") == 2), "[Header]")
+    rows = lines(spark, sf_dir).withColumn("line", line.when(F.expr(NUMBER) == 1, F.translate("line", "\t", ",")).otherwise(F.col("line")))
     return text.sniff(rows).join(text.delimiter(rows), "file")
 
 
@@ -163,10 +191,29 @@ def keyed_af(spark, sf_dir):
     return tables.keyed_af(af, v)[0].select("chrom", "pos", "ref", "alt", "allele_freq")
 
 
-@query("x14_vcf_dosage", "SELECT * FROM (VALUES ('0/0',0),('0|1',1),('1/1:9',2),('./.',NULL),('0/2',NULL),('1',NULL),('0/0/1',NULL)) t(gt,dosage)")
+VCF_CALLS = ("0/0", "0|1", "1/1:9", "./.", "0/2", "1", "0/0/1", "1|0:.:3")
+
+
+@query(
+    "x14_vcf_dosage",
+    f"""WITH g AS ({GENOTYPES_SQL}), t AS (SELECT rsid, {list(VCF_CALLS)}[1 + CAST((pos // 1000 + sample_id) % {len(VCF_CALLS)} AS INT)] AS gt FROM g)
+    SELECT rsid, gt, CASE gt WHEN '0/0' THEN 0 WHEN '0|1' THEN 1 WHEN '1|0:.:3' THEN 1 WHEN '1/1:9' THEN 2 END AS dosage, COUNT(*) AS calls FROM t GROUP BY ALL""",
+)
 def vcf_dosage(spark, sf_dir):
-    rows = spark.createDataFrame([("0/0",), ("0|1",), ("1/1:9",), ("./.",), ("0/2",), ("1",), ("0/0/1",)], "gt string")
-    return rows.select("gt", G.vcf_dosage(F.col("gt")).alias("dosage"))
+    call = F.get(F.array(*map(F.lit, VCF_CALLS)), ((F.floor(F.col("pos") / 1000) + F.col("sample_id")) % len(VCF_CALLS)).cast("int"))
+    rows = genotypes(spark, sf_dir).select("rsid", call.alias("gt"))
+    return rows.groupBy("rsid", "gt", G.vcf_dosage(F.col("gt")).alias("dosage")).agg(F.count("*").alias("calls"))
+
+
+@query(
+    "s18_counts",
+    f"WITH g AS ({GENOTYPES_SQL}), v AS (SELECT DISTINCT chrom, pos, ref, alt FROM g) SELECT COUNT(*) FILTER (ref<>'G') AS matched, COUNT(*) FILTER (ref='G') AS unmatched, COUNT(*) FILTER (ref<>'G' AND alt='T') AS repeated FROM v",
+)
+def keyed_counts(spark, sf_dir):
+    v = genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
+    key = G.locus_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
+    af = v.where("ref <> 'G'").select(key.alias("locus_key"), F.lit(0.5).alias("allele_freq"), F.lit(10).alias("allele_number"), "alt")
+    return tables.keyed_af(af.unionByName(af.where("alt = 'T'")).drop("alt"), v)[1]
 
 
 @query(
