@@ -472,40 +472,50 @@ def verified_links(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, r
     return out
 
 
-def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle: int = 5, least: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay when one of each group of similar texts does: that of the smallest doc_id.
+NO_ID = -(1 << 63)  # stands for a null id
 
-    Groups are what links join: with ``least``, those of two texts whose shingles, with repeats, are that similar, found
-    among candidates by fingerprint and compared exactly (by hashes of 64 bits); without, those of ``radius`` or fewer
-    differing bits between texts of like length. Of rows equal in doc_id and text one stays. Null and blank texts are a
-    group; a null doc_id gives way to any other.
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``(id, mark, text)``: a row's id and the hash of its text name it."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+
+
+def shingled(texts: DataFrame, words_in_shingle: int, exact: bool) -> DataFrame:
+    """``(node, fp, same, size, keys, first)``: a node for all ``texts`` with one fingerprint and, if ``exact``, the same shingles.
+
+    ``first`` is the least ``(no_id, id, mark)`` of them.
     """
-    none = -(1 << 63)  # stands for a null id
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.xxhash64("text").alias("mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
             for t in values(b.column(2)):
                 hashes = shingle_set(t, words_in_shingle)
-                made.append((wide_bits(hashes), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if least is not None else None, minima(hashes).tobytes() if len(hashes) else None))
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-            keys = pa.array([m[3] and np.frombuffer(m[3], np.int64) for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, keys], ["id", "mark", "fp", "size", "same", "keys"])
+                made.append((wide_bits(hashes), len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if exact else None, minima(hashes).view(np.int64) if len(hashes) else None))
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "fp", "size", "same", "keys"])
 
-    texts = docs.select(*key, F.col("text").cast("binary").alias("text"))
     marked = texts.mapInArrow(run, "id long, mark long, fp binary, size long, same binary, keys array<long>")
-    order = F.struct((F.col("id") == none).alias("no_id"), "id", "mark")
-    # Texts with the same shingles are one node.
+    order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "mark")
     wide = marked.groupBy("fp", "same").agg(F.max("size").alias("size"), F.any_value("keys").alias("keys"), F.min(order).alias("first"))
-    wide = written(wide.withColumn("node", F.monotonically_increasing_id()))
-    if least is None:
-        roots = connected_components(similar_links(wide, radius))
-    else:
-        roots = connected_components(exact_links(texts, wide, words_in_shingle, least))
+    return written(wide.withColumn("node", F.monotonically_increasing_id()))
+
+
+def representatives(docs: DataFrame, radius: int = WIDE_RADIUS, words_in_shingle: int = 5, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of similar texts does: that of the smallest doc_id.
+
+    Groups are what links join: with ``least``, those of two texts whose shingles, with repeats, are that similar, found
+    among candidates by keys and fingerprints and compared exactly (by hashes of 64 bits); without, those of ``radius`` or
+    fewer differing bits between texts of like length that share a key. Of rows equal in doc_id and text one stays. Null
+    and blank texts are a group; a null doc_id gives way to any other. Texts are read whole. An empty table gives no rows.
+    """
+    texts = keyed_texts(docs)
+    wide = shingled(texts, words_in_shingle, least is not None)
+    found = similar_links(wide, radius) if least is None else exact_links(texts, wide, words_in_shingle, least)
+    roots = connected_components(found)
     stay = wide.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = written(stay.select("first.id", "first.mark"))
-    rows = docs.select(F.struct("*").alias("row"), *key)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"))
     # The join and the window share one partitioning by key, so a text is shuffled once.
     nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy("id"))
     return rows.join(stay, ["id", "mark"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
