@@ -55,6 +55,12 @@ def all_reasons(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
+def dropped_with_reasons(rows: DataFrame, survivors: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Rows of variants that aren't among ``survivors (rsid)``, with ``reasons``; OTHER where none of the thresholds explains it."""
+    gone = all_reasons(rows, p).join(survivors.select("rsid").distinct(), "rsid", "left_anti")
+    return gone.withColumn("reasons", F.when(F.col("reasons") == "", "OTHER").otherwise(F.col("reasons")))
+
+
 def hwe_exact_p(het: int, hom1: int, hom2: int) -> float:
     """The exact test's p-value: the probability of heterozygote counts no likelier than the one seen."""
     rare, n = 2 * min(hom1, hom2) + het, het + hom1 + hom2

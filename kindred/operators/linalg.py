@@ -192,6 +192,26 @@ def upgma(names: list[str], distance: np.ndarray) -> list[tuple[str, str, float,
     return out
 
 
+#: Rows that are put in order on the driver; a heat map shows a few dozen.
+MOST_ROWS = 2000
+
+
+def row_order(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``(key, nth)``: the order of the leaves when rows are joined by average linkage of their Euclidean distances."""
+    found = rows.select(key, *columns).orderBy(key).limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} rows")
+    x = np.array([[float(r[c]) for c in columns] for r in found]).reshape(len(found), len(columns))
+    names = [str(k) for k in range(len(found))]
+    leaves = {n: [k] for k, n in enumerate(names)}
+    distance = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    for left, right, _, _ in upgma(names, distance):
+        leaves[f"({left},{right})"] = leaves.pop(left) + leaves.pop(right)
+    order = next(iter(leaves.values()), [])
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(found[k][key], n + 1) for n, k in enumerate(order)], f"{key} {kind}, nth int")
+
+
 def population_tree(fst: DataFrame) -> DataFrame:
     """``(left, right, height, size)``: average linkage of populations by their fixation indices."""
     rows = fst.collect()  # a row a pair of populations

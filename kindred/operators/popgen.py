@@ -142,6 +142,20 @@ def capped(df: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= limit).drop("nth")
 
 
+def bed_sites(loci: DataFrame) -> DataFrame:
+    """``(nth, chrom, start, end, name)`` of ``loci (locus_key)``: half-open places, numbered by chromosome and position.
+
+    Loci of other chromosomes than 1 to 22, X, Y and MT are left out.
+    """
+    parts = F.split("locus_key", "-")
+    chrom = F.get(parts, F.lit(0))
+    code = F.when(chrom.rlike("^([1-9]|1[0-9]|2[0-2])$"), chrom.try_cast("int")).when(chrom == "X", 23).when(chrom == "Y", 24).when(chrom == "MT", 25)
+    rows = loci.select(code.alias("code"), F.concat(F.lit("chr"), chrom).alias("chrom"), F.get(parts, F.lit(1)).cast("long").alias("end"), F.col("locus_key").alias("name")).where("code is not null")
+    # Chosen loci are few, and their number is asked for, so they are ordered as a whole.
+    nth = F.row_number().over(Window.orderBy("code", "end", "name"))
+    return rows.select(nth.alias("nth"), "chrom", (F.col("end") - 1).alias("start"), "end", "name")
+
+
 def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``(side, key)``: keys only in ``a`` (left) or only in ``b`` (right)."""
     x, y = a.select(key).distinct(), b.select(key).distinct()

@@ -79,6 +79,46 @@ def primary_values(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select("*", first.alias("x")).where("x is not null").select(*[c for c in rows.columns if c != "json"], "x.result_key", "x.result_value")
 
 
+def haplotype_label(c: Column) -> Column:
+    """Haplotype1 or Haplotype2 for whatever names them, else the name without blanks; Haplotype1 for none."""
+    raw = F.trim(F.coalesce(c, F.lit("")))
+    digit = F.regexp_extract(raw, "([12])", 1)
+    return F.when(raw == "", "Haplotype1").when(digit != "", F.concat(F.lit("Haplotype"), digit)).otherwise(F.replace(raw, F.lit(" "), F.lit("")))
+
+
+def variant_name(direct: Column, rsid: Column, chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
+    """``rsid@chrom-pos-ref-alt``, or what there is of a variant's own name and its rsid; parts are text, empty for none."""
+    whole = (rsid != "") & (chrom != "") & (pos != "") & (ref != "") & (alt != "")
+    both = (direct != "") & (rsid != "") & ~direct.contains("@") & (direct != rsid)
+    named = F.when(both, F.concat(rsid, F.lit("@"), direct)).when(direct != "", direct).otherwise(rsid)
+    return F.when(whole, F.concat(rsid, F.lit("@"), F.concat_ws("-", chrom, pos, ref, alt))).otherwise(named)
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """``(sample, gene, top, full)`` of candidates ``(sample, gene, line_number, haplotype, rank, allele, variant, rsid, chrom, pos, ref, alt, genotype)``.
+
+    A candidate is ``rank:name``, its name the allele, the variant, both joined by @, the genotype, or else the line's
+    number. A haplotype lists its candidates by rank (one that is no number, or missing, counts as the line's number), and
+    a gene its haplotypes by name; ``top`` has each haplotype's first candidate alone.
+    """
+    text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("rank", "allele", "variant", "rsid", "chrom", "pos", "ref", "alt", "genotype")}
+    number = F.col("line_number").cast("string")
+    rank = F.when(text["rank"] != "", text["rank"]).otherwise(number)
+    allele, variant = text["allele"], variant_name(*(text[c] for c in ("variant", "rsid", "chrom", "pos", "ref", "alt")))
+    same = (variant == allele) | variant.startswith(F.concat(allele, F.lit("@")))
+    joined = F.when(same, variant).when(~allele.contains(variant), F.concat(allele, F.lit("@"), variant)).otherwise(allele)
+    body = F.when((allele != "") & (variant != ""), joined).when(allele != "", allele).otherwise(variant)
+    body = F.when(body != "", body).when(text["genotype"] != "", text["genotype"]).otherwise(F.concat(F.lit("row"), number))
+    place = F.coalesce(rank.try_cast("double"), F.col("line_number").cast("double"))
+    one = F.struct(place.alias("place"), rank.alias("rank"), F.col("line_number").alias("line"), F.concat(rank, F.lit(":"), body).alias("candidate"))
+    found = rows.select("sample", "gene", haplotype_label(F.col("haplotype")).alias("haplotype"), one.alias("x"))
+    held = found.groupBy("sample", "gene", "haplotype").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["candidate"]).alias("names"))
+    parts = F.array_sort(F.collect_list(F.struct("haplotype", "names")))
+    show = lambda of: F.array_join(F.transform("parts", lambda p: F.concat(p["haplotype"], F.lit("="), of(p["names"]))), "/")
+    genes = held.groupBy("sample", "gene").agg(parts.alias("parts"))
+    return genes.select("sample", "gene", show(lambda n: F.get(n, F.lit(0))).alias("top"), show(lambda n: F.array_join(n, "+")).alias("full"))
+
+
 # Fixed keys of analysis rows: those that never hold the result, and those that do if they are there.
 NOISY_KEYS = ("participant_id", "system", "confidence", "genotypes", "limitations", "interpretation", "notes")
 STATUS_KEYS = ("status", "result", "phenotype", "blood_type")

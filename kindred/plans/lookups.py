@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from ..operators import ancestry, linalg, lookups
-from .cohort import CTE, dosages
+from ..operators import ancestry, filters, linalg, lookups, popgen, synth
+from ..sources import vcf
+from .cohort import CTE, LOOSE, VARIANTS, dosages
 from .fixture import GENOTYPES_SQL, genotypes, sql
 from .registry import query
 
@@ -109,6 +110,47 @@ def haploid_males(spark, sf_dir):
     return rows.groupBy("rsid", "ploidy").agg(F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
 
 
+@query(
+    "t03_bed_sites",
+    f"""{CTE}, k AS (SELECT DISTINCT concat_ws('-', chrom, CAST(pos AS VARCHAR), ref, alt) AS name, chrom, pos, CASE WHEN chrom='X' THEN 23 ELSE CAST(chrom AS INT) END AS code FROM g)
+    SELECT CAST(ROW_NUMBER() OVER (ORDER BY code, pos, name) AS INTEGER) AS nth, concat('chr', chrom) AS chrom, pos-1 AS start, pos AS "end", name FROM k""",
+)
+def bed_sites(spark, sf_dir):
+    g = genotypes(spark, sf_dir).select(G.locus_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("locus_key")).distinct()
+    return popgen.bed_sites(g)
+
+
+@query(
+    "f13_dropped_with_reasons",
+    f"""{VARIANTS}, r AS (SELECT rsid, concat_ws(',', CASE WHEN 1-call_rate>0.30 THEN 'GENO' END, CASE WHEN maf<0.05 THEN 'MAF' END, CASE WHEN chi2>15.136705226623 THEN 'HWE' END) AS reasons FROM x)
+    SELECT rsid, CASE WHEN reasons='' THEN 'OTHER' ELSE reasons END AS reasons FROM r WHERE reasons<>'' OR rsid IN (SELECT rsid FROM g WHERE ref='G')""",
+)
+def dropped_with_reasons(spark, sf_dir):
+    d = dosages(spark, sf_dir)
+    rows = filters.variant_qc(d, LOOSE)
+    survivors = filters.all_reasons(rows, LOOSE).where("reasons = ''").join(d.where("ref = 'G'").select("rsid").distinct(), "rsid", "left_anti")
+    return filters.dropped_with_reasons(rows, survivors, LOOSE).select("rsid", "reasons")
+
+
+@query(
+    "f24_canonical_lines",
+    f"""{CTE}, k AS (SELECT DISTINCT chrom, pos, rsid FROM g), l AS (SELECT *, CASE pos//1000%5 WHEN 0 THEN concat('chr', chrom) WHEN 1 THEN concat(chrom, '_alt') WHEN 2 THEN 'MT' WHEN 3 THEN 'chr23' ELSE chrom END AS name FROM k)
+    SELECT name AS chrom, COUNT(*) AS lines FROM l WHERE pos//1000%5 NOT IN (1,3) GROUP BY name""",
+)
+def canonical_lines(spark, sf_dir):
+    k, of = genotypes(spark, sf_dir).select("chrom", "pos", "rsid").distinct(), F.floor(F.col("pos") / 1000) % 5
+    name = F.when(of == 0, F.concat(F.lit("chr"), "chrom")).when(of == 1, F.concat("chrom", F.lit("_alt"))).when(of == 2, "MT").when(of == 3, "chr23").otherwise(F.col("chrom"))
+    lines = k.select(F.concat_ws("\t", name, F.col("pos").cast("string"), "rsid").alias("value"))
+    kept = vcf.canonical_lines(lines.unionByName(spark.createDataFrame([("#CHROM\tPOS",)], "value string")))
+    return kept.where(~F.col("value").startswith("#")).groupBy(F.split_part("value", F.lit("\t"), F.lit(1)).alias("chrom")).agg(F.count("*").alias("lines"))
+
+
+@query("y03_bias_blocks")
+def bias_blocks(spark, sf_dir):
+    g = genotypes(spark, sf_dir).select("rsid", "chrom", "pos", "ref").distinct()
+    return synth.bias_blocks(g, g.where("ref = 'A'"), ["a", "b"], 30, 40, 5, 20, 3)
+
+
 @query("m10_cross_validation")
 def cross_validation(spark, sf_dir):
     return ancestry.cross_validated(dosages(spark, sf_dir), [2, 3], 2, 3).select("k", "rep", F.round("cv", 6).alias("cv"))

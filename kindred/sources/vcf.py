@@ -27,6 +27,15 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("x.samples").alias("sample_id"), "chrom", "pos", "rsid", "ref", "alt", F.col("x.gt").alias("gt"), G.vcf_dosage(F.col("x.gt")).alias("dosage"))
 
 
+#: Names of the chromosomes that callers take, as they are or after chr.
+CANONICAL = r"^(chr)?([1-9]|1[0-9]|2[0-2]|X|Y|MT|M)\t"
+
+
+def canonical_lines(lines: DataFrame) -> DataFrame:
+    """VCF lines ``(value, ...)`` that are headers or of a canonical chromosome."""
+    return lines.where(F.col("value").startswith("#") | F.col("value").rlike(CANONICAL))
+
+
 def write_vcf(d: DataFrame, path: str) -> None:
     """Long dosages as headed VCF text; a part file a partition of sites, each with its header."""
     from collections.abc import Iterator

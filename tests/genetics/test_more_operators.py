@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import ancestry, ld, linalg, lookups, popgen, sexbias, synth
+from kindred.operators import ancestry, ld, linalg, lookups, popgen, reports, sexbias, synth
 from kindred.sources import binary, sinks, tables, text, vcf
 
 
@@ -213,3 +213,40 @@ def test_compartments_have_to_fit(spark):
     with pytest.raises(ValueError, match="variants"):
         lookups.concatenated([rows([1], ["a"]), rows([1], ["a"])])
     assert popgen.set_differences(rows([1], ["a"]), rows([1], ["b"]), "rsid").count() == 2
+
+
+def test_signatures_of_candidates(spark):
+    names = "sample string, gene string, line_number int, haplotype string, rank string, allele string, variant string, rsid string, chrom string, pos string, ref string, alt string, genotype string"
+    rows = [
+        ("s", "G", 1, "hap 2", "2", "*2", None, "rs5", "1", "5", "A", "G", None),
+        ("s", "G", 2, "2", "1", "*3", "*3@x", "", "", "", "", "", None),
+        ("s", "G", 3, "", None, "", "v7", "rs7", "", "", "", "", None),
+        ("s", "G", 4, None, "10", "*1", "*1", "", "", "", "", "", None),
+        ("s", "G", 5, "1", "x", "", "", "", "", "", "", "", "*1/*2"),
+        ("s", "H", 1, "odd name", "", "", "", "", "", "", "", "", ""),
+    ]
+    got = {r.gene: (r.top, r.full) for r in reports.signatures(spark.createDataFrame(rows, names)).collect()}
+    assert got["G"] == ("Haplotype1=3:rs7@v7/Haplotype2=1:*3@x", "Haplotype1=3:rs7@v7+x:*1/*2+10:*1/Haplotype2=1:*3@x+2:*2@rs5@1-5-A-G")
+    assert got["H"] == ("oddname=1:row1", "oddname=1:row1")
+
+
+def test_blocks_are_disjoint_and_of_their_pools(spark):
+    panel = spark.range(300).select(F.format_string("rs%d", "id").alias("rsid"), F.when(F.col("id") % 3 == 0, "X").otherwise("2").alias("chrom"), F.col("id").alias("pos"))
+    loadings = panel.where("pos % 2 = 0")
+    got = synth.bias_blocks(panel, loadings, ["a", "b"], 20, 30, 4, 50, 2).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.block] = sizes.get(r.block, 0) + 1
+        assert not r.block.startswith("projection") or (r.pos % 2 == 0 and r.chrom == "2")
+        assert r.block == "sex_block" or r.chrom == "2"
+    assert sizes == {"projection[a]": 20, "projection[b]": 20, "island_structure[a]": 30, "island_structure[b]": 30, "sex_block": 54, "singleton_island[a]": 2, "singleton_island[b]": 2, "singleton_sex": 2}
+    assert len({r.rsid for r in got}) == len(got)
+    with pytest.raises(ValueError, match="sites for"):
+        synth.bias_blocks(panel, loadings, ["a"], 20, 30, 4, 101, 2)
+
+
+def test_rows_in_order_of_their_clusters(spark):
+    rows = spark.createDataFrame([("a", 0.0, 0.0), ("b", 5.0, 5.0), ("c", 0.1, 0.0), ("d", 5.0, 5.2), ("e", 20.0, 0.0)], "k string, x double, y double")
+    order = [r.k for r in linalg.row_order(rows, "k", ["x", "y"]).orderBy("nth").collect()]
+    assert sorted(order) == list("abcde") and abs(order.index("a") - order.index("c")) == abs(order.index("b") - order.index("d")) == 1
+    assert order.index("e") in (0, 4)
