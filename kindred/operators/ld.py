@@ -17,43 +17,65 @@ def ordered(d: DataFrame) -> DataFrame:
     return variants.withColumn("ord", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "rsid")))
 
 
+def stretches(d: DataFrame, window: int) -> tuple[int, int, DataFrame]:
+    """How many samples there are, how many places a stretch has, and ``(chrom, cell, ord, rsid, k, v)``.
+
+    A variant travels as one array of samples' numbers and one of their dosages to its stretch of places, and those near a
+    stretch's end to the next as well.
+    """
+    length = 4 * window
+    samples = d.select("sample_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("sample_id")) - 1)
+    n = samples.count()
+    called = d.where("dosage is not null").join(F.broadcast(samples) if n <= 1_000_000 else samples, "sample_id")
+    rows = called.groupBy("chrom", "pos", "rsid").agg(F.collect_list("k").alias("k"), F.collect_list("dosage").alias("v"))
+    rows = rows.join(ordered(d), ["chrom", "pos", "rsid"]).withColumn("cell", F.floor(F.col("ord") / length))
+    late = F.col("ord") % length >= length - window
+    return n, length, rows.select("chrom", "ord", "rsid", "k", "v", F.explode(F.when(late, F.array("cell", F.col("cell") + 1)).otherwise(F.array("cell"))).alias("cell"))
+
+
+def pairs_at_home(pdf: pd.DataFrame, length: int, window: int) -> np.ndarray:
+    """Of rows in order of place, which pairs are at most ``window`` apart, the first before the second and that one at home."""
+    place = pdf["ord"].to_numpy(np.int64)
+    apart = place[None, :] - place[:, None]
+    return (apart > 0) & (apart <= window) & (place // length == int(pdf["cell"].iloc[0]))[None, :]
+
+
 def pairwise_r2(d: DataFrame, window: int = DEFAULT.ld_window) -> DataFrame:
     """``(chrom, a, b, n, r2)`` of variants at most ``window`` places apart, over samples with both calls.
 
-    Sums are of whole numbers and divided once at the end. Partners are found by an equi-join on samples and on which
-    stretch of ``window`` places they are in, so no pair further than two stretches apart is ever made.
+    Sums are products of matrices of whole numbers, in each stretch of places by itself (see ``stretches``), and divided
+    once at the end. Pairs without a sample in common are left out; r2 is null where one doesn't vary.
     """
-    rows = d.where("dosage is not null").join(ordered(d), ["chrom", "pos", "rsid"]).select("sample_id", "chrom", "rsid", "ord", "dosage", F.floor(F.col("ord") / window).alias("cell"))
-    right = rows.select("sample_id", "chrom", F.col("rsid").alias("b"), F.col("ord").alias("ob"), F.col("dosage").cast("long").alias("y"), "cell")
-    left = rows.select("sample_id", "chrom", F.col("rsid").alias("a"), F.col("ord").alias("oa"), F.col("dosage").cast("long").alias("x"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    pairs = left.join(right, ["sample_id", "chrom", "cell"]).where((F.col("ob") > F.col("oa")) & (F.col("ob") <= F.col("oa") + window))
-    s = pairs.groupBy("chrom", "a", "b").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")
-    )
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
-    return s.select("chrom", "a", "b", "n", (cov * cov / F.nullif(var, F.lit(0))).alias("r2"))
+    n, length, rows = stretches(d, window)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        x, called = np.zeros((len(pdf), n)), np.zeros((len(pdf), n))
+        for row, mask, k, v in zip(x, called, pdf["k"], pdf["v"], strict=True):
+            row[np.asarray(k)], mask[np.asarray(k)] = v, 1
+        both, sx, sxx, sxy = called @ called.T, x @ called.T, (x * x) @ called.T, x @ x.T
+        a, b = np.nonzero(pairs_at_home(pdf, length, window) & (both > 0))
+        m, sx, sy, sxx, syy, sxy = both[a, b], sx[a, b], sx[b, a], sxx[a, b], sxx[b, a], sxy[a, b]
+        cov, var = m * sxy - sx * sy, (m * sxx - sx * sx) * (m * syy - sy * sy)
+        r2 = pd.array(np.where(var > 0, cov * cov / np.where(var > 0, var, 1), np.nan), "Float64", copy=True)
+        names = pdf["rsid"].to_numpy()
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "a": names[a], "b": names[b], "n": m.astype(np.int64), "r2": r2})
+
+    found = rows.groupBy("chrom", "cell").applyInPandas(compare, "chrom string, a string, b string, n long, r2 double")
+    return found.withColumn("r2", F.nanvl("r2", F.lit(None).cast("double")))
 
 
 def links(d: DataFrame, window: int = DEFAULT.ld_window, most: float = DEFAULT.ld_r2) -> DataFrame:
     """``(chrom, a, b)``: places of variants at most ``window`` apart, a before b, whose r2 is above ``most``.
 
-    Missing dosages count as their variant's mean. A variant travels as one array of dosages to its stretch of places,
-    and those near a stretch's end to the next as well, so a task holds a few windows of variants, whatever the
+    Missing dosages count as their variant's mean. A task holds a few windows of variants (see ``stretches``), whatever the
     chromosome's length, and gives only the links.
     """
-    stretch = 4 * window
-    samples = d.select("sample_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("sample_id")) - 1)
-    n = samples.count()
-    called = d.where("dosage is not null").join(F.broadcast(samples) if n <= 1_000_000 else samples, "sample_id")
-    rows = called.groupBy("chrom", "pos", "rsid").agg(F.collect_list("k").alias("k"), F.collect_list("dosage").alias("v"))
-    rows = rows.join(ordered(d), ["chrom", "pos", "rsid"]).withColumn("cell", F.floor(F.col("ord") / stretch))
-    late = F.col("ord") % stretch >= stretch - window
-    rows = rows.select("chrom", "ord", "k", "v", F.explode(F.when(late, F.array("cell", F.col("cell") + 1)).otherwise(F.array("cell"))).alias("cell"))
+    n, length, rows = stretches(d, window)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        place, cell = pdf["ord"].to_numpy(np.int64), int(pdf["cell"].iloc[0])
+        place = pdf["ord"].to_numpy(np.int64)
         x = np.empty((len(pdf), n), np.float32)
         for row, k, v in zip(x, pdf["k"], pdf["v"], strict=True):
             row[:] = np.mean(v)
@@ -61,9 +83,7 @@ def links(d: DataFrame, window: int = DEFAULT.ld_window, most: float = DEFAULT.l
         x -= x.mean(1, keepdims=True)
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         x /= np.where(norm > 0, norm, 1)
-        apart = place[None, :] - place[:, None]
-        own = place // stretch == cell  # each pair where its later variant is at home
-        a, b = np.nonzero(((x @ x.T) ** 2 > most) & (apart > 0) & (apart <= window) & own[None, :])
+        a, b = np.nonzero(((x @ x.T) ** 2 > most) & pairs_at_home(pdf, length, window))
         return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "a": place[a], "b": place[b]})
 
     return rows.groupBy("chrom", "cell").applyInPandas(compare, "chrom string, a long, b long")
