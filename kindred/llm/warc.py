@@ -24,6 +24,8 @@ from .common import few, values, written
 #: The skippable frame that holds a dictionary, by the WARC-Zstandard convention.
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
+#: Payloads with copies whose first ids are broadcast: a digest and an id each, 50 MB in all.
+BROADCAST_FIRSTS = 500_000
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "<urn:x-page:{}>"
@@ -161,6 +163,9 @@ def write(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     # Ids alone are grouped, and only groups of two or more come back; texts aren't.
     firsts = keyed.where(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    firsts = written(firsts)
+    # With the ids of what repeats beside each task no payload is shuffled; where they are too many, payloads meet them by digest.
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_FIRSTS else firsts
     rows = keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
