@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+A stage begins by deleting what its predecessors wrote for themselves, so their results have to be written by then.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from kindred.llm import decontam, quality, simhash, substring
 from kindred.llm.common import table, written
 from kindred.llm.packing import pack
+from kindred.sources.shared import release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and blank texts, and texts that fail the base check, go. Texts are read whole. Repeated rows are judged alike,
     and all stay or go. An empty table gives no rows.
     """
+    release(docs)
     return quality.keep(docs)
 
 
@@ -28,6 +33,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and blank texts are a group. A null id gives way to any other; of rows equal in id and text one stays, and of
     rows with one id but other texts that of the least hash. Texts are compared whole. An empty table gives no rows.
     """
+    release(docs)
     return simhash.representatives(docs, least=simhash.SIMILARITY)
 
 
@@ -37,6 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars``, where there is such a column, becomes the length of what is left. Null, empty and short texts stay as
     they are; a text of which nothing is left is empty. Of rows with one id neither is earlier. An empty table gives no rows.
     """
+    release(docs)
     done = substring.without_repeats(docs)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
     cut = {"text": text, "n_chars": F.length(text)}
@@ -49,6 +56,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold none, and stay. Texts are searched whole. An empty benchmark leaves every row, an empty
     table none.
     """
+    release(docs)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -58,6 +66,7 @@ def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is the end id alone; a text longer than a sequence is cut. Rows with one id are documents of
     their own. An empty table gives no rows.
     """
+    release(docs)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

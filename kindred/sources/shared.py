@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,36 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    folder, store = opened(spark, path)
+    store.deleteOnExit(folder)
+    TABLES.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables that an application has written and not yet released.
+TABLES: dict[str, set[str]] = {}
+
+
+def opened(spark: SparkSession, path: str) -> tuple:
+    """A path and its store, as Hadoop has them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(docs: DataFrame) -> None:
+    """Deletes the tables written so far, but those that ``docs`` is read from, and lets Spark drop finished shuffles.
+
+    For the beginning of a stage whose predecessors' results are written: nothing else that is still to be computed may
+    read those tables.
+    """
+    spark = docs.sparkSession
+    mine = TABLES.setdefault(spark.sparkContext.applicationId, set())
+    if not mine:
+        return
+    used = {part for f in docs.inputFiles() for part in f.split("/") if part.startswith("kindred-")}
+    for path in sorted(p for p in mine if p.rsplit("/", 1)[1] not in used):
+        folder, store = opened(spark, path)
+        store.delete(folder, True)
+        mine.discard(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver has forgotten their queries

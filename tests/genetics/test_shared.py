@@ -36,3 +36,14 @@ def test_written_tables_are_read_back(spark):
     df = spark.range(10).selectExpr("id", "cast(null as string) AS x")
     again = shared.written(df)
     assert again.dtypes == df.dtypes and again.count() == 10
+
+
+def test_release_keeps_what_is_still_read(spark):
+    first, second = shared.written(spark.range(5)), shared.written(spark.range(7))
+    shared.release(second.where("id > 1"))
+    assert second.count() == 7
+    assert first.inputFiles()[0].split("/")[-2] not in {p.rsplit("/", 1)[1] for p in shared.TABLES[spark.sparkContext.applicationId]}
+    with pytest.raises(Exception, match="(?i)not exist|not found|FileNotFound"):
+        first.selectExpr("sum(id)").collect()
+    shared.release(spark.range(1))
+    assert not shared.TABLES[spark.sparkContext.applicationId]
