@@ -173,6 +173,8 @@ LENGTH_RATIO = 1.25
 #: Keys by which texts become candidates at all, and samples a key is made of: texts of similarity 0.8 share none of the
 #: keys with probability (1 - 0.8 ** 6) ** 32 = 0.00006, those of 0.2 share one with probability 0.002.
 BANDS, ROWS_A_BAND = 32, 6
+#: Rows of at most 100 bytes that are broadcast to save a shuffle of texts or keys.
+BROADCAST_ROWS = 1_000_000
 #: What one task of the exact comparison holds of a side, in texts and in bytes of their shingles' hashes.
 TEXTS_A_BLOCK, BYTES_A_BLOCK = 4096, 16 << 20
 #: One seed for each 64 bits of a wide fingerprint, and what decides a bit that is set in half of the shingles.
@@ -258,7 +260,14 @@ def buckets(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = wide.select("node", F.explode("keys").alias("key"))
     held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("hub")).where("n > 1")
     held = written(held.groupBy("n", "all").agg(F.min(F.struct("key", "hub")).alias("x")).select("x.key", "x.hub", "n"))
-    return held, rows.join(held, "key")
+    return held, rows.join(beside(held), "key")
+
+
+def beside(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table for a join: broadcast if there are ``BROADCAST_ROWS`` at most, so that the other side stays
+    where it is.
+    """
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def similar_links(wide: DataFrame, radius: int = WIDE_RADIUS, block: int = 8192) -> DataFrame:
@@ -343,14 +352,14 @@ def exact_links(docs: DataFrame, wide: DataFrame, words_in_shingle: int, least:
     """
     _, members = buckets(wide)
     members = written(members.select("key", "hub", "node"))
-    own = wide.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "size", "first.id", "first.mark")
+    own = written(wide.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "size", "first.id", "first.mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pa.array([shingle_set(t, words_in_shingle).tobytes() for t in values(b.column(3))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], ["node", "fp", "size", "set"])
 
-    sets = docs.join(own, ["id", "mark"]).select("node", "fp", "size", "text").mapInArrow(run, "node long, fp binary, size long, set binary")
+    sets = docs.join(beside(own), ["id", "mark"]).select("node", "fp", "size", "text").mapInArrow(run, "node long, fp binary, size long, set binary")
     sets = written(sets.dropDuplicates(["node"]))
     star = written(star_links(members, sets, least))
     crossed = crossing_links(members, sets, connected_components(star), least)
