@@ -5,6 +5,8 @@ A stage begins by deleting what its predecessors wrote for themselves, so their
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,63 +16,79 @@ from pyspark.sql import functions as F
 from kindred.llm import decontam, quality, simhash, substring
 from kindred.llm.common import table, written
 from kindred.llm.packing import pack
-from kindred.sources.shared import release
+from kindred.sources.shared import OWNERS, owned, release
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(function: Stage) -> Stage:
+    """``function`` after what earlier stages of its run (or earlier calls of single stages) wrote for themselves is deleted."""
+
+    @functools.wraps(function)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        owner = OWNERS[-1] if OWNERS else "stages"
+        release(docs, owner)
+        with owned(owner):
+            return function(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model keeps, with their columns.
 
     Null and blank texts, and texts that fail the base check, go. Texts are read whole. Repeated rows are judged alike,
     and all stay or go. An empty table gives no rows.
     """
-    release(docs)
     return quality.keep(docs)
 
 
+@stage
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: texts of a five-word similarity of 0.8.
 
     Null and blank texts are a group. A null id gives way to any other; of rows equal in id and text one stays, and of
     rows with one id but other texts that of the least hash. Texts are compared whole. An empty table gives no rows.
     """
-    release(docs)
     return simhash.representatives(docs, least=simhash.SIMILARITY)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 20 words or more that start earlier in the corpus.
 
     ``n_chars``, where there is such a column, becomes the length of what is left. Null, empty and short texts stay as
     they are; a text of which nothing is left is empty. Of rows with one id neither is earlier. An empty table gives no rows.
     """
-    release(docs)
     done = substring.without_repeats(docs)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
     cut = {"text": text, "n_chars": F.length(text)}
     return done.select(*((cut[f.name].cast(f.dataType) if f.name in cut else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema))
 
 
+@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark, with their columns and repeats.
 
     Null and empty texts hold none, and stay. Texts are searched whole. An empty benchmark leaves every row, an empty
     table none.
     """
-    release(docs)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens.
 
     A null or empty text is the end id alone; a text longer than a sequence is cut. Rows with one id are documents of
     their own. An empty table gives no rows.
     """
-    release(docs)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_quality),
     ("near_duplicates", keep_one_of_each),
     ("substring", cut_repeats),
@@ -85,8 +103,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
+    with owned(f"run-{uuid.uuid4().hex}"):
+        for k, (_, apply) in enumerate(STAGES):
+            docs = apply(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = written(docs)
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +36,25 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     folder, store = opened(spark, path)
     store.deleteOnExit(folder)
-    TABLES.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if OWNERS:
+        TABLES.setdefault((spark.sparkContext.applicationId, OWNERS[-1]), set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables that an application has written and not yet released.
-TABLES: dict[str, set[str]] = {}
+#: Paths of the tables that were written for an application's owner, a run of stages, and not yet released.
+TABLES: dict[tuple[str, str], set[str]] = {}
+#: The owner of what is written now, last.
+OWNERS: list[str] = []
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is written inside belongs to ``owner`` and goes when it releases it."""
+    OWNERS.append(owner)
+    try:
+        yield
+    finally:
+        OWNERS.pop()
 
 
 def opened(spark: SparkSession, path: str) -> tuple:
@@ -48,14 +63,14 @@ def opened(spark: SparkSession, path: str) -> tuple:
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(docs: DataFrame) -> None:
-    """Deletes the tables written so far, but those that ``docs`` is read from, and lets Spark drop finished shuffles.
+def release(docs: DataFrame, owner: str) -> None:
+    """Deletes the tables written for ``owner``, but those that ``docs`` is read from, and lets Spark drop finished shuffles.
 
-    For the beginning of a stage whose predecessors' results are written: nothing else that is still to be computed may
-    read those tables.
+    For the beginning of a stage whose predecessors' results are written: nothing else of that owner that is still to be
+    computed may read those tables.
     """
     spark = docs.sparkSession
-    mine = TABLES.setdefault(spark.sparkContext.applicationId, set())
+    mine = TABLES.setdefault((spark.sparkContext.applicationId, owner), set())
     if not mine:
         return
     used = {part for f in docs.inputFiles() for part in f.split("/") if part.startswith("kindred-")}

@@ -39,11 +39,16 @@ def test_written_tables_are_read_back(spark):
 
 
 def test_release_keeps_what_is_still_read(spark):
-    first, second = shared.written(spark.range(5)), shared.written(spark.range(7))
-    shared.release(second.where("id > 1"))
-    assert second.count() == 7
-    assert first.inputFiles()[0].split("/")[-2] not in {p.rsplit("/", 1)[1] for p in shared.TABLES[spark.sparkContext.applicationId]}
+    mine = (spark.sparkContext.applicationId, "me")
+    with shared.owned("me"):
+        first, second = shared.written(spark.range(5)), shared.written(spark.range(7))
+        with shared.owned("another"):
+            other = shared.written(spark.range(3))
+    free = shared.written(spark.range(4))
+    shared.release(second.where("id > 1"), "me")
+    assert (second.count(), other.count(), free.count()) == (7, 3, 4)
+    assert {p.rsplit("/", 1)[1] for p in shared.TABLES[mine]} == {second.inputFiles()[0].split("/")[-2]}
     with pytest.raises(Exception, match="(?i)not exist|not found|FileNotFound"):
         first.selectExpr("sum(id)").collect()
-    shared.release(spark.range(1))
-    assert not shared.TABLES[spark.sparkContext.applicationId]
+    shared.release(spark.range(1), "me")
+    assert not shared.TABLES[mine] and other.count() == 3
