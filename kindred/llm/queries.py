@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, langid, warc
+from . import audit, chat, decontam, html, langid, periodic, pii, warc
 from .common import table
 from .packing import pack
 from .quality import quality
@@ -62,8 +62,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapsed(periodic.with_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality, op4_langid, op5_packing, op6_html, op7_substring, op8_warc, op9_chat, op10_simhash)}
+    of_documents = (op1_sharding, op2_decontamination, op3_quality, op4_langid, op5_packing, op7_substring, op10_simhash, op11_pii, op12_filter_audit, op13_periodic_runs)
+    return {f.__name__: f for f in (*of_documents, op6_html, op8_warc, op9_chat)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -97,6 +110,29 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens FROM g"""
 
 
+#: Which filters each document fails, and every order of them; a document is removed by the first filter that it fails.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+    CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END], lambda f: f IS NOT NULL) AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, array_to_string(list_sort(fails), '') AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS f, substr(filter_order, 1, k - 1) AS before FROM o, range(1, 6) t(k)),
+p AS (SELECT c.*, s.*, contains(fails, f) AS failing, before <> '' AND regexp_matches(fails, concat('[', CASE WHEN before = '' THEN '_' ELSE before END, ']')) AS earlier FROM c, s),
+g AS (SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (NOT failing AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (failing AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM p GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: no model, tokenizer, checksum or SimHash."""
-    return {"op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_chat": OP9_SQL}
+    return {"op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_chat": OP9_SQL, "op12_filter_audit": OP12_SQL}
