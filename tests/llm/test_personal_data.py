@@ -39,7 +39,7 @@ def brute(text):
 
 
 PIECES = ["a", "b.c", "@", "@", "x@y.z", ".", "+", "-", " ", "1", "12", "255", "4111111111111111", "0", "(", "555", ") ", "+1 (231) 555-1234"]
-PIECES += ["1.2.3.4", "é", "\n", "a@b@c.de", ".com", "%_", "999", "[at]", "://", "IBAN ", "account no. 12345678", "0" * 5000, "9" * 5000]
+PIECES += ["1.2.3.4", "é", "\n", "a@b@c.de", ".com", "%_", "999", "[at]", "://", "IBAN ", "account no. 12345678"]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -52,6 +52,13 @@ def test_base_spans_are_those_of_the_patterns(seed):
         assert {(k, *s) for k, found in base.items() for s in found} <= set(spans)
 
 
+def test_numbers_of_any_length():
+    anchors = pii.automaton()
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert pii.find(f"{zeros}1.2.3.4 {nines}.1.1.1", anchors)[0] == {"email": [], "ip": [(0, 5007)], "card": [], "phone": []}
+    assert pii.find(f"+{nines} {zeros}", anchors)[1] == []
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
