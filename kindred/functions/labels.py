@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import genotype as G
 from .genotype import MISSING_FACETS
 
 SEX = {"m": "M", "male": "M", "1": "M", "f": "F", "female": "F", "2": "F"}
 REGION_ALIASES = {"SAS": "CSA"}
-#: Fixed spellings of a reference-like diplotype.
-REFERENCE_LIKE = ["*1/*1", "Reference/Reference", "ref/ref", "Reference", "Wild-type/Wild-type"]
+#: Fixed spellings of what counts as a reference call: plain no-calls, and patterns of diplotypes, in lower case.
+NO_RESULT = ["no call", "none", "na", "n/a"]
+REFERENCE_PATTERNS = [
+    r"^reference/reference$",
+    r"^\*1/\*1$",
+    r"^b \(reference\)/b \(reference\)$",
+    r"^rs[0-9]+ reference \([acgt]\)/rs[0-9]+ reference \([acgt]\)$",
+]
 
 
 def population(c: Column) -> Column:
@@ -85,11 +92,9 @@ def possible_calls(calls: Column) -> Column:
 
 
 def reference_like(c: Column) -> Column:
-    """Whether a diplotype is the reference on both sides; a blank one is not."""
-    x = F.trim(F.coalesce(c, F.lit("")))
-    halves = F.split(x, "/")
-    same = (F.size(halves) == 2) & F.forall(halves, lambda h: F.trim(h).rlike(r"(?i)^(\*1|reference|ref|wild-?type)( \(.*\))?$"))
-    return x.isin(REFERENCE_LIKE) | same
+    """Whether a diplotype is the reference on both sides, or a plain no-call; a blank one is neither."""
+    x = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
+    return (x != "") & (x.isin(NO_RESULT) | x.rlike("|".join(REFERENCE_PATTERNS)))
 
 
 def stable_group_id(*values: Column) -> Column:
@@ -101,16 +106,45 @@ def safe_id(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "[^A-Za-z0-9._-]+", "_")
 
 
-def variant_label(gene: Column, rsid: Column, gt: Column) -> Column:
-    return F.concat_ws(" ", gene, F.nullif(rsid, F.lit("")), F.nullif(gt, F.lit("")))
-
-
 def raw_allele_tokens(variants: Column) -> Column:
-    """``(chrom, pos, ref, alt, gt)`` structs as sorted tokens chrom:pos:ref>alt, one an alternate that the genotype holds."""
+    """``(chrom, pos, ref, alt, gt)`` structs of one sample's sites as tokens ``chrom:pos:ref>alt=GT``, joined by ";".
 
-    def tokens(v: Column) -> Column:
-        alts = F.split(v["alt"], ",")
-        held = F.filter(F.sequence(F.lit(1), F.size(alts)), lambda k: F.array_contains(F.split(F.split_part(v["gt"], F.lit(":"), F.lit(1)), r"[/|]"), k.cast("string")))
-        return F.transform(held, lambda k: F.concat(v["chrom"], F.lit(":"), v["pos"].cast("string"), F.lit(":"), v["ref"], F.lit(">"), F.get(alts, k - 1)))
+    A site of several alternates is cut into one token for each that the genotype holds, with the genotype as that
+    alternate sees it: 1 for itself, 0 for the reference and other alternates, a dot for what is missing. A genotype of
+    nothing but dots gives every alternate, as ``./.``; a blank or reference genotype gives none. Tokens are in order of
+    chromosome (numbers, X, Y, MT, then other names), position, reference and alternate, then as text; repeats stay. ``gt`` is the
+    genotype alone; ``sample_genotype`` takes it out of a VCF line's columns.
+    """
 
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(variants, tokens)))), ";")
+    def tokens(v: Column) -> Column:
+        sep = F.when(F.contains(v["gt"], F.lit("|")), "|").otherwise("/")
+        alleles = F.when(F.contains(v["gt"], F.lit("|")), F.split(F.trim(v["gt"]), r"\|")).otherwise(F.split(F.trim(v["gt"]), "/"))
+        alts = F.filter(F.transform(F.split(v["alt"], ","), lambda a: F.trim(a)), lambda a: a != "")
+        blank = F.forall(alleles, lambda a: a == ".")
+        each = F.when(F.size(alts) > 0, F.sequence(F.lit(1), F.size(alts))).otherwise(F.array().cast("array<int>"))
+        held = F.filter(each, lambda k: blank | F.array_contains(F.transform(alleles, lambda a: a.try_cast("int")), k))
+        return F.when((F.trim(v["gt"]) == "") | v["gt"].isNull(), F.array().cast(TOKENS)).otherwise(F.transform(held, lambda k: token(v, F.get(alts, k - 1), k, alleles, sep)))
+
+    def token(v: Column, alt: Column, k: Column, alleles: Column, sep: Column) -> Column:
+        seen = F.transform(alleles, lambda a: F.when(a == ".", ".").when(a == k.cast("string"), "1").otherwise("0"))
+        gt = F.when(F.forall(seen, lambda x: x == "."), "./.").when((F.size(seen) == 2) & F.forall(seen, lambda x: x == "1"), "1/1").otherwise(F.reduce(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), F.get(seen, F.lit(0)), lambda x, y: F.concat(x, sep, y)))
+        name = G.clean_chrom(v["chrom"])
+        rank = F.when(name.rlike("^[0-9]{1,9}$"), name.try_cast("int")).when(name == "X", 23).when(name == "Y", 24).when(name.isin("M", "MT"), 25)
+        return F.struct(
+            rank.isNull().cast("int").alias("unknown"), F.coalesce(rank, F.lit(0)).alias("rank"), F.regexp_replace(F.trim(v["chrom"]), "(?i)^chr", "").alias("name"),
+            F.coalesce(v["pos"].cast("long"), F.lit(0)).alias("pos"), v["ref"].alias("ref"), alt.alias("alt"),
+            F.concat(v["chrom"], F.lit(":"), v["pos"].cast("string"), F.lit(":"), v["ref"], F.lit(">"), alt, F.lit("="), gt).alias("token"),
+        )
+
+    return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(variants, tokens))), lambda t: t["token"]), ";")
+
+
+TOKENS = "array<struct<unknown:int,rank:int,name:string,pos:long,ref:string,alt:string,token:string>>"
+
+
+def sample_genotype(keys: Column, values: Column) -> Column:
+    """The genotype among a VCF sample's colon-joined values: under the key GT, or the first where there is none."""
+    names, found = F.split(keys, ":"), F.split(values, ":")
+    at = F.array_position(names, "GT").cast("int")
+    own = F.get(found, at - 1)
+    return F.trim(F.coalesce(F.when((at > 0) & own.isNotNull(), own), F.get(found, F.lit(0)), F.lit("")))

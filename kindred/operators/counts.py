@@ -48,13 +48,16 @@ def minor_dosage(g: DataFrame, variants: DataFrame, key: str = "rsid") -> DataFr
 
 
 def oriented(g: DataFrame, key: str = "rsid") -> DataFrame:
-    """``a1`` (less common) and ``a2`` (more common) of each variant; in a tie the first sample's first allele is a2."""
+    """``a1`` (less common) and ``a2`` (more common) of each variant; in a tie the first sample's first allele is a2.
+
+    A variant of one allele has it as a2, and 0 as a1.
+    """
     ranked = biallelic(allele_counts(g, key))
     anchor = g.where(G.is_snp(F.col("gt"))).groupBy(key).agg(F.min_by(F.substring("gt", 1, 1), "sample_id").alias("anchor"))
     counts = [F.when(F.col(side) == b, F.col(f"n_{b}")) for side in ("major", "minor") for b in BASES]
     tie = F.coalesce(*counts[:4]) == F.coalesce(*counts[4:])
     swap = tie & (F.col("anchor") == F.col("minor"))
-    return ranked.join(anchor, key).select(key, F.when(swap, F.col("major")).otherwise(F.col("minor")).alias("a1"), F.when(swap, F.col("minor")).otherwise(F.col("major")).alias("a2"))
+    return ranked.join(anchor, key).select(key, F.when(F.col("major") == F.col("minor"), "0").when(swap, F.col("major")).otherwise(F.col("minor")).alias("a1"), F.when(swap, F.col("minor")).otherwise(F.col("major")).alias("a2"))
 
 
 def class_counts(d: DataFrame, *by: str) -> DataFrame:

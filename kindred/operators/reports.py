@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -61,7 +61,8 @@ def distinct_frequencies(rows: DataFrame, base: list[str], value: list[str]) ->
 
 
 def burden(rows: DataFrame) -> DataFrame:
-    """``(country, gene, participants, nonref, rate)``: rows whose diplotype isn't reference-like; a blank one isn't."""
+    """``(country, gene, participants, nonref, rate)``: rows whose diplotype isn't reference-like; a blank one isn't. Rows without a gene go."""
+    rows = rows.where(F.trim("gene") != "")
     nonref = F.count_if(~L.reference_like(F.col("diplotype")))
     out = rows.groupBy("country", "gene").agg(F.count_distinct("participant_id").alias("participants"), nonref.alias("nonref"))
     return out.withColumn("rate", F.bround(F.col("nonref") / F.nullif(F.col("participants"), F.lit(0)), 6))
@@ -123,24 +124,82 @@ def signatures(rows: DataFrame) -> DataFrame:
 NOISY_KEYS = ("participant_id", "system", "confidence", "genotypes", "limitations", "interpretation", "notes")
 STATUS_KEYS = ("status", "result", "phenotype", "blood_type")
 
+RULE = "struct<priority:int,some:array<string>,all:array<string>,none:array<string>,systems:array<string>,scope:array<string>,key:string,prefix:string,value:string,missing:string,fallback:string>"
 
-def analysis_values(rows: DataFrame) -> DataFrame:
-    """``system``, ``result_key`` and ``result_value`` beside analysis rows ``(..., keys array, row map)``; rows without any go.
 
-    A row with a system gives its blood type or else its phenotype. Others give the first emitted key with a value, or
-    where none is emitted the first of the row's own: of those that are named or end like a status, if there are any.
+def rule(priority: int, key: str, value: str, *, some=(), all=(), none=(), systems=(), scope=(), prefix="", missing="", fallback="") -> tuple:  # noqa: A002
+    """What a row gives if ``some`` (any of these columns, unless empty), ``all`` and ``none`` are filled, and its system is listed.
+
+    The result's system is the first filled column of ``scope``, its key ``key`` after the value of column ``prefix``, its
+    value that of column ``value`` or, where that is blank or ``missing``, ``fallback``. A rule without a value ends the row.
+    """
+    return (priority, [*some], [*all], [*none], [*systems], [*scope], key, prefix, value, missing, fallback)
+
+
+BY_SYSTEM = [
+    rule(2, "blood_type", "blood_type", all=["system", "blood_type"], scope=["system"]),
+    rule(3, "phenotype", "phenotype", all=["system", "phenotype"], scope=["system"]),
+]
+#: Fixed rules of each kind of assay, by priority; all rules of the first priority that holds give their rows.
+RULES = {
+    "apol1": BY_SYSTEM,
+    "blood_type": [
+        rule(1, "blood_type", "blood_type", all=["system", "blood_type"], scope=["system"]),
+        rule(1, "phenotype", "phenotype", all=["system", "phenotype"], none=["blood_type"], scope=["system"]),
+        rule(1, "abo_genotype", "abo_genotype", systems=["ABO", "ABO/RhD summary"], scope=["system"], fallback="Unresolved"),
+    ],
+    "pgx1": [
+        rule(0, "genotype", "genotype", some=["condition", "drug"], scope=["condition", "drug"], prefix="hla_allele", missing="missing", fallback="Unresolved"),
+        rule(1, "", "", some=["hla_allele", "hla_proxy_status"]),
+        rule(1, "hla_proxy_key", "hla_proxy_key", all=["hla_proxy_key"], none=["hla_allele", "hla_proxy_status"]),
+        *BY_SYSTEM,
+    ],
+}
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """``(kind, rules)``: a row for each kind of assay."""
+    return spark.createDataFrame([*RULES.items()], f"kind string, rules array<{RULE}>")
+
+
+def analysis_values(rows: DataFrame, kinds: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``system``, ``result_key`` and ``result_value`` beside analysis rows ``(assay_id, ..., keys array, row map)``.
+
+    ``kinds (assay_id, kind)`` says which rules of ``table`` (``rules()``) an assay has; one that isn't listed has none. A
+    row for which a rule holds gives what the rules of the least such priority give, one row each. Any other gives the
+    first emitted key with a value, or where none is emitted the first of the row's own plain values: of the keys that are
+    named or end like a status, if there are any. Values are trimmed, and rows without any go.
     """
+    table = rules(rows.sparkSession) if table is None else table
     value = lambda k: F.trim(F.coalesce(F.try_element_at("row", k if isinstance(k, Column) else F.lit(k)), F.lit("")))
-    found = lambda system, key, of: F.struct(system.alias("system"), key.alias("result_key"), of.alias("result_value"))
+    filled = lambda k: value(k) != ""
+
+    def holds(r: Column) -> Column:
+        listed = (F.size(r["systems"]) == 0) | F.array_contains(r["systems"], value("system"))
+        return ((F.size(r["some"]) == 0) | F.exists(r["some"], filled)) & F.forall(r["all"], filled) & ~F.exists(r["none"], filled) & listed
+
+    def given(r: Column) -> Column:
+        scope = F.coalesce(F.get(F.filter(F.transform(r["scope"], value), lambda x: x != ""), F.lit(0)), F.lit(""))
+        prefix = F.when(r["prefix"] == "", "").otherwise(value(r["prefix"]))
+        key = F.when(prefix == "", r["key"]).otherwise(F.concat_ws("_", prefix, r["key"]))
+        own = value(r["value"])
+        return F.struct(scope.alias("system"), key.alias("result_key"), F.when((own == "") | ((r["missing"] != "") & (F.lower(own) == r["missing"])), r["fallback"]).otherwise(own).alias("result_value"))
+
     emitted = F.coalesce("keys", F.array().cast("array<string>"))
-    keys = F.filter(F.when(F.size(emitted) > 0, emitted).otherwise(F.map_keys("row")), lambda k: ~k.isin(*NOISY_KEYS))
+    plain = F.filter(F.map_keys("row"), lambda k: ~value(k).rlike(r"^[\[{]"))
+    keys = F.filter(F.when(F.size(emitted) > 0, emitted).otherwise(plain), lambda k: ~k.isin(*NOISY_KEYS))
     status = F.filter(keys, lambda k: k.endswith("_status") | k.isin(*STATUS_KEYS))
     candidates = F.when(F.size(status) > 0, status).otherwise(keys)
-    first = F.get(F.filter(F.transform(candidates, lambda k: found(F.lit(""), k, value(k))), lambda x: x["result_value"] != ""), F.lit(0))
-    system = value("system")
-    by_system = [F.when((system != "") & (value(k) != ""), found(system, F.lit(k), value(k))) for k in ("blood_type", "phenotype")]
+    first = F.slice(F.filter(F.transform(candidates, lambda k: F.struct(F.lit("").alias("system"), k.alias("result_key"), value(k).alias("result_value"))), lambda x: x["result_value"] != ""), 1, 1)
+
     others = [c for c in rows.columns if c not in ("keys", "row")]
-    return rows.withColumn("x", F.coalesce(*by_system, first)).where("x is not null").select(*others, "x.*")
+    known = F.broadcast(table)  # as many rows as there are kinds of assays
+    with_rules = rows.join(kinds.select("assay_id", "kind"), "assay_id", "left").join(known, "kind", "left")
+    held = F.filter(F.coalesce("rules", F.array().cast(f"array<{RULE}>")), holds)
+    with_rules = with_rules.select(*others, "keys", "row", held.alias("held"))
+    best = F.array_min(F.transform("held", lambda r: r["priority"]))
+    by_rule = F.filter(F.transform(F.filter("held", lambda r: (r["priority"] == best) & (r["value"] != "")), given), lambda x: x["result_value"] != "")
+    return with_rules.select(*others, F.explode(F.when(F.size("held") > 0, by_rule).otherwise(first)).alias("x")).select(*others, "x.*")
 
 
 def gene_calls(reports: DataFrame) -> DataFrame:

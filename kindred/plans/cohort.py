@@ -58,7 +58,7 @@ def minor_dosage(spark, sf_dir):
     "g03_oriented_alleles",
     f"""{ALLELES}, f AS (SELECT rsid, arg_min(substr(gt,1,1), sample_id) AS anchor FROM u GROUP BY rsid),
     x AS (SELECT bi.*, anchor, (SELECT n FROM c WHERE c.rsid=bi.rsid AND base=major) = (SELECT n FROM c WHERE c.rsid=bi.rsid AND base=minor) AND anchor=minor AS swap FROM bi JOIN f USING (rsid))
-    SELECT rsid, CASE WHEN swap THEN major ELSE minor END AS a1, CASE WHEN swap THEN minor ELSE major END AS a2 FROM x""",
+    SELECT rsid, CASE WHEN major=minor THEN '0' WHEN swap THEN major ELSE minor END AS a1, CASE WHEN swap THEN minor ELSE major END AS a2 FROM x""",
 )
 def oriented(spark, sf_dir):
     return counts.oriented(counts.usable(genotypes(spark, sf_dir)))

@@ -40,6 +40,7 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     """A query over tables of ``sf_dir`` by name, without leaving views behind."""
     names = tables or ("lineitem", "supplier")
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in names:
         text = text.replace(f" {t}", f" {{{t}}}")
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
@@ -71,7 +72,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Calls of genes by participant: customers are participants, nations countries.
 CALLS_SQL = """
 SELECT concat('c', CAST(c.c_custkey AS VARCHAR(12))) AS participant_id, n.n_name AS country, concat('GENE', CAST(x.k AS VARCHAR(2))) AS gene,
-  CASE (c.c_custkey * 7 + x.k * 3) % 6 WHEN 0 THEN '*1/*1' WHEN 1 THEN '*1/*2' WHEN 2 THEN '*2/*2' WHEN 3 THEN '' WHEN 4 THEN 'Reference/Reference' ELSE '*1/*4 (0.9)' END AS diplotype,
+  CASE (c.c_custkey * 7 + x.k * 3) % 17 WHEN 0 THEN '*1/*1' WHEN 1 THEN '*1/*2' WHEN 2 THEN '*2/*2' WHEN 3 THEN '' WHEN 4 THEN 'Reference/Reference' WHEN 5 THEN '*1/*4 (0.9)' WHEN 6 THEN 'No Call' WHEN 7 THEN 'NA' WHEN 8 THEN ' n/a ' WHEN 9 THEN 'None'
+    WHEN 10 THEN 'b (Reference)/B  (reference)' WHEN 11 THEN 'rs12 reference (A)/rs12 reference (G)' WHEN 12 THEN 'rs12 reference (A)/rs12 variant (G)' WHEN 13 THEN 'ref/ref' WHEN 14 THEN '*1/*1 (0.9)' WHEN 15 THEN 'Wild-type/Wild-type' ELSE '*1/*10' END AS diplotype,
   CASE (c.c_custkey * 7 + x.k * 3) % 6 WHEN 0 THEN 'normal' WHEN 3 THEN '' ELSE 'poor' END AS phenotype,
   CASE c.c_custkey % 3 WHEN 0 THEN 'chr1:100:A>G' WHEN 1 THEN '' ELSE 'chr1:100:A>G;chr1:200:C>T' END AS raw_alleles
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) x

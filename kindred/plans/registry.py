@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import ancestry, cohort, lookups, population, reports, text  # noqa: F401  each adds its own
+    from . import ancestry, cohort, files, lookups, population, reports, text  # noqa: F401  each adds its own
 
     return QUERIES
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import popgen, reports, synth
 from ..sources import tables
-from ..sources.shared import shared_folder
+from ..sources.shared import scratch
 from .fixture import CALLS_SQL, GENOTYPES_SQL, calls, genotypes, sql
 from .registry import query
 
 C = f"WITH c AS ({CALLS_SQL})"
+#: Whether a diplotype ``t``, trimmed and in lower case with single spaces, is a no-call or the reference.
+REFERENCE = r"""(t <> '' AND (t IN ('no call', 'none', 'na', 'n/a') OR regexp_matches(t, '^reference/reference$') OR regexp_matches(t, '^\*1/\*1$')
+  OR regexp_matches(t, '^b \(reference\)/b \(reference\)$') OR regexp_matches(t, '^rs\d+ reference \([acgt]\)/rs\d+ reference \([acgt]\)$')))"""
+REFERENCE_CTE = rf"{C}, t AS (SELECT *, regexp_replace(lower(trim(diplotype)), '\s+', ' ', 'g') AS t FROM c)"
 FREQ = "ROUND(CAST(n AS DOUBLE)/NULLIF(sample_count,0),6)"
 
 
@@ -47,7 +49,7 @@ def phase_groups(spark, sf_dir):
 
 @query(
     "g23_burden",
-    f"""{C}, b AS (SELECT country, gene, COUNT(DISTINCT participant_id) AS participants, COUNT(*) FILTER (diplotype NOT IN ('*1/*1','Reference/Reference')) AS nonref FROM c GROUP BY ALL)
+    f"""{REFERENCE_CTE}, b AS (SELECT country, gene, COUNT(DISTINCT participant_id) AS participants, COUNT(*) FILTER (NOT {REFERENCE}) AS nonref FROM t WHERE gene <> '' GROUP BY ALL)
     SELECT country, gene, participants, nonref, ROUND(CAST(nonref AS DOUBLE)/participants,6) AS rate FROM b""",
 )
 def burden(spark, sf_dir):
@@ -60,7 +62,7 @@ def not_reported(spark, sf_dir):
     return reports.not_reported(roster, calls(spark, sf_dir).where("gene = 'GENE1'"))
 
 
-@query("x26_reference_like", f"{C} SELECT diplotype, diplotype IN ('*1/*1','Reference/Reference') AS reference_like, trim(replace(diplotype,'(0.9)','')) AS stripped, COUNT(*) AS rows FROM c GROUP BY ALL")
+@query("x26_reference_like", f"{REFERENCE_CTE} SELECT diplotype, {REFERENCE} AS reference_like, trim(regexp_replace(diplotype, '\\s*\\([^()]*\\)\\s*$', '')) AS stripped, COUNT(*) AS rows FROM t GROUP BY ALL")
 def reference_like(spark, sf_dir):
     rows = calls(spark, sf_dir).groupBy("diplotype").agg(F.count("*").alias("rows"))
     return rows.select("diplotype", L.reference_like(F.col("diplotype")).alias("reference_like"), L.strip_score(F.col("diplotype")).alias("stripped"), "rows")
@@ -116,32 +118,80 @@ def primary_values(spark, sf_dir):
     return reports.primary_values(e, ["absent", "k"]).groupBy("event_type", "result_key", "result_value").agg(F.count("*").alias("rows"))
 
 
-ANALYSIS = """SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey % 6 AS m, concat('v', CAST(c_nationkey AS VARCHAR(4))) AS v FROM customer"""
+#: Result rows as three assays write them, and which keys are emitted, in JSON.
+ANALYSIS = """SELECT c_custkey AS id, concat('a', CAST(FLOOR(c_custkey / 12) AS BIGINT) % 3) AS assay_id, CASE WHEN c_custkey % 12 = 4 THEN '[{"key": "status"}, {"key": "result"}]' ELSE '[]' END AS emits,
+CASE c_custkey % 12 WHEN 0 THEN concat('{"system": "ABO", "phenotype": "p", "blood_type": "v', c_nationkey, '"}') WHEN 1 THEN concat('{"system": " ABO ", "phenotype": "v', c_nationkey, '", "blood_type": " ", "abo_genotype": "A/O"}')
+  WHEN 2 THEN concat('{"notes": "n", "dose": "d", "risk_status": "v', c_nationkey, '"}') WHEN 3 THEN concat('{"confidence": "high", "nested": {"x": 1}, "dose": "v', c_nationkey, '"}')
+  WHEN 4 THEN concat('{"status": "", "result": "v', c_nationkey, '", "dose": "d"}') WHEN 5 THEN '{"notes": "n", "confidence": "c"}'
+  WHEN 6 THEN '{"condition": "c1", "drug": "d1", "genotype": "Missing", "hla_allele": "B*57"}' WHEN 7 THEN concat('{"drug": "d1", "genotype": "v', c_nationkey, '"}')
+  WHEN 8 THEN concat('{"hla_proxy_status": "s", "hla_proxy_key": "k", "result": "v', c_nationkey, '"}') WHEN 9 THEN concat('{"hla_proxy_key": "v', c_nationkey, '", "system": "S", "phenotype": "p"}')
+  WHEN 10 THEN concat('{"system": "Rh", "result": "v', c_nationkey, '"}') ELSE '{"system": "ABO/RhD summary", "result": "r"}' END AS js FROM customer"""
+KINDS = [("a0", "pgx1"), ("a1", "blood_type"), ("a2", "apol1")]
+NOISY = "('participant_id','system','confidence','genotypes','limitations','interpretation','notes')"
+ANALYSIS_FIELDS = ", ".join(f"trim(coalesce(json_extract_string(js, '$.{k}'), '')) AS {k}" for k in ("system", "blood_type", "phenotype", "abo_genotype", "hla_proxy_key", "condition", "drug", "genotype", "hla_allele", "hla_proxy_status"))
+
+
+def analysis_sql(kind: str) -> str:
+    """The rows of one assay, ``r (system, result_key, result_value)``, each kind by its own chain of conditions."""
+    system = "SELECT system, 'blood_type', blood_type FROM f WHERE {0} system<>'' AND blood_type<>'' UNION ALL SELECT system, 'phenotype', phenotype FROM f WHERE {0} system<>'' AND blood_type='' AND phenotype<>''"
+    chains = {
+        "apol1": (system.format(""), "system<>'' AND (blood_type<>'' OR phenotype<>'')"),
+        "blood_type": (system.format("") + " UNION ALL SELECT system, 'abo_genotype', CASE WHEN abo_genotype='' THEN 'Unresolved' ELSE abo_genotype END FROM f WHERE system IN ('ABO','ABO/RhD summary')", "system<>'' AND (blood_type<>'' OR phenotype<>'' OR system IN ('ABO','ABO/RhD summary'))"),
+        "pgx1": (
+            "SELECT CASE WHEN condition<>'' THEN condition ELSE drug END, CASE WHEN hla_allele<>'' THEN concat(hla_allele,'_genotype') ELSE 'genotype' END, CASE WHEN genotype<>'' AND lower(genotype)<>'missing' THEN genotype ELSE 'Unresolved' END FROM f WHERE condition<>'' OR drug<>''"
+            " UNION ALL SELECT '', 'hla_proxy_key', hla_proxy_key FROM f WHERE condition='' AND drug='' AND hla_allele='' AND hla_proxy_status='' AND hla_proxy_key<>'' UNION ALL "
+            + system.format("condition='' AND drug='' AND hla_allele='' AND hla_proxy_status='' AND hla_proxy_key='' AND"),
+            "condition<>'' OR drug<>'' OR hla_allele<>'' OR hla_proxy_status<>'' OR hla_proxy_key<>'' OR (system<>'' AND (blood_type<>'' OR phenotype<>''))",
+        ),
+    }
+    chosen, known = chains[kind]
+    return f"""WITH f AS (SELECT *, {ANALYSIS_FIELDS} FROM ({ANALYSIS}) c WHERE assay_id='{dict(map(reversed, KINDS))[kind]}'),
+    k AS (SELECT *, list_filter(CASE WHEN emits<>'[]' THEN ['status','result'] ELSE list_filter(json_keys(js), lambda k: json_type(js, concat('$.',k)) NOT IN ('OBJECT','ARRAY')) END, lambda k: k NOT IN {NOISY}) AS keys FROM f WHERE NOT ({known})),
+    s AS (SELECT *, list_filter(keys, lambda k: suffix(k,'_status') OR k IN ('status','result','phenotype','blood_type')) AS st FROM k),
+    g AS (SELECT js, list_filter(CASE WHEN len(st)>0 THEN st ELSE keys END, lambda k: trim(coalesce(json_extract_string(js, concat('$.',k)),''))<>'')[1] AS key FROM s),
+    r(system, result_key, result_value) AS ({chosen} UNION ALL SELECT '', key, trim(json_extract_string(js, concat('$.',key))) FROM g WHERE key IS NOT NULL)
+    SELECT system, result_key, result_value, COUNT(*) AS rows FROM r GROUP BY ALL"""
+
+
+def analysis_of(kind):
+    def found(spark, sf_dir):
+        c = sql(spark, sf_dir, ANALYSIS, "customer")
+        lines = c.select(F.concat(F.lit('{"assay_id": "'), "assay_id", F.lit('", "analysis_id": "x", "emits": '), "emits", F.lit(', "rows": ['), "js", F.lit("]}")).alias("value"))
+        path = scratch(spark)
+        lines.unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
+        kinds = spark.createDataFrame(KINDS, "assay_id string, kind string")
+        rows = reports.analysis_values(tables.analysis_jsonl(spark, path), kinds)
+        return rows.join(kinds.where(F.col("kind") == kind), "assay_id").groupBy("system", "result_key", "result_value").agg(F.count("*").alias("rows"))
+
+    return found
+
+
+for _, _kind in KINDS:
+    query(f"s34_x27_{_kind}_values", analysis_sql(_kind))(analysis_of(_kind))
+
+
+#: A sample's sites as a VCF has them: each order is a sample, each of its lines a site.
+SITES = """SELECT l_orderkey AS sample_id, CASE l_partkey % 8 WHEN 0 THEN 'chr10' WHEN 1 THEN '2' WHEN 2 THEN 'X' WHEN 3 THEN 'chrM' WHEN 4 THEN 'chr2' WHEN 5 THEN 'GL000' WHEN 6 THEN 'chrY' ELSE '1' END AS chrom, l_suppkey AS pos, 'A' AS ref,
+CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN 'G' WHEN 1 THEN 'G,T' WHEN 2 THEN ' C , T' WHEN 3 THEN 'GT,<DEL>,C' ELSE '' END AS alt,
+CASE WHEN l_orderkey % 7 = 0 THEN 'DP:GT' WHEN l_orderkey % 7 = 1 THEN 'DP' ELSE 'GT:DP' END AS ks,
+CASE (l_suppkey + l_linenumber) % 11 WHEN 0 THEN '0/1' WHEN 1 THEN './.' WHEN 2 THEN '1|2' WHEN 3 THEN '0/0' WHEN 4 THEN '2/2' WHEN 5 THEN '.|1' WHEN 6 THEN '1' WHEN 7 THEN '0|0' WHEN 8 THEN '' WHEN 9 THEN '3/0' ELSE '.' END AS g FROM lineitem"""
 
 
 @query(
-    "s34_x27_analysis_values",
-    f"""WITH c AS ({ANALYSIS}) SELECT concat('a', CAST(m AS VARCHAR)) AS assay_id, CASE WHEN m IN (0,1) THEN 'ABO' ELSE '' END AS system, CASE m WHEN 0 THEN 'blood_type' WHEN 1 THEN 'phenotype' WHEN 2 THEN 'risk_status' WHEN 3 THEN 'dose' ELSE 'result' END AS result_key,
-    v AS result_value, COUNT(*) AS rows FROM c WHERE m<>5 GROUP BY ALL""",
+    "x29_raw_alleles",
+    f"""WITH s AS ({SITES}), a AS (SELECT *, string_split(g, CASE WHEN contains(g,'|') THEN '|' ELSE '/' END) AS al, CASE WHEN contains(g,'|') THEN '|' ELSE '/' END AS sep,
+      list_filter(list_transform(string_split(alt,','), lambda x: trim(x)), lambda x: x<>'') AS alts, regexp_replace(chrom,'^chr','','i') AS bare FROM s WHERE g NOT IN ('','0/0','0|0')),
+    t AS (SELECT *, unnest(range(1,len(alts)+1)) AS k FROM a),
+    h AS (SELECT *, list_transform(al, lambda x: CASE WHEN x='.' THEN '.' WHEN x=CAST(k AS VARCHAR) THEN '1' ELSE '0' END) AS seen FROM t WHERE len(list_filter(al, lambda x: x<>'.'))=0 OR list_contains(list_transform(al, lambda x: TRY_CAST(x AS INT)), k)),
+    k AS (SELECT *, concat(chrom,':',pos,':',ref,'>',alts[k],'=',CASE WHEN len(list_filter(seen, lambda x: x<>'.'))=0 THEN './.' WHEN seen=['1','1'] THEN '1/1' ELSE replace(array_to_string(seen, '/'), '/', sep) END) AS token,
+      CASE WHEN TRY_CAST(bare AS INT) IS NOT NULL THEN CAST(bare AS INT) WHEN bare='X' THEN 23 WHEN bare='Y' THEN 24 WHEN bare='M' THEN 25 END AS rank FROM h)
+    SELECT s.sample_id, coalesce(array_to_string(list(token ORDER BY rank IS NULL, coalesce(rank,0), bare, k.pos, k.ref, alts[k], token) FILTER (token IS NOT NULL), ';'),'') AS raw_alleles FROM (SELECT DISTINCT sample_id FROM s) s LEFT JOIN k ON s.sample_id=k.sample_id GROUP BY s.sample_id""",
 )
-def analysis_values(spark, sf_dir):
-    c = sql(spark, sf_dir, ANALYSIS, "customer")
-    row = lambda *pairs: F.concat(F.lit("{"), *[x for k, (key, of) in enumerate(pairs) for x in (F.lit(", " * bool(k) + f'"{key}": "'), of if not isinstance(of, str) else F.lit(of), F.lit('"'))], F.lit("}"))
-    v, m = F.col("v"), F.col("m")
-    rows = (
-        F.when(m == 0, row(("system", "ABO"), ("phenotype", "p"), ("blood_type", v)))
-        .when(m == 1, row(("system", " ABO "), ("phenotype", v), ("blood_type", " ")))
-        .when(m == 2, row(("notes", "n"), ("dose", "d"), ("risk_status", v)))
-        .when(m == 3, row(("confidence", "high"), ("dose", v), ("other", "o")))
-        .when(m == 4, row(("status", ""), ("result", v), ("dose", "d")))
-        .otherwise(row(("notes", "n"), ("confidence", "c")))
-    )
-    emits = F.when(m == 4, '[{"key": "status"}, {"key": "result"}]').otherwise("[]")
-    lines = c.select(F.concat(F.lit('{"assay_id": "a'), m.cast("string"), F.lit('", "analysis_id": "x", "emits": '), emits, F.lit(', "rows": ['), rows, F.lit("]}")).alias("value"))
-    path = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}"
-    lines.unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
-    found = reports.analysis_values(tables.analysis_jsonl(spark, path))
-    return found.groupBy("assay_id", "system", "result_key", "result_value").agg(F.count("*").alias("rows"))
+def raw_alleles(spark, sf_dir):
+    s = sql(spark, sf_dir, SITES, "lineitem")
+    values = F.when(F.col("ks") == "DP:GT", F.concat(F.lit("7:"), "g")).otherwise(F.concat("g", F.lit(":7")))
+    site = F.struct("chrom", "pos", "ref", "alt", L.sample_genotype(F.col("ks"), values).alias("gt"))
+    return s.groupBy("sample_id").agg(F.collect_list(site).alias("sites")).select("sample_id", L.raw_allele_tokens(F.col("sites")).alias("raw_alleles"))
 
 
 @query(

@@ -8,7 +8,7 @@ from ..functions import genotype as G
 from ..functions import labels as L
 from ..operators import qc
 from ..sources import tables, text
-from .fixture import GENOTYPES_SQL, genotypes, lines, lines_sql
+from .fixture import GENOTYPES_SQL, genotypes, lines, lines_sql, sql
 from .registry import query
 
 TAB = "chr(9)"
@@ -180,15 +180,46 @@ def label_fields(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", L.population(F.col("n_name")).alias("population"), L.sex(raw).alias("sex"), L.safe_id(F.col("n_name")).alias("safe"))
 
 
+#: A frequency file's rows, in order: keys of both kinds, some of another spelling, repeated, of no variant or malformed.
+AF_FILE = f"""SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number, CASE l_linenumber % 7 WHEN 0 THEN 'no key' WHEN 1 THEN concat('chr', chrom, ':', pos, ':', lower(ref), ':', alt) WHEN 2 THEN concat(chrom, '-', pos, '-', ref, '-', lower(alt))
+    WHEN 3 THEN concat(chrom, ':', pos, ':', alt, ':', ref) WHEN 4 THEN concat(chrom, ':x:', ref, ':', alt) ELSE concat(chrom, ':', pos, ':', ref, ':', alt) END AS locus_key,
+  CASE WHEN l_quantity < 6 THEN 'n' ELSE CAST(CAST(l_quantity AS INT) * 2 AS VARCHAR(4)) END AS allele_number, CAST(CAST(l_quantity AS DOUBLE) / 64 AS VARCHAR(12)) AS allele_freq
+  FROM (SELECT l.*, g.chrom, g.pos, g.ref, g.alt FROM lineitem l JOIN (SELECT DISTINCT chrom, pos, ref, alt FROM ({GENOTYPES_SQL}) g0) g ON (l_partkey % 700) * 1000 + 1000 = g.pos) x"""
+AF_KEYS = f"""WITH v AS (SELECT DISTINCT chrom, pos, ref, alt FROM ({GENOTYPES_SQL}) g), a AS ({AF_FILE}),
+  p AS (SELECT *, CASE WHEN contains(locus_key,':') THEN string_split(locus_key,':') ELSE string_split(locus_key,'-') END AS p FROM a),
+  k AS (SELECT line_number, TRY_CAST(allele_number AS BIGINT) AS n, CAST(allele_freq AS DOUBLE) AS f, CASE WHEN len(p)=4 THEN regexp_replace(p[1],'^chr','') END AS chrom, TRY_CAST(p[2] AS BIGINT) AS pos, upper(p[3]) AS ref, upper(p[4]) AS alt FROM p),
+  m AS (SELECT k.*, v.chrom IS NOT NULL AS known, ROW_NUMBER() OVER (PARTITION BY k.chrom, k.pos, k.ref, k.alt ORDER BY line_number) AS nth FROM k LEFT JOIN v ON k.chrom=v.chrom AND k.pos=v.pos AND k.ref=v.ref AND k.alt=v.alt)"""
+
+
+def frequency_file(spark, sf_dir):
+    return sql(spark, sf_dir, AF_FILE, "lineitem", "supplier"), genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
+
+
 @query(
     "s18_keyed_af",
-    f"WITH g AS ({GENOTYPES_SQL}), v AS (SELECT DISTINCT chrom, pos, ref, alt FROM g) SELECT chrom, pos, ref, alt, CASE WHEN ref<>'G' THEN CAST((pos//1000)%10 AS DOUBLE)/16 END AS allele_freq FROM v",
+    f"""{AF_KEYS} SELECT v.chrom, v.pos, v.ref, v.alt, CASE WHEN n IS NOT NULL THEN f END AS allele_freq, coalesce(n, 0) AS allele_number
+    FROM v LEFT JOIN (SELECT * FROM m WHERE nth=1 AND known) m ON m.chrom=v.chrom AND m.pos=v.pos AND m.ref=v.ref AND m.alt=v.alt""",
 )
 def keyed_af(spark, sf_dir):
-    v = genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
-    key = F.when(F.col("pos") % 2000 == 0, F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")).otherwise(G.locus_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
-    af = v.where("ref <> 'G'").select(key.alias("locus_key"), ((F.floor(F.col("pos") / 1000) % 10) / 16).alias("allele_freq"), F.lit(10).alias("allele_number"))
-    return tables.keyed_af(af, v)[0].select("chrom", "pos", "ref", "alt", "allele_freq")
+    return tables.keyed_af(*frequency_file(spark, sf_dir))[0]
+
+
+@query(
+    "s18_counts",
+    f"""{AF_KEYS} SELECT COUNT(*) AS rows, COUNT(*) FILTER (known AND nth=1 AND n IS NOT NULL) AS matched, COUNT(*) FILTER (NOT known OR (nth=1 AND n IS NULL)) AS unmatched, COUNT(*) FILTER (known AND nth>1) AS duplicates FROM m""",
+)
+def keyed_counts(spark, sf_dir):
+    return tables.keyed_af(*frequency_file(spark, sf_dir))[1]
+
+
+@query(
+    "s22_loadings",
+    """WITH l AS (SELECT CAST(l_partkey % 23 AS VARCHAR) AS chrom, l_suppkey AS pos, CASE l_linenumber % 2 WHEN 0 THEN 'A' ELSE 'G' END AS ref, 'T' AS alt, CAST(l_quantity AS DOUBLE) AS pca_af, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem)
+    SELECT chrom, pos, arg_min(ref, nth) AS ref, arg_min(alt, nth) AS alt, arg_min(pca_af, nth) AS pca_af FROM l GROUP BY chrom, pos""",
+)
+def loadings(spark, sf_dir):
+    l = sql(spark, sf_dir, "SELECT CAST(l_partkey % 23 AS STRING) AS chrom, l_suppkey AS pos, CASE l_linenumber % 2 WHEN 0 THEN 'A' ELSE 'G' END AS ref, 'T' AS alt, CAST(l_quantity AS DOUBLE) AS pca_af, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem", "lineitem")  # noqa: E741
+    return tables.loadings(l.withColumn("loadings", F.array("pca_af"))).drop("loadings")
 
 
 VCF_CALLS = ("0/0", "0|1", "1/1:9", "./.", "0/2", "1", "0/0/1", "1|0:.:3")
@@ -205,16 +236,6 @@ def vcf_dosage(spark, sf_dir):
     return rows.groupBy("rsid", "gt", G.vcf_dosage(F.col("gt")).alias("dosage")).agg(F.count("*").alias("calls"))
 
 
-@query(
-    "s18_counts",
-    f"WITH g AS ({GENOTYPES_SQL}), v AS (SELECT DISTINCT chrom, pos, ref, alt FROM g) SELECT COUNT(*) FILTER (ref<>'G') AS matched, COUNT(*) FILTER (ref='G') AS unmatched, COUNT(*) FILTER (ref<>'G' AND alt='T') AS repeated FROM v",
-)
-def keyed_counts(spark, sf_dir):
-    v = genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
-    key = G.locus_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
-    af = v.where("ref <> 'G'").select(key.alias("locus_key"), F.lit(0.5).alias("allele_freq"), F.lit(10).alias("allele_number"), "alt")
-    return tables.keyed_af(af.unionByName(af.where("alt = 'T'")).drop("alt"), v)[1]
-
 
 @query(
     "g18_summary",

@@ -93,7 +93,7 @@ def write_npz(d: DataFrame, path: str, most: int = 20_000_000) -> None:
 
 
 def loadings_npz(spark: SparkSession, path: str) -> DataFrame:
-    """``(chrom, pos, ref, alt, loadings, pca_af)`` of a loadings archive."""
+    """``(chrom, pos, ref, alt, loadings, pca_af, nth)`` of a loadings archive; ``nth`` is the row's place in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,10 +102,10 @@ def loadings_npz(spark: SparkSession, path: str) -> DataFrame:
                 if lacking := [k for k in LOADINGS if k not in arc.files]:
                     raise ValueError(f"{name} lacks {lacking}")
                 text = {k: [text_of(v) for v in arc[k]] for k in ("chrom", "ref", "alt")}
-                yield pd.DataFrame(text | {"pos": arc["pos"].astype(np.int64), "loadings": list(arc["loadings"].astype(float)), "pca_af": arc["pca_af"].astype(float)})
+                yield pd.DataFrame(text | {"pos": arc["pos"].astype(np.int64), "loadings": list(arc["loadings"].astype(float)), "pca_af": arc["pca_af"].astype(float), "nth": np.arange(len(arc["pos"]))})
 
-    rows = contents(spark, path).mapInPandas(run, "chrom string, ref string, alt string, pos long, loadings array<double>, pca_af double")
-    return rows.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), "pos", "ref", "alt", "loadings", "pca_af")
+    rows = contents(spark, path).mapInPandas(run, "chrom string, ref string, alt string, pos long, loadings array<double>, pca_af double, nth long")
+    return rows.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), "pos", "ref", "alt", "loadings", "pca_af", "nth")
 
 
 def zip_lines(spark: SparkSession, path: str, member: str) -> DataFrame:

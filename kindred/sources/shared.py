@@ -26,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a folder for files of one's own in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
+    folder, store = opened(spark, path)
+    store.deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, so that a lost executor costs no recomputation of what led to it.
 

@@ -103,19 +103,33 @@ def eigenvec(spark: SparkSession, path: str) -> DataFrame:
 
 
 def loadings(df: DataFrame) -> DataFrame:
-    """``(chrom, pos, ref, alt, loadings, pca_af)``, the first row by rsid of each locus."""
-    from ..operators.popgen import first_by
-
-    return first_by(df, ["chrom", "pos"], ["rsid", "ref", "alt"])
+    """``(chrom, pos, ref, alt, loadings, pca_af)``, the first row in file order (``nth``) of each locus."""
+    names = ("ref", "alt", "loadings", "pca_af")
+    first = df.groupBy("chrom", "pos").agg(F.min_by(F.struct(*names), "nth").alias("x"))
+    return first.select("chrom", "pos", *(f"x.{n}" for n in names))
 
 
 def keyed_af(df: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frequencies by ``chrom:pos:ref:alt`` or with dashes joined to variants, and counts matched, unmatched and repeated."""
-    rows = df.select(*G.split_locus_key(F.col("locus_key")), "allele_freq", "allele_number")
-    rows = rows.groupBy("chrom", "pos", "ref", "alt").agg(F.min("allele_freq").alias("allele_freq"), F.min("allele_number").alias("allele_number"), F.count("*").alias("n"))
-    out = variants.join(rows, ["chrom", "pos", "ref", "alt"], "left")
-    counts = out.agg(F.count_if(F.col("n").isNotNull()).alias("matched"), F.count_if(F.col("n").isNull()).alias("unmatched"), F.count_if(F.col("n") > 1).alias("repeated"))
-    return out.drop("n"), counts
+    """Frequencies of a file's rows ``(line_number, locus_key, allele_freq, allele_number)``, given to ``variants (chrom, pos, ref, alt)``.
+
+    A key is four parts with colons or, where it has none, dashes; chromosomes lose a leading chr, M is MT, alleles are put
+    in capitals. A variant takes both values from its first row in the file. The second table is one row that counts the
+    file's rows: ``rows``, of which ``duplicates`` name a variant again, ``unmatched`` have no such key, no such variant
+    or no whole allele number, and ``matched`` are the others. Values may be text.
+    """
+    parts = F.when(F.col("locus_key").contains(":"), F.split("locus_key", ":")).otherwise(F.split("locus_key", "-"))
+    part = lambda k: F.when(F.size("parts") == 4, F.get("parts", F.lit(k)))
+    key = ["chrom", "pos", "ref", "alt"]
+    rows = df.select(parts.alias("parts"), "line_number", F.col("allele_number").try_cast("long").alias("allele_number"), F.col("allele_freq").try_cast("double").alias("allele_freq"))
+    rows = rows.select(G.panel_chrom(part(0)).alias("chrom"), F.trim(part(1)).try_cast("long").alias("pos"), F.upper(part(2)).alias("ref"), F.upper(part(3)).alias("alt"), "line_number", "allele_number", "allele_freq")
+    first = rows.groupBy(*key).agg(F.min_by(F.struct("allele_number", "allele_freq"), "line_number").alias("x"), F.count("*").alias("n"))
+    of_file = first.join(variants.select(*key, F.lit(True).alias("known")).distinct(), key, "left")
+    good = F.col("known") & F.col("x.allele_number").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    matched, again = F.when(good, 1).otherwise(0), F.when(F.col("known"), F.col("n") - 1).otherwise(0)
+    counts = of_file.agg(total("n").alias("rows"), total(matched).alias("matched"), total(F.col("n") - matched - again).alias("unmatched"), total(again).alias("duplicates"))
+    out = variants.join(first, key, "left").withColumns({"allele_freq": F.when(F.col("x.allele_number").isNotNull(), F.col("x.allele_freq")), "allele_number": F.coalesce("x.allele_number", F.lit(0))})
+    return out.drop("x", "n"), counts
 
 
 def pgx_report(lines: DataFrame) -> DataFrame:

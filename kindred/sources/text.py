@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..operators.qc import INTEGER, NUMBER, ddna_rows, field, fields_of
+from .ranges import RANGE_BYTES, listed, numbered_lines
 
 PARTICIPANT = r"([^/]+)/[^/]*$"
 ALIASES = {"rsid": ["rsid", "id"], "chrom": ["chrom", "chromosome", "chr"], "pos": ["pos", "position"], "gt": ["genotype", "gt"]}
 ID_NAMES, PATH_NAMES = ["participant_id", "sample_id", "id"], ["genotype_file", "path", "file"]
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.txt*") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str = "*.txt*", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(participant_id, file, line_number, line)`` of the files under ``path``; the participant is the folder's name.
 
-    A genotype file is tens of megabytes, so each is one value that is cut into numbered lines; files are spread over
-    tasks. Gzip files are read by their suffix.
+    Files are read by byte ranges, many tasks a file, and block-gzipped ones at their blocks. A file that can't be read
+    to its end gives its lines up to there; ``discovery.scan`` also tells which those are.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    return rows.select(F.regexp_extract("file", PARTICIPANT, 1).alias("participant_id"), "file", (F.col("k") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
+    rows = numbered_lines(spark, listed(path, glob), range_bytes).where("problem is null")
+    return rows.select(F.regexp_extract("file", PARTICIPANT, 1).alias("participant_id"), "file", "line_number", "line")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.txt*") -> DataFrame:
@@ -126,29 +125,60 @@ def named(df: DataFrame, aliases: dict[str, list[str]], needed: list[str]) -> Da
     return df.select(*(F.col(f"`{v}`").alias(k) for k, v in found.items() if v))
 
 
-def simple_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """``(rsid, chrom, pos, gt)`` of a table with a header, names by alias, all as text."""
-    return named(spark.read.csv(path, sep=sep, header=True, inferSchema=False), ALIASES, list(ALIASES))
+def simple_table(spark: SparkSession, path: str, locus_map: DataFrame | None = None, glob: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Canonical rows, as ``normalised`` gives them, of tables with a header line, columns by alias.
+
+    Each file's delimiter is found from its first line that is neither blank nor a comment, which is its header; a byte
+    order mark before it is dropped. Files are read by ranges. A file whose header lacks a column, or that can't be read to
+    its end, is an error. Fields may stand in double quotes.
+    """
+    rows = numbered_lines(spark, listed(path, glob), range_bytes)
+    rows = rows.select("file", "line_number", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", "file", "problem"))).otherwise(F.regexp_replace("line", "^\ufeff+", "")).alias("line"))
+    rows = rows.where((F.trim("line") != "") & ~F.trim("line").startswith("#"))
+    head = rows.groupBy("file").agg(F.min_by(F.struct("line_number", "line"), "line_number").alias("head")).select("file", F.col("head.line_number").alias("head_line"), F.col("head.line").alias("head"))
+    comma = F.regexp_count("head", F.lit(",")) > F.regexp_count("head", F.lit("\t"))
+    names = F.transform(split_fields(F.col("head"), comma), lambda x: F.lower(F.trim(x)))
+    head = head.select("file", "head_line", comma.alias("comma"), names.alias("names"))
+    place = {k: F.coalesce(*(F.nullif(F.array_position("names", a), F.lit(0)) for a in aliases)).cast("int") for k, aliases in ALIASES.items()}
+    lacks = F.concat_ws(", ", *(F.when(at.isNull(), k) for k, at in place.items()))
+    head = head.select("file", "head_line", "comma", *(F.when(lacks != "", F.raise_error(F.concat(F.lit("no column for "), lacks, F.lit(" in "), F.col("file")))).otherwise(at).alias(f"at_{k}") for k, at in place.items()))
+    rows = rows.join(head, "file").where("line_number > head_line").withColumn("fields", split_fields(F.col("line"), F.col("comma")))
+    fields = rows.select(
+        F.regexp_extract("file", PARTICIPANT, 1).alias("participant_id"), "file", "line_number", *(F.coalesce(F.get("fields", F.col(f"at_{k}") - 1), F.lit("")).alias(k) for k in ALIASES),
+        *(F.lit(None).cast("string").alias(k) for k in ("gs", "baf", "lrr")),
+    )
+    return normalised(fields, locus_map)
+
+
+def split_fields(line: Column, comma: Column) -> Column:
+    """A line's fields by commas or tabs; one in double quotes may hold the delimiter, and a doubled quote is one."""
+    cut = lambda d: F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(rf'{d}("(?:[^"]|"")*"|[^{d}]*)'), 1)
+    bare = lambda x: F.when(x.rlike('^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.when(comma, cut(",")).otherwise(cut("\t")), bare)
 
 
 def samplesheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """``(participant_id, path, facets)``; columns beside id and path are facets, and a blank id becomes row_<n>."""
+    """``(participant_id, path, facets)``; columns beside id and path are facets.
+
+    Values are trimmed. A blank id becomes row_<n>, counted in lines with the header as the first. A blank path stays
+    blank, and others are taken from the samplesheet's folder unless they are absolute.
+    """
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
     have = {c.strip().lower(): c for c in df.columns}
     who, where = (next((have[a] for a in names if a in have), None) for names in (ID_NAMES, PATH_NAMES))
     if not where:
         raise ValueError(f"no column for the file among {df.columns}")
     rest = [c for c in df.columns if c not in (who, where)]
-    facets = F.create_map(*(x for c in rest for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit(""))))) if rest else F.create_map().cast("map<string,string>")
+    facets = F.create_map(*(x for c in rest for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))))) if rest else F.create_map().cast("map<string,string>")
     # The number of a row in its file: splits in order of their start, a split's rows as they are read. A samplesheet has a
     # row a participant, so one window over it is small.
     order = Window.orderBy("_metadata.file_path", "_metadata.file_block_start", "at")
     df = df.withColumn("at", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(order))
     own = F.nullif(F.trim(F.col(f"`{who}`")), F.lit("")) if who else F.lit(None).cast("string")
-    path_column = F.trim(F.col(f"`{where}`"))
+    path_column = F.trim(F.coalesce(F.col(f"`{where}`"), F.lit("")))
     folder = path.rsplit("/", 1)[0]
-    full = F.when(path_column.rlike("^(/|[a-z0-9]+:)"), path_column).otherwise(F.concat(F.lit(folder + "/"), path_column))
-    return df.select(F.coalesce(own, F.concat(F.lit("row_"), F.col("n").cast("string"))).alias("participant_id"), full.alias("path"), facets.alias("facets"))
+    full = F.when(path_column.rlike("^(/|[a-z0-9]+:|$)"), path_column).otherwise(F.concat(F.lit(folder + "/"), path_column))
+    return df.select(F.coalesce(own, F.concat(F.lit("row_"), (F.col("n") + 1).cast("string"))).alias("participant_id"), full.alias("path"), facets.alias("facets"))
 
 
 def locus_map(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:

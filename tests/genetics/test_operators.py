@@ -218,7 +218,7 @@ def test_label_functions(spark):
     row = df.select(L.ancestries(F.col("a")).alias("a"), L.report_line(F.col("line")).alias("l"), L.hla_allele(F.lit("A"), F.lit("0201")).alias("h"), L.hla_allele(F.lit("A"), F.lit("0")).alias("z")).first()
     assert row.a == ["black", "white", "mixed"] and row.l == "a\\x01b\t" and (row.h, row.z) == ("HLA-A*02:01", "0")
     v = spark.createDataFrame([([("chr1", 5, "A", "G,T", "1|2"), ("chr1", 4, "C", "T", "0/0")],)], "v array<struct<chrom:string,pos:long,ref:string,alt:string,gt:string>>")
-    assert v.select(L.raw_allele_tokens(F.col("v"))).first()[0] == "chr1:5:A>G;chr1:5:A>T"
+    assert v.select(L.raw_allele_tokens(F.col("v"))).first()[0] == "chr1:5:A>G=1|0;chr1:5:A>T=0|1"
     assert df.select(G.percent(F.lit(1), F.lit(3)), G.percent(F.lit(1), F.lit(0))).first()[:] == (33.33, 0.0)
 
 
