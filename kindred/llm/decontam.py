@@ -7,7 +7,10 @@ pair. Exact weighted-shingle similarity then verifies each.
 Not every window of a corpus can be fingerprinted for every size of item, so windows are first narrowed without loss: one
 of similarity t shares at least t of the item's n shingles, so its document holds one of any (1 - t) * n + 1 of them. Each
 item's rarest serve as anchors, and in documents that hold one, only windows with enough places of the item's shingles,
-wherever in the item these stand, can match.
+wherever in the item these stand, can match. A window is compared with the items that made it a candidate.
+
+An item of fewer words than a shingle is one shingle as a whole: the windows of similarity ``SIMILARITY`` are those of its
+very words, which a join on the windows' hashes finds.
 """
 
 from __future__ import annotations
@@ -104,13 +107,36 @@ def similarity(a: str, b: str) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, form, item_words, item_low, item_high, ours)`` of the items with at least ``SHINGLE`` words; shorter ones are no evidence."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= SHINGLE).distinct()
+    """``(item_id, form, item_words, item_low, item_high, ours)`` of the items with any word; ``ours`` is their shingles' hashes."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= 1).distinct()
     # The shingles' hashes, like all that lambdas below look up, are a written column, lest they be made again for each element.
-    ours = F.slice(shingle_hashes("item_words"), F.lit(1), F.size("item_words") - (SHINGLE - 1))
+    ours = F.slice(shingle_hashes("item_words"), F.lit(1), F.greatest(F.size("item_words") - (SHINGLE - 1), F.lit(1)))
     return written(rows.select("item_id", F.xxhash64("item_words").alias("form"), "item_words", simhash("item_words", 1).alias("item_low"), simhash("item_words", 2).alias("item_high"), ours.alias("ours")))
 
 
+def short_leaks(keyed: DataFrame, short: DataFrame) -> DataFrame:
+    """As ``leaks``, of documents ``(doc_id, mark, words)`` and items of fewer words than a shingle.
+
+    Of a window and an item of one length and hash the words themselves are compared. Equal windows have equal
+    fingerprints, so the distance is 0.
+    """
+    lengths = [r[0] for r in short.select(F.size("item_words")).distinct().collect()]  # under SHINGLE
+    if not lengths:
+        return keyed.limit(0).select("doc_id", "mark", F.lit(0).cast("long").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "n_words", "distance")), F.lit(1.0).alias("similarity"))
+    sets = short.select("item_id", "item_words", F.size("item_words").alias("length"), F.get("ours", F.lit(0)).alias("hash"))
+    if short.count() <= BROADCAST_ROWS:
+        sets = F.broadcast(sets)
+
+    def windows(n: int) -> Column:
+        hashed = F.transform("words", lambda w, i: F.struct(F.lit(n).alias("length"), F.xxhash64(w, *(F.get(F.col("words"), i + k) for k in range(1, n))).alias("hash"), i.alias("start")))
+        return F.slice(hashed, F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0)))
+
+    each = keyed.select("doc_id", "mark", "words", F.explode(F.concat(*map(windows, lengths))).alias("w"))
+    hits = each.select("doc_id", "mark", "w.length", "w.hash", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.length")).alias("window")).join(sets, ["length", "hash"])
+    found = hits.where(F.col("window") == F.col("item_words")).groupBy("doc_id", "mark", "item_id").agg(F.min("start").alias("start"), F.max("length").alias("n_words"))
+    return found.select("doc_id", "mark", "item_id", "start", "n_words", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+
+
 def anchors(known: DataFrame, least: float) -> DataFrame:
     """``(hash, item_id, form)``: enough of each item's rarest shingles that a window of similarity ``least`` holds one."""
     rows = known.select("item_id", F.size("item_words").alias("length"), "form", F.posexplode(shingle_hashes("item_words")).alias("offset", "hash"))
@@ -138,7 +164,8 @@ def starts(places: str, length: Column, least: float) -> Column:
 def candidates(windows: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Windows ``(doc_id, mark, at, length, low, high)`` with each item of that length within ``radius`` (at most ``RADIUS``) bits.
 
-    A pair is given once, at the first block in which it agrees, with its ``distance``.
+    A pair is given once, at the first block in which it agrees, with its ``distance``. Windows with a ``form`` are only
+    compared with the items of that form.
     """
     blocks = known.select("item_id", "form", "item_low", "item_high", F.size("item_words").alias("length"), F.explode(block_keys(F.col("item_low"), F.col("item_high"))).alias("key"))
     if known.count() * (RADIUS + 1) <= BROADCAST_ROWS:
@@ -147,7 +174,7 @@ def candidates(windows: DataFrame, known: DataFrame, radius: int = RADIUS) -> Da
     low, high = F.col("low").bitwiseXOR(F.col("item_low")), F.col("high").bitwiseXOR(F.col("item_high"))
     first = F.array_position(F.transform(F.array(*block_values(low, high)), lambda v: v == 0), True) - 1
     distance = (F.bit_count(low) + F.bit_count(high)).cast("int")
-    pairs = keyed.join(blocks, ["length", "key"]).where((distance <= radius) & (first == F.floor(F.col("key") / 16)))
+    pairs = keyed.join(blocks, ["length", "key", *(["form"] if "form" in windows.columns else [])]).where((distance <= radius) & (first == F.floor(F.col("key") / 16)))
     return pairs.select("doc_id", "mark", "at", "length", "item_id", "form", distance.alias("distance"))
 
 
@@ -157,10 +184,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     ``start`` and ``n_words`` place the window in the document's words (runs of letters and digits), ``distance`` is in
     bits of 128, ``mark`` is xxhash64 of the text and tells rows with one doc_id apart. A window reaches over the
     document's ends no further than it has words. Of equally similar windows the earliest is given. Null and empty
-    texts, and items under five words, match nothing; repeated rows are reported once; an empty table on either side
-    gives no rows.
+    texts and items match nothing; an item under five words matches its very words. Repeated rows are reported once; an
+    empty table on either side gives no rows.
     """
-    known = items(benchmark)
+    every = items(benchmark)
+    known = every.where(F.size("item_words") >= SHINGLE)
     marks = anchors(known, least)
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
@@ -175,8 +203,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     pairs = pairs.join(known.withColumnRenamed("form", "own"), F.col("item").eqNullSafe(F.col("item_id")) & (F.col("form") == F.col("own")))
     length = F.size("item_words")
     places = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("ours", h), i)), lambda i: i.isNotNull())
-    places = pairs.select("doc_id", "mark", length.alias("length"), places.alias("places"))
-    windows = places.select("doc_id", "mark", "length", F.explode(starts("places", F.col("length"), least)).alias("at")).distinct()
+    places = pairs.select("doc_id", "mark", "form", length.alias("length"), places.alias("places"))
+    windows = places.select("doc_id", "mark", "form", "length", F.explode(starts("places", F.col("length"), least)).alias("at"))
+    windows = windows.groupBy("doc_id", "mark", "length", "at").agg(F.collect_set("form").alias("forms"))  # fingerprinted once
 
     def cut(rows: DataFrame) -> DataFrame:
         """``rows (doc_id, mark, at, length)`` with their words as ``window``."""
@@ -185,14 +214,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
         window = F.slice("words", F.greatest("at", F.lit(0)) + 1, F.col("length") + F.least("at", F.lit(0)))
         return rows.withColumn("window", window).drop("id", "own", "words").where(F.size("window") >= SHINGLE)
 
-    windows = written(cut(windows).select("doc_id", "mark", "at", "length", simhash("window", 1).alias("low"), simhash("window", 2).alias("high")))
-    near = cut(candidates(windows, known))
+    windows = written(cut(windows).select("doc_id", "mark", "at", "length", "forms", simhash("window", 1).alias("low"), simhash("window", 2).alias("high")))
+    near = cut(candidates(windows.withColumn("form", F.explode("forms")).drop("forms"), known))
     near = near.withColumnsRenamed({"item_id": "item", "form": "item_form"}).join(known, F.col("item").eqNullSafe(F.col("item_id")) & (F.col("item_form") == F.col("form")))
     near = near.withColumn("a", shingles("window")).withColumn("b", shingles("item_words"))
     start = F.greatest("at", F.lit(0)).alias("start")
     scored = near.select("doc_id", "mark", "item_id", start, F.size("window").alias("n_words"), "distance", similarity("a", "b").alias("similarity")).where(F.col("similarity") >= least - 1e-9)
     best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start"), "n_words", -F.col("distance")))
-    return scored.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*")
+    found = scored.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select("doc_id", "mark", "item_id", "best.*")
+    return found.unionByName(short_leaks(keyed, every.where(F.size("item_words") < SHINGLE)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -25,8 +25,8 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
-#: Bytes as classes: a-z and A-Z alike, bytes above 127 kept apart in 7 bits with the letters, all else one class.
-CLASSES = 128
+#: Bytes as classes: a-z and A-Z alike, each byte above 127 one of its own, all else one class.
+CLASSES = 1 + 26 + 128
 
 
 def classes() -> bytes:
@@ -35,7 +35,7 @@ def classes() -> bytes:
     for k in range(26):
         table[65 + k] = table[97 + k] = 1 + k
     for b in range(128, 256):
-        table[b] = 27 + (b - 128 if b < 192 else 64 + (b - 192) % 32)
+        table[b] = 27 + b - 128
     return bytes(table)
 
 
@@ -60,12 +60,15 @@ class KernelRidge:
     weights: np.ndarray  # columns x languages
 
     def presence(self, texts: list[bytes]) -> np.ndarray:
-        """A row for each text over the landmarks' n-grams, scaled to length 1."""
-        out = np.zeros((len(texts), len(self.weights) + 1), np.float32)
-        for row, t in zip(out, texts, strict=True):
-            row[self.index[grams(t)]] = 1
-        out = out[:, :-1]
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+        """A row for each text over the landmarks' n-grams, scaled so that the row over all its n-grams has length 1."""
+        beyond = len(self.weights)
+        out, sizes = np.zeros((len(texts), beyond + 1), np.float32), np.zeros((len(texts), 1), np.float32)
+        for row, size, t in zip(out, sizes, texts, strict=True):
+            codes = grams(t)
+            columns = self.index[codes]
+            row[columns] = 1
+            size[0] = row[:-1].sum() + len(np.unique(codes[columns == beyond]))
+        return out[:, :-1] / np.sqrt(np.maximum(sizes, 1))
 
     def decide(self, texts: list[bytes]) -> np.ndarray:
         """The regressions' values, texts x languages."""
@@ -102,23 +105,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, a_language: int = 400, most_languages: int = 256, **options) -> KernelRidge:
+def fit(docs: DataFrame, a_language: int = 400, most_languages: int = 1000, **options) -> KernelRidge:
     """A model from documents that aren't held out and have a language and a letter.
 
-    The sample is bounded: at most ``a_language`` documents of each of the ``most_languages`` languages first in order,
-    those of the least hashes of id and length (equal hashes by id). A language's documents never meet in one task: they
-    are counted, and the count says below which hash enough of them lie. Their ids reach the driver first (four times
-    the sample at most), then the texts of the sample. Of rows with one id that of the least text counts; an empty table gives a model without
+    The sample is bounded: at most ``a_language`` documents of each language, those of the least hashes of id and length
+    (equal hashes by id). More than ``most_languages`` languages are an error, as none may be left out. A language's documents never meet in one task: they
+    are counted, and the count says below which hash enough of them lie. Their ids reach the driver first (some four
+    times the sample at most), then the texts of the sample. Of rows with one id that of the least text counts; an empty table gives a model without
     languages.
     """
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) / float(1 << 53)  # 0 to 1
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), place.alias("place"))
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than most_languages = {most_languages} languages to learn")
     if not counts:
         return KernelRidge.fit([], [], **options)
-    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 1.0 if r["count"] <= 4 * a_language else 2 * a_language / r["count"])))
-    near = rows.where(F.col("place") < F.try_element_at(below, F.col("lang"))).orderBy("place").limit(4 * a_language * len(counts)).collect()
+    enough = 2 * a_language + 20  # are expected below the limit, so that none is as good as impossible
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 1.0 if r["count"] <= 2 * enough else enough / r["count"])))
+    near = rows.where(F.col("place") < F.try_element_at(below, F.col("lang"))).orderBy("place").limit(2 * enough * len(counts)).collect()
     ids: list[tuple] = []
     for r in counts:
         of = sorted({(x["place"], x["doc_id"]) for x in near if x["lang"] == r["lang"]})[:a_language]

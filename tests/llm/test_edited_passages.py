@@ -51,3 +51,13 @@ def test_every_window_of_the_similarity_is_found(spark, kind):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     assert len(want) > len(items)
     assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.leaks(rows, bench).collect()} == want
+
+
+def test_items_under_a_shingle_match_their_very_words(spark):
+    items = [["one"], ["two", "words"], ["a", "b", "a", "b"], ["five", "words", "make", "a", "shingle"], [], None, ["two", "words"]]
+    docs = ["x One y", "two", "words two words", "two; WORDS!", "a b a", "b a b a b a", "five words make a", "x five words make a shingle", "", None, "ones twos"]
+    rows = spark.createDataFrame([(k, t, 1) for k, t in enumerate(docs)] + [(0, docs[0], 1)], "doc_id long, text string, hash int")
+    bench = spark.createDataFrame([(k, None if w is None else " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.n_words, r.distance, r.similarity) for r in decontam.leaks(rows, bench).collect())
+    assert got == [(0, 0, 1, 1, 0, 1.0), (2, 1, 1, 2, 0, 1.0), (2, 6, 1, 2, 0, 1.0), (3, 1, 0, 2, 0, 1.0), (3, 6, 0, 2, 0, 1.0), (5, 2, 1, 4, 0, 1.0), (7, 3, 1, 5, 0, 1.0)]
+    assert sorted(r.doc_id for r in decontam.clean(rows, bench).collect()) == [1, 4, 6, 8, 9, 10]

@@ -21,10 +21,9 @@ def ridge_by_definition(train, names, test, landmarks, ridge):
     """Values of each test text for each language, by sets and kernels, without any feature matrix."""
     order = sorted(set(names))
     chosen = [i for name in order for i in [k for k, x in enumerate(names) if x == name][:landmarks]]
-    universe = set().union(*(ngrams(train[i]) for i in chosen))
 
     def kernel(a, b):
-        a, b = ngrams(a) & universe, ngrams(b) & universe
+        a, b = ngrams(a), ngrams(b)
         return len(a & b) / (max(1, len(a)) * max(1, len(b))) ** 0.5
 
     among = np.array([[kernel(train[i], train[j]) for j in chosen] for i in chosen])
@@ -77,3 +76,16 @@ def test_long_texts_and_ties(spark, many):
     rows = langid.identify(many.select("doc_id", "text", "lang").unionByName(odd)).where("doc_id is null or doc_id in (1, 2)").collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert sorted(r.lang_pred for r in rows if r.doc_id is None) == ["und"]
+
+
+def test_bytes_above_127_are_kept_apart():
+    assert len({langid.TABLE[b] for b in range(128, 256)} | {langid.TABLE[b] for b in b"abcdefghijklmnopqrstuvwxyz "}) == 155
+    assert max(langid.TABLE) < langid.CLASSES
+
+
+def test_more_languages_than_the_bound_are_an_error(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    with pytest.raises(ValueError, match="most_languages = 299"):
+        langid.fit(rows, most_languages=299)
+    model = langid.fit(rows, a_language=1, landmarks=1)
+    assert len(model.languages) == 300

@@ -106,3 +106,21 @@ def test_tiles_of_any_number_of_segments_join_the_same_fingerprints(spark, segme
                 if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
                     label[a] = label[b] = min(label[a], label[b])
     assert all(got.get(f, f) == label[f] for f in fps)
+
+
+@pytest.mark.parametrize("size", [15, 40, 200])
+def test_recall_by_similarity(spark, size):
+    """Planted pairs of each similarity from 0.8 to 1: none is missed among 240 a step."""
+    rng, pairs = np.random.default_rng(size), []
+    for step in np.arange(0.80, 1.0001, 0.05):
+        for _ in range(240):
+            base = [f"w{k}" for k in rng.integers(0, 50_000, size)]
+            # Without its last m of n shingles a text has a similarity of 1 - m / n.
+            m = int((1 - step) * (size - 4) + 1e-9)
+            pairs.append((base, base[: size - m]))
+    rows = [(2 * k + j, " ".join(x)) for k, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.representatives(docs, least=simhash.SIMILARITY).select("doc_id").collect()}
+    missed = [k for k in range(len(pairs)) if 2 * k + 1 in kept]
+    assert all(2 * k in kept for k in range(len(pairs)))
+    assert len(missed) <= len(pairs) // 1000, [similarity(*map(" ".join, pairs[k])) for k in missed]
