@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
-A stage begins by deleting what its predecessors wrote for themselves, so their results have to be written by then.
+A stage's result says in a column's metadata which call made it, and a Parquet copy says so too. A stage begins by
+deleting what the call that made its input wrote for itself, unless the input is still read from it; tables of other calls
+stay. So a result that is handed on as a written copy is used up.
 """
 
 from __future__ import annotations
@@ -16,21 +18,24 @@ from pyspark.sql import functions as F
 from kindred.llm import decontam, quality, simhash, substring
 from kindred.llm.common import table, written
 from kindred.llm.packing import pack
-from kindred.sources.shared import OWNERS, owned, release
+from kindred.sources.shared import OWNERS, maker, marked, owned, release
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(function: Stage) -> Stage:
-    """``function`` after what earlier stages of its run (or earlier calls of single stages) wrote for themselves is deleted."""
+    """``function`` after what its input's maker wrote for itself is deleted; what it writes is its own, in ``run`` the run's."""
 
     @functools.wraps(function)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        owner = OWNERS[-1] if OWNERS else "stages"
-        release(docs, owner)
+        running = bool(OWNERS)
+        if made_by := OWNERS[-1] if running else maker(docs):
+            release(docs, made_by)
+        owner = OWNERS[-1] if running else f"stage-{uuid.uuid4().hex}"
         with owned(owner):
-            return function(spark, docs, sf_dir)
+            found = function(spark, docs, sf_dir)
+        return found if running else marked(found, owner)
 
     return begun
 

@@ -71,6 +71,21 @@ def opened(spark: SparkSession, path: str) -> tuple:
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: The key of a column's metadata under which a table says whose tables it was made from.
+MADE_BY = "kindred.made_by"
+
+
+def marked(df: DataFrame, owner: str) -> DataFrame:
+    """``df``, saying that ``owner``'s tables led to it; so does every Parquet copy of it, and what reads that."""
+    first = df.columns[0] if df.columns else None
+    return df.withMetadata(first, df.schema[first].metadata | {MADE_BY: owner}) if first else df
+
+
+def maker(df: DataFrame) -> str | None:
+    """The owner that ``df`` was marked with."""
+    return df.schema[0].metadata.get(MADE_BY) if df.columns else None
+
+
 def release(docs: DataFrame, owner: str) -> None:
     """Deletes the tables written for ``owner``, but those that ``docs`` is read from, and lets Spark drop finished shuffles.
 
