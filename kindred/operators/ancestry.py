@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import admix
 
 
 def framed(q: DataFrame, labels: DataFrame, sexes: DataFrame) -> DataFrame:
@@ -131,28 +130,15 @@ def haploid_males(d: DataFrame, sexes: DataFrame) -> DataFrame:
 
 
 def cross_validated(d: DataFrame, ks: list[int], folds: int = 5, rounds: int = 20, seed: int = 7) -> DataFrame:
-    """``(k, rep, cv, seconds)``, a row a number of components and fold, as ``cv_summary`` takes them.
+    """``(k, rep, cv, seconds)``, a row a number of components and fold, as ``cv_summary`` takes them; ``seconds`` is a model's
+    share of the time, as all of them are fitted in one run.
 
     A fold's calls are chosen by a hash of sample and variant and left out of the fit; ``cv`` is the mean deviance of
-    their dosages under the fitted frequencies. A call of a sample or variant that the fit didn't see is left out.
+    their dosages under the fitted frequencies.
     """
-    began = time.monotonic()
-    of = F.pmod(F.xxhash64("sample_id", "rsid", F.lit(seed)), F.lit(folds))
-    d = d.where("dosage is not null").withColumn("fold", of)
-    ploidy = F.coalesce(F.col("ploidy"), F.lit(2)) if "ploidy" in d.columns else F.lit(2)
-    log = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    out = []
-    for k in ks:
-        for fold in range(folds):
-            q, p = admixture(d.where(F.col("fold") != fold).drop("fold"), k, rounds, seed + k)
-            rows = d.where(F.col("fold") == fold).withColumn("n", ploidy.cast("double")).join(q, "sample_id").join(p, "rsid")
-            mean = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.aggregate(F.zip_with("q", "p", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
-            x = F.col("dosage").cast("double")
-            rows = rows.withColumn("m", mean).select((2 * (log(x, F.col("n") * F.col("m")) + log(F.col("n") - x, F.col("n") * (1 - F.col("m"))))).alias("deviance"))
-            cv = rows.agg(F.avg("deviance")).first()[0]
-            out.append((k, fold, cv, int(time.monotonic() - began)))
-            began = time.monotonic()
-    return d.sparkSession.createDataFrame(out, "k int, rep long, cv double, seconds long")
+    models = [admix.Model(k, seed + k, fold) for k in ks for fold in range(folds)]
+    fits = admix.fit(d, models, folds, most_rounds=rounds, seed=seed)
+    return fits.runs.select("k", F.col("fold").cast("long").alias("rep"), "cv", F.lit(int(fits.seconds / max(1, len(models)))).cast("long").alias("seconds"))
 
 
 def headline_and_females(d: DataFrame, sexes: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Rows of the symmetric matrix that the driver may hold: 8 bytes a cell, 200 MB.
 MOST_SAMPLES = 5000
 
@@ -65,12 +67,25 @@ def tiles(x: DataFrame) -> tuple[list, DataFrame]:
         made = [(i // TILE, j // TILE, total[i : i + TILE, j : j + TILE].tobytes()) for i in cuts for j in cuts if i <= j]
         yield pd.DataFrame(made, columns=["ti", "tj", "cells"])
 
+    return names, added_up(rows.mapInPandas(add, "ti int, tj int, cells binary"), ["ti", "tj"])
+
+
+#: Partitions whose parts of a sum meet in one task at first.
+FAN_IN = 32
+
+
+def added_up(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, cells)``: sums by key of arrays of float64, as bytes; parts of up to ``FAN_IN`` partitions first, then their sums."""
+    schema = ", ".join([*(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys), "cells binary"])
+
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = np.sum([np.frombuffer(c) for c in pdf["cells"]], axis=0)
-        return pd.DataFrame({"ti": pdf["ti"].iloc[:1], "tj": pdf["tj"].iloc[:1], "cells": [cells.tobytes()]})
+        cells = np.frombuffer(pdf["cells"].iloc[0]).copy()
+        for c in pdf["cells"].iloc[1:]:
+            cells += np.frombuffer(c)
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "cells": [cells.tobytes()]})
 
-    schema = "ti int, tj int, cells binary"
-    return names, rows.mapInPandas(add, schema).groupBy("ti", "tj").applyInPandas(total, schema)
+    some = parts.withColumn("share", F.floor(F.spark_partition_id() / FAN_IN)).groupBy(*keys, "share").applyInPandas(total, schema)
+    return some.groupBy(*keys).applyInPandas(total, schema)
 
 
 def gram(x: DataFrame) -> DataFrame:
@@ -103,10 +118,12 @@ def eigen(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(values, 0), vectors * np.where(sign == 0, 1, sign)
 
 
-def pca(x: DataFrame, k: int = 5) -> DataFrame:
+def pca(x: DataFrame, k: int = 5, of_emitted: bool = False) -> DataFrame:
     """``(sample_id, pc, score, variance, explained)`` from rows ``x (sample_id, rsid, x)``.
 
-    The matrix of samples by samples (at most ``MOST_SAMPLES`` squared) is made once, and its tiles reach the driver.
+    ``explained`` is a component's share of all variance or, ``of_emitted``, of that of the ``k`` given. The matrix of
+    samples by samples (at most ``MOST_SAMPLES`` squared) is made once, and its tiles reach the driver; ``randomised_pca``
+    makes none.
     """
     names, found = tiles(x)
     m = np.zeros((len(names), len(names)))
@@ -116,7 +133,11 @@ def pca(x: DataFrame, k: int = 5) -> DataFrame:
         m[i : i + part.shape[0], j : j + part.shape[1]] = part
         m[j : j + part.shape[1], i : i + part.shape[0]] = part.T
     values, vectors = eigen(m, k)
-    total = float(np.trace(m))
+    total = float(values.sum() if of_emitted else np.trace(m))
+    return component_rows(x, names, values, vectors, total)
+
+
+def component_rows(x: DataFrame, names: list, values: np.ndarray, vectors: np.ndarray, total: float) -> DataFrame:
     scores = vectors * np.sqrt(values)
     rows = [
         (s, c + 1, float(scores[n, c]), float(values[c]) / max(1, len(names) - 1), float(values[c]) / total if total else 0.0) for n, s in enumerate(names) for c in range(len(values))
@@ -125,6 +146,79 @@ def pca(x: DataFrame, k: int = 5) -> DataFrame:
     return x.sparkSession.createDataFrame(rows, f"sample_id {kind}, pc int, score double, variance double, explained double")
 
 
+#: Samples times columns of the blocks that randomised components send to tasks and driver: 512 MB.
+MOST_CELLS = 1 << 26
+#: Rows of a block of samples that is added up as one.
+BLOCK = 1 << 16
+
+
+def randomised_pca(x: DataFrame, k: int = 10, oversample: int = 10, most_rounds: int = 30, tolerance: float = 1e-10, seed: int = 7) -> DataFrame:
+    """As ``pca``, for many samples: a subspace of ``k + oversample`` columns, iterated, and no matrix of samples by samples.
+
+    A round multiplies the subspace's block Q (samples by columns) by X X', variant by variant in its task, and
+    orthonormalises it; that is a power iteration of the range finder. The components are those of Q' X X' Q. Rounds end
+    when no eigenvalue of the first ``k`` rises by more than its ``tolerance``-th part. Starts are drawn from ``seed``. If
+    there are no more samples than columns, the first round is exact. ``explained`` is the share of all variance. Blocks
+    are bounded by ``MOST_CELLS``, with an error. Samples without a row have no score.
+    """
+    spark = x.sparkSession
+    most = MOST_CELLS // (k + oversample)
+    names = [r[0] for r in x.select("sample_id").distinct().orderBy("sample_id").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} samples")
+    n = len(names)
+    kind = x.schema["sample_id"].dataType.simpleString()
+    places = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(names)], f"sample_id {kind}, at int"))
+    rows = x.join(places, "sample_id").groupBy("rsid").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x"))
+    rows = written(rows.select("at", "x"))
+    whole = rows.select(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0] or 0.0
+    width = min(n, k + oversample)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0] if n else np.zeros((0, 0))
+    values, vectors = np.zeros(width), q
+    for _ in range(most_rounds if n else 0):
+        product = multiplied(rows, q)
+        small = q.T @ product
+        found, turn = np.linalg.eigh((small + small.T) / 2)
+        found, vectors = found[::-1], q @ turn[:, ::-1]
+        done = width == n or np.all(np.abs(found[:k] - values[:k]) <= tolerance * np.maximum(np.abs(found[:k]), 1e-300))
+        values = found
+        if done:
+            break
+        q = np.linalg.qr(product)[0]
+    values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
+    if n:
+        sign = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
+        vectors = vectors * np.where(sign == 0, 1, sign)
+    return component_rows(x, names, values, vectors, whole)
+
+
+def multiplied(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X X' times a block of columns, X' being the variants' ``rows (at, x)``: each partition's sum, then their sums."""
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        total, some = np.zeros_like(q), False
+        for b in batches:
+            for first in range(0, len(b), 4096):
+                part = b.iloc[first : first + 4096]
+                at, v = np.concatenate(part["at"].to_list()), np.concatenate(part["x"].to_list())
+                ends = np.cumsum(part["at"].map(len).to_numpy())
+                of = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
+                for c in range(q.shape[1]):
+                    y = np.bincount(of, v * q[at, c], len(part))
+                    total[:, c] += np.bincount(at, v * y[of], len(q))
+                some = True
+        if some:
+            yield pd.DataFrame({"block": range(-(-len(q) // BLOCK)), "cells": [total[i : i + BLOCK].tobytes() for i in range(0, len(q), BLOCK)]})
+
+    out = np.zeros_like(q)
+    for r in added_up(rows.mapInPandas(run, "block int, cells binary"), ["block"]).toLocalIterator():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.cells).reshape(-1, q.shape[1])
+    shared.unpersist()
+    return out
+
+
 def population_rows(af: DataFrame, across: str = "pop") -> DataFrame:
     """Frequencies standardised within each population (``across`` "pop"), or centred by locus ("locus_key")."""
     stats = af.groupBy(across).agg(F.avg("allele_freq").alias("mean"), F.stddev_pop("allele_freq").alias("sd"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestry, linalg
+from ..operators import admix, ancestry, linalg
 from .cohort import CTE, dosages
 from .fixture import PROPORTIONS_SQL, proportions, sql
 from .registry import query
@@ -139,3 +139,10 @@ def explained(spark, sf_dir):
 @query("m10_admixture_em")
 def admixture_em(spark, sf_dir):
     return ancestry.admixture_em(dosages(spark, sf_dir), 3, 5)
+
+
+@query("m10_admixture_sweep")
+def admixture_sweep(spark, sf_dir):
+    models = [admix.Model(k, 7 + k, fold) for k in (2, 3) for fold in (None, 0, 1)]
+    runs = admix.fit(dosages(spark, sf_dir), models, 2, tolerance=1.0, most_rounds=90).runs
+    return runs.select("model", "k", "fold", "rounds", F.round("likelihood", 3).alias("likelihood"), "converged", F.round("cv", 6).alias("cv"))

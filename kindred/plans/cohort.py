@@ -256,12 +256,12 @@ def gram(spark, sf_dir):
 
 @query("m03_cohort_pca")
 def cohort_pca(spark, sf_dir):
-    return linalg.pca(linalg.centred(dosages(spark, sf_dir)), 5)
+    return linalg.pca(linalg.centred(dosages(spark, sf_dir)), 5, of_emitted=True)
 
 
 @query("m04_joint_pca")
 def joint_pca(spark, sf_dir):
-    return linalg.pca(linalg.standardised(dosages(spark, sf_dir)), 10)
+    return linalg.randomised_pca(linalg.standardised(dosages(spark, sf_dir)), 10)
 
 
 LOADINGS = "SELECT rsid, [((pos//1000)%17-8)/100.0::DOUBLE, ((pos//1000)%23-11)/100.0::DOUBLE] AS l, ((pos//1000)%9)/10.0::DOUBLE AS p FROM (SELECT DISTINCT rsid, pos FROM g)"
