@@ -32,6 +32,8 @@ MOST_BYTES = 512 << 20
 #: Cells of a dense block of calls, and samples whose sums travel together.
 CELLS, BLOCK = 1 << 21, 1 << 16
 LEAST = 1e-6
+#: How far apart components' frequencies of a variant start: far enough that few rounds tell them from each other.
+SPREAD = 0.8
 
 
 @dataclass
@@ -54,7 +56,7 @@ class State:
     done: bool = False
     accepted: bool = True
     inner: list[float] = field(default_factory=list)
-    cv: float | None = None
+    final: tuple[int, int] = (0, 0)
 
 
 @dataclass
@@ -110,7 +112,7 @@ def packed(d: DataFrame, names: list, folds: int, seed: int) -> DataFrame:
 
 def start_p(rsid: str, alt: np.ndarray, ref: np.ndarray, models: list[Model]) -> np.ndarray:
     mean = alt.sum() / max(1, alt.sum() + ref.sum())
-    return np.concatenate([np.clip(mean + 0.2 * (uniform(rsid, m.seed, m.k) - 0.5), 0.02, 0.98) for m in models])
+    return np.concatenate([np.clip(mean + SPREAD * (uniform(rsid, m.seed, m.k) - 0.5), 0.02, 0.98) for m in models])
 
 
 #: A variant's row keeps all models' frequencies one after another: those of this state, and of the two before it.
@@ -121,7 +123,7 @@ def fit(d: DataFrame, models: list[Model], folds: int = 0, tolerance: float = 1e
     """Fits ``models`` to ``d (sample_id, rsid, dosage)``, which may have ``ploidy`` (alleles a call counts; null is 2).
 
     A model stops when its likelihood rises by less than ``tolerance`` over a cycle (three rounds, or one without
-    ``accelerate``), or after ``most_rounds``. A model with a ``fold`` leaves out the calls whose hash of sample and
+    ``accelerate``), or after ``most_rounds``; ``likelihood`` is that at the beginning of its last cycle. A model with a ``fold`` leaves out the calls whose hash of sample and
     variant gives that fold of ``folds``; ``cv`` is the mean deviance of those calls under what was fitted. Models don't
     act on each other. Missing dosages say nothing, and a sample or variant without any isn't part of the results; repeated
     calls of one sample and variant count once, the last that comes. Samples are bounded by ``MOST_BYTES``, with an error.
@@ -145,9 +147,11 @@ def fit(d: DataFrame, models: list[Model], folds: int = 0, tolerance: float = 1e
             if not s.done:
                 advance(s, phase, figures[i], proportions(s.q[-1] * sums[i]), accelerate, tolerance)
         phase = (phase + 1) % 3 if accelerate else 0
+    for s in states:
+        s.final = final(s, (phase - 1) % 3 if accelerate else 2)
     cv = held_out(spark, table, models, states, n) if folds and table is not None else {}
     runs = [(i, m.k, m.fold, s.rounds, s.likelihood[-1] if s.likelihood else None, s.done, cv.get(i)) for i, (m, s) in enumerate(zip(models, states, strict=True))]
-    q = [(i, name, c, float(s.q[0][at, c])) for i, (m, s) in enumerate(zip(models, states, strict=True)) for at, name in enumerate(names) for c in range(m.k)]
+    q = [(i, name, c, float(s.q[s.final[0]][at, c])) for i, (m, s) in enumerate(zip(models, states, strict=True)) for at, name in enumerate(names) for c in range(m.k)]
     trace = [(i, r, x) for i, s in enumerate(states) for r, x in enumerate(s.likelihood)]
     make = spark.createDataFrame
     return Fits(
@@ -183,6 +187,13 @@ def advance(s: State, phase: int, figures: np.ndarray, after: np.ndarray, accele
         s.q = [after if s.accepted else s.q[2]]
 
 
+def final(s: State, phase: int) -> tuple[int, int]:
+    """Which of the proportions and of the frequencies are the furthest, if a round of that ``phase`` was the last."""
+    if s.done or phase == 2 or not s.rounds:
+        return 0, 0 if s.done or s.accepted else 2
+    return phase + 1, phase + 1
+
+
 def one_round(spark, table: DataFrame, models: list[Model], states: list[State], phase: int, n: int, accelerate: bool) -> tuple[DataFrame, np.ndarray, list[np.ndarray]]:
     """One pass over the calls for all models: the next table, and each model's figures and sums for its proportions."""
     shared = spark.sparkContext.broadcast([(s.q[-1], s.step, s.accepted, s.done) for s in states])
@@ -268,9 +279,9 @@ def expectation(alt: np.ndarray, ref: np.ndarray, q: np.ndarray, p: np.ndarray)
 
 def held_out(spark, table: DataFrame, models: list[Model], states: list[State], n: int) -> dict[int, float]:
     """The mean deviance of the calls that each model with a fold left out."""
-    shared = spark.sparkContext.broadcast([s.q[0] for s in states])
+    shared = spark.sparkContext.broadcast([s.q[s.final[0]] for s in states])
     cuts = np.cumsum([0, *(m.k for m in models)]).tolist()
-    at = [0 if s.accepted else 2 for s in states]
+    at = [s.final[1] for s in states]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -298,7 +309,7 @@ def frequencies(spark, table: DataFrame | None, models: list[Model], states: lis
     if table is None:
         return spark.createDataFrame([], schema)
     cuts = list(itertools.pairwise(np.cumsum([0, *(m.k for m in models)]).tolist()))
-    kept = [0 if s.accepted else 2 for s in states]
+    kept = [s.final[1] for s in states]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..params import DEFAULT
+from .ordinals import numbered
 
 
 def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
@@ -46,11 +47,14 @@ def components(p1: Column, n1: Column, p2: Column, n2: Column) -> tuple[Column,
 def population_pairs(af: DataFrame) -> DataFrame:
     """``(pop1, pop2, locus_key, p1, n1, p2, n2)`` for each pair of populations at each locus, pop1 < pop2.
 
-    A locus has a row a population, so a pair costs one equi-join on the locus.
+    A locus's populations meet once, as an array, from which its pairs are made; the table isn't joined with itself.
     """
-    left = af.select("locus_key", F.col("pop").alias("pop1"), F.col("allele_freq").alias("p1"), F.col("allele_number").alias("n1"))
-    right = af.select("locus_key", F.col("pop").alias("pop2"), F.col("allele_freq").alias("p2"), F.col("allele_number").alias("n2"))
-    return left.join(right, "locus_key").where("pop1 < pop2")
+    own = F.array_sort(F.collect_list(F.struct("pop", F.col("allele_freq").alias("p"), F.col("allele_number").alias("n"))))
+    loci = af.groupBy("locus_key").agg(own.alias("of"))
+    later = lambda i: F.slice("of", i + 2, F.size("of"))
+    pairs = F.flatten(F.transform("of", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    rows = loci.select("locus_key", F.explode(pairs).alias("z")).where("z.x.pop < z.y.pop")
+    return rows.select(F.col("z.x.pop").alias("pop1"), F.col("z.y.pop").alias("pop2"), "locus_key", F.col("z.x.p").alias("p1"), F.col("z.x.n").alias("n1"), F.col("z.y.p").alias("p2"), F.col("z.y.n").alias("n2"))
 
 
 def pairwise_fst(af: DataFrame) -> DataFrame:
@@ -151,9 +155,7 @@ def bed_sites(loci: DataFrame) -> DataFrame:
     chrom = F.get(parts, F.lit(0))
     code = F.when(chrom.rlike("^([1-9]|1[0-9]|2[0-2])$"), chrom.try_cast("int")).when(chrom == "X", 23).when(chrom == "Y", 24).when(chrom == "MT", 25)
     rows = loci.select(code.alias("code"), F.concat(F.lit("chr"), chrom).alias("chrom"), F.get(parts, F.lit(1)).cast("long").alias("end"), F.col("locus_key").alias("name")).where("code is not null")
-    # Chosen loci are few, and their number is asked for, so they are ordered as a whole.
-    nth = F.row_number().over(Window.orderBy("code", "end", "name"))
-    return rows.select(nth.alias("nth"), "chrom", (F.col("end") - 1).alias("start"), "end", "name")
+    return numbered(rows, ["code", "end", "name"], "nth").select(F.col("nth").cast("int").alias("nth"), "chrom", (F.col("end") - 1).alias("start"), "end", "name")
 
 
 def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -75,12 +75,9 @@ def ddna_issues(lines: DataFrame) -> DataFrame:
     signature = F.struct(clean.alias("c"), pos.alias("p"), F.upper(gt).alias("g"), (kind == "indel").alias("indel"))
     counted = F.when(sound & ~rsid.isin("", ".", "-"), rsid)
     rows = rows.withColumns({"known": counted, "signature": signature})
-    first = F.first("signature").over(Window.partitionBy("file", "known").orderBy("line_number"))
-    line1 = F.first("line_number").over(Window.partitionBy("file", "known").orderBy("line_number"))
-    # Rows without an rsid are kept from meeting in one partition.
-    with_id = rows.where("known is not null").withColumns({"first": first, "first_line": line1})
-    without = rows.where("known is null").withColumns({"first": F.lit(None).cast(rows.schema["signature"].dataType), "first_line": F.lit(None).cast("int")})
-    rows = with_id.unionByName(without)
+    # A line without an rsid is alone under its own number, so all lines go through one window and none meet in one task.
+    seen = Window.partitionBy("file", "known", F.when(F.col("known").isNull(), F.col("line_number"))).orderBy("line_number")
+    rows = rows.withColumns({"first": F.first("signature").over(seen), "first_line": F.first("line_number").over(seen)})
     again = F.col("line_number") > F.col("first_line")
     same = (F.col("first.c") == F.col("signature.c")) & (F.col("first.p") == F.col("signature.p")) & (F.col("first.g") == F.col("signature.g"))
     conflict = F.when(F.col("first.indel") | F.col("signature.indel"), "QUALITY").otherwise("ERROR")

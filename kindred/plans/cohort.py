@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from ..operators import counts, filters, ld, linalg, popgen, sexbias
+from ..operators import counts, filters, ld, linalg, ordinals, popgen, sexbias
 from ..params import DEFAULT
 from .fixture import GENOTYPES_SQL, genotypes
 from .registry import query
@@ -334,8 +334,14 @@ def snp_universe(spark, sf_dir):
     SELECT rsid, CAST(r AS INTEGER) AS rank, CAST(ROW_NUMBER() OVER (ORDER BY r, pos, rsid) AS INTEGER) AS nth FROM v""",
 )
 def variant_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     v = genotypes(spark, sf_dir).select("rsid", "chrom", "pos").distinct().withColumn("rank", G.chrom_rank(F.col("chrom")))
-    # A variant dimension: its number is asked for, so it is ordered as a whole.
-    return v.select("rsid", "rank", F.row_number().over(Window.orderBy("rank", "pos", "rsid")).alias("nth"))
+    return ordinals.numbered(v, ["rank", "pos", "rsid"], "nth").select("rsid", "rank", F.col("nth").cast("int").alias("nth"))
+
+
+@query(
+    "w08_dense_ids",
+    f"""{CTE}, v AS (SELECT DISTINCT rsid, chrom, pos FROM g) SELECT rsid, ROW_NUMBER() OVER (ORDER BY pos DESC, rsid) AS place, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY pos, rsid) AS along FROM v""",
+)
+def dense_ids(spark, sf_dir):
+    v = genotypes(spark, sf_dir).select("rsid", "chrom", "pos").distinct()
+    return ordinals.numbered(ordinals.numbered(v, [F.desc("pos"), "rsid"], "place"), ["chrom", "pos", "rsid"], "along", ["chrom"]).select("rsid", F.col("place").cast("long").alias("place"), F.col("along").cast("long").alias("along"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from ..operators import counts, linalg, popgen
+from ..operators import counts, linalg, ordinals, popgen
 from .cohort import ALLELES, CTE, dosages
 from .fixture import genotypes
 from .registry import query
@@ -141,11 +141,9 @@ def aims(spark, sf_dir):
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY locus_key ORDER BY pr, rank) AS n FROM p) SELECT panel, locus_key, CAST(rank AS INTEGER) AS rank FROM r WHERE n=1""",
 )
 def combined_panels(spark, sf_dir):
-    from pyspark.sql import Window
-
     v = genotypes(spark, sf_dir).select(F.col("rsid").alias("locus_key"), "pos", "ref", "alt").distinct()
-    a = v.where("ref = 'A'").select(F.lit("a").alias("panel"), "locus_key", F.row_number().over(Window.orderBy("pos")).alias("rank"))
-    b = v.where("alt = 'T'").select(F.lit("b").alias("panel"), "locus_key", F.row_number().over(Window.orderBy(F.desc("pos"))).alias("rank"))
+    a = ordinals.numbered(v.where("ref = 'A'"), ["pos"], "rank").select(F.lit("a").alias("panel"), "locus_key", F.col("rank").cast("int"))
+    b = ordinals.numbered(v.where("alt = 'T'"), [F.desc("pos")], "rank").select(F.lit("b").alias("panel"), "locus_key", F.col("rank").cast("int"))
     return popgen.combined_aims([a, b]).select("panel", "locus_key", "rank")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import listed, numbered_lines, opened
+
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 #: Two-bit codes of 2, 1, 0 copies of the first allele, and of a missing call.
 HOM1, MISSING, HET, HOM2 = 0b00, 0b01, 0b10, 0b11
@@ -66,37 +68,56 @@ def subset(variants: DataFrame, kept: DataFrame) -> DataFrame:
     return variants.join(kept.select("rsid").distinct(), "rsid", "left_semi")
 
 
+def file_fields(spark: SparkSession, path: str) -> DataFrame:
+    """``(ord, p)``: the line's number from 0 and its fields, of the lines that aren't blank."""
+    rows = numbered_lines(spark, listed(path))
+    line = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", "file", "problem"))).otherwise(F.trim("line"))
+    return rows.select((F.col("line_number") - 1).alias("ord"), line.alias("line")).where("line <> ''").select("ord", F.split("line", r"\s+").alias("p"))
+
+
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
-    """``(ord, chrom, rsid, pos, a1, a2)`` in file order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
-    p = F.split(F.trim("line"), r"\s+")
-    return rows.select("ord", p[0].alias("chrom"), p[1].alias("rsid"), p[3].cast("long").alias("pos"), p[4].alias("a1"), p[5].alias("a2"))
+    """``(ord, chrom, rsid, pos, a1, a2)`` in file order; the file is read by ranges."""
+    p = F.col("p")
+    return file_fields(spark, path).select("ord", p[0].alias("chrom"), p[1].alias("rsid"), p[3].cast("long").alias("pos"), p[4].alias("a1"), p[5].alias("a2"))
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, family_id, sample_id, father_id, mother_id, sex)`` in file order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
-    p = F.split(F.trim("line"), r"\s+")
-    return rows.select("ord", p[0].alias("family_id"), p[1].alias("sample_id"), p[2].alias("father_id"), p[3].alias("mother_id"), p[4].alias("sex"))
+    p = F.col("p")
+    return file_fields(spark, path).select("ord", p[0].alias("family_id"), p[1].alias("sample_id"), p[2].alias("father_id"), p[3].alias("mother_id"), p[4].alias("sex"))
 
 
-def read_bed(spark: SparkSession, prefix: str) -> DataFrame:
-    """Long dosages of a fileset: the .bed is read as one binary value (2 GB at most) and cut into variants at once."""
-    samples = [r.sample_id for r in read_fam(spark, f"{prefix}.fam").orderBy("ord").collect()]
-    width = -(-len(samples) // 4)
-    content = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content")
+#: Bytes of a .bed that a task reads.
+RANGE_BYTES = 32 << 20
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def read_bed(spark: SparkSession, prefix: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Long dosages of a fileset. Variant k is at byte 3 + k * width of the .bed, so tasks read ranges of whole variants.
+
+    A file that isn't variant-major, or whose size isn't that of whole variants of the .fam's samples, is an error.
+    """
+    samples = [r.sample_id for r in read_fam(spark, f"{prefix}.fam").orderBy("ord").collect()]
+    width = max(1, -(-len(samples) // 4))
+    store, path = opened(f"{prefix}.bed")
+    size = store.get_file_info(path).size or 0
+    with store.open_input_file(path) as file:
+        magic = file.read(len(MAGIC))
+    if magic != MAGIC or (size - len(MAGIC)) % width:
+        raise ValueError("not a variant-major .bed of these samples")
+    n, step = (size - len(MAGIC)) // width, max(1, range_bytes // width)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, inner = opened(f"{prefix}.bed")
         for b in batches:
-            for data in b["content"]:
-                if data[:3] != MAGIC or (len(data) - 3) % max(1, width):
-                    raise ValueError("not a variant-major .bed of these samples")
-                n = (len(data) - 3) // max(1, width)
-                for at in range(0, n, 10_000):
-                    ks = range(at, min(n, at + 10_000))
-                    yield pd.DataFrame({"ord": list(ks), "bed": [bytes(data[3 + k * width : 3 + (k + 1) * width]) for k in ks]})
-
-    rows = content.mapInPandas(cut, "ord int, bed binary")
+            with own.open_input_file(inner) as file:
+                for first in b["id"].tolist():
+                    file.seek(len(MAGIC) + first * width)
+                    data = file.read((min(first + step, n) - first) * width)
+                    for at in range(0, len(data) // width, 10_000):
+                        ks = range(at, min(len(data) // width, at + 10_000))
+                        yield pd.DataFrame({"ord": [first + k for k in ks], "bed": [data[k * width : (k + 1) * width] for k in ks]}).astype({"ord": "int32"})
+
+    rows = spark.range(0, n, step, max(1, min(-(-n // step), 100_000))).mapInPandas(read, "ord int, bed binary")
     return decoded(rows.join(read_bim(spark, f"{prefix}.bim"), "ord").select("chrom", "pos", "rsid", "a1", "a2", "bed"), samples)
 
 
