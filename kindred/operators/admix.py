@@ -116,7 +116,7 @@ def start_p(rsid: str, alt: np.ndarray, ref: np.ndarray, models: list[Model]) ->
 
 
 #: A variant's row keeps all models' frequencies one after another: those of this state, and of the two before it.
-ROWS = f"kind int, {PACKED}, p0 binary, p1 binary, p2 binary, model int, block int, sums binary, figures array<double>"
+ROWS = f"kind int, {PACKED}, p0 binary, p1 binary, p2 binary, model int, block int, cells binary"
 
 
 def fit(d: DataFrame, models: list[Model], folds: int = 0, tolerance: float = 1e-4, most_rounds: int = 300, accelerate: bool = True, seed: int = 7) -> Fits:
@@ -229,8 +229,9 @@ def one_round(spark, table: DataFrame, models: list[Model], states: list[State],
                     else:
                         mine[0][:] = after  # if it is not accepted, the next round begins at p2
                 yield pd.DataFrame({"kind": 0, **{c: b[c].to_list() for c in ("rsid", "alt", "ref", "fold")}, **{f"p{j}": [x.tobytes() for x in p[j]] for j in range(3)}})
-        out = [(1, i, k, sums[i][first : first + BLOCK].tobytes(), figures[i].tolist() if k == 0 else None) for i, s in enumerate(state) if not s[3] for k, first in enumerate(range(0, n, BLOCK))]
-        yield pd.DataFrame(out, columns=["kind", "model", "block", "sums", "figures"])
+        # A model's figures are added up at the end of its first block of sums.
+        out = [(1, i, k, sums[i][first : first + BLOCK].tobytes() + (b"" if k else figures[i].tobytes())) for i, s in enumerate(state) if not s[3] for k, first in enumerate(range(0, n, BLOCK))]
+        yield pd.DataFrame(out, columns=["kind", "model", "block", "cells"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ROWS.split(", ")]
@@ -238,14 +239,12 @@ def one_round(spark, table: DataFrame, models: list[Model], states: list[State],
             yield b.assign(**{c: pd.Series([None] * len(b), index=b.index, dtype=object) for c in names if c not in b.columns})[names]
 
     after = written(table.mapInPandas(whole, ROWS))
-    parts = after.where("kind = 1")
-    total = added_up(parts.select("model", "block", F.col("sums").alias("cells")), ["model", "block"])
-    sums = [np.zeros((n, m.k)) for m in models]
-    for r in total.collect():  # as large as the proportions
-        sums[r.model][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.cells).reshape(-1, models[r.model].k)
-    figures = np.zeros((len(models), 3))
-    for r in parts.where("figures is not null").groupBy("model").agg(F.array(*(F.sum(F.get("figures", F.lit(j))) for j in range(3))).alias("f")).collect():
-        figures[r.model] = r.f
+    sums, figures = [np.zeros((n, m.k)) for m in models], np.zeros((len(models), 3))
+    for r in added_up(after.where("kind = 1").select("model", "block", "cells"), ["model", "block"]).collect():  # as large as the proportions
+        cells = np.frombuffer(r.cells)
+        if r.block == 0:
+            cells, figures[r.model] = cells[:-3], cells[-3:]
+        sums[r.model][r.block * BLOCK : (r.block + 1) * BLOCK] = cells.reshape(-1, models[r.model].k)
     shared.unpersist()
     return after.where("kind = 0"), figures, sums
 

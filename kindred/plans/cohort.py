@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..operators import counts, filters, ld, linalg, ordinals, popgen, sexbias
 from ..params import DEFAULT
+from ..sources.shared import scratch
+from ..streaming import batches
 from .fixture import GENOTYPES_SQL, genotypes
 from .registry import query
 
@@ -318,6 +320,17 @@ def merged_counts(spark, sf_dir):
     return sexbias.merged_counts(part(s.where("sample_id % 2 = 0")).unionByName(part(s.where("sample_id % 2 = 1"))))
 
 
+@query(
+    "g13_merged_batches",
+    f"{SIGNALS.replace('rsid, (substr', 'rsid, chrom, pos, (substr')} SELECT region, rsid, MIN(chrom) AS chrom, MIN(pos) AS pos, COUNT(*) AS called, CAST(SUM(signal) AS BIGINT) AS total, CAST(SUM(signal*signal) AS BIGINT) AS squares FROM s GROUP BY ALL",
+)
+def merged_batches(spark, sf_dir):
+    g, folder = genotypes(spark, sf_dir), scratch(spark)
+    for batch in (0, 1, 2, 1):  # one of them twice
+        batches.write_batch(g.where(F.col("sample_id") % 3 == batch), f"b{batch}", folder)
+    return batches.merged(spark, folder)[0]
+
+
 @query("m09_nmf")
 def nmf(spark, sf_dir):
     return sexbias.nmf(sexbias.signals(genotypes(spark, sf_dir)), 3, 100)

@@ -36,15 +36,15 @@ def cohort(spark):
 
 def test_likelihood_never_falls_and_needs_fewer_rounds(spark, cohort):
     true_q, _, g, d = cohort
-    fast = admix.fit(d, [admix.Model(3, 1)], most_rounds=45)
-    slow = admix.fit(d, [admix.Model(3, 1)], most_rounds=45, tolerance=-1, accelerate=False)
+    fast = admix.fit(d, [admix.Model(3, 1)], most_rounds=30)
+    slow = admix.fit(d, [admix.Model(3, 1)], most_rounds=30, tolerance=-1, accelerate=False)
     a, b = fast.runs.first(), slow.runs.first()
     for fits in (fast, slow):
         steps = [r.likelihood for r in fits.trace.orderBy("round").collect()]
         assert len(steps) > 3 and all(y >= x - 1e-6 for x, y in zip(steps, steps[1:], strict=False))
     cycles = [r.likelihood for r in fast.trace.orderBy("round").collect()]
-    reached = next(3 * k for k, x in enumerate(cycles) if x >= b.likelihood)  # rounds to where 45 of the plain kind come
-    assert reached <= 30 and b.rounds == 45
+    reached = next(3 * k for k, x in enumerate(cycles) if x >= b.likelihood)  # rounds to where 30 of the plain kind come
+    assert reached < 30 == b.rounds
     q = fast.q.toPandas().pivot(index="sample_id", columns="component", values="q").to_numpy()
     p = np.array([r.p for r in fast.p.toPandas().assign(n=lambda f: f.rsid.str[2:].astype(int)).sort_values("n").itertuples()])
     assert np.allclose(q.sum(1), 1) and likelihood(g, q, p) >= a.likelihood - 1e-6
@@ -53,12 +53,12 @@ def test_likelihood_never_falls_and_needs_fewer_rounds(spark, cohort):
 
 def test_models_in_one_run_equal_runs_of_one(spark, cohort):
     d = cohort[3]
-    models = [admix.Model(2, 3), admix.Model(3, 4, 0), admix.Model(3, 4, 1), admix.Model(1, 5, 1)]
-    together = admix.fit(d, models, 2, tolerance=2.0, most_rounds=12)
+    models = [admix.Model(2, 3), admix.Model(3, 4, 0), admix.Model(1, 5, 1)]
+    together = admix.fit(d, models, 2, tolerance=2.0, most_rounds=7)
     rows = {r.model: r for r in together.runs.collect()}
     assert together.jobs == max(r.rounds for r in rows.values())  # not their sum
     for i, m in enumerate(models):
-        alone = admix.fit(d, [m], 2, tolerance=2.0, most_rounds=12)
+        alone = admix.fit(d, [m], 2, tolerance=2.0, most_rounds=7)
         r = alone.runs.first()
         assert (r.rounds, r.converged) == (rows[i].rounds, rows[i].converged) and abs(r.likelihood - rows[i].likelihood) < 1e-6
         assert (r.cv is None) == (m.fold is None) and (r.cv is None or abs(r.cv - rows[i].cv) < 1e-9)
@@ -91,8 +91,8 @@ def test_models_of_nothing(spark):
 def test_randomised_components_equal_exact_ones(spark, cohort):
     x = linalg.standardised(cohort[3])
     exact = linalg.pca(x, 5).toPandas().sort_values(["pc", "sample_id"])
-    for oversample in (8, 60):
-        got = linalg.randomised_pca(x, 5, oversample, most_rounds=200, tolerance=1e-13).toPandas().sort_values(["pc", "sample_id"])
+    for oversample in (10, 60):
+        got = linalg.randomised_pca(x, 5, oversample, most_rounds=60, tolerance=1e-13).toPandas().sort_values(["pc", "sample_id"])
         assert np.allclose(np.sqrt(got["variance"]), np.sqrt(exact["variance"]), rtol=1e-6)
         assert np.allclose(got["score"], exact["score"], atol=1e-3) and np.allclose(got["explained"], exact["explained"], rtol=1e-6)
     some = linalg.pca(x, 5, of_emitted=True).groupBy("sample_id").agg(F.sum("explained").alias("s")).first()
