@@ -153,15 +153,18 @@ def analysis_sql(kind: str) -> str:
     SELECT system, result_key, result_value, COUNT(*) AS rows FROM r GROUP BY ALL"""
 
 
+def analysis_rows(spark, sf_dir):
+    c = sql(spark, sf_dir, ANALYSIS, "customer")
+    lines = c.select(F.concat(F.lit('{"assay_id": "'), "assay_id", F.lit('", "analysis_id": "x", "emits": '), "emits", F.lit(', "rows": ['), "js", F.lit("]}")).alias("value"))
+    path = scratch(spark)
+    lines.unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
+    kinds = spark.createDataFrame(KINDS, "assay_id string, kind string")
+    return reports.analysis_values(tables.analysis_jsonl(spark, path), kinds).join(kinds, "assay_id")
+
+
 def analysis_of(kind):
     def found(spark, sf_dir):
-        c = sql(spark, sf_dir, ANALYSIS, "customer")
-        lines = c.select(F.concat(F.lit('{"assay_id": "'), "assay_id", F.lit('", "analysis_id": "x", "emits": '), "emits", F.lit(', "rows": ['), "js", F.lit("]}")).alias("value"))
-        path = scratch(spark)
-        lines.unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
-        kinds = spark.createDataFrame(KINDS, "assay_id string, kind string")
-        rows = reports.analysis_values(tables.analysis_jsonl(spark, path), kinds)
-        return rows.join(kinds.where(F.col("kind") == kind), "assay_id").groupBy("system", "result_key", "result_value").agg(F.count("*").alias("rows"))
+        return analysis_rows(spark, sf_dir).where(F.col("kind") == kind).groupBy("system", "result_key", "result_value").agg(F.count("*").alias("rows"))
 
     return found
 
@@ -170,6 +173,11 @@ for _, _kind in KINDS:
     query(f"s34_x27_{_kind}_values", analysis_sql(_kind))(analysis_of(_kind))
 
 
+@query("s34_x27_analysis_values", " UNION ALL ".join(f"SELECT '{k}' AS kind, x.* FROM ({analysis_sql(k)}) x" for _, k in KINDS))
+def all_analysis_values(spark, sf_dir):
+    return analysis_rows(spark, sf_dir).groupBy("kind", "system", "result_key", "result_value").agg(F.count("*").alias("rows"))
+
+
 #: A sample's sites as a VCF has them: each order is a sample, each of its lines a site.
 SITES = """SELECT l_orderkey AS sample_id, CASE l_partkey % 8 WHEN 0 THEN 'chr10' WHEN 1 THEN '2' WHEN 2 THEN 'X' WHEN 3 THEN 'chrM' WHEN 4 THEN 'chr2' WHEN 5 THEN 'GL000' WHEN 6 THEN 'chrY' ELSE '1' END AS chrom, l_suppkey AS pos, 'A' AS ref,
 CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN 'G' WHEN 1 THEN 'G,T' WHEN 2 THEN ' C , T' WHEN 3 THEN 'GT,<DEL>,C' ELSE '' END AS alt,
