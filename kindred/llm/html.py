@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learned from labelled pages:
 how much more often a word in such a container, or such a tag, stands inside the labelled content than outside. One
-linear scan finds the contiguous run of highest score, the region; its blocks are the text.
+linear scan finds the contiguous run of highest score, the region; its blocks are the text. The labels (article and main
+elements) are no input of what is learned: each page teaches once as it is and once with them shown as plain divisions.
 
 A container inside the region (an advert between two paragraphs) is left out if what labelled pages taught about its
 element, classes, id and role adds up to less than nothing. Before anything is learned a few names have a score, which
@@ -37,8 +38,8 @@ RAW_TO_END = set("script style noscript template textarea title iframe".split())
 RAW = RAW_TO_END | set("svg object select datalist button canvas audio video".split())
 #: Scores of words and tags before anything is learned, and how many observations they count as.
 WORD, TAG, BELIEF = 1.0, -3.0, 8.0
-#: The first score of a tag in an element that holds content by definition.
-TAG_INSIDE = -0.2
+#: Elements of running text, and the first score of their tags.
+PROSE, TAG_OF_PROSE = set("p br h1 h2 h3 h4 h5 h6 blockquote pre".split()), -0.2
 #: Scores of containers before anything is learned: by element, and by a whole word of class, id or role. All others
 #: have none. What pages teach outweighs them after ``BELIEF`` containers.
 LABELS = dict.fromkeys("<nav> <footer> <aside> <form> <menu> <dialog> <head> <header>".split(), -2.0) | dict.fromkeys(
@@ -55,7 +56,8 @@ class Container:
     name: str
     labels: tuple[str, ...]  # what its score goes by
     parent: int
-    inside: bool  # in an element that labels content
+    inside: bool  # in an element that labels content; fitting alone reads it
+    label: bool  # such an element itself
     first: int
     end: int = 1 << 62
 
@@ -77,8 +79,8 @@ def names(attributes: str) -> list[str]:
     return sorted(found - {""})
 
 
-def tokens(html: str) -> tuple[list[Token], list[Container]]:
-    """The tokens and containers of a whole page; unclosed and stray tags do no harm."""
+def tokens(html: str, blind: bool = False) -> tuple[list[Token], list[Container]]:
+    """The tokens and containers of a whole page; unclosed and stray tags do no harm. ``blind`` shows what labels content as a division."""
     out: list[Token] = []
     every: list[Container] = []
     stack: list[int] = []  # containers that are open
@@ -103,6 +105,8 @@ def tokens(html: str) -> tuple[list[Token], list[Container]]:
         if not m[2]:
             continue
         name, closes = m[2].lower(), bool(m[1])
+        label = name in CONTENT
+        name = "div" if blind and label else name
         if name in RAW and not closes:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(html, at)
@@ -117,7 +121,7 @@ def tokens(html: str) -> tuple[list[Token], list[Container]]:
             if stack and every[stack[-1]].name == "p":  # ends at any other block
                 close(len(stack) - 1)
         elif name == "br":
-            out.append(Token("tag in br" if stack and every[stack[-1]].inside else "tag br", 0, " ", stack[-1] if stack else -1, block))
+            out.append(Token("tag br", 0, " ", stack[-1] if stack else -1, block))
             continue
         labels: list[str] = []
         if name in CONTAINERS or name == "p":
@@ -128,21 +132,20 @@ def tokens(html: str) -> tuple[list[Token], list[Container]]:
             elif not m[3].endswith("/"):
                 labels = names(m[3])
                 inside = bool(stack) and every[stack[-1]].inside
-                if f"<{name}>" in LABELS and not (name == "header" and inside):
+                if f"<{name}>" in LABELS and not (name == "header" and inside and not blind):
                     labels.insert(0, f"<{name}>")
                 if name != "p" or labels:
-                    every.append(Container(name, tuple(labels), stack[-1] if stack else -1, inside or name in CONTENT, len(out)))
+                    every.append(Container(name, tuple(labels), stack[-1] if stack else -1, inside or label, label, len(out)))
                     stack.append(len(every) - 1)
         home = stack[-1] if stack else -1
-        place = "in " if stack and every[home].inside and name not in CONTENT else ""
-        out.append(Token(f"tag {place}{'/' * closes}{name}{'.' * bool(labels)}{'.'.join(labels)}", 0, "", home, block))
+        out.append(Token(f"tag {'/' * closes}{name}{'.' * bool(labels)}{'.'.join(labels)}", 0, "", home, block))
     words(html[at:])
     return out, every
 
 
 def first_score(kind: str) -> float:
     """The score of a word or tag of which nothing is known."""
-    return WORD if kind.startswith("word") else TAG_INSIDE if kind.startswith("tag in ") else TAG
+    return WORD if kind.startswith("word") else TAG_OF_PROSE if kind.removeprefix("tag ").removeprefix("/") in PROSE else TAG
 
 
 @dataclass
@@ -168,14 +171,14 @@ class Weights:
     @classmethod
     def fit(cls, pages: list[str]) -> Weights:
         """From pages that label their content by an article or main element; others teach nothing."""
-        parsed = [tokens(h) for h in pages]
+        parsed = [tokens(h, blind) for h in pages for blind in (False, True)]
         labelled = [(found, every) for found, every in parsed if any(t.words and t.home >= 0 and every[t.home].inside for t in found)]
         held: Counter[str] = Counter()
         apart: Counter[str] = Counter()
         for _, containers in labelled:
-            around = {k for c in containers if c.name in CONTENT for k in ancestors(containers, c.parent)}
+            around = {k for c in containers if c.label for k in ancestors(containers, c.parent)}
             for k, c in enumerate(containers):
-                if k not in around and c.name not in CONTENT:
+                if k not in around and not c.label:
                     (held if c.inside else apart).update(c.labels)
         by_label = dict(LABELS)
         for label in held.keys() | apart.keys():
@@ -195,7 +198,7 @@ class Weights:
             base = first_score(kind)
             odds = math.log((inside[kind] + 1) / (outside[kind] + 1))
             n = inside[kind] + outside[kind]
-            learned = min(odds, 2.0) if kind.startswith("word") else min(odds - 1.0, -0.1)  # a tag never counts for content
+            learned = min(odds, 2.0) if kind.startswith("word") else min(max(odds - 1.0, TAG), -0.1)  # no tag counts for content, nor more against it than an unknown one
             by_kind[kind] = (BELIEF * base + n * max(learned, -6.0)) / (BELIEF + n)
         return cls(by_kind, by_label)
 

@@ -37,6 +37,13 @@ def test_every_test_page_gives_its_article(pages):
     assert got == want
 
 
+def test_pages_without_the_labels_give_the_same_text(pages):
+    labelled = [r for r in pages.collect() if re.search("<(article|main)[ >]", r.html)]
+    weights = html.Weights.fit([r.html for r in labelled[:300]])
+    blind = [(article(r.html), html.main_text(re.sub("<(/?)(article|main)(?=[ >])", r"<\1div", r.html), weights)) for r in labelled[300:]]
+    assert len(blind) > 2000 and sum(want == got for want, got in blind) >= 0.99 * len(blind)
+
+
 @pytest.mark.parametrize(
     "page",
     [
