@@ -8,13 +8,17 @@ hash of all their words, which equal windows share as well. Which are heavy is j
 isn't listed holds under a ``HEAVY``-th of all packed bytes. The list decides where windows meet, never whether they do.
 
 Of equal packed strings in one batch of documents only the earliest travels: every window of the others starts earlier
-in it, and their words are marked at once. So a passage in a third of all documents sends one string a batch.
+in it, and their words are marked at once. So a passage in a third of all documents sends one string a batch. Where the
+batches are so many that even these are too much for a bucket, the minimiser is crowded and its strings meet in two steps:
+first those of a share of the batches (about the root of their number), then what no earlier place in its share accounts
+for, at most one place of a window from each share.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ RUN = 128
 BUCKET_BYTES, BATCH_BYTES = 4 << 20, 6 << 20
 #: A minimiser is heavy above so many packed bytes, by a sample of one document in ``SAMPLE``; ``HEAVY`` are listed at most.
 HEAVY_BYTES, SAMPLE, HEAVY = 2 * BUCKET_BYTES, 64, 1_000_000
+#: Partitions of the shuffle at most; each sorts its buckets and reads them one by one.
+PARTITIONS = 20_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAST = -(1 << 63)
 
@@ -74,20 +81,24 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
     return sums
 
 
-def super_kmers(words: list[bytes], known: WordHashes, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """``(key, first window, packed words)`` that together hold each window of ``words`` once.
+def among(hashes: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which ``hashes`` are in the sorted ``listed``."""
+    return listed[np.searchsorted(listed[:-1], hashes)] == hashes if len(listed) else np.zeros(len(hashes), bool)
 
-    The key is the windows' minimiser or, for one of the sorted ``heavy``, their hash.
+
+def super_kmers(words: list[bytes], known: WordHashes, heavy: np.ndarray, crowded: np.ndarray) -> Iterator[tuple[int, int, bytes, bool]]:
+    """``(key, first window, packed words, whether crowded)`` that together hold each window of ``words`` once.
+
+    The key is the windows' minimiser or, for one of the sorted ``heavy``, their hash; ``crowded`` is a sorted list too.
     """
     if len(words) < WINDOW:
         return
     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     least = minimisers(hashes)
-    if len(heavy):
-        split = heavy[np.searchsorted(heavy[:-1], least)] == least
-        if split.any():
-            least = np.where(split, window_hashes(hashes), least)
-    cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
+    many, split = among(least, crowded), among(least, heavy)
+    if split.any():
+        least = np.where(split, window_hashes(hashes), least)
+    cuts = np.flatnonzero((least[1:] != least[:-1]) | (many[1:] != many[:-1])) + 1
     starts = np.concatenate([[0], cuts])
     ends = np.concatenate([cuts, [len(least)]])
     if (ends - starts).max() > RUN:
@@ -96,58 +107,70 @@ def super_kmers(words: list[bytes], known: WordHashes, heavy: np.ndarray) -> Ite
     text = b" ".join(words)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
     froms, tos = at[starts].tolist(), (at[ends + WINDOW - 1] - 1).tolist()
-    for m, s, a, b in zip(least[starts].tolist(), starts.tolist(), froms, tos, strict=True):
-        yield m, s, text[a:b]
+    for m, s, a, b, c in zip(least[starts].tolist(), starts.tolist(), froms, tos, many[starts].tolist(), strict=True):
+        yield m, s, text[a:b], c
 
 
-def heavy_minimisers(docs: DataFrame) -> np.ndarray:
-    """Sorted minimisers that hold more than ``HEAVY_BYTES`` of different packed strings, by a sample of ``docs (id, mark, text)``."""
+def listed_minimisers(docs: DataFrame, batches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted heavy and crowded minimisers, by a sample of ``docs (id, mark, text)``.
+
+    A heavy one holds more than ``HEAVY_BYTES`` of different packed strings; of a crowded one so much is sent by
+    ``batches`` that each send a string once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, none = WordHashes(), np.zeros(0, np.uint64)
         for b in batches:
             for text in values(b.column(0)):
-                found = [(m, xxhash.xxh64_intdigest(string), len(string)) for m, _, string in super_kmers((text or b"").split(), known, none)]
+                found = [(m, xxhash.xxh64_intdigest(string), len(string)) for m, _, string, _ in super_kmers((text or b"").split(), known, none, none)]
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns], ["minimiser", "string", "bytes"])
 
     sample = docs.where(F.pmod(F.xxhash64("id", "mark"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary"))
-    strings = sample.mapInArrow(run, "minimiser long, string long, bytes long").distinct()
-    held = strings.groupBy("minimiser").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") * SAMPLE > HEAVY_BYTES)
-    found = held.orderBy(F.col("bytes").desc(), "minimiser").limit(HEAVY).select("minimiser").toPandas()
-    return np.sort(found["minimiser"].to_numpy(np.int64).view(np.uint64))
+    strings = sample.mapInArrow(run, "minimiser long, string long, bytes long").groupBy("minimiser", "string").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    sent = F.sum(F.col("bytes") * F.least(F.col("n") * SAMPLE, F.lit(batches)))
+    held = strings.groupBy("minimiser").agg((F.sum("bytes") * SAMPLE).alias("bytes"), sent.alias("sent"))
+    over = held.where(F.greatest("bytes", "sent") > HEAVY_BYTES).orderBy(F.greatest("bytes", "sent").desc(), "minimiser").limit(HEAVY).toPandas()
+    return tuple(np.sort(over.loc[over[c] > HEAVY_BYTES, "minimiser"].to_numpy(np.int64).view(np.uint64)) for c in ("bytes", "sent"))
+
 
+#: A bucket of crowded minimisers' first step is below zero and has ``keys``, by which what is left meets in the second.
+PACKED = "bucket int, ids array<long>, marks array<long>, starts array<int>, ends array<int>, strings binary, keys array<long>"
+#: A range of words or, with ``string``, a packed string that is left for the second step.
+RANGES = "id long, mark long, start int, end int, key long, string binary"
 
-PACKED = "bucket int, ids array<long>, marks array<long>, starts array<int>, ends array<int>, strings binary"
-RANGES = "id long, mark long, start int, end int"
 
+def packed(docs: DataFrame, buckets: int, listed: tuple[np.ndarray, np.ndarray], shares: int) -> DataFrame:
+    """Rows for buckets: packed strings with their places, or word ranges already known to be repeats (``ends``).
 
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows for buckets: packed strings with their places, or word ranges already known to be repeats (``ends``)."""
-    listed = docs.sparkSession.sparkContext.broadcast(heavy_minimisers(docs))  # 8 MB at most
+    The batches of documents are dealt to ``shares`` shares, which keep crowded minimisers apart.
+    """
+    listed = docs.sparkSession.sparkContext.broadcast(listed)  # 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, squeeze, heavy = WordHashes(), zstandard.ZstdCompressor(level=1), listed.value
+        known, squeeze, (heavy, crowded) = WordHashes(), zstandard.ZstdCompressor(level=1), listed.value
+        part, done = TaskContext.get().partitionId(), 0
         for b in batches:
             at = 0
             sizes = np.cumsum(pc.binary_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             while at < b.num_rows:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
-                yield pack_batch(b.slice(at, end - at), known, squeeze, buckets, heavy)
-                at = end
+                share = xxhash.xxh32_intdigest(f"{part} {done}") % shares
+                yield pack_batch(b.slice(at, end - at), known, squeeze, buckets, heavy, crowded, shares, share)
+                at, done = end, done + 1
         known.clear()
         release()
 
     return docs.select("id", "mark", F.col("text").cast("binary")).mapInArrow(run, PACKED)
 
 
-def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.ZstdCompressor, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
-    first: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest place of a string: id, start, mark, minimiser
-    alike: list[tuple[bytes, tuple[int, int, int, int]]] = []  # further rows at that very place
+def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.ZstdCompressor, buckets: int, heavy: np.ndarray, crowded: np.ndarray, shares: int, share: int) -> pa.RecordBatch:
+    first: dict[bytes, tuple[int, int, int, int, bool]] = {}  # the earliest place of a string: id, start, mark, key, crowded
+    alike: list[tuple[bytes, tuple[int, int, int, int, bool]]] = []  # further rows at that very place
     repeats: list[tuple[int, int, int, int]] = []
     for doc, mark, text in zip(*map(values, batch.columns), strict=True):
-        for m, start, string in super_kmers((text or b"").split(), known, heavy):
-            place = (doc, start, mark, m)
+        for m, start, string, many in super_kmers((text or b"").split(), known, heavy, crowded):
+            place = (doc, start, mark, m, many)
             if (was := first.setdefault(string, place)) is not place:
                 if was[:2] == place[:2]:  # neither is earlier
                     if mark != was[2]:
@@ -156,24 +179,26 @@ def pack_batch(batch: pa.RecordBatch, known: WordHashes, squeeze: zstandard.Zstd
                 if place < was:
                     first[string], place = place, was
                 repeats.append((place[0], place[2], place[1], place[1] + string.count(b" ") + 1))
-    shares: dict[int, list] = {}
-    for string, (doc, start, mark, m) in itertools.chain(first.items(), alike):
-        shares.setdefault(m % buckets, []).append((doc, mark, start, string))
+    held: dict[int, list] = {}
+    wide = max(1, buckets // shares)
+    for string, (doc, start, mark, m, many) in itertools.chain(first.items(), alike):
+        held.setdefault(-1 - (m % wide * shares + share) if many else m % buckets, []).append((doc, mark, start, string, m - (1 << 63)))
     rows = []
-    for bucket, share in shares.items():
-        ids, marks, starts, strings = zip(*share, strict=True)
-        rows.append((bucket, ids, marks, starts, None, squeeze.compress(b"\n".join(strings))))
+    for bucket, lot in held.items():
+        ids, marks, starts, strings, keys = zip(*lot, strict=True)
+        rows.append((bucket, ids, marks, starts, None, squeeze.compress(b"\n".join(strings)), keys if bucket < 0 else None))
     if repeats:
         ids, marks, starts, ends = zip(*repeats, strict=True)
-        rows.append((xxhash.xxh32_intdigest(str(repeats[0])) % buckets, ids, marks, starts, ends, None))
-    types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        rows.append((xxhash.xxh32_intdigest(str(repeats[0])) % buckets, ids, marks, starts, ends, None, None))
+    types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
     names = [x.split()[0] for x in PACKED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
 def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Word ranges that a bucket's windows show to be repeats, and those that were known before."""
+    """Word ranges that a bucket's windows show to be repeats, those that were known before, and in a first step what is left."""
     out = [np.zeros((0, 4), np.int64)]
+    left: list[tuple] = []
     ready = pdf[pdf["strings"].isna()]
     for r in ready.itertuples():
         out.append(np.column_stack([r.ids, r.marks, r.starts, r.ends]).astype(np.int64))
@@ -183,7 +208,25 @@ def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         strings = [s for blob in pdf["strings"] for s in expand.decompress(blob).split(b"\n")]
         ids, marks, starts = (np.concatenate([np.asarray(x, np.int64) for x in pdf[k]]) for k in ("ids", "marks", "starts"))
         out.append(repeated_windows(strings, ids, marks, starts))
-    return pd.DataFrame(np.concatenate(out), columns=["id", "mark", "start", "end"]).astype({"start": "int32", "end": "int32"})
+        if pdf["bucket"].iloc[0] < 0:
+            whole = set(map(tuple, out[-1].tolist()))
+            places = zip(ids.tolist(), marks.tolist(), starts.tolist(), np.concatenate(list(pdf["keys"])).tolist(), strings, strict=True)
+            left = [p for p in places if (*p[:3], p[2] + p[4].count(b" ") + 1) not in whole]
+    return range_rows(np.concatenate(out), left)
+
+
+def range_rows(ranges: np.ndarray, left: list[tuple] = ()) -> pd.DataFrame:
+    """Rows of ``RANGES``: ``ranges``, and strings ``left (id, mark, start, key, string)`` for the second step."""
+    done = pd.DataFrame(ranges, columns=["id", "mark", "start", "end"]).assign(key=0, string=None)
+    if left:
+        more = pd.DataFrame(left, columns=["id", "mark", "start", "key", "string"]).assign(end=0)
+        done = more[done.columns] if done.empty else pd.concat([done, more[done.columns]], ignore_index=True)
+    return done.astype({"start": "int32", "end": "int32", "key": "int64"})
+
+
+def second_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Word ranges that the strings left by the first step, of one bucket, show to be repeats."""
+    return range_rows(repeated_windows(list(pdf["string"]), *(pdf[k].to_numpy(np.int64) for k in ("id", "mark", "start"))))
 
 
 def repeated_windows(strings: list[bytes], ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -269,8 +312,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    found = packed(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), RANGES)
-    ranges = written(found).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    batches = max(1, -(-total // BATCH_BYTES))
+    heavy, crowded = listed_minimisers(keyed, batches)
+    rows = packed(keyed, buckets, (heavy, crowded), math.isqrt(batches - 1) + 1)
+    found = written(rows.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), RANGES))
+    if len(crowded):
+        left = found.where("string is not null").groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: second_step(pdf), RANGES)
+        found = found.where("string is null").unionByName(left)
+    ranges = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
     @F.pandas_udf("kept_text binary, n_words long, n_removed long, kept_sha256 string")
     def cut(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
