@@ -88,17 +88,24 @@ def headers(data: bytes, first: bytes) -> dict[str, str]:
     return out
 
 
+def number(length: str) -> int:
+    if not (length.isascii() and length.isdigit()):
+        raise Damaged(f"{length!r} is no length")
+    return int(length)
+
+
 def parse(data: bytes) -> Record:
     """A record from its uncompressed bytes."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     fields = headers(head, b"WARC/1.")
-    if not gap or not {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(fields):
+    needed = {"warc-type", "warc-record-id", "warc-date", "warc-payload-digest", "content-length"}
+    if not gap or not needed <= set(fields) or (fields["warc-type"] == "revisit" and "warc-refers-to" not in fields):
         raise Damaged("a needed header is missing")
-    length = int(fields["content-length"])
+    length = number(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise Damaged(f"Content-Length {length}, but {len(rest) - 4} bytes")
     http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    size = int(headers(http, b"HTTP/1.")["content-length"])
+    size = number(headers(http, b"HTTP/1.").get("content-length", ""))
     kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
     if kind == "response":
         if len(payload) != size or sha1(payload) != digest:
@@ -150,23 +157,37 @@ def train(pages: DataFrame, sample: int = 256, size: int = 64 << 10, each: int =
         return b""
 
 
+def with_firsts(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``keyed (page_id, url, payload, digest)`` with ``first`` from ``firsts (digest, first, n)``, null where there is none.
+
+    With the ids of what repeats beside each task no payload is shuffled. Where they are too many, the most frequent go
+    beside each task, and the other payloads, of which none is frequent any more, meet theirs by digest.
+    """
+    if firsts.count() <= BROADCAST_FIRSTS:
+        return keyed.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    most = written(firsts.orderBy(F.desc("n"), "digest").limit(BROADCAST_FIRSTS))
+    met = keyed.join(F.broadcast(most.select("digest", F.col("first").alias("near"))), "digest", "left")
+    # Rows that have met theirs are spread by their ids under a key that is no digest.
+    met = met.withColumn("key", F.when(F.col("near").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    rest = firsts.join(F.broadcast(most.select("digest")), "digest", "left_anti").select(F.col("digest").alias("key"), F.col("first").alias("far"))
+    return met.join(rest, "key", "left").withColumn("first", F.coalesce("near", "far"))
+
+
 def write(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """Archives ``(archive, content)`` of about ``ARCHIVE_BYTES``, a record for every row of ``pages``.
 
     Of pages with equal payloads of at least ``least_revisit`` bytes, those with the smallest page_id are responses and
     all others revisit it; if that id is null for all, all are responses. A null html is an empty payload. Payloads
-    are told apart by length and SHA-1. An empty table gives no archive.
+    are told apart by SHA-1. Very long ones are one record as others are, other columns of ``pages`` are left out, and
+    an empty table gives no archive.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     dictionary = train(pages)
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     # Ids alone are grouped, and only groups of two or more come back; texts aren't.
-    firsts = keyed.where(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    firsts = written(firsts)
-    # With the ids of what repeats beside each task no payload is shuffled; where they are too many, payloads meet them by digest.
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_FIRSTS else firsts
-    rows = keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    firsts = keyed.where(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    rows = with_firsts(keyed, written(firsts)).select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None

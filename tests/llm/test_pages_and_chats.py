@@ -112,3 +112,25 @@ def test_typed_parts(spark):
     whole = chat.formatted(df).select("attachments", chat.read_back().alias("t")).first()
     assert [a.ref for a in whole.attachments] == ["i.png", "a.wav", "d.pdf"]
     assert [t.role for t in whole.t] == ["user", "assistant"]
+
+
+@pytest.mark.parametrize("line", ["WARC-Payload-Digest", "WARC-Type", "WARC-Refers-To", "Content-Length"])
+def test_a_record_without_a_needed_header_is_damaged(line):
+    data = warc.record(7, "http://x", b"payload", 3)
+    assert warc.parse(data).refers_to == 3
+    for at, text in enumerate(lines := data.split(b"\r\n")):
+        if text.lower().startswith(line.lower().encode() + b":"):
+            with pytest.raises(warc.Damaged):
+                warc.parse(b"\r\n".join(lines[:at] + lines[at + 1 :]))
+
+
+def test_pages_find_their_firsts_beyond_what_is_broadcast(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"page {min(k % 50, 40 - k % 7) if k % 3 else 0}") for k in range(600)] + [(None, "n", "page 0"), (5, "again", None), (6, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+
+    def found():
+        return sorted(((r.page_id or -1, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect()), key=str)
+
+    want = found()
+    monkeypatch.setattr(warc, "BROADCAST_FIRSTS", 3)
+    assert found() == want and sum(kind == "revisit" for _, kind, _ in want) > 500
