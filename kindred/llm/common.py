@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder, written
 
-__all__ = ["connected_components", "few", "release", "shared_folder", "table", "values", "written"]
+__all__ = ["connected_components", "few", "forget", "release", "shared_folder", "table", "values", "written"]
 
 #: A word is a longest run without ASCII white space; ``bytes.split()`` cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,6 +51,17 @@ def release() -> None:
         trim(0)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of queries that are done and no longer referred to.
+
+    What the first collection frees refers to more, which the second frees.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the undirected ``edges (src, dst)``; root is the component's smallest node.
 

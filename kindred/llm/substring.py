@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, values, written
+from .common import forget, release, values, written
 
 WINDOW, MER = 20, 5
 #: Windows in a packed string at most, so that a text of one word does not make one huge string.
@@ -300,6 +300,20 @@ def keep_words(text: bytes | None, ranges: list | None) -> tuple[bytes | None, i
     return b"".join(out).strip(b" \t\n\r\x0b\x0c"), len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
+def repeated_ranges(keyed: DataFrame) -> DataFrame:
+    """``(id, mark, start, end)``: ranges of words of ``keyed (id, mark, text)`` that are repeats, which may overlap."""
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-total // BUCKET_BYTES))
+    batches = max(1, -(-total // BATCH_BYTES))
+    heavy, crowded = listed_minimisers(keyed, batches)
+    rows = packed(keyed, buckets, (heavy, crowded), math.isqrt(batches - 1) + 1)
+    found = written(rows.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), RANGES))
+    if len(crowded):
+        left = found.where("string is not null").groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: second_step(pdf), RANGES)
+        found = found.where("string is null").unionByName(left)
+    return found.select("id", "mark", "start", "end")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` as a column ``row``, with ``kept_text``, ``n_words``, ``n_removed`` and ``kept_sha256``.
 
@@ -310,16 +324,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").alias("text"), F.struct("*").alias("row")
     )
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    batches = max(1, -(-total // BATCH_BYTES))
-    heavy, crowded = listed_minimisers(keyed, batches)
-    rows = packed(keyed, buckets, (heavy, crowded), math.isqrt(batches - 1) + 1)
-    found = written(rows.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), RANGES))
-    if len(crowded):
-        left = found.where("string is not null").groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: second_step(pdf), RANGES)
-        found = found.where("string is null").unionByName(left)
-    ranges = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = repeated_ranges(keyed).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    forget(docs.sparkSession)
 
     @F.pandas_udf("kept_text binary, n_words long, n_removed long, kept_sha256 string")
     def cut(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
