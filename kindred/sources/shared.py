@@ -49,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the tables of ``written`` that ``df`` is read from; nothing that is still to be computed may read them."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[1].startswith("kindred-"):
+            folder, store = opened(df.sparkSession, path)
+            store.delete(folder, True)
+
+
 #: Paths of the tables that were written for an application's owner, a run of stages, and not yet released.
 TABLES: dict[tuple[str, str], set[str]] = {}
 #: The owner of what is written now, last.

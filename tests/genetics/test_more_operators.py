@@ -250,3 +250,24 @@ def test_rows_in_order_of_their_clusters(spark):
     order = [r.k for r in linalg.row_order(rows, "k", ["x", "y"]).orderBy("nth").collect()]
     assert sorted(order) == list("abcde") and abs(order.index("a") - order.index("c")) == abs(order.index("b") - order.index("d")) == 1
     assert order.index("e") in (0, 4)
+
+
+def counting(spark, d):
+    """``d``, and how many of its rows were read so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return d.mapInArrow(run, d.schema), read
+
+
+def test_admixture_reads_its_calls_once(spark, matrix):
+    d, read = counting(spark, long(spark, matrix))
+    q, p = ancestry.admixture(d, 3, 2)
+    assert q.count() == 30 and p.count() == 60
+    assert read.value == (matrix >= 0).sum()  # however many rounds there are
+    none = spark.createDataFrame([(1, "rs1", None)], "sample_id long, rsid string, dosage int")
+    assert [x.count() for x in ancestry.admixture(none, 3, 2)] == [0, 0]
