@@ -180,6 +180,10 @@ def label_fields(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", L.population(F.col("n_name")).alias("population"), L.sex(raw).alias("sex"), L.safe_id(F.col("n_name")).alias("safe"))
 
 
+#: Numbers of lines in an order of all rows, and what orders them the same way without one task that numbers them.
+NUMBERED = "ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+PLACE = "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+
 #: A frequency file's rows, in order: keys of both kinds, some of another spelling, repeated, of no variant or malformed.
 AF_FILE = f"""SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number, CASE l_linenumber % 7 WHEN 0 THEN 'no key' WHEN 1 THEN concat('chr', chrom, ':', pos, ':', lower(ref), ':', alt) WHEN 2 THEN concat(chrom, '-', pos, '-', ref, '-', lower(alt))
     WHEN 3 THEN concat(chrom, ':', pos, ':', alt, ':', ref) WHEN 4 THEN concat(chrom, ':x:', ref, ':', alt) ELSE concat(chrom, ':', pos, ':', ref, ':', alt) END AS locus_key,
@@ -192,7 +196,7 @@ AF_KEYS = f"""WITH v AS (SELECT DISTINCT chrom, pos, ref, alt FROM ({GENOTYPES_S
 
 
 def frequency_file(spark, sf_dir):
-    return sql(spark, sf_dir, AF_FILE, "lineitem", "supplier"), genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
+    return sql(spark, sf_dir, AF_FILE.replace(NUMBERED, PLACE), "lineitem", "supplier"), genotypes(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
 
 
 @query(
@@ -218,7 +222,7 @@ def keyed_counts(spark, sf_dir):
     SELECT chrom, pos, arg_min(ref, nth) AS ref, arg_min(alt, nth) AS alt, arg_min(pca_af, nth) AS pca_af FROM l GROUP BY chrom, pos""",
 )
 def loadings(spark, sf_dir):
-    l = sql(spark, sf_dir, "SELECT CAST(l_partkey % 23 AS STRING) AS chrom, l_suppkey AS pos, CASE l_linenumber % 2 WHEN 0 THEN 'A' ELSE 'G' END AS ref, 'T' AS alt, CAST(l_quantity AS DOUBLE) AS pca_af, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem", "lineitem")  # noqa: E741
+    l = sql(spark, sf_dir, f"SELECT CAST(l_partkey % 23 AS STRING) AS chrom, l_suppkey AS pos, CASE l_linenumber % 2 WHEN 0 THEN 'A' ELSE 'G' END AS ref, 'T' AS alt, CAST(l_quantity AS DOUBLE) AS pca_af, {PLACE} AS nth FROM lineitem", "lineitem")  # noqa: E741
     return tables.loadings(l.withColumn("loadings", F.array("pca_af"))).drop("loadings")
 
 
