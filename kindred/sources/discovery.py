@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import MOST_RANGES, RANGE_BYTES, listed, numbered_lines, opened
+from .ranges import MOST_RANGES, RANGE_BYTES, line_ranges, listed, numbered_lines, opened
 from .shared import written
 
 MANIFEST = "participant_id string, file string, source string"
@@ -73,6 +73,24 @@ def look_up(path: str) -> tuple[int | None, str | None, str | None]:
     return info.size, None, None
 
 
+def known_files(found: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """``looked_up`` inputs, and the paths and sizes of the files among them, as Spark's own file index keeps them."""
+    known = written(looked_up(found))
+    return known, [(r["file"], r["bytes"]) for r in known.where("code is null").select("file", "bytes").distinct().orderBy("file").collect()]
+
+
+def line_counts(spark: SparkSession, found: DataFrame, range_bytes: Callable[[int], int] | int = RANGE_BYTES) -> DataFrame:
+    """``(participant_id, file, lines)`` of ``inputs``: how many lines ``scan`` gives for each, without a row a line.
+
+    A file is counted once, by ranges, however many participants name it. One without a line has no row.
+    """
+    known, files = known_files(found)
+    step = range_bytes(sum(size for _, size in files)) if callable(range_bytes) else range_bytes
+    counts = line_ranges(spark, files, step, counts=True).groupBy("file").agg(F.sum("lines").alias("lines")).where("lines > 0")
+    who = known.where("code is null").select("participant_id", "file").distinct()
+    return who.join(F.broadcast(counts) if len(files) <= MOST_RANGES else counts, "file").select("participant_id", "file", "lines")
+
+
 def scan(spark: SparkSession, found: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """The numbered lines of ``inputs``, and the issues of files: ``(participant_id, file, line_number, line)`` and
     ``(participant_id, file, line_number, severity, code, message)``.
@@ -82,8 +100,7 @@ def scan(spark: SparkSession, found: DataFrame, range_bytes: int = RANGE_BYTES)
     there; a file from which nothing was read and of which nothing else is known is FILE_EMPTY. No file fails the job. A
     file that several participants name is read once, and its lines are each one's. Empty inputs give two empty tables.
     """
-    known = written(looked_up(found))
-    files = [(r["file"], r["bytes"]) for r in known.where("code is null").select("file", "bytes").distinct().orderBy("file").collect()]  # names, as Spark's own file index keeps them
+    known, files = known_files(found)
     rows = numbered_lines(spark, files, range_bytes)
     who = known.where("code is null").select("participant_id", "file").distinct()
     who = F.broadcast(who) if len(files) <= MOST_RANGES else who

@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range, and that are read at once.
 RANGE_BYTES, CHUNK = 32 << 20, 1 << 20
+#: What opening a file counts for, in bytes, where small files share a task.
+OPEN_BYTES = 4 << 10
 #: Lines in a batch of rows, and their bytes at most, but for a line that is longer.
 BATCH_LINES, BATCH_BYTES = 10_000, 4 << 20
 #: Ranges whose line counts are broadcast at most.
@@ -42,6 +44,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of several small files that one task reads one after another."""
+
+    parts: list[Range]
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return pafs.FileSystem.from_uri(path)
@@ -157,16 +166,28 @@ class RangeReader(DataSourceReader):
         self.step = int(options.get("range_bytes", RANGE_BYTES))
         self.counting = options.get("counts") == "true"
 
-    def partitions(self) -> list[Range]:
-        return [Range(path, k, at, min(at + self.step, size)) for path, size in self.files for k, at in enumerate(range(0, max(size, 1), self.step))]
-
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        """Rows of the range's lines or their number; what goes wrong with its file is a row of its own, the last.
-
-        Without files Spark reads one partition that is None.
-        """
-        if part is None:
-            return
+    def partitions(self) -> list[Range | Ranges]:
+        """The ranges, those of small files together up to the bytes of one range."""
+        held: list[list[Range]] = []
+        room = 0
+        for path, size in self.files:
+            for k, at in enumerate(range(0, max(size, 1), self.step)):
+                end = min(at + self.step, size)
+                cost = max(end - at, OPEN_BYTES)
+                if cost > room:
+                    held.append([])
+                    room = self.step
+                held[-1].append(Range(path, k, at, end))
+                room -= cost
+        return [parts[0] if len(parts) == 1 else Ranges(parts) for parts in held]
+
+    def read(self, part: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
+        """Rows of the lines of a range or of several, or their number; without files Spark reads one partition that is None."""
+        for one in [] if part is None else part.parts if isinstance(part, Ranges) else [part]:
+            yield from self.read_range(one)
+
+    def read_range(self, part: Range) -> Iterator[pa.RecordBatch]:
+        """Rows of the range's lines or their number; what goes wrong with its file is a row of its own, the last."""
         at, problem, held, size = 0, None, [], 0
         try:
             for some in lines_of(part):
