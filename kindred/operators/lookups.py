@@ -37,7 +37,8 @@ def panel_dosages(calls: DataFrame, panel: DataFrame) -> DataFrame:
     later row is looked at. Of panel rows at one locus the last by ref and alt counts.
     """
     sites = panel.groupBy(*LOCUS).agg(F.max(F.struct("ref", "alt")).alias("x")).select(*LOCUS, "x.*")
-    rows = calls.join(sites, LOCUS).withColumn("nth", nth_in_file()).where("nth = 1")
+    first = calls.groupBy("sample_id", *LOCUS).agg(F.min_by("gt", F.struct("line_number")).alias("gt"))  # most rows fall away before the shuffle
+    rows = first.join(sites, LOCUS)
     gt, ref, alt = F.col("gt"), F.col("ref"), F.col("alt")
     return rows.select("sample_id", *LOCUS, "ref", "alt", F.when(fits(gt, ref, alt), alts(gt, alt)).alias("dosage"))
 

@@ -110,10 +110,12 @@ def merge_replicates(rows: DataFrame) -> DataFrame:
     Of the rows the last is kept, calls sorted before no-calls.
     """
     key = ["participant_id", "file", "variant_id"]
-    calls = F.size(F.collect_set(F.when(F.col("gt") != G.NO_CALL, F.col("gt"))).over(Window.partitionBy(*key)))
-    order = Window.partitionBy(*key).orderBy((F.col("gt") == G.NO_CALL).desc(), F.col("line_number").desc())
-    rows = rows.withColumns({"calls": calls, "nth": F.row_number().over(order)}).where("nth = 1")
-    return rows.withColumn("gt", F.when(F.col("calls") > 1, G.NO_CALL).otherwise(F.col("gt"))).drop("calls", "nth")
+    call = F.when(F.col("gt") != G.NO_CALL, F.col("gt"))
+    # An aggregation, so that a participant's rows are reduced to one a variant before they are shuffled.
+    last = F.max_by(F.struct(*(c for c in rows.columns if c not in key)), F.struct(F.col("gt") == G.NO_CALL, "line_number"))
+    found = rows.groupBy(*key).agg(last.alias("x"), F.min(call).alias("least"), F.max(call).alias("most"))
+    gt = F.when(F.col("least") != F.col("most"), G.NO_CALL).otherwise(F.col("x.gt"))
+    return found.select(*(c if c in key else gt.alias(c) if c == "gt" else f"x.{c}" for c in rows.columns))
 
 
 def named(df: DataFrame, aliases: dict[str, list[str]], needed: list[str]) -> DataFrame:
