@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..sources.shared import written
 from .popgen import first_by
 
 LOCUS = ["chrom", "pos"]
@@ -79,6 +80,7 @@ def subset(d: DataFrame, keep: DataFrame | None = None, remove: DataFrame | None
 
 def concatenated(parts: list[DataFrame]) -> DataFrame:
     """Compartments of the same samples at different variants as one table; others are an error."""
+    parts = [written(p) for p in parts]  # each is read several times
     samples = [p.select("sample_id").distinct() for p in parts]
     for other in samples[1:]:
         if samples[0].exceptAll(other).unionAll(other.exceptAll(samples[0])).head(1):

@@ -72,3 +72,9 @@ def test_f15_f17_windows_are_aggregations(spark, calls):
     assert "Window" not in plan(text.merge_replicates(rows))
     panel = calls.select("chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt"))
     assert "Window" not in plan(lookups.panel_dosages(calls.withColumn("line_number", F.col("pos")), panel))
+
+
+def test_f23_compartments_are_read_once(spark, calls):
+    auto, read = counting(spark, calls.where("chrom <> 'X'"))
+    assert lookups.concatenated([auto, calls.where("chrom = 'X'")]).count() == 120
+    assert read.value == calls.where("chrom <> 'X'").count()
