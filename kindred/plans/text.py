@@ -8,6 +8,7 @@ from ..functions import genotype as G
 from ..functions import labels as L
 from ..operators import qc
 from ..sources import tables, text
+from ..sources.shared import written
 from .fixture import GENOTYPES_SQL, genotypes, lines, lines_sql, sql
 from .registry import query
 
@@ -93,8 +94,8 @@ FEWER = BAD.replace("WHERE trim(line)<>''", f"WHERE {SORTED} AND trim(line)<>''"
 
 def sorted_files(spark, sf_dir):
     """Lines of files of three kinds, all issues in them, and the files, of which some have no line."""
-    rows = lines(spark, sf_dir).where(SORTED)
-    files = rows.select("participant_id", "file").distinct().withColumn("bytes", F.lit(9)).cache()
+    rows = written(lines(spark, sf_dir).where(SORTED))
+    files = rows.select("participant_id", "file").distinct().withColumn("bytes", F.lit(9))
     empty = files.where(f"{NUMBER} = 0").select("participant_id", F.concat("file", F.lit(".empty")).alias("file"), F.lit(0).alias("bytes"))
     files = files.unionByName(empty)
     return files, qc.ddna_issues(rows).unionByName(qc.file_issues(files, rows))

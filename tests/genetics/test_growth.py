@@ -74,6 +74,11 @@ def test_f15_f17_windows_are_aggregations(spark, calls):
     assert "Window" not in plan(lookups.panel_dosages(calls.withColumn("line_number", F.col("pos")), panel))
 
 
+def test_f16_f21_lines_are_made_once(spark):
+    for df in plans.sorted_files(spark, SF):
+        assert "lineitem" not in plan(df)
+
+
 def test_f23_compartments_are_read_once(spark, calls):
     auto, read = counting(spark, calls.where("chrom <> 'X'"))
     assert lookups.concatenated([auto, calls.where("chrom = 'X'")]).count() == 120
