@@ -79,6 +79,11 @@ def test_f16_f21_lines_are_made_once(spark):
         assert "lineitem" not in plan(df)
 
 
+def test_f18_f19_partitions_of_samples_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(fixture, "PARTITION_ROWS", 500)
+    assert fixture.genotypes(spark, SF).rdd.getNumPartitions() >= 10
+
+
 def test_f23_compartments_are_read_once(spark, calls):
     auto, read = counting(spark, calls.where("chrom <> 'X'"))
     assert lookups.concatenated([auto, calls.where("chrom = 'X'")]).count() == 120
