@@ -21,12 +21,14 @@ MOST_SAMPLES = 5000
 
 def centred(d: DataFrame) -> DataFrame:
     """``(sample_id, rsid, x)``: dosages less their variant's mean; a missing one counts as the mean, so its row goes."""
+    d = written(d.select("sample_id", "rsid", "dosage"))
     means = d.groupBy("rsid").agg(F.avg("dosage").alias("mean"))
     return d.where("dosage is not null").join(means, "rsid").select("sample_id", "rsid", (F.col("dosage") - F.col("mean")).alias("x"))
 
 
 def standardised(d: DataFrame) -> DataFrame:
     """As ``centred``, over the square root of 2p(1 - p); variants without variation go."""
+    d = written(d.select("sample_id", "rsid", "dosage"))
     means = d.groupBy("rsid").agg(F.avg("dosage").alias("mean")).withColumn("p", F.col("mean") / 2)
     means = means.where("p > 0 and p < 1")
     return d.where("dosage is not null").join(means, "rsid").select("sample_id", "rsid", ((F.col("dosage") - F.col("mean")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("x"))
@@ -34,6 +36,7 @@ def standardised(d: DataFrame) -> DataFrame:
 
 def unit_rows(d: DataFrame) -> DataFrame:
     """Dosages less their variant's mean over its standard deviation, missing ones as the mean."""
+    d = written(d.select("sample_id", "rsid", "dosage"))
     stats = d.groupBy("rsid").agg(F.avg("dosage").alias("mean"), F.stddev_pop("dosage").alias("sd")).where("sd > 0")
     return d.where("dosage is not null").join(stats, "rsid").select("sample_id", "rsid", ((F.col("dosage") - F.col("mean")) / F.col("sd")).alias("x"))
 
@@ -233,9 +236,10 @@ def project(d: DataFrame, loadings: DataFrame, key: list[str] | None = None) ->
     missing counts as the mean, that is nothing. Variants with p of 0 or 1 are no part of the sum, but of M.
     """
     key = key or ["rsid"]
+    loadings = written(loadings)
     m = loadings.count()
     used = loadings.where("pca_af > 0 and pca_af < 1")
-    used = used.select(*key, "pca_af", F.transform("loadings", lambda v: v / F.sqrt(F.lit(float(m)) * 2 * F.col("pca_af") * (1 - F.col("pca_af")))).alias("w"))
+    used = used.select(*key, "pca_af", F.transform("loadings", lambda v: v / F.nullif(F.sqrt(F.lit(float(m)) * 2 * F.col("pca_af") * (1 - F.col("pca_af"))), F.lit(0.0))).alias("w"))
     rows = d.where("dosage is not null").join(used, key).select("sample_id", (F.col("dosage") - 2 * F.col("pca_af")).alias("x"), F.posexplode("w").alias("k", "w"))
     return rows.groupBy("sample_id", (F.col("k") + 1).alias("pc")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
 
