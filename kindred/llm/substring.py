@@ -233,13 +233,9 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, marks: np.ndarray, s
     """Rows ``(id, mark, first word, word after the last)`` of each run of windows that start earlier elsewhere."""
     order = np.lexsort([marks, starts, ids])  # windows then come in order of place
     ids, marks, starts = ids[order], marks[order], starts[order]
-    known: dict[bytes, int] = {}
-    lengths, words = np.empty(len(order), np.int64), []
-    for k, i in enumerate(order.tolist()):
-        own = strings[i].split()
-        lengths[k] = len(own)
-        words.append(np.array([known.setdefault(w, len(known)) for w in own], np.uint32))
-    flat = np.concatenate(words)
+    words = pc.split_pattern(pa.array(strings, pa.large_binary()).take(pa.array(order)), b" ")  # they are joined by one space
+    lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+    flat = words.flatten().dictionary_encode().indices.to_numpy().astype(np.uint32)
     del words
     n = len(flat) - WINDOW + 1
     bases = np.cumsum(lengths) - lengths
