@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
-from ..sources.shared import discard, written
+from ..sources.shared import by_files, discard, written
 from . import admix
 from .linalg import added_up
 
@@ -94,95 +96,133 @@ def admixture_em(d: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataF
 
 #: Bytes of the samples' proportions that are sent to the tasks of a round.
 MOST_BYTES = 512 << 20
-#: Calls of a block of variants in a round, and samples whose sums travel together.
-CALLS, BLOCK = 1 << 19, 1 << 16
+#: Calls of a block of variants in a round and of a task's rows, and samples whose sums travel together.
+CALLS, TASK_CALLS, BLOCK = 1 << 16, 1 << 22, 1 << 16
 
 
 def admixture(d: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Proportions ``(sample_id, q)`` and frequencies ``(rsid, p)``, as arrays of ``k``.
 
     ``d`` has ``(sample_id, rsid, dosage)`` and may have ``ploidy``, the number of alleles that a dosage counts (1 on a
-    male's X, else 2; null is 2). The calls meet by variant once; a round reads a variant's calls beside its
-    frequencies, makes its next ones in its own task, and sends only sums for the samples' proportions, which are a matrix
-    on the driver (``MOST_BYTES`` at most, with an error). Starts are hashes, so runs repeat.
+    male's X, else 2; null is 2).
+    """
+    return admixtures(d, [F.lit(True)], k, rounds, seed)[0]
+
+
+def admixtures(d: DataFrame, runs: list[Column], k: int, rounds: int = 20, seed: int = 7) -> list[tuple[DataFrame, DataFrame]]:
+    """What ``admixture`` gives for the calls of each of up to 15 ``runs``, conditions on the rows of ``d``, in one go.
+
+    The calls are read and meet by variant once, whatever number of runs they belong to; a round reads a variant's calls
+    beside its frequencies, makes its next ones in its own task, and sends only sums for the samples' proportions, which
+    are a matrix a run on the driver (``MOST_BYTES`` at most, with an error). Starts are hashes, so runs repeat.
     """
     spark = d.sparkSession
     ploidy = F.coalesce(F.col("ploidy"), F.lit(2)) if "ploidy" in d.columns else F.lit(2)
-    d = d.where("dosage is not null and sample_id is not null and rsid is not null")
-    d = written(d.select("sample_id", "rsid", F.col("dosage").cast("double").alias("alt"), (ploidy - F.col("dosage")).cast("double").alias("ref")))
+    cell = "smallint" if isinstance(d.schema["dosage"].dataType, IntegralType) else "double"
+    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c, 1 << i).otherwise(0) for i, c in enumerate(runs)))
+    # Written as they come: a filter before that would make what dosages are derived from once more.
+    d = written(d.select("sample_id", "rsid", "dosage", ploidy.alias("ploidy"), bits.cast("smallint").alias("runs")))
+    calls = d.where("dosage is not null and sample_id is not null and rsid is not null and runs > 0")
+    calls = calls.select("sample_id", "rsid", F.col("dosage").cast(cell).alias("alt"), (F.col("ploidy") - F.col("dosage")).cast(cell).alias("ref"), "runs")
     comps = F.array(*map(F.lit, range(k)))
     noise = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000)) / 1000.0
-    most = MOST_BYTES // (8 * max(1, k))
-    found = d.select("sample_id").distinct().withColumn("q", F.transform(comps, lambda c: 0.5 + noise(F.col("sample_id"), c))).orderBy("sample_id").limit(most + 1).collect()
+    most = MOST_BYTES // (8 * max(1, k) * len(runs))
+    found = calls.groupBy("sample_id").agg(F.bit_or("runs").alias("runs"), F.count("*").alias("calls"))
+    found = found.withColumn("q", F.transform(comps, lambda c: 0.5 + noise(F.col("sample_id"), c))).orderBy("sample_id").limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"over {most} samples for {k} components")
+        raise ValueError(f"over {most} samples for {k} components in {len(runs)} runs")
     names = [r.sample_id for r in found]
     q = np.array([r.q for r in found]).reshape(len(names), k)
-    q = q / q.sum(1, keepdims=True)
+    q = np.stack([q / q.sum(1, keepdims=True)] * len(runs))
     kind = d.schema["sample_id"].dataType.simpleString()
     places = F.broadcast(spark.createDataFrame([(s, n) for n, s in enumerate(names)], f"sample_id {kind}, at int"))
-    rows = d.join(places, "sample_id").groupBy("rsid").agg(*(F.collect_list(c).alias(c) for c in ("at", "alt", "ref")), (F.sum("alt") / F.sum(F.col("alt") + F.col("ref"))).alias("m"))
-    start = F.transform(comps, lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("m") + 0.2 * (noise(F.col("rsid"), c) - 0.5))))
-    calls = written(rows.select("rsid", start.alias("p"), "at", "alt", "ref"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-sum(r.calls for r in found) // TASK_CALLS))
+
+    def start(i: int) -> Column:
+        mine = F.col("runs").bitwiseAND(F.lit(1 << i)) != 0
+        total = lambda c: F.sum(F.when(mine, c).cast("double"))
+        m = total(F.col("alt")) / F.nullif(total(F.col("alt") + F.col("ref")), F.lit(0.0))
+        near = F.transform(comps, lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), m + 0.2 * (noise(F.col("rsid"), c) - 0.5))))
+        return F.when(F.count_if(mine) > 0, near).otherwise(F.array_repeat(F.lit(float("nan")), k))  # no part of the run
+
+    rows = calls.join(places, "sample_id").repartition(parts, "rsid").groupBy("rsid")
+    calls = written(rows.agg(F.concat(*map(start, range(len(runs)))).alias("p"), *(F.collect_list(c).alias(c) for c in ("at", "alt", "ref", "runs"))))
     discard(d)
     for n in range(rounds if names else 0):
         before = calls
-        calls, q = one_round(before, q, last=n == rounds - 1)
+        with by_files(spark, 8 * CALLS // len(names)):
+            calls, q = one_round(before, q, last=n == rounds - 1)
         discard(before)
     schema = f"sample_id {kind}, q array<double>"
-    return spark.createDataFrame([(s, x) for s, x in zip(names, q.tolist(), strict=True)], schema), calls.select("rsid", "p")
+    out = []
+    for i in range(len(runs)):
+        own = [(r.sample_id, x) for r, x in zip(found, q[i].tolist(), strict=True) if r.runs >> i & 1]
+        p = calls.select("rsid", F.slice("p", i * k + 1, k).alias("p")).where(~F.isnan(F.get("p", F.lit(0))))
+        out.append((spark.createDataFrame(own, schema), p))
+    return out
 
 
 def one_round(calls: DataFrame, q: np.ndarray, last: bool) -> tuple[DataFrame, np.ndarray]:
-    """A round over ``calls (rsid, p, at, alt, ref)``: the same with the next frequencies, and the next proportions.
+    """A round over ``calls (rsid, p, at, alt, ref, runs)``: the same with the next frequencies, and the next proportions.
 
-    After the ``last`` the calls aren't written again, only frequencies.
+    ``q`` is runs by samples by components, ``p`` the frequencies of all runs. After the ``last`` the calls aren't written
+    again, only frequencies.
     """
     shared = calls.sparkSession.sparkContext.broadcast(q)
-    n, k = q.shape
-
-    kind = calls.schema["rsid"].dataType.simpleString()
-    pa_kind = to_arrow_type(calls.schema["rsid"].dataType)
-    schema = f"rsid {kind}, p array<double>, at array<int>, alt array<double>, ref array<double>, block int, cells binary"
+    g, n, k = q.shape
+    cells = ["at", "alt", "ref", "runs"]
+    kinds = [calls.schema[c].dataType for c in ("rsid", *cells)]
+    schema = ", ".join([f"rsid {kinds[0].simpleString()}, p array<double>", *(f"{c} {t.simpleString()}" for c, t in zip(cells, kinds[1:], strict=True)), "run int, block int, cells binary"])
+    names = [c.split()[0] for c in schema.split(", ")]
+    pa_kinds = [to_arrow_type(t) for t in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, sums = shared.value, np.zeros((n, k))
-        names = [c.split()[0] for c in schema.split(", ")]
+        q, sums = shared.value, np.zeros((g, n, k))
         for batch in batches:
             lengths = pc.list_value_length(batch["at"]).to_numpy()
-            ends, p = np.cumsum(lengths, dtype=np.int64), np.asarray(batch["p"].flatten()).reshape(-1, k)
-            cells = [np.asarray(batch[c].flatten()) for c in ("at", "alt", "ref")]
+            ends, p = np.cumsum(lengths, dtype=np.int64), np.asarray(batch["p"].flatten()).reshape(-1, g * k)
+            flat = [np.asarray(batch[c].flatten()) for c in cells]
             after, first = np.empty_like(p), 0
             while first < len(p):  # a block of variants of ``CALLS`` calls, or a single one
                 begin = ends[first - 1] if first else 0
                 end = max(first + 1, int(np.searchsorted(ends, begin + CALLS, "right")))
-                at, alt, ref = (c[begin : ends[end - 1]] for c in cells)
+                at, alt, ref, runs = (c[begin : ends[end - 1]] for c in flat)
                 of = np.repeat(np.arange(end - first), lengths[first:end])
-                own, theirs = q[at], p[first:end][of]
-                ups = own * theirs
-                downs = own - ups
-                ups *= (alt / ups.sum(1))[:, None]
-                downs *= (ref / downs.sum(1))[:, None]
-                a, r = (np.stack([np.bincount(of, x[:, c], end - first) for c in range(k)], 1) for x in (ups, downs))
-                ups += downs
-                for c in range(k):
-                    sums[:, c] += np.bincount(at, ups[:, c], n)
-                with np.errstate(invalid="ignore"):
-                    after[first:end] = np.nan_to_num(a / (a + r), nan=1.0)  # nothing of a component is left at the variant
+                for i in range(g):
+                    mine = np.flatnonzero(runs >> i & 1)
+                    those = (at, alt, ref, of) if len(mine) == len(of) else (c[mine] for c in (at, alt, ref, of))
+                    theirs = p[first:end, i * k : (i + 1) * k]
+                    after[first:end, i * k : (i + 1) * k] = np.where(np.isnan(theirs), theirs, expectation(*those, q[i], theirs, sums[i]))
                 first = end
-            after = pa.array(list(np.clip(after, 1e-6, 1 - 1e-6)), pa.list_(pa.float64()))
-            kept = [pa.nulls(len(p), batch[c].type) if last else batch[c] for c in ("at", "alt", "ref")]
-            yield pa.RecordBatch.from_arrays([batch["rsid"], after, *kept, pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.binary())], names)
-        blocks = range(0, n, BLOCK)
-        none = [pa.nulls(len(blocks), t) for t in (pa_kind, pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([i // BLOCK for i in blocks], pa.int32()), pa.array([sums[i : i + BLOCK].tobytes() for i in blocks], pa.binary())], names)
+            after = pa.array(list(after), pa.list_(pa.float64()))
+            kept = [pa.nulls(len(p), batch[c].type) if last else batch[c] for c in cells]
+            yield pa.RecordBatch.from_arrays([batch["rsid"], after, *kept, pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.binary())], names)
+        blocks = [(i, b) for i in range(g) for b in range(-(-n // BLOCK))]
+        none = [pa.nulls(len(blocks), t) for t in (pa_kinds[0], pa.list_(pa.float64()), *pa_kinds[1:])]
+        totals = [sums[i, b * BLOCK : (b + 1) * BLOCK].tobytes() for i, b in blocks]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.int32()), pa.array(totals, pa.binary())], names)
 
     after = written(calls.mapInArrow(run, schema))
-    own = np.zeros((n, k))
-    for r in added_up(after.where("block is not null").select("block", "cells"), ["block"]).collect():  # as large as the proportions
-        own[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.cells).reshape(-1, k)
+    own = np.zeros((g, n, k))
+    for r in added_up(after.where("block is not null").select("run", "block", "cells"), ["run", "block"]).collect():  # as large as the proportions
+        own[r.run, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.cells).reshape(-1, k)
     shared.unpersist()
-    return after.where("block is null").select("rsid", "p", "at", "alt", "ref"), own / own.sum(1, keepdims=True)
+    return after.where("block is null").select("rsid", "p", *cells), own / np.maximum(own.sum(2, keepdims=True), 1e-300)
+
+
+def expectation(at: np.ndarray, alt: np.ndarray, ref: np.ndarray, of: np.ndarray, q: np.ndarray, p: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The next frequencies of a block of variants ``p`` whose calls are of samples ``at`` and of rows ``of``; adds to the samples' ``sums``."""
+    n, k = q.shape
+    ups = q[at] * p[of]
+    downs = q[at] - ups
+    ups *= (alt / ups.sum(1))[:, None]
+    downs *= (ref / downs.sum(1))[:, None]
+    a, r = (np.stack([np.bincount(of, x[:, c], len(p)) for c in range(k)], 1) for x in (ups, downs))
+    ups += downs
+    for c in range(k):
+        sums[:, c] += np.bincount(at, ups[:, c], n)
+    with np.errstate(invalid="ignore"):
+        return np.clip(np.nan_to_num(a / (a + r), nan=1.0), 1e-6, 1 - 1e-6)  # nothing of a component is left at the variant
 
 
 def haploid_males(d: DataFrame, sexes: DataFrame) -> DataFrame:
@@ -214,9 +254,9 @@ def headline_and_females(d: DataFrame, sexes: DataFrame, k: int, rounds: int = 2
     For software without haploid calls: the X is only compared among those with two of them. ``sexes`` is ``(sample_id,
     sex)`` with 2 or F for females.
     """
-    d = written(d.select("sample_id", "chrom", "rsid", "dosage", *(c for c in d.columns if c == "ploidy")))  # three runs read it
-    females = d.join(sexes.where(F.col("sex").isin("2", "F")).select("sample_id").distinct(), "sample_id", "left_semi")
-    auto = lambda x: x.where(F.col("chrom") != "X")
-    runs = {"headline_auto": auto(d), "female_auto": auto(females), "female_x": females.where("chrom = 'X'")}
-    parts = [admixture_em(rows, k, rounds, seed + k).select(F.lit(name).alias("run"), "sample_id", "component", "q") for name, rows in runs.items()]
+    females = sexes.where(F.col("sex").isin("2", "F")).select("sample_id", F.lit(True).alias("female")).distinct()
+    d = d.drop("female").join(F.broadcast(females), "sample_id", "left")  # no more than the samples, which go to all tasks anyway
+    auto, female = F.col("chrom") != "X", F.coalesce("female", F.lit(False))
+    runs = {"headline_auto": auto, "female_auto": auto & female, "female_x": (F.col("chrom") == "X") & female}
+    parts = [q.select(F.lit(name).alias("run"), "sample_id", F.posexplode("q").alias("component", "q")) for name, (q, _) in zip(runs, admixtures(d, list(runs.values()), k, rounds, seed + k), strict=True)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

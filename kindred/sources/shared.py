@@ -57,6 +57,23 @@ def discard(df: DataFrame) -> None:
             store.delete(folder, True)
 
 
+@contextmanager
+def by_files(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, each file of a table that ``written`` made is a task of its own, and Python gets at most ``rows`` rows at a time.
+
+    For rounds over a table whose rows are wide: they keep its number of tasks, and what a worker holds has a bound.
+    """
+    batch, opening = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.openCostInBytes"
+    before = {c: spark.conf.get(c) for c in (batch, opening)}
+    spark.conf.set(batch, str(max(1, min(rows, int(before[batch]) if int(before[batch]) > 0 else rows))))
+    spark.conf.set(opening, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 #: Paths of the tables that were written for an application's owner, a run of stages, and not yet released.
 TABLES: dict[tuple[str, str], set[str]] = {}
 #: The owner of what is written now, last.
