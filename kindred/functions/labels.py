@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +108,11 @@ def safe_id(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "[^A-Za-z0-9._-]+", "_")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it: inside lambdas Spark finds no common parts."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def raw_allele_tokens(variants: Column) -> Column:
     """``(chrom, pos, ref, alt, gt)`` structs of one sample's sites as tokens ``chrom:pos:ref>alt=GT``, joined by ";".
 
@@ -117,23 +124,31 @@ def raw_allele_tokens(variants: Column) -> Column:
     """
 
     def tokens(v: Column) -> Column:
-        sep = F.when(F.contains(v["gt"], F.lit("|")), "|").otherwise("/")
-        alleles = F.when(F.contains(v["gt"], F.lit("|")), F.split(F.trim(v["gt"]), r"\|")).otherwise(F.split(F.trim(v["gt"]), "/"))
+        phased, gt = F.contains(v["gt"], F.lit("|")), F.trim(v["gt"])
+        alleles = F.when(phased, F.split(gt, r"\|")).otherwise(F.split(gt, "/"))
         alts = F.filter(F.transform(F.split(v["alt"], ","), lambda a: F.trim(a)), lambda a: a != "")
-        blank = F.forall(alleles, lambda a: a == ".")
-        each = F.when(F.size(alts) > 0, F.sequence(F.lit(1), F.size(alts))).otherwise(F.array().cast("array<int>"))
-        held = F.filter(each, lambda k: blank | F.array_contains(F.transform(alleles, lambda a: a.try_cast("int")), k))
-        return F.when((F.trim(v["gt"]) == "") | v["gt"].isNull(), F.array().cast(TOKENS)).otherwise(F.transform(held, lambda k: token(v, F.get(alts, k - 1), k, alleles, sep)))
-
-    def token(v: Column, alt: Column, k: Column, alleles: Column, sep: Column) -> Column:
-        seen = F.transform(alleles, lambda a: F.when(a == ".", ".").when(a == k.cast("string"), "1").otherwise("0"))
-        gt = F.when(F.forall(seen, lambda x: x == "."), "./.").when((F.size(seen) == 2) & F.forall(seen, lambda x: x == "1"), "1/1").otherwise(F.reduce(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), F.get(seen, F.lit(0)), lambda x, y: F.concat(x, sep, y)))
+        site = F.struct(alleles.alias("alleles"), alts.alias("alts"), F.when(phased, "|").otherwise("/").alias("sep"))
+        none = F.array().cast(TOKENS)
+        return F.when((gt == "") | v["gt"].isNull(), none).otherwise(once(site, lambda s: once(held(s), lambda ks: F.when(F.size(ks) > 0, of_alternates(v, s, ks)).otherwise(none))))
+
+    def held(s: Column) -> Column:
+        each = F.when(F.size(s["alts"]) > 0, F.sequence(F.lit(1), F.size(s["alts"]))).otherwise(F.array().cast("array<int>"))
+        known = F.transform(s["alleles"], lambda a: F.when(a != ".", a.try_cast("int")))  # what can't be cast costs an exception
+        return F.when(F.forall(s["alleles"], lambda a: a == "."), each).otherwise(once(known, lambda numbers: F.filter(each, lambda k: F.array_contains(numbers, k))))
+
+    def of_alternates(v: Column, s: Column, ks: Column) -> Column:
         name = G.clean_chrom(v["chrom"])
-        rank = F.when(name.rlike("^[0-9]{1,9}$"), name.try_cast("int")).when(name == "X", 23).when(name == "Y", 24).when(name.isin("M", "MT"), 25)
+        place = once(name, lambda n: F.when(n.rlike("^[0-9]{1,9}$"), n.try_cast("int")).when(n == "X", 23).when(n == "Y", 24).when(n.isin("M", "MT"), 25))
+        chrom = F.struct(place.alias("rank"), F.regexp_replace(F.trim(v["chrom"]), "(?i)^chr", "").alias("name"), F.concat(v["chrom"], F.lit(":"), v["pos"].cast("string"), F.lit(":"), v["ref"], F.lit(">")).alias("site"))
+        return once(chrom, lambda c: F.transform(ks, lambda k: token(v, s, c, F.get(s["alts"], k - 1), k)))
+
+    def token(v: Column, s: Column, c: Column, alt: Column, k: Column) -> Column:
+        seen = F.transform(s["alleles"], lambda a: F.when(a == ".", ".").when(a == k.cast("string"), "1").otherwise("0"))
+        joined = lambda x: F.reduce(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), F.get(x, F.lit(0)), lambda y, z: F.concat(y, s["sep"], z))
+        gt = once(seen, lambda x: F.when(F.forall(x, lambda y: y == "."), "./.").when((F.size(x) == 2) & F.forall(x, lambda y: y == "1"), "1/1").otherwise(joined(x)))
         return F.struct(
-            rank.isNull().cast("int").alias("unknown"), F.coalesce(rank, F.lit(0)).alias("rank"), F.regexp_replace(F.trim(v["chrom"]), "(?i)^chr", "").alias("name"),
-            F.coalesce(v["pos"].cast("long"), F.lit(0)).alias("pos"), v["ref"].alias("ref"), alt.alias("alt"),
-            F.concat(v["chrom"], F.lit(":"), v["pos"].cast("string"), F.lit(":"), v["ref"], F.lit(">"), alt, F.lit("="), gt).alias("token"),
+            c["rank"].isNull().cast("int").alias("unknown"), F.coalesce(c["rank"], F.lit(0)).alias("rank"), c["name"].alias("name"), F.coalesce(v["pos"].cast("long"), F.lit(0)).alias("pos"),
+            v["ref"].alias("ref"), alt.alias("alt"), F.concat(c["site"], alt, F.lit("="), gt).alias("token"),
         )
 
     return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(variants, tokens))), lambda t: t["token"]), ";")

@@ -199,7 +199,8 @@ def raw_alleles(spark, sf_dir):
     s = sql(spark, sf_dir, SITES, "lineitem")
     values = F.when(F.col("ks") == "DP:GT", F.concat(F.lit("7:"), "g")).otherwise(F.concat("g", F.lit(":7")))
     site = F.struct("chrom", "pos", "ref", "alt", L.sample_genotype(F.col("ks"), values).alias("gt"))
-    return s.groupBy("sample_id").agg(F.collect_list(site).alias("sites")).select("sample_id", L.raw_allele_tokens(F.col("sites")).alias("raw_alleles"))
+    rows = s.select("sample_id", site.alias("site")).repartition("sample_id")  # sites are made in compiled code, and arrays once
+    return rows.groupBy("sample_id").agg(F.collect_list("site").alias("sites")).select("sample_id", L.raw_allele_tokens(F.col("sites")).alias("raw_alleles"))
 
 
 @query(

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import labels
 from kindred.operators import admix, ancestry, linalg, lookups, synth
 from kindred.plans import files, fixture
 from kindred.plans import text as plans
@@ -164,3 +165,12 @@ def test_f13_workers_are_given_few_rows(spark, calls, monkeypatch):
     rows = admix.fit(calls, [admix.Model(2, 7, f) for f in (0, 1)], 2, most_rounds=3).runs.collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert [r.fold for r in rows] == [0, 1] and all(abs(a.cv - b.cv) < 1e-9 and abs(a.likelihood - b.likelihood) < 1e-9 for a, b in zip(rows, whole, strict=True))
+
+
+def test_f22_parts_of_tokens_are_computed_once(spark):
+    sites = spark.createDataFrame([([("chr1", 5, "A", "G, T", "./01")],)], "v array<struct<chrom:string,pos:long,ref:string,alt:string,gt:string>>")
+    df = sites.select(labels.raw_allele_tokens(F.col("v")).alias("tokens"))
+    assert df.first()[0] == "chr1:5:A>G=./0"  # 01 is the first alternate by number, not by its spelling
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 3
+    found = plan(queries()["x29_raw_alleles"](spark, SF))
+    assert "partial_collect_list" not in found.split("Exchange")[-1]  # sites are dealt before they meet
