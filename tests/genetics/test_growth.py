@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kindred.functions import labels
 from kindred.operators import admix, ancestry, linalg, lookups, synth
 from kindred.plans import files, fixture
+from kindred.plans import lookups as pairs
 from kindred.plans import text as plans
 from kindred.plans.registry import queries
 from kindred.sources import discovery, ranges, text
@@ -184,3 +185,45 @@ def test_f22_parts_of_tokens_are_computed_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 3
     found = plan(queries()["x29_raw_alleles"](spark, SF))
     assert "partial_collect_list" not in found.split("Exchange")[-1]  # sites are dealt before they meet
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """What ``admix.fit`` was called with and gave, call by call."""
+    made, fit = [], admix.fit
+
+    def kept(d, models, *rest, **more):
+        made.append((d, models, fit(d, models, *rest, **more)))
+        return made[-1][2]
+
+    monkeypatch.setattr(admix, "fit", kept)
+    return made
+
+
+def test_cross_validation_goes_on_to_the_end(spark, calls, fits, monkeypatch):
+    monkeypatch.setattr(pairs, "dosages", lambda *_: calls)
+    rows = {(r.k, r.rep): r.cv for r in queries()["m10_cross_validation"](spark, SF).collect()}
+    assert rows.keys() == {(k, fold) for k in (2, 3) for fold in range(5)} and all(cv > 0 for cv in rows.values())
+    assert all(r.converged for r in fits[0][2].runs.collect())
+
+
+@pytest.mark.parametrize("ploidy", [1, 2, 7])
+def test_relaxed_steps_never_lower_the_likelihood(ploidy):
+    rng = np.random.default_rng(ploidy)
+    for k in (1, 2, 4):
+        alt = rng.integers(0, ploidy + 1, (30, 12)).astype(np.uint8)
+        ref = np.where(rng.random(alt.shape) < 0.3, 0, ploidy - alt).astype(np.uint8)
+        alt[0] = ref[0] = 0  # no call
+        c, at = admix.counted(alt, ref), -np.inf
+        q, p = admix.proportions(rng.dirichlet(np.full(k, 0.2), 12)), rng.choice([admix.LEAST, 0.4, 1 - admix.LEAST], (30, k))
+        for _ in range(60):
+            likelihood, slopes = admix.ascent(c, q, np.ascontiguousarray(q.T), admix.products(q), p)
+            after = admix.relaxed_p(p, slopes)
+            between = admix.log_chance(c, after @ q.T, 1 - after @ q.T)
+            assert likelihood >= at - 1e-6 and between >= likelihood - 1e-6
+            sums = admix.pulls(*admix.numbers(alt, ref), np.ascontiguousarray(q.T), after)
+            q, p, at = admix.proportions(admix.relaxed_q(q, sums)), after, between
+            assert np.allclose(q.sum(1), 1) and q.min() > 0 and p.min() >= admix.LEAST and p.max() <= 1 - admix.LEAST
+        # No small step of EM does any better at the end.
+        once, _, add = admix.expectation(c, q, p)
+        assert admix.expectation(c, admix.proportions(q * add), p)[0] - once < 1
