@@ -249,15 +249,22 @@ def cross_validated(d: DataFrame, ks: list[int], folds: int = 5, rounds: int | N
     return fits.runs.select("k", F.col("fold").cast("long").alias("rep"), "cv", F.lit(int(fits.seconds / max(1, len(models)))).cast("long").alias("seconds"))
 
 
-def headline_and_females(d: DataFrame, sexes: DataFrame, k: int, rounds: int = 20, seed: int = 7) -> DataFrame:
+def headline_and_females(d: DataFrame, sexes: DataFrame, k: int, rounds: int | None = None, seed: int = 7, tolerance: float = 1e-4) -> DataFrame:
     """``(run, sample_id, component, q)``: all samples on autosomes, and females alone on autosomes and on the X.
 
     For software without haploid calls: the X is only compared among those with two of them. ``sexes`` is ``(sample_id,
-    sex)`` with 2 or F for females.
+    sex)`` with 2 or F for females. The three fits go through the calls together, until a cycle of three rounds of
+    ``admix.fit`` raises each one's likelihood by less than ``tolerance``; ``rounds`` asks for so many of ``admixture`` instead.
     """
     females = sexes.where(F.col("sex").isin("2", "F")).select("sample_id", F.lit(True).alias("female")).distinct()
     d = d.drop("female").join(F.broadcast(females), "sample_id", "left")  # no more than the samples, which go to all tasks anyway
     auto, female = F.col("chrom") != "X", F.coalesce("female", F.lit(False))
     runs = {"headline_auto": auto, "female_auto": auto & female, "female_x": (F.col("chrom") == "X") & female}
+    if rounds is None:
+        bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c, 1 << i).otherwise(0) for i, c in enumerate(runs.values())))
+        models = [admix.Model(k, seed + k, part=i) for i in range(len(runs))]
+        called = d.where("sample_id is not null and rsid is not null").withColumn("parts", bits.cast("smallint"))
+        q = admix.fit(called, models, 0, tolerance, None, relax=True).q
+        return q.select(F.get(F.array(*map(F.lit, runs)), F.col("model")).alias("run"), "sample_id", "component", "q")
     parts = [q.select(F.lit(name).alias("run"), "sample_id", F.posexplode("q").alias("component", "q")) for name, (q, _) in zip(runs, admixtures(d, list(runs.values()), k, rounds, seed + k), strict=True)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -159,4 +159,4 @@ def cross_validation(spark, sf_dir):
 @query("m11_headline_and_females")
 def headline_and_females(spark, sf_dir):
     d = dosages(spark, sf_dir)
-    return ancestry.headline_and_females(d, d.select("sample_id", "sex").distinct(), 2, 3)
+    return ancestry.headline_and_females(d, d.select("sample_id", "sex").distinct(), 2)

@@ -207,6 +207,18 @@ def test_cross_validation_goes_on_to_the_end(spark, calls, fits, monkeypatch):
     assert all(r.converged for r in fits[0][2].runs.collect())
 
 
+def test_headline_and_females_go_on_to_the_end(spark, calls, fits, monkeypatch):
+    monkeypatch.setattr(pairs, "dosages", lambda *_: calls.withColumn("sex", F.when(F.col("sample_id") % 2 == 1, "F").otherwise("M")))
+    got = {(r.run, r.sample_id, r.component): r.q for r in queries()["m11_headline_and_females"](spark, SF).collect()}
+    assert {k[:2] for k in got} == {("headline_auto", s) for s in range(6)} | {(run, s) for run in ("female_auto", "female_x") for s in (1, 3, 5)}
+    together = {r.model: r for r in fits[0][2].runs.collect()}
+    assert len(fits) == 1 and all(r.converged for r in together.values())
+    assert fits[0][2].p.where("model = 2").count() == calls.where("chrom = 'X'").select("rsid").distinct().count()
+    alone = admix.fit(calls.where("chrom = 'X' and sample_id % 2 = 1"), [admix.Model(2, 9)], most_rounds=None, relax=True)
+    assert abs(alone.runs.first().likelihood - together[2].likelihood) < 1e-6
+    assert all(abs(got["female_x", r.sample_id, r.component] - r.q) < 1e-4 for r in alone.q.collect())
+
+
 @pytest.mark.parametrize("ploidy", [1, 2, 7])
 def test_relaxed_steps_never_lower_the_likelihood(ploidy):
     rng = np.random.default_rng(ploidy)
